@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from repeatlake.llm import simhash
+from repeatlake.llm import bpe, packing, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op9_best_fit_packing": packing.query,
+    "op10_bpe_round_trip": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
