@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from repeatlake.llm import bpe, packing, simhash
+from repeatlake.llm import bpe, digests, packing, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op6_document_fingerprints": digests.query,
     "op9_best_fit_packing": packing.query,
     "op10_bpe_round_trip": bpe.query,
 }
