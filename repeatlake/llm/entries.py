@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from repeatlake.llm import bpe, digests, packing, simhash
+from repeatlake.llm import bpe, digests, language, packing, simhash, toxicity
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
+    "op3_language_id": language.query,
     "op6_document_fingerprints": digests.query,
+    "op8_toxicity": toxicity.query,
     "op9_best_fit_packing": packing.query,
     "op10_bpe_round_trip": bpe.query,
 }
