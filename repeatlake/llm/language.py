@@ -24,6 +24,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ EACH = 1500  # documents sampled of each language
 WORDS, GRAMS = 30_000, 12_000  # kept of each language, and of each language and length
 LONGEST_GRAM = 5
 EVIDENCE = 8.0
+LEAST = 0.5  # under it no language has most of the evidence
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
 
@@ -113,6 +115,20 @@ def predictions(documents: DataFrame, model: Model, id_column: str = "doc_id") -
     return map_rows(plain_text(documents, id_column), "doc_id long, lang_pred string, score double", make)
 
 
+def with_language(documents: DataFrame, model: Model, least: float = LEAST) -> DataFrame:
+    """The rows of ``documents`` whose text is in a learned language with a score of at least ``least``, with all their columns."""
+    memo: list[Memo] = []
+
+    @F.pandas_udf("boolean")
+    def told(text: pd.Series) -> pd.Series:
+        if not memo:
+            memo.append(Memo(model.word))
+        got = (model.predict(t, memo[0]) for t in text)
+        return pd.Series([lang != UNKNOWN and score >= least for lang, score in got], dtype="bool")
+
+    return documents.where(told(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """``op3``: every document's language."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -25,10 +25,10 @@ import itertools
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from repeatlake.llm.arrow import map_rows, plain_text, texts
+from repeatlake.llm.arrow import clean_name, map_rows, plain_text, texts
 from repeatlake.operators.components import connected_components
 from repeatlake.plans.storage import materialize
 
@@ -97,40 +97,47 @@ def first_choice(xor: np.ndarray, blocks: int, budget: int) -> np.ndarray:
     return out
 
 
-def trie_join(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, budget: int, frontier: int = 1 << 18):
-    """Index pairs within ``budget`` bits inside each range ``[start, end)`` of ``fps``, sorted in each range.
+def trie_join(fps: np.ndarray, a: tuple, b: tuple, budget: int, frontier: int = 1 << 17):
+    """Index pairs within ``budget`` bits between the ranges ``a = (starts, ends)`` and ``b`` of ``fps[row, word]``.
 
-    Each range is the root of a binary trie over the bits from the highest on;
-    a node is a subrange. Node pairs descend together: children on the same
-    side cost nothing, on different sides one differing bit, and a pair beyond
-    the budget is pruned. Frontiers are worked off in pieces of bounded size,
-    deepest first. Yields arrays of index pairs ``i < j``.
+    Rows are sorted within each range, and a range is the root of a binary trie
+    over the bits from the highest of the first word on; a node is a subrange.
+    Node pairs descend together: children on the same side cost nothing, on
+    different sides one differing bit, and a pair beyond the budget is pruned.
+    A range paired with itself gives each pair once. Frontiers are worked off in
+    pieces of bounded size, deepest first. Yields two arrays of indices.
     """
-    ranks = [np.concatenate([[0], np.cumsum((fps >> np.uint64(63 - d)) & np.uint64(1))]).astype(np.int64) for d in range(64)]
-    keep = ends - starts > 1
-    s, e = starts[keep].astype(np.int64), ends[keep].astype(np.int64)
-    stack = [(0, s, e, s, e, np.zeros(len(s), np.int8))]
+    depths, ranks = 64 * fps.shape[1], {}
+
+    def ones(depth: int) -> np.ndarray:
+        if depth not in ranks:
+            bit = (fps[:, depth // 64] >> np.uint64(63 - depth % 64)) & np.uint64(1)
+            ranks[depth] = np.concatenate([[0], np.cumsum(bit.astype(np.int64))])
+        return ranks[depth]
+
+    (a0, a1), (b0, b1) = ([np.asarray(x, np.int64) for x in side] for side in (a, b))
+    stack = [(0, a0, a1, b0, b1, np.zeros(len(a0), np.int32))]
     while stack:
         depth, a0, a1, b0, b1, bits = stack.pop()
         if len(a0) > frontier:
             half = len(a0) // 2
             stack += [(depth, *(x[:half] for x in (a0, a1, b0, b1, bits))), (depth, *(x[half:] for x in (a0, a1, b0, b1, bits)))]
             continue
-        leaf = (a1 - a0 == 1) & (b1 - b0 == 1) & (a0 != b0)
+        live = (a1 > a0) & (b1 > b0) & (bits <= budget) & ~((a0 == b0) & (a1 - a0 < 2))
+        a0, a1, b0, b1, bits = (x[live] for x in (a0, a1, b0, b1, bits))
+        leaf = (a1 - a0 == 1) & (b1 - b0 == 1)
         if leaf.any():
             i, j = a0[leaf], b0[leaf]
-            near = np.bitwise_count(fps[i] ^ fps[j]) <= budget
+            near = np.bitwise_count(fps[i] ^ fps[j]).sum(axis=1, dtype=np.int32) <= budget
             yield np.minimum(i, j)[near], np.maximum(i, j)[near]
             a0, a1, b0, b1, bits = (x[~leaf] for x in (a0, a1, b0, b1, bits))
-        if not len(a0) or depth == 64:
+        if not len(a0) or depth == depths:
             continue
-        c = ranks[depth]
+        c = ones(depth)
         am, bm = a1 - (c[a1] - c[a0]), b1 - (c[b1] - c[b0])
         same = a0 == b0
-        parts = [(a0, am, b0, bm, bits), (am, a1, bm, b1, bits), (a0, am, bm, b1, bits + 1), (am, a1, b0, bm, np.where(same, budget + 1, bits + 1).astype(np.int8))]
-        a0, a1, b0, b1, bits = (np.concatenate(x) for x in zip(*parts))
-        live = (a1 > a0) & (b1 > b0) & (bits <= budget) & ~((a0 == b0) & (a1 - a0 < 2))
-        stack.append((depth + 1, a0[live], a1[live], b0[live], b1[live], bits[live].astype(np.int8)))
+        parts = [(a0, am, b0, bm, bits), (am, a1, bm, b1, bits), (a0, am, bm, b1, bits + 1), (am, a1, b0, bm, np.where(same, budget + 1, bits + 1))]
+        stack.append((depth + 1, *(np.concatenate(x) for x in zip(*parts))))
 
 
 def forest(n: int, pairs) -> np.ndarray:
@@ -152,47 +159,65 @@ def forest(n: int, pairs) -> np.ndarray:
     return root
 
 
-def group_edges(keyed: DataFrame, blocks: int, budget: int) -> DataFrame:
-    """``(a, b)`` representatives linked inside the groups of ``keyed(key, fp, rep)``; one star for each cluster.
+def _star(rep: np.ndarray, pairs) -> pa.RecordBatch:
+    """Edges from every linked row to the first row of its cluster."""
+    root = forest(len(rep), pairs)
+    away = np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_arrays([pa.array(rep[away]), pa.array(rep[root[away]])], names=["a", "b"])
+
+
+def by_group(rows: DataFrame, words: list[str], edges, *more: str) -> DataFrame:
+    """``(a, b)`` that ``edges(key, fps, rep, *more)`` makes of whole groups of ``rows(key, words..., rep, more...)``.
 
     A partition is sorted by key and streamed; a batch's last group waits for
     the next batch, so memory holds a batch and a group.
     """
-    choices = len(list(itertools.combinations(range(blocks), blocks - budget)))
-    bits = 64 // blocks * (blocks - budget)
+    names = ["key", *words, "rep", *more]
 
     def run(batches):
-        def join(key, fp, rep):
-            order = np.lexsort((fp, key))
-            key, fp, rep = key[order], fp[order], rep[order]
-            cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            ends = np.concatenate([cuts[1:], [len(key)]])
-            number = (key.view(np.uint64) >> np.uint64(bits)).astype(np.int64) % choices
-
-            def own():
-                for i, j in trie_join(fp, cuts, ends, budget):
-                    mine = first_choice(fp[i] ^ fp[j], blocks, budget) == number[i]
-                    yield i[mine], j[mine]
-
-            root = forest(len(fp), own())
-            away = np.flatnonzero(root != np.arange(len(root)))
-            return pa.RecordBatch.from_arrays([pa.array(rep[away]), pa.array(rep[root[away]])], names=["a", "b"])
+        def whole(part):
+            key, *fps = part[: 1 + len(words)]
+            order = np.lexsort((*[f.view(np.uint64) for f in reversed(fps)], *part[2 + len(words) :], key))
+            part = [x[order] for x in part]
+            fps = np.stack([f.view(np.uint64) for f in part[1 : 1 + len(words)]], axis=1)
+            return edges(part[0], fps, *part[1 + len(words) :])
 
         held = None
         for batch in batches:
-            new = [batch.column(0).to_numpy(), batch.column(1).to_numpy().view(np.uint64), batch.column(2).to_numpy()]
+            new = [c.to_numpy() for c in batch.columns]
             held = new if held is None else [np.concatenate(x) for x in zip(held, new)]
-            if not len(held[0]):
-                continue
-            last = int(np.searchsorted(held[0], held[0][-1]))
+            last = int(np.searchsorted(held[0], held[0][-1])) if len(held[0]) else 0
             if last:
-                yield join(*(x[:last] for x in held))
+                yield whole([x[:last] for x in held])
                 held = [x[last:] for x in held]
         if held is not None and len(held[0]):
-            yield join(*held)
+            yield whole(held)
+
+    return rows.select(*names).repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long")
 
-    dealt = keyed.repartition("key").sortWithinPartitions("key")
-    return dealt.select("key", "fp", "rep").mapInArrow(run, "a long, b long")
+
+def _ranges(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    cuts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return cuts, np.concatenate([cuts[1:], [len(key)]])
+
+
+def group_edges(keyed: DataFrame, blocks: int, budget: int) -> DataFrame:
+    """``(a, b)`` representatives linked inside the groups of ``keyed(key, fp, rep)``; a pair counts in its first group only."""
+    choices = len(list(itertools.combinations(range(blocks), blocks - budget)))
+    bits = 64 // blocks * (blocks - budget)
+
+    def edges(key, fps, rep):
+        ends = _ranges(key)
+        number = (key.view(np.uint64) >> np.uint64(bits)).astype(np.int64) % choices
+
+        def own():
+            for i, j in trie_join(fps, ends, ends, budget):
+                mine = first_choice(fps[i, 0] ^ fps[j, 0], blocks, budget) == number[i]
+                yield i[mine], j[mine]
+
+        return _star(rep, own())
+
+    return by_group(keyed, ["fp"], edges)
 
 
 def link_fingerprints(reps: DataFrame, budget: int = 2, split: int = 1024) -> DataFrame:
@@ -223,6 +248,121 @@ def simhash_components(documents: DataFrame, width: int = 3, budget: int = 2, sp
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
+# Wide fingerprints: near-duplicates by similarity rather than by a few bits.
+
+WORDS = ["f0", "f1", "f2", "f3"]  # 256 bits
+BLOCK = 8  # bits of a block; two of the four blocks of each 32-bit band make a key
+
+
+def wide_fingerprint(text: str, width: int = 5, words: int = len(WORDS)) -> np.ndarray:
+    """SimHash of the set of shingles with ``64 * words`` bits; the further words are mixed from the first hash."""
+    digest = xxhash.xxh64_intdigest
+    h = np.unique(np.fromiter((digest(s, 42) for s in shingles(text, width)), np.uint64))
+    ones = np.zeros((words, 64), np.int64)
+    for at in range(0, len(h), CHUNK):
+        part = h[at : at + CHUNK]
+        for k in range(words):
+            x = part + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+            x ^= x >> np.uint64(31)
+            ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits((ones * 2 > len(h)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def wide_fingerprints(documents: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataFrame:
+    """``(doc_id, f0, f1, f2, f3)`` of every document."""
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            got = np.array([wide_fingerprint(t, width) for t in texts(batch)], np.uint64).reshape(-1, len(WORDS)).view(np.int64)
+            yield {"doc_id": batch.column(0)} | {w: np.ascontiguousarray(got[:, k]) for k, w in enumerate(WORDS)}
+
+        return each
+
+    return map_rows(plain_text(documents, id_column), "doc_id long, f0 long, f1 long, f2 long, f3 long", make)
+
+
+def bit_budget(similarity: float, bits: int = 64 * len(WORDS)) -> int:
+    """Differing bits of two equally large sets whose Jaccard similarity is ``similarity``: the angle of their vectors."""
+    return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 1e-9)) + 1
+
+
+def wide_keys() -> Column:
+    """48 keys: the number of the band and of the choice, and the bits of two of the band's four blocks."""
+    mask, keys = F.lit((1 << BLOCK) - 1).cast("long"), []
+    for band in range(2 * len(WORDS)):
+        word, low = F.col(WORDS[band // 2]), 32 * (band % 2)
+        for number, (i, j) in enumerate(itertools.combinations(range(32 // BLOCK), 2)):
+            a, b = (F.shiftrightunsigned(word, low + BLOCK * x).bitwiseAND(mask) for x in (i, j))
+            keys.append(F.lit((6 * band + number) << 2 * BLOCK).cast("long").bitwiseOR(F.shiftleft(a, BLOCK)).bitwiseOR(b))
+    return F.explode(F.array(*keys))
+
+
+def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024) -> DataFrame:
+    """``(a, b)`` edges among ``reps(f0..f3, rep)`` that share a key and differ in at most ``budget`` bits.
+
+    Members of groups over ``split`` make up a pool; the pool is cut into tiles
+    by a hash, and every pair of tiles is joined on its own, so all pairs of a
+    hot group are compared, once and in groups of bounded size.
+    """
+    keyed = reps.select(wide_keys().alias("key"), *WORDS, "rep")
+    hot = materialize(keyed.select("key").groupBy("key").count().where(F.col("count") > split).select("key"), "simhash-hot")
+
+    def inside(key, fps, rep):
+        ends = _ranges(key)
+        return _star(rep, trie_join(fps, ends, ends, budget))
+
+    if hot.isEmpty():
+        return by_group(keyed, WORDS, inside)
+    cold = by_group(keyed.join(hot, "key", "left_anti"), WORDS, inside)
+    pool = materialize(keyed.join(hot, "key", "left_semi").select(*WORDS, "rep").distinct(), "simhash-pool")
+    tiles = max(1, -(-pool.count() // tile))
+    own = F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("long")
+    tiled = pool.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
+    tiled = tiled.select((F.least("own", "other") * tiles + F.greatest("own", "other")).alias("key"), *WORDS, "rep", (F.col("own") > F.col("other")).cast("long").alias("side"))
+
+    def across(key, fps, rep, side):
+        (start, end), pairs = _ranges(key), []
+        for s, e in zip(start, end):
+            middle = s + int(np.searchsorted(side[s:e], 1))
+            same = key[s] // tiles == key[s] % tiles
+            pairs.append((s, e, s, e) if same else (s, middle, middle, e))
+        a0, a1, b0, b1 = np.array(pairs, np.int64).T
+        return _star(rep, trie_join(fps, (a0, a1), (b0, b1), budget))
+
+    return cold.unionByName(by_group(tiled, WORDS, across, "side"))
+
+
+def near_groups(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
+    """``(doc_id, component_id)`` of all rows with an id: near-duplicates by the similarity of their sets of shingles.
+
+    The similarity is read off 256-bit fingerprints, whose differing bits tell
+    the angle between two sets; its standard error at 0.8 is about 0.03.
+    """
+    fps = materialize(wide_fingerprints(documents, width, id_column).where("doc_id is not null"), "simhash-wide")
+    reps = materialize(fps.groupBy(*WORDS).agg(F.min("doc_id").alias("rep")), "simhash-reps")
+    found = connected_components(link_wide(reps, bit_budget(similarity)))
+    classes = reps.join(found, reps["rep"] == found["node"], "left").select(*WORDS, F.coalesce("component", "rep").alias("component_id"))
+    return fps.join(materialize(classes, "simhash-classes"), WORDS).select("doc_id", "component_id")
+
+
+def without_near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``documents`` of which the smallest id of each group stays, with all their columns.
+
+    Rows with equal ids are one document, of which the row whose text sorts
+    first stays. Rows without an id stay.
+    """
+    groups = near_groups(documents, width, similarity, id_column)
+    kept = materialize(groups.where("doc_id = component_id").select("doc_id").distinct(), "simhash-kept")
+    kept = kept.withColumnRenamed("doc_id", "__kept")
+    rows = documents.join(kept, documents[id_column].cast("long") == kept["__kept"], "left_semi")
+    first = Window.partitionBy(id_column).orderBy("text")
+    rank = clean_name(documents, "rank")
+    one = rows.withColumn(rank, F.row_number().over(first)).where(F.col(rank) == 1).drop(rank)
+    return one.unionByName(documents.where(F.col(id_column).isNull()))
+
+
 def hex_digits(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 

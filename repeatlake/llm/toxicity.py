@@ -29,6 +29,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -148,18 +149,13 @@ def fit(documents: DataFrame, labels: DataFrame, each: int = EACH) -> Detector |
     return train(sampled_texts(plain_text(documents), sample(marked, "toxic", each, [0, 1])))
 
 
-def scored(documents: DataFrame, model: Detector | None, threshold: float = THRESHOLD) -> DataFrame:
-    """All of ``documents``' columns with ``score`` and ``predicted`` (their own columns of these names are replaced)."""
-    import pandas as pd
-
-    rows = documents.select(*(c for c in documents.columns if c.lower() not in ("score", "predicted")))
-
+def without_toxic(documents: DataFrame, model: Detector | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``documents`` that score under ``threshold``, with all their columns."""
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
         return pd.Series([model.score(t) if model else 0.0 for t in text], dtype="float64")
 
-    out = rows.withColumn("score", score(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return documents.where(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
