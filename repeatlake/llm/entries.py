@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from repeatlake.llm import bpe, digests, language, packing, simhash, toxicity
+from repeatlake.llm import bpe, digests, embeddings, language, packing, simhash, toxicity
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.query,
     "op3_language_id": language.query,
+    "op5_embedding_near_dedup": embeddings.query,
     "op6_document_fingerprints": digests.query,
     "op8_toxicity": toxicity.query,
     "op9_best_fit_packing": packing.query,
