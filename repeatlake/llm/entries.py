@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from repeatlake.llm import bpe, digests, embeddings, language, packing, simhash, toxicity
+from repeatlake.llm import bpe, digests, embeddings, extraction, language, packing, simhash, toxicity
 
 QUERIES = {
+    "op1_html_extraction": extraction.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_language_id": language.query,
     "op5_embedding_near_dedup": embeddings.query,
