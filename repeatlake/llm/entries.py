@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from repeatlake.llm import bpe, digests, embeddings, extraction, language, packing, simhash, toxicity
+from repeatlake.llm import bpe, digests, embeddings, extraction, language, packing, scoring, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_html_extraction": extraction.query,
     "op2_simhash_near_dedup": simhash.query,
     "op3_language_id": language.query,
+    "op4_lm_scoring": scoring.query,
     "op5_embedding_near_dedup": embeddings.query,
     "op6_document_fingerprints": digests.query,
+    "op7_token_counts": tokens.query,
     "op8_toxicity": toxicity.query,
     "op9_best_fit_packing": packing.query,
     "op10_bpe_round_trip": bpe.query,
