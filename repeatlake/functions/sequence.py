@@ -57,12 +57,22 @@ def canonical(kmer: Column) -> Column:
 
 
 def windows(seq: Column, k: int, left: int = 0, right: int = 0) -> Column:
-    """``array<struct<pos, kmer>>`` of all windows that start in ``[left, length - right - k]``; none if it is too short."""
+    """``array<struct<pos, kmer>>`` of all windows that start in ``[left, length - right - k]``; none if it is too short.
+
+    For short sequences in a plain column: each window walks from the start. Long ones go through :func:`chunks`.
+    """
     last = F.length(seq) - right - k
     starts = F.when(last >= left, F.sequence(F.lit(left), last)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.struct(i.alias("pos"), F.substring(seq, i + 1, F.lit(k)).alias("kmer")))
 
 
+def chunks(seq: Column, k: int, size: int = 256) -> Column:
+    """``array<struct<at, part>>`` that together hold every window of ``k`` bases once: ``size`` starts each."""
+    count = F.ceil(F.length(seq) / size).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda i: F.struct((i * size).alias("at"), F.substring(seq, i * size + 1, F.lit(size + k - 1)).alias("part")))
+
+
 def is_valid(kmer: Column) -> Column:
     return ~kmer.rlike("[^ACGT]")
 
@@ -73,10 +83,9 @@ def mate_name(title: Column) -> Column:
 
 
 def quality_mask(quality: Column, k: int, least: int) -> Column:
-    """For each window whether all its bases reach ``least`` (Phred, offset 33)."""
-    low = F.transform(F.split(quality, ""), lambda c: (F.ascii(c) - 33 < least).cast("int"))
-    starts = F.when(F.length(quality) >= k, F.sequence(F.lit(1), F.length(quality) - k + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: ~F.exists(F.slice(low, i, k), lambda x: x == 1))
+    """For each window whether all its bases reach ``least`` (Phred, offset 33); ``quality`` is a plain column."""
+    low = f"[!-{chr(33 + least - 1)}]"
+    return F.transform(windows(quality, k), lambda w: ~w["kmer"].rlike(low))
 
 
 def run_lengths(states: Column) -> Column:

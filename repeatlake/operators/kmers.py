@@ -15,7 +15,12 @@ from repeatlake.functions import sequence as S
 
 def scan(seqs: DataFrame, k: int, left: int = 0, right: int = 0, keep_invalid: bool = False, *more: str) -> DataFrame:
     """``(locus, *more, pos, kmer)`` of every window; invalid ones are left out, or null if they are to keep their place."""
-    out = seqs.select("locus", *more, F.explode(S.windows(F.col("seq"), k, left, right)).alias("w")).select("locus", *more, "w.pos", "w.kmer")
+    cut = seqs.select("locus", *more, F.length("seq").alias("__n"), F.explode(S.chunks(F.col("seq"), k)).alias("c")).select("locus", *more, "__n", "c.*")
+    out = cut.select("locus", *more, "__n", "at", F.explode(S.windows(F.col("part"), k)).alias("w"))
+    out = out.select("locus", *more, (F.col("at") + F.col("w.pos")).alias("pos"), F.col("w.kmer").alias("kmer"), "__n")
+    if left or right:
+        out = out.where((F.col("pos") >= left) & (F.col("pos") <= F.col("__n") - right - k))
+    out = out.drop("__n")
     return out.withColumn("kmer", F.when(S.is_valid(F.col("kmer")), F.col("kmer"))) if keep_invalid else out.where(S.is_valid(F.col("kmer")))
 
 
@@ -40,20 +45,27 @@ def regions(seqs: DataFrame, k: int, inner: int, outer: int, *more: str) -> Data
     return rows.select("locus", *more, "pos", region(F.col("pos"), F.col("length"), k, inner, outer).alias("kind"), S.canonical(F.col("kmer")).alias("kmer")).where("kind is not null")
 
 
+def base_bit(base: Column) -> Column:
+    """1, 2, 4 and 8 for A, C, G and T."""
+    return F.translate(base, S.BASES, "1248").cast("int")
+
+
 def graph(seqs: DataFrame, k: int) -> DataFrame:
     """Nodes of both strands with the bases that follow them; a node that only ever ends has the mask 0."""
     both = seqs.select("locus", F.explode(F.array("seq", S.revcomp(F.col("seq")))).alias("seq"))
-    rows = scan(both, k, 0, 0, False, "seq")
-    after = F.substring("seq", F.col("pos") + k + 1, F.lit(1))
-    follows = F.concat(F.substring("kmer", 2, k - 1), after)
-    bit = F.when((F.length(after) == 1) & S.is_valid(after) & (follows != F.col("kmer")), F.shiftleft(F.lit(1), F.instr(F.lit(S.BASES), after) - 1)).otherwise(0)
+    # windows of one base more, the last of them with the end mark; what makes them invalid may be that base only
+    cut = both.select("locus", F.concat("seq", F.lit(".")).alias("seq"))
+    cut = cut.select("locus", F.explode(S.chunks(F.col("seq"), k + 1)).alias("c")).select("locus", F.explode(S.windows(F.col("c.part"), k + 1)).alias("w"))
+    rows = cut.select("locus", F.substring("w.kmer", 1, k).alias("kmer"), F.substring("w.kmer", k + 1, 1).alias("after")).where(S.is_valid(F.col("kmer")))
+    after, follows = F.col("after"), F.concat(F.substring("kmer", 2, k - 1), F.col("after"))
+    bit = F.when(S.is_valid(after) & (follows != F.col("kmer")), base_bit(after)).otherwise(0)
     return rows.select("locus", "kmer", bit.alias("bit")).groupBy("locus", "kmer").agg(F.bit_or("bit").cast("long").alias("out_mask"))
 
 
 def edges_of(nodes: DataFrame) -> DataFrame:
     """``(locus, kmer, base, next)`` of every out-edge."""
-    bases = F.array(*(F.struct(F.lit(b).alias("base"), F.lit(i).alias("code")) for i, b in enumerate(S.BASES)))
-    rows = nodes.withColumn("b", F.explode(bases)).where(F.col("out_mask").bitwiseAND(F.shiftleft(F.lit(1), F.col("b.code")).cast("long")) != 0)
+    bases = F.array(*(F.struct(F.lit(b).alias("base"), F.lit(1 << i).cast("long").alias("bit")) for i, b in enumerate(S.BASES)))
+    rows = nodes.withColumn("b", F.explode(bases)).where(F.col("out_mask").bitwiseAND(F.col("b.bit")) != 0)
     return rows.select("locus", "kmer", F.col("b.base").alias("base"), F.concat(F.expr("substring(kmer, 2)"), F.col("b.base")).alias("next"))
 
 
@@ -62,7 +74,7 @@ def prune(nodes: DataFrame, removed: DataFrame) -> DataFrame:
     gone = removed.select("locus", "kmer").unionByName(removed.select("locus", S.revcomp(F.col("kmer")).alias("kmer"))).distinct()
     left = nodes.join(gone, ["locus", "kmer"], "left_anti")
     alive = edges_of(left).join(gone.withColumnRenamed("kmer", "next"), ["locus", "next"], "left_anti")
-    masks = alive.groupBy("locus", "kmer").agg(F.bit_or(F.shiftleft(F.lit(1), F.instr(F.lit(S.BASES), F.col("base")) - 1)).cast("long").alias("mask"))
+    masks = alive.groupBy("locus", "kmer").agg(F.bit_or(base_bit(F.col("base"))).cast("long").alias("mask"))
     return left.select("locus", "kmer").join(masks, ["locus", "kmer"], "left").select("locus", "kmer", F.coalesce("mask", F.lit(0)).cast("long").alias("out_mask"))
 
 
