@@ -39,8 +39,8 @@ CTE = {
     "seqs": f"SELECT doc_id AS locus, lang AS hap, source AS genome, translate(regexp_replace(text,'[^A-Za-z0-9]','','g'),'{S.LETTERS}','{S.AS_BASES}') AS seq FROM documents WHERE text IS NOT NULL",
     "km": f"SELECT * FROM ({_windows('seqs', K, 'locus, hap, genome, length(seq) AS len')}) WHERE NOT contains(kmer,'N')",
     "counts": f"SELECT locus, {ca('kmer')} AS kmer, count(*) AS cnt FROM km GROUP BY ALL",
-    "both": f"SELECT locus, seq FROM seqs UNION ALL SELECT locus, {rc('seq')} FROM seqs",
-    "gw": f"SELECT * FROM ({_windows('both', K, 'locus, seq')}) WHERE NOT contains(kmer,'N')",
+    "strands": f"SELECT locus, seq FROM seqs UNION ALL SELECT locus, {rc('seq')} FROM seqs",
+    "gw": f"SELECT * FROM ({_windows('strands', K, 'locus, seq')}) WHERE NOT contains(kmer,'N')",
     "gbits": f"SELECT locus, kmer, substr(seq, pos+{K}+1, 1) AS nxt, substr(kmer,2)||substr(seq, pos+{K}+1, 1) AS follows FROM gw",
     "graph": "SELECT locus, kmer, CAST(bit_or(CASE WHEN nxt IN ('A','C','G','T') AND follows<>kmer THEN 1 << CAST(instr('ACGT',nxt)-1 AS INTEGER) ELSE 0 END) AS BIGINT) AS out_mask FROM gbits GROUP BY ALL",
     "region": f"SELECT locus, hap, genome, pos, {ca('kmer')} AS kmer, CASE WHEN pos>={INNER} AND pos<=len-{INNER}-{READ_K} THEN 'tr' WHEN (pos>={INNER}-{OUTER} AND pos<={INNER}-1) OR (pos>=len-{INNER}-{READ_K}+1 AND pos<=len-{INNER}-{READ_K}+{OUTER}) THEN 'fl' END AS kind FROM ({_windows('seqs', READ_K, 'locus, hap, genome, length(seq) AS len')}) WHERE NOT contains(kmer,'N')",
