@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
+from repeatlake.operators import kmers as K
 
 
 def simulate(seqs: DataFrame, fragment: int = 500, read: int = 150, shift: int = 300) -> DataFrame:
@@ -26,8 +27,8 @@ def simulate(seqs: DataFrame, fragment: int = 500, read: int = 150, shift: int =
 def pair_kmers(pairs: DataFrame, k: int) -> DataFrame:
     """``(title, mate, pos, kmer)`` canonical, of both mates; invalid windows are left out."""
     mates = F.array(*(F.struct(F.lit(i).cast("long").alias("mate"), F.col(f"seq{i}").alias("seq")) for i in (1, 2)))
-    rows = pairs.select("title", F.explode(mates).alias("m")).select("title", "m.mate", F.explode(S.windows(F.col("m.seq"), k)).alias("w"))
-    return rows.where(S.is_valid(F.col("w.kmer"))).select("title", "mate", F.col("w.pos").cast("long").alias("pos"), S.canonical(F.col("w.kmer")).alias("kmer"))
+    rows = pairs.select("title", F.explode(mates).alias("m")).select("title", "m.mate", "m.seq")
+    return K.extract(rows, ["title", "mate"], k, canonical=True).withColumn("pos", F.col("pos").cast("long"))
 
 
 def multiplicity(kmers: DataFrame) -> DataFrame:

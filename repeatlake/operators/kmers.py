@@ -7,27 +7,87 @@ aggregates before they are shuffled.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
 
+PIECE = 1 << 17  # windows made at a time
 
-def scan(seqs: DataFrame, k: int, left: int = 0, right: int = 0, keep_invalid: bool = False, *more: str) -> DataFrame:
+
+def extract(rows: DataFrame, keep: list[str], k: int, canonical: bool = False, keep_invalid: bool = False, checked: int | None = None) -> DataFrame:
+    """``(*keep, pos, kmer)`` of every window of ``rows.seq``, in Arrow batches.
+
+    A window costs a row of a byte matrix here, against an interpreted lambda,
+    a substring that walks from the start and two string functions for the other
+    strand in the JVM. ``checked``: how many leading bases have to be valid
+    (default all). Sequences are worked on in pieces, so memory stays bounded.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    must = k if checked is None else checked
+
+    def run(batches):
+        valid = np.zeros(256, np.uint8)
+        valid[[ord(b) for b in S.BASES]] = 1
+        other = np.arange(256, dtype=np.uint8)
+        other[[ord(b) for b in "ACGTacgt"]] = [ord(b) for b in "TGCAtgca"]
+
+        def out(batch, index, positions, words, ok):
+            m = np.concatenate(words)
+            offsets = np.arange(0, (len(m) + 1) * k, k, dtype=np.int32)
+            text = pa.StringArray.from_buffers(len(m), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(m)))
+            if keep_invalid:
+                text = pc.if_else(pa.array(np.concatenate(ok)), text, pa.scalar(None, pa.string()))
+            at = pa.array(np.concatenate(index))
+            columns = [batch.column(i).take(at) for i in range(len(keep))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(positions), pa.int32()), text], names=[*keep, "pos", "kmer"])
+
+        for batch in batches:
+            index, positions, words, oks, held = [], [], [], [], 0
+            for i, seq in enumerate(batch.column(len(keep))):
+                raw = np.frombuffer(seq.as_buffer(), np.uint8) if seq.is_valid and len(seq.as_buffer()) >= k else None
+                for start in range(0, 0 if raw is None else len(raw) - k + 1, PIECE):
+                    part = raw[start : start + PIECE + k - 1]
+                    m = np.lib.stride_tricks.sliding_window_view(part, k)
+                    good = np.concatenate([[0], np.cumsum(valid[part])])
+                    ok = good[must : must + len(m)] - good[: len(m)] == must
+                    pos = np.arange(start, start + len(m))
+                    if not keep_invalid:
+                        m, pos = m[ok], pos[ok]
+                    m = np.ascontiguousarray(m)
+                    if canonical and len(m):
+                        flipped = np.ascontiguousarray(other[m][:, ::-1])
+                        m = np.where((flipped.view(f"S{k}") < m.view(f"S{k}")), flipped, m)
+                    index.append(np.full(len(m), i))
+                    positions.append(pos)
+                    words.append(m)
+                    oks.append(ok)
+                    held += len(m)
+                    if held >= PIECE:
+                        yield out(batch, index, positions, words, oks)
+                        index, positions, words, oks, held = [], [], [], [], 0
+            if held:
+                yield out(batch, index, positions, words, oks)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", pos int, kmer string"
+    return rows.select(*keep, "seq").mapInArrow(run, schema)
+
+
+def scan(seqs: DataFrame, k: int, left: int = 0, right: int = 0, keep_invalid: bool = False, *more: str, canonical: bool = False) -> DataFrame:
     """``(locus, *more, pos, kmer)`` of every window; invalid ones are left out, or null if they are to keep their place."""
-    cut = seqs.select("locus", *more, F.length("seq").alias("__n"), F.explode(S.chunks(F.col("seq"), k)).alias("c")).select("locus", *more, "__n", "c.*")
-    out = cut.select("locus", *more, "__n", "at", F.explode(S.windows(F.col("part"), k)).alias("w"))
-    out = out.select("locus", *more, (F.col("at") + F.col("w.pos")).alias("pos"), F.col("w.kmer").alias("kmer"), "__n")
-    if left or right:
-        out = out.where((F.col("pos") >= left) & (F.col("pos") <= F.col("__n") - right - k))
-    out = out.drop("__n")
-    return out.withColumn("kmer", F.when(S.is_valid(F.col("kmer")), F.col("kmer"))) if keep_invalid else out.where(S.is_valid(F.col("kmer")))
+    if not (left or right):
+        return extract(seqs, ["locus", *more], k, canonical, keep_invalid)
+    out = extract(seqs.withColumn("__n", F.length("seq")), ["locus", *more, "__n"], k, canonical, keep_invalid)
+    return out.where((F.col("pos") >= left) & (F.col("pos") <= F.col("__n") - right - k)).drop("__n")
 
 
 def count(seqs: DataFrame, k: int, counted: bool = True) -> DataFrame:
     """Canonical k-mers of each locus; with ``counted`` false they are listed with 0."""
     n = F.count("*") if counted else F.lit(0).cast("long")
-    return scan(seqs, k).groupBy("locus", S.canonical(F.col("kmer")).alias("kmer")).agg(n.alias("cnt"))
+    return scan(seqs, k, canonical=True).groupBy("locus", "kmer").agg(n.alias("cnt"))
 
 
 def region(pos: Column, length: Column, k: int, inner: int, outer: int) -> Column:
@@ -41,8 +101,8 @@ def region(pos: Column, length: Column, k: int, inner: int, outer: int) -> Colum
 
 def regions(seqs: DataFrame, k: int, inner: int, outer: int, *more: str) -> DataFrame:
     """``(locus, *more, pos, kind, kmer)``, canonical."""
-    rows = scan(seqs.withColumn("length", F.length("seq")), k, 0, 0, False, "length", *more)
-    return rows.select("locus", *more, "pos", region(F.col("pos"), F.col("length"), k, inner, outer).alias("kind"), S.canonical(F.col("kmer")).alias("kmer")).where("kind is not null")
+    rows = scan(seqs.withColumn("length", F.length("seq")), k, 0, 0, False, "length", *more, canonical=True)
+    return rows.select("locus", *more, "pos", region(F.col("pos"), F.col("length"), k, inner, outer).alias("kind"), "kmer").where("kind is not null")
 
 
 def base_bit(base: Column) -> Column:
@@ -53,10 +113,10 @@ def base_bit(base: Column) -> Column:
 def graph(seqs: DataFrame, k: int) -> DataFrame:
     """Nodes of both strands with the bases that follow them; a node that only ever ends has the mask 0."""
     both = seqs.select("locus", F.explode(F.array("seq", S.revcomp(F.col("seq")))).alias("seq"))
-    # windows of one base more, the last of them with the end mark; what makes them invalid may be that base only
-    cut = both.select("locus", F.concat("seq", F.lit(".")).alias("seq"))
-    cut = cut.select("locus", F.explode(S.chunks(F.col("seq"), k + 1)).alias("c")).select("locus", F.explode(S.windows(F.col("c.part"), k + 1)).alias("w"))
-    rows = cut.select("locus", F.substring("w.kmer", 1, k).alias("kmer"), F.substring("w.kmer", k + 1, 1).alias("after")).where(S.is_valid(F.col("kmer")))
+    # windows of one base more, the last of them with an end mark; only what comes before that base has to be valid
+    marked = both.select("locus", F.concat("seq", F.lit(".")).alias("seq"))
+    rows = extract(marked, ["locus"], k + 1, checked=k)
+    rows = rows.select("locus", F.substring("kmer", 1, k).alias("kmer"), F.substring("kmer", k + 1, 1).alias("after"))
     after, follows = F.col("after"), F.concat(F.substring("kmer", 2, k - 1), F.col("after"))
     bit = F.when(S.is_valid(after) & (follows != F.col("kmer")), base_bit(after)).otherwise(0)
     return rows.select("locus", "kmer", bit.alias("bit")).groupBy("locus", "kmer").agg(F.bit_or("bit").cast("long").alias("out_mask"))
@@ -121,8 +181,8 @@ def rank_present(loci: DataFrame, width: int = 4096) -> DataFrame:
 
 def entropy(seqs: DataFrame, k: int) -> DataFrame:
     """Shannon entropy (bits) of each locus' canonical k-mers, their frequencies taken of the sequence's length."""
-    rows = scan(seqs.withColumn("length", F.length("seq")), k, 0, 0, False, "length")
-    seen = rows.groupBy("locus", "length", S.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    rows = scan(seqs.withColumn("length", F.length("seq")), k, 0, 0, False, "length", canonical=True)
+    seen = rows.groupBy("locus", "length", "kmer").agg(F.count("*").alias("n"))
     p = F.col("n") / F.col("length")
     return seen.groupBy("locus").agg((-F.sum(p * F.log2(p))).alias("entropy"))
 

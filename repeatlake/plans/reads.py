@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from repeatlake.functions import sequence as S
 from repeatlake.operators import align, intervals, kmers, loci, predict, profiles
 from repeatlake.plans import tables as T
+from repeatlake.plans.storage import materialize
 from repeatlake.plans.tables import LEAST, READ_K, ca
 
 QUERIES: dict = {}
@@ -85,7 +86,7 @@ def tr_segment(spark, sf):
 
 @query("SELECT st.locus, kmer, count(*) AS cnt FROM st JOIN seg USING (title, mate) WHERE state=2 AND kept GROUP BY ALL")
 def genotype_kmers(spark, sf):
-    states = T.states(spark, sf)
+    states = materialize(T.states(spark, sf), "states")  # read twice
     return align.genotype(states, align.segment(states))
 
 

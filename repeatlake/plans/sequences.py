@@ -98,7 +98,7 @@ def revcomp_numeric(spark, sf):
 
 @query(f"SELECT {ca('kmer')} AS kmer, count(*) AS n FROM km GROUP BY ALL")
 def canonical_kmer(spark, sf):
-    return kmers.scan(T.seqs(spark, sf), K).groupBy(S.canonical(F.col("kmer")).alias("kmer")).agg(F.count("*").alias("n"))
+    return kmers.scan(T.seqs(spark, sf), K, canonical=True).groupBy("kmer").agg(F.count("*").alias("n"))
 
 
 @query("SELECT locus, pos, kmer FROM km")

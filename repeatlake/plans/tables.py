@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
 from repeatlake.operators import align, kmers
+from repeatlake.plans.storage import materialize
 
 K = 11  # of k-mer tables
 READ_K = 21  # of reads and their index
@@ -129,8 +130,11 @@ def assigned(spark, sf) -> DataFrame:
 
 
 def states(spark, sf) -> DataFrame:
-    rows = pk(spark, sf).join(assigned(spark, sf).select("title", "locus"), "title")
-    return align.states(rows, sets(spark, sf))
+    # reads' k-mers and the index are each used twice, by the assignment and by the states
+    reads, indexed = materialize(pk(spark, sf), "reads"), materialize(sets(spark, sf).select("locus", "kmer", "kind").distinct(), "sets")
+    found = align.locus_hits(align.multiplicity(reads), indexed.select("kmer", "locus").distinct())
+    rows = reads.join(align.assign(found, LEAST).select("title", "locus"), "title")
+    return align.states(rows, indexed)
 
 
 def segments(spark, sf) -> DataFrame:

@@ -31,7 +31,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
             for text in batch["value"]:
                 lines = text.replace("\r", "").split("\n")
                 lines = lines[: len(lines) // 4 * 4]
-                yield pd.DataFrame({"title": [x[1:] for x in lines[::4]], "ord": range(len(lines) // 4), "seq": lines[1::4], "qual": lines[3::4]})
+                yield pd.DataFrame({"title": [x[1:] for x in lines[::4]], "ord": range(len(lines) // 4), "seq": lines[1::4], "qual": lines[3::4]}).astype({"title": object, "seq": object, "qual": object})
 
     return spark.read.option("wholetext", True).text(path).mapInPandas(cut, "title string, ord long, seq string, qual string")
 
@@ -85,7 +85,7 @@ def binary_counts(spark: SparkSession, path: str) -> DataFrame:
                 n = int(np.frombuffer(content, "<u8", 1)[0])
                 if len(content) != 8 * (n + 1):
                     raise ValueError(f"{name} holds {len(content) // 8 - 1} counts and says {n}")
-                yield pd.DataFrame({"file": name, "kmer_idx": np.arange(n), "value": np.frombuffer(content, "<u8", n, 8).astype(np.int64)})
+                yield pd.DataFrame({"file": name, "kmer_idx": np.arange(n), "value": np.frombuffer(content, "<u8", n, 8).astype(np.int64)}).astype({"file": object})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cut, "file string, kmer_idx long, value long")
 
