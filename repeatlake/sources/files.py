@@ -33,7 +33,7 @@ def fastq(spark: SparkSession, path: str) -> DataFrame:
                 lines = lines[: len(lines) // 4 * 4]
                 yield pd.DataFrame({"title": [x[1:] for x in lines[::4]], "ord": range(len(lines) // 4), "seq": lines[1::4], "qual": lines[3::4]}).astype({"title": object, "seq": object, "qual": object})
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(cut, "title string, ord long, seq string, qual string")
+    return spark.read.text(path, wholetext=True).mapInPandas(cut, "title string, ord long, seq string, qual string")
 
 
 def kmer_table(spark: SparkSession, path: str, by: str = "order", least: int | None = None) -> DataFrame:
@@ -55,7 +55,7 @@ def kmer_table(spark: SparkSession, path: str, by: str = "order", least: int | N
                         out.append((locus, int(kmer), int(value or 0)))
                 yield pd.DataFrame(out, columns=["locus", "kmer", "value"])
 
-    rows = spark.read.option("wholetext", True).text(path).mapInPandas(cut, "locus int, kmer long, value long")
+    rows = spark.read.text(path, wholetext=True).mapInPandas(cut, "locus int, kmer long, value long")
     return rows if least is None else rows.where(F.col("value") >= least)
 
 
@@ -99,4 +99,4 @@ def ortho_table(spark: SparkSession, path: str) -> DataFrame:
                 cells = [line.split("\t") for line in text.split("\n") if line]
                 yield pd.DataFrame([(i, j, None if c == "." else int(c)) for i, row in enumerate(cells) for j, c in enumerate(row)], columns=["locus", "hap", "ord"]).astype({"ord": "Int64"})
 
-    return spark.read.option("wholetext", True).text(path).mapInPandas(cut, "locus int, hap int, ord long")
+    return spark.read.text(path, wholetext=True).mapInPandas(cut, "locus int, hap int, ord long")

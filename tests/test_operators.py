@@ -129,7 +129,7 @@ def test_files(spark, tmp_path):
     table = files.kmer_table(spark, str(tmp_path / "k.txt"), by="header", least=2)
     assert rows(table) == [(5, 11, 2), (8, 3, 4)]
     files.write_kmer_table(table, str(tmp_path / "out"))
-    assert "".join(r["value"] + "\n" for r in spark.read.option("wholetext", True).text(str(tmp_path / "out")).collect()).split() == [">5", "11", "2", ">8", "3", "4"]
+    assert "".join(r["value"] + "\n" for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()).split() == [">5", "11", "2", ">8", "3", "4"]
     (tmp_path / "o.tsv").write_text("0\t.\n1\t0\n")
     assert set(rows(files.ortho_table(spark, str(tmp_path / "o.tsv")).fillna(-1))) == {(0, 0, 0), (0, 1, -1), (1, 0, 1), (1, 1, 0)}
     import numpy as np
