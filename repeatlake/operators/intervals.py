@@ -110,3 +110,13 @@ def ortho_map(rows: DataFrame) -> DataFrame:
     order = Window.partitionBy("hap").orderBy("locus")
     upto = F.sum(F.col("present").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
     return rows.select("locus", "hap", F.when(F.col("present"), upto).alias("ord"))
+
+
+def merge_quality(merged: DataFrame, parts: DataFrame, most_gap: int, least: int) -> DataFrame:
+    """Merged intervals of ``merged`` that at least ``least`` of ``parts(chrom, start, end)`` support without a gap over ``most_gap``."""
+    inside = overlaps(merged.withColumn("name", F.concat_ws(":", "chrom", "start")), parts.withColumn("name", F.lit("")), 10_000)
+    order = Window.partitionBy("name").orderBy("r_start", "r_end")
+    reach = F.max("r_end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    gap = inside.withColumn("gap", F.coalesce(F.col("r_start") - reach, F.lit(0)))
+    out = gap.groupBy("chrom", "start", "end").agg(F.max("gap").alias("gap"), F.count("*").alias("support"))
+    return out.where((F.col("gap") <= most_gap) & (F.col("support") >= least))

@@ -435,3 +435,30 @@ def bubble_path_features(spark, sf):
     rows = T.edges(spark, sf)
     forward = F.count_if(F.col("edge") == S.canonical(F.col("edge")))
     return rows.groupBy("locus").agg(F.count("*").alias("edges"), F.round(F.avg("cnt"), 6).alias("mean"), F.round(F.stddev_pop("cnt"), 6).alias("sd"), forward.alias("forward"))
+
+
+SPENT = "(SELECT CAST(l_partkey AS BIGINT) AS gene, CAST(l_suppkey AS BIGINT) AS sample, sum(l_quantity) AS y FROM lineitem GROUP BY ALL)"
+
+
+@query(f"SELECT gene, sample, round(y-(regr_intercept(y, depth) OVER w + regr_slope(y, depth) OVER w*depth),6)+0 AS residual FROM {SPENT} JOIN depth USING (sample) WINDOW w AS (PARTITION BY gene) QUALIFY count(*) OVER w > 2 AND stddev_pop(depth) OVER w > 0.001")
+def residualize_expression(spark, sf):
+    """Quantities of each part by supplier, with the depth taken out; parts of at least three suppliers of different depth."""
+    rows = T.table(spark, sf, "lineitem").groupBy(F.col("l_partkey").cast("long").alias("gene"), F.col("l_suppkey").cast("long").alias("sample")).agg(F.sum("l_quantity").alias("y"))
+    depth = T.depth(spark, sf)
+    fit = rows.join(depth, "sample").groupBy("gene").agg(F.count("*").alias("n"), F.stddev_pop("depth").alias("sd")).where("n > 2 and sd > 0.001")
+    out = predict.residualize(rows.join(fit.select("gene"), "gene", "left_semi"), depth, ["depth"])
+    return out.withColumn("residual", F.round("residual", 6) + F.lit(0.0))
+
+
+@query("SELECT sample, locus, round(CASE WHEN locus<1000 THEN value/depth/2 WHEN locus<1500 THEN value/depth/(1+sample%2) ELSE value/depth END,8) AS value FROM (SELECT sample, locus, sum(value) AS value, depth FROM geno JOIN depth USING (sample) GROUP BY ALL)")
+def ploidy_correct(spark, sf):
+    ratio = F.col("kms") / F.col("depth")
+    value = predict.ploidy_correct(ratio, F.col("locus"), 1 + F.col("sample") % 2, 1000, 1500)
+    return _totals(spark, sf).select("sample", "locus", F.round(value, 8).alias("value"))
+
+
+@query(f"WITH m AS ({MERGED}), p AS (SELECT m.chrom, m.start, m.\"end\", b.start AS s, b.\"end\" AS e FROM m JOIN iw b ON b.chrom=m.chrom AND b.start<m.\"end\" AND m.start<b.\"end\"), g AS (SELECT *, coalesce(s-max(e) OVER (PARTITION BY chrom, start ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS gap FROM p) SELECT chrom, start, \"end\", max(gap) AS gap, count(*) AS support FROM g GROUP BY chrom, start, \"end\" HAVING max(gap)<=90 AND count(*)>=2")
+def merged_locus_qc(spark, sf):
+    parts = T.wider(spark, sf).select("chrom", "start", "end")
+    merged = intervals.merge(T.wider(spark, sf), 100).select("chrom", "start", "end")
+    return intervals.merge_quality(merged, parts, 90, 2)
