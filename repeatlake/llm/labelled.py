@@ -13,6 +13,18 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def first_by_hash(rows: DataFrame, limit: int, *columns: str) -> DataFrame:
+    """At most ``limit`` rows, the smallest by a hash of ``columns``, which are to tell rows apart.
+
+    Every task of a top-k sends up to ``limit`` rows to the driver. So rows are
+    first cut at the hash under which twice as many are expected; what reaches
+    the driver does not grow with the number of tasks.
+    """
+    n, h = rows.count(), F.xxhash64(*columns)
+    near = rows if n <= 4 * limit else rows.where(h <= F.lit(int(2**65 * limit / n) - 2**63).cast("long"))
+    return near.orderBy(h, *columns).limit(limit)
+
+
 def sample(rows: DataFrame, label: str, each: int, classes: list | None = None) -> DataFrame:
     """``(doc_id, label)`` of at most ``each`` learnable rows of each label, in the order of a hash of their ids.
 
@@ -23,7 +35,7 @@ def sample(rows: DataFrame, label: str, each: int, classes: list | None = None)
         classes = [r["label"] for r in open_rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]
     picked = None
     for value in classes:
-        some = open_rows.where(F.col("label") == F.lit(value)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(each)
+        some = first_by_hash(open_rows.where(F.col("label") == F.lit(value)), each, "doc_id")
         picked = some if picked is None else picked.unionByName(some)
     return open_rows.limit(0) if picked is None else picked
 
