@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repeatlake.llm.labelled import first_by_hash
 from repeatlake.llm.simhash import forest
 from repeatlake.operators.components import connected_components
 from repeatlake.plans.storage import materialize
@@ -39,6 +40,7 @@ COSINE = 0.95
 SAMPLE = 8192  # vectors that the index is fitted on, at most
 CELLS, CODES = 256, 64  # at most
 REACH = 4.0
+SLACK = 1e-4
 LIST_TILE, QUERY_TILE = 1024, 2048
 
 
@@ -94,10 +96,11 @@ class Index:
         """Index pairs (query, listed) of one cell with a cosine of at least ``cosine``."""
         for at in range(0, len(query), chunk):
             some = query[at : at + chunk]
-            near = np.repeat((some @ self.cells[cell])[:, None], len(codes), axis=1)
+            # rows are listed vectors, so that a look-up copies a whole row of dot products; single precision errs by far less than SLACK
+            near = np.repeat((self.cells[cell] @ some.T).astype(np.float32)[None], len(codes), axis=0)
             for m, (part, book) in enumerate(zip(np.split(some, self.subspaces, axis=1), self.books)):
-                near += (part @ book.T)[:, codes[:, m]]
-            i, j = np.nonzero(near + left >= self.cosine - 1e-9)
+                near += (book @ part.T).astype(np.float32)[codes[:, m]]
+            j, i = np.nonzero(near >= (self.cosine - SLACK - left)[:, None])
             for k in range(0, len(i), 1 << 16):
                 a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
                 ok = np.einsum("ij,ij->i", some[a], listed[b]) >= self.cosine
@@ -122,7 +125,7 @@ def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "emb
 
 def fit(reps: DataFrame, dim: int, cosine: float = COSINE, size: int = SAMPLE) -> Index | None:
     """An index fitted on at most ``size`` distinct vectors, chosen by a hash of their ids."""
-    got = reps.select("rep", "vector").orderBy(F.xxhash64("rep"), "rep").limit(size).select("vector").collect()
+    got = first_by_hash(reps.select("rep", "vector"), size, "rep").collect()
     return Index(_unit(np.array([r["vector"] for r in got], np.float32).reshape(-1, dim)), cosine) if got else None
 
 
