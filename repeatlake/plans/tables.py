@@ -91,9 +91,20 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` of a plain scan dealt to all cores, where the scan has fewer files than there are cores.
+
+    A file may be a single row group, which only one task can read; expanding its
+    rows to windows there would leave the other cores idle. Larger tables are not
+    shuffled: their files already make enough tasks.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores) if len(rows.inputFiles()) < cores else rows
+
+
 def seqs(spark: SparkSession, sf: str) -> DataFrame:
     """``(locus, hap, genome, seq)``."""
-    d = table(spark, sf, "documents").where("text is not null")
+    d = spread(table(spark, sf, "documents").where("text is not null").select("doc_id", "lang", "source", "text"))
     # exploded, so that the sequence is a plain column which no later expression computes again
     seq = F.explode(F.array(S.from_text(F.col("text"))))
     return d.select(F.col("doc_id").alias("locus"), F.col("lang").alias("hap"), F.col("source").alias("genome"), seq.alias("seq"))
