@@ -17,4 +17,27 @@ QUERIES = {
     "op10_bpe_round_trip": bpe.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Links by brute force over all pairs, and components by a closure: for tables of thousands of vectors.
+OP5 = """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+), sound AS MATERIALIZED (
+  SELECT vec_id, e, sqrt(list_sum(list_transform(e, lambda x: x * x))) AS norm FROM vectors
+  WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0
+), pairs AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM sound a JOIN sound b ON a.vec_id < b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= 0.95
+), links AS (
+  SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs
+), reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM vectors UNION SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), components AS (
+  SELECT a AS vec_id, min(b) AS component_id FROM reached GROUP BY a
+), many AS (
+  SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a
+)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM components LEFT JOIN many USING (vec_id)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op5_embedding_near_dedup": OP5}

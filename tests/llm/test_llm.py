@@ -7,7 +7,11 @@ import random
 import unicodedata
 import zlib
 
+import duckdb
 import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 import xxhash
 
@@ -15,7 +19,7 @@ pytest.importorskip("repeatlake.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from repeatlake.llm import bpe, digests, dom, embeddings, extraction, language, packing, scoring, simhash, tokens, toxicity  # noqa: E402
+from repeatlake.llm import bpe, digests, dom, embeddings, entries, extraction, language, packing, scoring, simhash, tokens, toxicity  # noqa: E402
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score string, rank int"  # two names that clash
 ODD = [None, "", " ", "one", "Two words", "İΣας ΣΑΣ ﬁ Å Å", "a\x1cb c　d", "<|endoftext|>x", "tie tie tie tie", "tie tie tie tie", "日本語 😀", "x" * 30000, "word " * 9000]
@@ -292,6 +296,22 @@ def test_embeddings_against_brute_force(spark):
 # Classifiers
 
 
+def test_embeddings_against_sql(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    first = rng.normal(size=(60, 16))
+    near = np.concatenate([first[:30] + rng.normal(scale=s, size=(30, 16)) for s in (0.0, 0.1, 0.3, 0.5)])
+    vectors = [v.astype(np.float32).tolist() for v in np.concatenate([first, near])]
+    vectors += [None, [0.0] * 16, [float("nan")] * 16, [None, *[1.0] * 15]]
+    frame = pa.table({"vec_id": pa.array(rng.permutation(len(vectors))), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0] * len(vectors))})
+    pq.write_table(frame, tmp_path / "embeddings.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = entries.QUERIES["op5_embedding_near_dedup"](spark, str(tmp_path)).toPandas().sort_values("vec_id", ignore_index=True)
+    want = con.sql(entries.ORACLE_SQL["op5_embedding_near_dedup"]).df().sort_values("vec_id", ignore_index=True)
+    assert want["n_links"].max() > 1 and not want["kept"].all()
+    pd.testing.assert_frame_equal(got, want[list(got.columns)], check_dtype=False)
+
+
 def test_language(spark, empty):
     r = random.Random(8)
     sound = {"aa": "bcdfg", "bb": "klmnp", "cc": "rstvz"}
