@@ -248,65 +248,84 @@ def simhash_components(documents: DataFrame, width: int = 3, budget: int = 2, sp
     return joined.select("doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
 
 
-# Wide fingerprints: near-duplicates by similarity rather than by a few bits.
+# Wide fingerprints: candidates for near-duplicates, which the sets of shingles then decide.
 
 WORDS = ["f0", "f1", "f2", "f3"]  # 256 bits
-BLOCK = 8  # bits of a block; two of the four blocks of each 32-bit band make a key
+BANDS, ROWS = 20, 4  # a key for each band of so many minima
+ERRORS = 6  # standard errors between the expected bits of a pair at the threshold and the budget of candidates
 
 
-def wide_fingerprint(text: str, width: int = 5, words: int = len(WORDS)) -> np.ndarray:
-    """SimHash of the set of shingles with ``64 * words`` bits; the further words are mixed from the first hash."""
+def shingle_set(text: str, width: int = 5) -> np.ndarray:
+    """The sorted XXH64 (seed 42) of the different shingles."""
     digest = xxhash.xxh64_intdigest
-    h = np.unique(np.fromiter((digest(s, 42) for s in shingles(text, width)), np.uint64))
+    return np.unique(np.fromiter((digest(s, 42) for s in shingles(text, width)), np.uint64))
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+def wide_fingerprint(h: np.ndarray, words: int = len(WORDS)) -> np.ndarray:
+    """SimHash of a set of shingles with ``64 * words`` bits; the further words are mixed from the first hash."""
     ones = np.zeros((words, 64), np.int64)
     for at in range(0, len(h), CHUNK):
         part = h[at : at + CHUNK]
         for k in range(words):
-            x = part + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
-            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-                x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
-            x ^= x >> np.uint64(31)
+            x = _mixed(part + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64)))
             ones[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits((ones * 2 > len(h)).astype(np.uint8), axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
+FACTORS = _mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
+
+
+def band_keys(h: np.ndarray) -> np.ndarray:
+    """A key of each band of minima: two sets share it with the ROWS-th power of their Jaccard similarity."""
+    if not len(h):
+        return np.zeros(0, np.uint64)
+    least = np.full(len(FACTORS), np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(h), 1024):
+        least = np.minimum(least, (h[at : at + 1024, None] * FACTORS).min(axis=0))
+    key = np.arange(BANDS, dtype=np.uint64)
+    for row in least.reshape(BANDS, ROWS).T:
+        key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + row)
+    return key
+
+
 def wide_fingerprints(documents: DataFrame, width: int = 5, id_column: str = "doc_id") -> DataFrame:
-    """``(doc_id, f0, f1, f2, f3)`` of every document."""
+    """``(doc_id, f0, f1, f2, f3, n, keys)`` of every document; ``n`` is the number of different shingles."""
 
     def make():
         def each(batch: pa.RecordBatch):
-            got = np.array([wide_fingerprint(t, width) for t in texts(batch)], np.uint64).reshape(-1, len(WORDS)).view(np.int64)
-            yield {"doc_id": batch.column(0)} | {w: np.ascontiguousarray(got[:, k]) for k, w in enumerate(WORDS)}
+            sets = [shingle_set(t, width) for t in texts(batch)]
+            got = np.array([wide_fingerprint(h) for h in sets], np.uint64).reshape(-1, len(WORDS)).view(np.int64)
+            keys = [band_keys(h).view(np.int64) for h in sets]
+            yield {"doc_id": batch.column(0)} | {w: np.ascontiguousarray(got[:, k]) for k, w in enumerate(WORDS)} | {"n": [len(h) for h in sets], "keys": keys}
 
         return each
 
-    return map_rows(plain_text(documents, id_column), "doc_id long, f0 long, f1 long, f2 long, f3 long", make)
-
+    return map_rows(plain_text(documents, id_column), "doc_id long, f0 long, f1 long, f2 long, f3 long, n long, keys array<long>", make)
 
-def bit_budget(similarity: float, bits: int = 64 * len(WORDS)) -> int:
-    """Differing bits of two equally large sets whose Jaccard similarity is ``similarity``: the angle of their vectors."""
-    return int(np.floor(bits * np.arccos(2 * similarity / (1 + similarity)) / np.pi + 1e-9)) + 1
 
+def bit_budget(similarity: float, bits: int = 64 * len(WORDS), errors: float = 0) -> int:
+    """Differing bits of two equally large sets whose Jaccard similarity is ``similarity``: the angle of their vectors.
 
-def wide_keys() -> Column:
-    """48 keys: the number of the band and of the choice, and the bits of two of the band's four blocks."""
-    mask, keys = F.lit((1 << BLOCK) - 1).cast("long"), []
-    for band in range(2 * len(WORDS)):
-        word, low = F.col(WORDS[band // 2]), 32 * (band % 2)
-        for number, (i, j) in enumerate(itertools.combinations(range(32 // BLOCK), 2)):
-            a, b = (F.shiftrightunsigned(word, low + BLOCK * x).bitwiseAND(mask) for x in (i, j))
-            keys.append(F.lit((6 * band + number) << 2 * BLOCK).cast("long").bitwiseOR(F.shiftleft(a, BLOCK)).bitwiseOR(b))
-    return F.explode(F.array(*keys))
+    Sets of unequal size differ in fewer. ``errors`` standard errors are added.
+    """
+    p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.floor(bits * p + errors * np.sqrt(bits * p * (1 - p)) + 1e-9)) + 1
 
 
 def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024) -> DataFrame:
-    """``(a, b)`` edges among ``reps(f0..f3, rep)`` that share a key and differ in at most ``budget`` bits.
+    """``(a, b)`` edges among ``reps(f0..f3, rep, keys)`` that share a key and differ in at most ``budget`` bits.
 
     Members of groups over ``split`` make up a pool; the pool is cut into tiles
     by a hash, and every pair of tiles is joined on its own, so all pairs of a
     hot group are compared, once and in groups of bounded size.
     """
-    keyed = reps.select(wide_keys().alias("key"), *WORDS, "rep")
+    keyed = reps.select(F.explode("keys").alias("key"), *WORDS, "rep")
     hot = materialize(keyed.select("key").groupBy("key").count().where(F.col("count") > split).select("key"), "simhash-hot")
 
     def inside(key, fps, rep):
@@ -334,17 +353,68 @@ def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024)
     return cold.unionByName(by_group(tiled, WORDS, across, "side"))
 
 
+def exact_links(documents: DataFrame, groups: DataFrame, width: int, similarity: float, id_column: str = "doc_id", tile: int = 1024) -> DataFrame:
+    """``(a, b)`` edges that connect whatever documents of one of ``groups(node, component)`` have a Jaccard similarity of at least ``similarity``.
+
+    The sets of shingles are compared themselves, all pairs of a group; groups
+    over ``tile`` are cut by a hash, and every pair of tiles is compared on its own.
+    """
+    sizes = groups.groupBy(F.col("component").alias("c")).agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles"))
+    members = materialize(groups.join(sizes, groups["component"] == sizes["c"]).select("node", "component", "tiles"), "simhash-members")
+    rows = plain_text(documents, id_column)
+    rows = rows.join(members, rows["doc_id"] == members["node"]).select("component", "tiles", "node", "text")
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            packed = [shingle_set(t, width).tobytes() for t in texts(batch)]
+            yield {"component": batch.column(0), "tiles": batch.column(1), "rep": batch.column(2), "packed": packed}
+
+        return each
+
+    sets = map_rows(rows, "component long, tiles long, rep long, packed binary", make).where("length(packed) > 0")
+    sets = sets.withColumn("own", F.pmod(F.xxhash64("rep"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    keyed = sets.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), "rep", "packed")
+
+    def compare(group: pa.Table) -> pa.Table:
+        rep, side = group["rep"].to_numpy(), group["side"].to_numpy()
+        sets = [np.frombuffer(p, np.uint64) for p in group["packed"].to_pylist()]
+        many = np.array([len(h) for h in sets])
+        starts = np.cumsum(many) - many
+        words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+        within, held = group["low"][0].as_py() == group["high"][0].as_py(), np.zeros(len(words), np.int64)
+
+        def pairs():
+            for i in range(len(sets)) if within else np.flatnonzero(~side):
+                mine = ids[starts[i] : starts[i] + many[i]]
+                held[mine] = 1
+                both = np.add.reduceat(held[ids], starts)
+                held[mine] = 0
+                near = both / (many[i] + many - both) >= similarity
+                j = np.flatnonzero(near & (np.arange(len(sets)) > i if within else side))
+                yield np.full(len(j), i), j
+
+        return pa.Table.from_batches([_star(rep, pairs())])
+
+    return keyed.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long")
+
+
 def near_groups(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:
     """``(doc_id, component_id)`` of all rows with an id: near-duplicates by the similarity of their sets of shingles.
 
-    The similarity is read off 256-bit fingerprints, whose differing bits tell
-    the angle between two sets; its standard error at 0.8 is about 0.03.
+    Documents that share a key and whose 256-bit fingerprints differ in no more
+    than a generous budget are candidates; inside components of candidates the
+    Jaccard similarity of the sets decides. Sets with so few shingles that one
+    more is too many link with equal ones only, which have the same fingerprint.
     """
     fps = materialize(wide_fingerprints(documents, width, id_column).where("doc_id is not null"), "simhash-wide")
-    reps = materialize(fps.groupBy(*WORDS).agg(F.min("doc_id").alias("rep")), "simhash-reps")
-    found = connected_components(link_wide(reps, bit_budget(similarity)))
+    first = F.min(F.struct("doc_id", "n", "keys"))
+    reps = fps.groupBy(*WORDS).agg(first.alias("first")).select(*WORDS, F.col("first.doc_id").alias("rep"), "first.n", "first.keys")
+    reps = materialize(reps, "simhash-reps")
+    fewest = int(np.ceil(similarity / (1 - similarity) - 1e-9)) if similarity < 1 else 1
+    loose = connected_components(link_wide(reps.where(F.col("n") >= fewest), bit_budget(similarity, errors=ERRORS)))
+    found = connected_components(exact_links(documents, loose, width, similarity, id_column))
     classes = reps.join(found, reps["rep"] == found["node"], "left").select(*WORDS, F.coalesce("component", "rep").alias("component_id"))
-    return fps.join(materialize(classes, "simhash-classes"), WORDS).select("doc_id", "component_id")
+    return fps.select("doc_id", *WORDS).join(materialize(classes, "simhash-classes"), WORDS).select("doc_id", "component_id")
 
 
 def without_near_copies(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:

@@ -118,6 +118,31 @@ def test_near_copies_go_and_others_stay(spark, split, monkeypatch):
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == list(range(60))
 
 
+def test_near_copies_by_exact_similarity(spark):
+    r, texts_ = random.Random(21), []
+    for k in range(120):
+        words = prose(r, r.choice([12, 60, 150, 400]))
+        texts_.append(words)
+        other = list(words)
+        if k % 4 == 0:
+            other += prose(r, r.randint(1, max(1, len(words) // 3)))
+        else:
+            for _ in range(max(1, round(len(words) * r.uniform(0.012, 0.04)))):
+                other[r.randrange(len(other))] = "changed"
+        texts_.append(other)
+    texts_ += [["a", "b", "c", "d", "e", "f", "g", "h"][:n] for n in (6, 7, 8)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts_]
+    likeness = {(i, j): len(a & b) / len(a | b) for (i, a), (j, b) in itertools.combinations(enumerate(sets), 2) if a & b}
+    assert sum(0.7 < x < 0.8 for x in likeness.values()) > 10 and sum(0.8 <= x < 0.9 for x in likeness.values()) > 10
+    root = list(range(len(sets)))
+    for (i, j), x in likeness.items():
+        if x >= 0.8:
+            a, b = root[i], root[j]
+            root = [min(a, b) if y == max(a, b) else y for y in root]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(texts_)], "doc_id long, text string")
+    assert dict(map(tuple, simhash.near_groups(df).collect())) == dict(enumerate(root))
+
+
 def test_stage_edges(odd, empty):
     kept = simhash.without_near_copies(odd)
     ids = [r["doc_id"] for r in kept.collect()]
