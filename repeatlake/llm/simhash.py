@@ -321,12 +321,13 @@ def bit_budget(similarity: float, bits: int = 64 * len(WORDS), errors: float = 0
 def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024) -> DataFrame:
     """``(a, b)`` edges among ``reps(f0..f3, rep, keys)`` that share a key and differ in at most ``budget`` bits.
 
-    Members of groups over ``split`` make up a pool; the pool is cut into tiles
-    by a hash, and every pair of tiles is joined on its own, so all pairs of a
-    hot group are compared, once and in groups of bounded size.
+    Groups over ``split`` are cut into tiles by a hash, and every pair of tiles
+    of a group is joined on its own: work is in pieces of bounded size, and only
+    what shares a key is compared, whatever the sizes of groups.
     """
     keyed = reps.select(F.explode("keys").alias("key"), *WORDS, "rep")
-    hot = materialize(keyed.select("key").groupBy("key").count().where(F.col("count") > split).select("key"), "simhash-hot")
+    large = keyed.select("key").groupBy("key").count().where(F.col("count") > split)
+    hot = materialize(large.select(F.col("key").alias("hot"), F.ceil(F.col("count") / tile).cast("long").alias("tiles")), "simhash-hot")
 
     def inside(key, fps, rep):
         ends = _ranges(key)
@@ -334,19 +335,18 @@ def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024)
 
     if hot.isEmpty():
         return by_group(keyed, WORDS, inside)
-    cold = by_group(keyed.join(hot, "key", "left_anti"), WORDS, inside)
-    pool = materialize(keyed.join(hot, "key", "left_semi").select(*WORDS, "rep").distinct(), "simhash-pool")
-    tiles = max(1, -(-pool.count() // tile))
-    own = F.pmod(F.xxhash64("rep"), F.lit(tiles)).cast("long")
-    tiled = pool.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(tiles - 1).cast("long"))))
-    tiled = tiled.select((F.least("own", "other") * tiles + F.greatest("own", "other")).alias("key"), *WORDS, "rep", (F.col("own") > F.col("other")).cast("long").alias("side"))
+    cold = by_group(keyed.join(hot, keyed["key"] == hot["hot"], "left_anti"), WORDS, inside)
+    pool = keyed.join(hot, keyed["key"] == hot["hot"]).withColumn("own", F.pmod(F.xxhash64("rep"), "tiles"))
+    tiled = pool.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
+    # side: the tile itself, or the larger of two tiles
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
+    tiled = tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *WORDS, "rep", side.alias("side"))
 
     def across(key, fps, rep, side):
         (start, end), pairs = _ranges(key), []
         for s, e in zip(start, end):
             middle = s + int(np.searchsorted(side[s:e], 1))
-            same = key[s] // tiles == key[s] % tiles
-            pairs.append((s, e, s, e) if same else (s, middle, middle, e))
+            pairs.append((s, e, s, e) if side[s] == 2 else (s, middle, middle, e))
         a0, a1, b0, b1 = np.array(pairs, np.int64).T
         return _star(rep, trie_join(fps, (a0, a1), (b0, b1), budget))
 

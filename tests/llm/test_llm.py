@@ -118,6 +118,16 @@ def test_near_copies_go_and_others_stay(spark, split, monkeypatch):
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect()) == list(range(60))
 
 
+def test_only_what_shares_a_key_is_compared(spark):
+    from repeatlake.operators.components import connected_components
+
+    rows = [(0, 0, 0, k, k, [k // 20]) for k in range(60)]
+    reps = spark.createDataFrame(rows, "f0 long, f1 long, f2 long, f3 long, rep long, keys array<long>")
+    for split in (1024, 8):
+        found = dict(map(tuple, connected_components(simhash.link_wide(reps, 70, split, 8)).collect()))
+        assert found == {k: k // 20 * 20 for k in range(60)}
+
+
 def test_near_copies_by_exact_similarity(spark):
     r, texts_ = random.Random(21), []
     for k in range(120):
