@@ -1,16 +1,19 @@
 """Scores of documents by the pseudo-likelihood of a masked language model.
 
 Each token is masked in turn and predicted from the two tokens on either side by
-a window network trained in numpy: the four neighbours' vectors are summed, go
-through tanh, and give the log odds of the token's class; inside a class tokens
-follow their frequencies. The sum of the conditional log-probabilities scores a
-document.
+a window network in numpy: the four neighbours' vectors are summed, go through
+tanh, and give the log odds of the token's class and, inside the class, of the
+token. The sum of the conditional log-probabilities scores a document.
 
 Frequencies are counted over all documents: the frequent words become tokens,
 and all others fall, by a hash of their last letters, into buckets that know how
 often and how many different words fell there, among which a word has an equal
 share. Classes hold tokens of like frequency, about the same share of the corpus
-each. The network is fitted to a bounded sample of documents.
+each. Tokens, buckets and classes grow with the square root of the corpus.
+
+The network starts from a sample and is then trained on every document: each
+task takes its documents in steps from the same start, and the changes are added
+up by executors, in blocks of rows, weighted by how often a row was used.
 
 Cases: null text and text without words have no tokens, the score 0 and a null
 mean. A null ``doc_id`` is scored like any other. Repeated rows are repeated. An
@@ -20,6 +23,7 @@ whole, in pieces of bounded size that overlap by the window.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -34,15 +38,17 @@ from repeatlake.llm.bpe import Memo
 from repeatlake.llm.labelled import LONGEST, first_by_hash
 from repeatlake.plans.storage import materialize
 
-FREQUENT, BUCKETS, CLASSES = 8000, 64, 64
+FREQUENT, BUCKETS, CLASSES = 8000, 64, 64  # at least; FREQUENT may have fewer words to take
 SIDE, HIDDEN = 2, 24
-SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 800, 200_000
+SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 800, 200_000  # of the start only
+STEP = 8192  # tokens of a step over the corpus
+BLOCK = 4096  # rows of weights that are added up at a time
 PIECE = 1 << 14  # tokens worked on at a time
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def bucket(word: str) -> int:
-    return zlib.crc32(word[-3:].encode("utf-8", "replace")) % BUCKETS
+def bucket(word: str, buckets: int = BUCKETS) -> int:
+    return zlib.crc32(word[-3:].encode("utf-8", "replace")) % buckets
 
 
 def word_counts(documents: DataFrame, most: int = 100_000, id_column: str = "doc_id") -> DataFrame:
@@ -66,29 +72,37 @@ def word_counts(documents: DataFrame, most: int = 100_000, id_column: str = "doc
 
 
 class Vocabulary:
-    """Frequent words and buckets of the others, with classes and shares; of bounded size."""
+    """Frequent words and buckets of the others, with classes and shares."""
 
-    def __init__(self, frequent: list[tuple[str, int]], rare: dict[int, tuple[int, int]]):
+    def __init__(self, frequent: list[tuple[str, int]], rare: dict[int, tuple[int, int]], buckets: int = BUCKETS):
         frequent = sorted(frequent, key=lambda x: (-x[1], x[0]))
-        self.ids = {w: k for k, (w, _) in enumerate(frequent)}
-        self.size = len(frequent) + BUCKETS
-        n = np.array([c for _, c in frequent] + [rare.get(b, (0, 0))[0] + 1 for b in range(BUCKETS)], float)
+        self.ids, self.buckets = {w: k for k, (w, _) in enumerate(frequent)}, buckets
+        self.size = len(frequent) + buckets
+        self.kinds = max(CLASSES, math.isqrt(self.size))
+        n = np.array([c for _, c in frequent] + [rare.get(b, (0, 0))[0] + 1 for b in range(buckets)], float)
         order = np.argsort(-n, kind="stable")
         share = np.cumsum(n[order]) / n.sum()
         self.classes = np.empty(self.size, np.int64)
-        self.classes[order] = np.minimum(((share - n[order] / n.sum() / 2) * CLASSES).astype(np.int64), CLASSES - 1)
-        mass = np.bincount(self.classes, n, CLASSES)
-        self.inside = np.log(n / mass[self.classes])
-        kinds = np.array([max(1, rare.get(b, (0, 0))[1]) for b in range(BUCKETS)], float)
-        self.inside[len(frequent) :] -= np.log(kinds)
+        self.classes[order] = np.minimum(((share - n[order] / n.sum() / 2) * self.kinds).astype(np.int64), self.kinds - 1)
+        # a class is a range of places
+        self.place = np.empty(self.size, np.int64)
+        self.place[order] = np.arange(self.size)
+        self.first = np.searchsorted(self.classes[order], np.arange(self.kinds + 1))
+        mass = np.bincount(self.classes, n, self.kinds)
+        self.inside = np.log(n / mass[self.classes])[order].astype(np.float32)
+        self.shared = np.zeros(self.size)
+        self.shared[len(frequent) :] = np.log([max(1, rare.get(b, (0, 0))[1]) for b in range(buckets)])
 
     def token(self, word: str) -> int:
         known = self.ids.get(word)
-        return len(self.ids) + bucket(word) if known is None else known
+        return len(self.ids) + bucket(word, self.buckets) if known is None else known
 
 
-def fit_vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
+def fit_vocabulary(counts: DataFrame, frequent: int | None = None) -> Vocabulary:
     """From the whole table of counts; only the frequent words and one row for each bucket reach the driver."""
+    if frequent is None:
+        frequent = max(FREQUENT, 2 * math.isqrt(counts.agg(F.sum("n")).first()[0] or 0))
+    buckets = max(BUCKETS, frequent * BUCKETS // FREQUENT)
     # cut where a histogram of magnitudes says that enough words are left: a top-k over all words would have each task send `frequent` of them
     size = F.floor(F.log2("n") * 8).cast("int")
     room, least = frequent, 0
@@ -98,25 +112,25 @@ def fit_vocabulary(counts: DataFrame, frequent: int = FREQUENT) -> Vocabulary:
             break
     top = counts.where(size >= least).orderBy(F.desc("n"), "word").limit(frequent)
     known = [(r["word"], r["n"]) for r in top.collect()]
-    ends = F.pmod(F.crc32(F.encode(F.substring("word", -3, 3), "UTF-8")), F.lit(BUCKETS))
+    ends = F.pmod(F.crc32(F.encode(F.substring("word", -3, 3), "UTF-8")), F.lit(buckets))
     less = counts
     if known:
         word, n = min(known, key=lambda x: (x[1], [-ord(c) for c in x[0]]))
         less = counts.where((F.col("n") < n) | (F.col("n") == n) & (F.col("word") > word))
     rare = {r["b"]: (r["n"], r["kinds"]) for r in less.groupBy(ends.cast("int").alias("b")).agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()}
-    return Vocabulary(known, rare)
+    return Vocabulary(known, rare, buckets)
 
 
 class Network:
-    """Classes from the neighbours; the token before the start and after the end is the padding."""
+    """Classes and their tokens from the neighbours; the token before the start and after the end is the padding."""
 
     def __init__(self, words: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.words, self.pad = words, words.size
-        self.tables = [rng.normal(0, 0.1, (words.size + 1, HIDDEN)).astype(np.float32) for _ in range(2 * SIDE)]
-        self.bias = np.zeros(HIDDEN, np.float32)
-        self.out = rng.normal(0, 0.1, (HIDDEN, CLASSES)).astype(np.float32)
-        self.base = np.zeros(CLASSES, np.float32)
+        tables = [rng.normal(0, 0.1, (words.size + 1, HIDDEN)).astype(np.float32) for _ in range(2 * SIDE)]
+        out = rng.normal(0, 0.1, (HIDDEN, words.kinds)).astype(np.float32)
+        # of the neighbours, the hidden layer, the classes, and the tokens by place
+        self.params = [*tables, np.zeros(HIDDEN, np.float32), out, np.zeros(words.kinds, np.float32), np.zeros((words.size, HIDDEN), np.float32)]
 
     def windows(self, padded: np.ndarray) -> list[np.ndarray]:
         """The neighbours of every token of a sequence that has SIDE paddings at either end."""
@@ -124,39 +138,63 @@ class Network:
         return [padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE]
 
     def forward(self, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        hidden = self.bias + self.tables[0][near[0]]
-        for table, ids in zip(self.tables[1:], near[1:]):
+        *tables, bias, out, base, _ = self.params
+        hidden = bias + tables[0][near[0]]
+        for table, ids in zip(tables[1:], near[1:]):
             hidden += table[ids]
         np.tanh(hidden, out=hidden)
-        z = hidden @ self.out + self.base
+        z = hidden @ out + base
         z -= z.max(axis=1, keepdims=True)
         return hidden, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
+    def by_class(self, hidden: np.ndarray, target: np.ndarray):
+        """Of each class among the targets: its range of places, its rows, their tokens within it, and the log-probabilities."""
+        kind, place, first, own = self.words.classes[target], self.words.place[target], self.words.first, self.params[-1]
+        order = np.argsort(kind, kind="stable")
+        cuts = np.flatnonzero(np.diff(kind[order], prepend=-1))
+        for rows in np.split(order, cuts[1:]) if len(order) else ():
+            lo, hi = first[kind[rows[0]]], first[kind[rows[0]] + 1]
+            z = hidden[rows] @ own[lo:hi].T + self.words.inside[lo:hi]
+            z -= z.max(axis=1, keepdims=True)
+            yield lo, hi, rows, place[rows] - lo, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+
+    def squares(self) -> list[np.ndarray]:
+        return [np.full(p.shape[:1] if k < 2 * SIDE or k == len(self.params) - 1 else p.shape, 1e-3, np.float32) for k, p in enumerate(self.params)]
+
+    def step(self, ids: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
+        """One step of Adagrad on the cross-entropy of classes and of tokens inside them."""
+        hidden, logs = self.forward(list(ids))
+        err = np.exp(logs)
+        err[np.arange(len(target)), self.words.classes[target]] -= 1
+        err /= len(target)
+        back, own = err @ self.params[2 * SIDE + 1].T, self.params[-1]
+        for lo, hi, rows, at, inner in self.by_class(hidden, target):
+            e = np.exp(inner)
+            e[np.arange(len(rows)), at] -= 1
+            e /= len(target)
+            back[rows] += e @ own[lo:hi]
+            grad = e.T @ hidden[rows]
+            squares[-1][lo:hi] += (grad**2).mean(axis=1)
+            own[lo:hi] -= rate * grad / np.sqrt(squares[-1][lo:hi])[:, None]
+        back *= 1 - hidden**2
+        for k, grad in ((2 * SIDE, back.sum(axis=0)), (2 * SIDE + 1, hidden.T @ err), (2 * SIDE + 2, err.sum(axis=0))):
+            squares[k] += grad**2
+            self.params[k] -= rate * grad / np.sqrt(squares[k])
+        for k in range(2 * SIDE):
+            order = np.argsort(ids[k], kind="stable")
+            starts = np.flatnonzero(np.diff(ids[k][order], prepend=-1))
+            rows, grad = ids[k][order[starts]], np.add.reduceat(back[order], starts)
+            squares[k][rows] += (grad**2).mean(axis=1)
+            self.params[k][rows] -= rate * grad / np.sqrt(squares[k][rows])[:, None]
+
     def fit(self, padded: np.ndarray, epochs: int = 2, batch: int = 2048, rate: float = 0.15, seed: int = 6) -> None:
-        """Adagrad on the cross-entropy of classes."""
-        rng = np.random.default_rng(seed)
-        near = np.stack(self.windows(padded))
-        target = padded[SIDE : len(padded) - SIDE]
+        """Steps over one sequence, shuffled."""
+        rng, squares = np.random.default_rng(seed), self.squares()
+        near, target = np.stack(self.windows(padded)), padded[SIDE : len(padded) - SIDE]
         real = np.flatnonzero(target != self.pad)
-        params = [*self.tables, self.bias, self.out, self.base]
-        squares = [np.full(p.shape[:1] if k < 2 * SIDE else p.shape, 1e-3, np.float32) for k, p in enumerate(params)]
         for _ in range(epochs):
             for some in np.array_split(rng.permutation(real), max(1, len(real) // batch)):
-                ids, goal = near[:, some], self.words.classes[target[some]]
-                hidden, logs = self.forward(list(ids))
-                err = np.exp(logs)
-                err[np.arange(len(some)), goal] -= 1
-                err /= len(some)
-                back = (err @ self.out.T) * (1 - hidden**2)
-                for k, grad in ((2 * SIDE, back.sum(axis=0)), (2 * SIDE + 1, hidden.T @ err), (2 * SIDE + 2, err.sum(axis=0))):
-                    squares[k] += grad**2
-                    params[k] -= rate * grad / np.sqrt(squares[k])
-                for k in range(2 * SIDE):
-                    rows, at = np.unique(ids[k], return_inverse=True)
-                    grad = np.zeros((len(rows), HIDDEN), np.float32)
-                    np.add.at(grad, at, back)
-                    squares[k][rows] += (grad**2).mean(axis=1)
-                    self.tables[k][rows] -= rate * grad / np.sqrt(squares[k][rows])[:, None]
+                self.step(near[:, some], target[some], squares, rate)
 
     def logs(self, padded: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every token of a padded sequence."""
@@ -165,10 +203,13 @@ class Network:
         for at in range(0, n, PIECE):
             part = padded[at : min(at + PIECE, n) + 2 * SIDE]
             target = part[SIDE : len(part) - SIDE]
-            _, logs = self.forward(self.windows(part))
-            known = np.minimum(target, self.pad - 1)
-            got = logs[np.arange(len(target)), self.words.classes[known]] + self.words.inside[known]
-            out.append(np.where(target == self.pad, 0.0, got))
+            real = np.flatnonzero(target != self.pad)
+            goal, got = target[real], np.zeros(len(target))
+            hidden, logs = self.forward([w[real] for w in self.windows(part)])
+            got[real] = logs[np.arange(len(real)), self.words.classes[goal]] - self.words.shared[goal]
+            for _, _, rows, k, inner in self.by_class(hidden, goal):
+                got[real[rows]] += inner[np.arange(len(rows)), k]
+            out.append(got)
         return np.concatenate(out) if out else np.zeros(0)
 
 
@@ -185,58 +226,137 @@ def joined(sequences: list[np.ndarray], pad: int) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(parts), np.array(starts, np.int64)
 
 
-def train(documents: DataFrame, counts: DataFrame | None = None, id_column: str = "doc_id") -> Network:
-    """A network over the vocabulary of all documents, fitted to SAMPLE_DOCUMENTS of them chosen by a hash."""
-    table = materialize(counts if counts is not None else word_counts(documents, id_column=id_column), "lm-counts")
-    model = Network(fit_vocabulary(table))
-    short = plain_text(documents, id_column).where((F.length("text") > 0) & (F.length("text") <= LONGEST))
-    picked = first_by_hash(short, SAMPLE_DOCUMENTS, "doc_id", "text")
-    sequences = [np.array([model.words.token(w) for w in WORD.findall(r["text"].lower())], np.int64) for r in picked.collect()]
-    padded, _ = joined([s for s in sequences if len(s)], model.pad)
-    if (padded != model.pad).any():
-        model.fit(padded[:SAMPLE_TOKENS])
+def encoded(documents: DataFrame, words: Vocabulary, id_column: str = "doc_id") -> DataFrame:
+    """``(doc_id, ids)``: the tokens of every document."""
+    shared = documents.sparkSession.sparkContext.broadcast(words)
+
+    def make():
+        memo = Memo(shared.value.token)
+
+        def each(batch: pa.RecordBatch):
+            yield {"doc_id": batch.column(0), "ids": [np.array([memo[w] for w in WORD.findall(t.lower())], np.int32) for t in texts(batch)]}
+
+        return each
+
+    return map_rows(plain_text(documents, id_column), "doc_id long, ids array<int>", make)
+
+
+def pieces(batches, room: int):
+    """``(batch, rows, their token ids)``, of about ``room`` tokens at a time."""
+    for batch in batches:
+        column, at, held, size = batch.column(1), [], [], 0
+        for k in range(len(batch)):
+            ids = column[k].values.to_numpy().astype(np.int64)
+            if len(ids):
+                at.append(k)
+                held.append(ids)
+                size += len(ids)
+            if size >= room:
+                yield batch, at, held
+                at, held, size = [], [], 0
+        yield batch, at, held
+
+
+def train_everywhere(tokens: DataFrame, start: Network, rate: float = 0.05) -> Network:
+    """``start`` after every document of ``tokens``: tasks step through their documents, the weighted mean of their changes is added."""
+    context = tokens.sparkSession.sparkContext
+    shared = context.broadcast(start)
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        own = Network.__new__(Network)
+        own.words, own.pad, own.params = shared.value.words, shared.value.pad, [p.copy() for p in shared.value.params]
+        squares, rng = own.squares(), np.random.default_rng(TaskContext.get().partitionId())
+        used = [np.zeros(len(p)) for p in own.params]
+        for _, _, held in pieces(batches, 8 * STEP):
+            padded, _ = joined(held, own.pad)
+            target = padded[SIDE : len(padded) - SIDE]
+            real = rng.permutation(np.flatnonzero(target != own.pad)) if held else ()
+            if not len(real):
+                continue
+            near = np.stack(own.windows(padded))
+            for some in np.array_split(real, max(1, len(real) // STEP)):
+                own.step(near[:, some], target[some], squares, rate)
+            for k in range(2 * SIDE):
+                used[k] += np.bincount(near[k][real], minlength=own.pad + 1)
+            for k in range(2 * SIDE, 2 * SIDE + 3):
+                used[k] += len(real)
+            many = np.bincount(own.words.classes[target[real]], minlength=own.words.kinds)
+            used[-1] += np.repeat(many, np.diff(own.words.first))
+        shard = TaskContext.get().partitionId()
+        for k, (p, old, n) in enumerate(zip(own.params, shared.value.params, used)):
+            for at in range(0, len(p) if used[2 * SIDE][0] else 0, BLOCK):
+                some, change = n[at : at + BLOCK], (p - old)[at : at + BLOCK]
+                row = [[k], [at], [shard], [some.tobytes()], [change.astype(np.float32).tobytes()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(row, (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()))], names=["param", "at", "shard", "used", "change"])
+
+    def mean(key, parts):
+        total, change = 0.0, 0.0
+        for part in sorted((r for b in parts for r in b.to_pylist()), key=lambda r: r["shard"]):
+            n = np.frombuffer(part["used"])
+            total = total + n
+            change = change + n[:, None] * np.frombuffer(part["change"], np.float32).reshape(len(n), -1)
+        change = (change / np.maximum(total, 1)[:, None]).astype(np.float32)
+        yield pa.RecordBatch.from_arrays([pa.array([k.as_py()], pa.int32()) for k in key] + [pa.array([change.tobytes()], pa.binary())], names=["param", "at", "change"])
+
+    def add(key: tuple, group: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(list(mean(key, group.to_batches())))
+
+    # a shard for each core and few more: what is added up is so many times the weights, whatever the table's size
+    changes = tokens.coalesce(4 * context.defaultParallelism).mapInArrow(run, "param int, at int, shard int, used binary, change binary")
+    model = Network.__new__(Network)
+    model.words, model.pad, model.params = start.words, start.pad, [p.copy() for p in start.params]
+    for r in changes.groupBy("param", "at").applyInArrow(add, "param int, at int, change binary").collect():
+        rows = model.params[r["param"]][r["at"] : r["at"] + BLOCK]
+        rows += np.frombuffer(r["change"], np.float32).reshape(rows.shape)
     return model
 
 
-def scores(documents: DataFrame, model: Network, id_column: str = "doc_id") -> DataFrame:
-    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+def trained(documents: DataFrame, counts: DataFrame | None = None, id_column: str = "doc_id") -> tuple[Network, DataFrame]:
+    """A network over the vocabulary of all documents, trained on all of them, and their tokens."""
+    table = materialize(counts if counts is not None else word_counts(documents, id_column=id_column), "lm-counts")
+    start = Network(fit_vocabulary(table))
+    tokens = materialize(encoded(documents, start.words, id_column), "lm-tokens")
+    picked = first_by_hash(tokens.where((F.size("ids") > 0) & (F.size("ids") <= LONGEST)), SAMPLE_DOCUMENTS, "doc_id", "ids")
+    padded, _ = joined([np.array(r["ids"], np.int64) for r in picked.collect()], start.pad)
+    if (padded != start.pad).any():
+        start.fit(padded[:SAMPLE_TOKENS])
+    return train_everywhere(tokens, start), tokens
+
+
+def train(documents: DataFrame, counts: DataFrame | None = None, id_column: str = "doc_id") -> Network:
+    return trained(documents, counts, id_column)[0]
+
+
+def token_scores(tokens: DataFrame, model: Network) -> DataFrame:
+    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of every row of ``tokens(doc_id, ids)``."""
+    shared = tokens.sparkSession.sparkContext.broadcast(model)
 
     def make():
         net = shared.value
-        memo = Memo(net.words.token)
 
         def each(batch: pa.RecordBatch):
-            total, many, held, at, room = np.zeros(len(batch)), np.zeros(len(batch), np.int64), [], [], 0
-
-            def work():
+            total, many = np.zeros(len(batch)), np.zeros(len(batch), np.int64)
+            for _, at, held in pieces([batch], 4 * PIECE):
                 padded, starts = joined(held, net.pad)
                 logs = net.logs(padded)
                 for k, s, ids in zip(at, starts, held):
-                    total[k] = logs[s : s + len(ids)].sum()
-                held.clear()
-                at.clear()
-
-            for k, text in enumerate(texts(batch)):
-                ids = np.array([memo[w] for w in WORD.findall(text.lower())], np.int64)
-                many[k] = len(ids)
-                if len(ids):
-                    held.append(ids)
-                    at.append(k)
-                    room += len(ids)
-                if room >= 4 * PIECE:
-                    work()
-                    room = 0
-            work()
+                    many[k], total[k] = len(ids), logs[s : s + len(ids)].sum()
             mean = pa.array(np.divide(total, np.maximum(many, 1)), mask=many == 0)
             yield {"doc_id": batch.column(0), "n_tokens": many, "log_prob": total, "mean_log_prob": mean}
 
         return each
 
-    return map_rows(plain_text(documents, id_column), "doc_id long, n_tokens long, log_prob double, mean_log_prob double", make)
+    return map_rows(tokens, "doc_id long, n_tokens long, log_prob double, mean_log_prob double", make)
+
+
+def scores(documents: DataFrame, model: Network, id_column: str = "doc_id") -> DataFrame:
+    """``(doc_id, n_tokens, log_prob, mean_log_prob)`` of every document."""
+    return token_scores(encoded(documents, model.words, id_column), model)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     """``op4``: the pseudo-likelihood of every document."""
-    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return scores(documents, train(documents))
+    model, tokens = trained(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return token_scores(tokens, model)

@@ -387,6 +387,26 @@ def test_toxicity(spark, empty):
     assert toxicity.without_toxic(empty, model).count() == 0
 
 
+def test_language_model_learns_from_every_document(spark):
+    """Words of one class are told apart by neighbours that no sampled document has."""
+    r, rows = random.Random(11), []
+    for i in range(1600):
+        a = [f"{w}{chr(97 + r.randrange(6))}" for w in ("left", "low") for _ in range(20)]
+        rows.append((i, " ".join(w for x in a for w in (x, ("hot" if x[:2] == "le" else "ice") + x[-1]))))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = scoring.train(df)
+    swapped = [(i, t.replace("hot", "#").replace("ice", "hot").replace("#", "ice")) for i, t in rows[:20]]
+    got, bad = ({x["doc_id"]: x["mean_log_prob"] for x in table(scoring.scores(spark.createDataFrame(d, "doc_id long, text string"), model))} for d in (rows[:20], swapped))
+    assert all(bad[i] < got[i] - 0.3 for i in range(20))
+    start = scoring.Network(model.words)
+    one, other = (scoring.train_everywhere(scoring.encoded(d, model.words), start) for d in (df.where("doc_id < 800"), df))
+    assert any((a != b).any() for a, b in zip(one.params, other.params))
+    assert scoring.fit_vocabulary(spark.range(30000).selectExpr("concat('w', id) word", "100000 n")).size > scoring.FREQUENT + scoring.BUCKETS
+    inner = [scoring.Network.by_class(model, model.forward([np.array([k]) for k in near])[0], np.array([0])) for near in ((0, 1, 2, 3), (3, 2, 1, 0))]
+    (*_, a), (*_, b) = (next(x) for x in inner)
+    assert a.shape == b.shape and abs(np.exp(a).sum() - 1) < 1e-4
+
+
 def test_language_model_learns_its_neighbours(spark, odd, empty):
     r = random.Random(10)
     pairs = {f"left{chr(97 + i)}": f"right{chr(97 + (i * 7) % 26)}" for i in range(26)}
