@@ -96,6 +96,27 @@ def revcomp_numeric(spark, sf):
     return _first(spark, sf).select("locus", S.revcomp_code(S.encode(F.col("kmer")), K).alias("code"))
 
 
+def _distinct(spark, sf):
+    return kmers.scan(T.seqs(spark, sf), K).select("kmer").distinct()
+
+
+@query(f"SELECT kmer, {CODE} AS code FROM (SELECT DISTINCT kmer FROM km)")
+def encode_kmers_all(spark, sf):
+    """The codes of all k-mers of whole sequences."""
+    return _distinct(spark, sf).select("kmer", S.encode(F.col("kmer")).alias("code"))
+
+
+@query(f"SELECT {CODE} AS code, kmer FROM (SELECT DISTINCT kmer FROM km)")
+def decode_kmers_all(spark, sf):
+    coded = _distinct(spark, sf).select(S.encode(F.col("kmer")).alias("code"))
+    return coded.select("code", S.decode(F.col("code"), K).alias("kmer"))
+
+
+@query(f"SELECT kmer AS of, {CODE.replace('kmer', 'other')} AS code FROM (SELECT DISTINCT kmer, {rc('kmer')} AS other FROM km)")
+def revcomp_numeric_all(spark, sf):
+    return _distinct(spark, sf).select(F.col("kmer").alias("of"), S.revcomp_code(S.encode(F.col("kmer")), K).alias("code"))
+
+
 @query(f"SELECT {ca('kmer')} AS kmer, count(*) AS n FROM km GROUP BY ALL")
 def canonical_kmer(spark, sf):
     return kmers.scan(T.seqs(spark, sf), K, canonical=True).groupBy("kmer").agg(F.count("*").alias("n"))

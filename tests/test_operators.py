@@ -25,6 +25,20 @@ def test_codes_round_trip(spark):
     assert df.select(S.encode(F.lit("ACNT")).alias("c")).first()["c"] is None
 
 
+def test_codes_of_whole_sequences(spark, small):
+    from repeatlake.plans import sequences, tables
+
+    path, _ = small
+    want = set()
+    for (seq,) in tables.seqs(spark, path).select("seq").collect():
+        want |= {seq[i : i + tables.K] for i in range(len(seq) - tables.K + 1) if "N" not in seq[i : i + tables.K]}
+    code = lambda w: int(w.translate(str.maketrans("ACGT", "0123")), 4)
+    other = lambda w: w[::-1].translate(str.maketrans("ACGT", "TGCA"))
+    assert rows(sequences.QUERIES["encode_kmers_all"](spark, path)) == sorted((w, code(w)) for w in want)
+    assert rows(sequences.QUERIES["decode_kmers_all"](spark, path)) == sorted((code(w), w) for w in want)
+    assert rows(sequences.QUERIES["revcomp_numeric_all"](spark, path)) == sorted((w, code(other(w))) for w in want)
+
+
 def test_windows_are_case_sensitive_and_whole(spark):
     seq = "".join(random.Random(1).choice("ACGT") for _ in range(1000))
     df = spark.createDataFrame([(1, seq), (2, "ACgTACGT"), (3, "AC")], "locus int, seq string")
