@@ -76,6 +76,23 @@ def extract(rows: DataFrame, keep: list[str], k: int, canonical: bool = False, k
     return rows.select(*keep, "seq").mapInArrow(run, schema)
 
 
+def run_lengths(seqs: DataFrame) -> DataFrame:
+    """``(locus, rle)``: run-length text of whole sequences, in Arrow batches; the work grows with the sequence, not with its square."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for seq in batch.column(1):
+                raw = np.frombuffer(seq.as_buffer(), np.uint8) if seq.is_valid else np.zeros(0, np.uint8)
+                starts = np.flatnonzero(np.concatenate([[True], raw[1:] != raw[:-1]])) if len(raw) else np.zeros(0, np.int64)
+                many = np.diff(starts, append=len(raw)).tolist()
+                out.append("".join(f"{n}{chr(c)}" for n, c in zip(many, raw[starts].tolist())) if seq.is_valid else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], names=["locus", "rle"])
+
+    kind = seqs.schema["locus"].dataType.simpleString()
+    return seqs.select("locus", "seq").mapInArrow(run, f"locus {kind}, rle string")
+
+
 def scan(seqs: DataFrame, k: int, left: int = 0, right: int = 0, keep_invalid: bool = False, *more: str, canonical: bool = False) -> DataFrame:
     """``(locus, *more, pos, kmer)`` of every window; invalid ones are left out, or null if they are to keep their place."""
     if not (left or right):

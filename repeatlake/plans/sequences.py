@@ -177,6 +177,12 @@ def rle_annotation(spark, sf):
     return rows.select("locus", S.run_lengths(F.col("s")).alias("rle"))
 
 
+@query("WITH ch AS (SELECT locus, i, substr(seq, CAST(i AS BIGINT), 1) AS c FROM seqs, unnest(range(1, length(seq)+1)) AS t(i)), g AS (SELECT *, i - row_number() OVER (PARTITION BY locus, c ORDER BY i) AS grp FROM ch), r AS (SELECT locus, c, min(i) AS s, count(*) AS n FROM g GROUP BY locus, c, grp) SELECT locus, string_agg(n||c, '' ORDER BY s) AS rle FROM r GROUP BY locus")
+def rle_annotation_all(spark, sf):
+    """Runs of equal bases of whole sequences."""
+    return kmers.run_lengths(T.seqs(spark, sf).where("length(seq) > 0"))
+
+
 @query(f"SELECT locus, round(-sum(n/len*log2(n/len)),6) AS entropy FROM (SELECT locus, len, {ca('kmer')} AS kmer, CAST(count(*) AS DOUBLE) AS n FROM km GROUP BY ALL) GROUP BY locus")
 def kmer_entropy(spark, sf):
     return kmers.entropy(T.seqs(spark, sf), K).withColumn("entropy", F.round("entropy", 6))

@@ -39,6 +39,19 @@ def test_codes_of_whole_sequences(spark, small):
     assert rows(sequences.QUERIES["revcomp_numeric_all"](spark, path)) == sorted((w, code(other(w))) for w in want)
 
 
+def test_run_lengths_of_whole_sequences(spark, small):
+    import itertools
+
+    from repeatlake.plans import sequences, tables
+
+    path, _ = small
+    brute = lambda s: "".join(f"{len(list(g))}{c}" for c, g in itertools.groupby(s))
+    want = {r["locus"]: brute(r["seq"]) for r in tables.seqs(spark, path).collect() if r["seq"]}
+    assert dict(map(tuple, sequences.QUERIES["rle_annotation_all"](spark, path).collect())) == want
+    df = spark.createDataFrame([(1, "A" * 70000 + "CCN"), (2, ""), (3, None)], "locus long, seq string")
+    assert rows(kmers.run_lengths(df.where("locus < 3"))) == [(1, "70000A2C1N"), (2, "")]
+
+
 def test_windows_are_case_sensitive_and_whole(spark):
     seq = "".join(random.Random(1).choice("ACGT") for _ in range(1000))
     df = spark.createDataFrame([(1, seq), (2, "ACgTACGT"), (3, "AC")], "locus int, seq string")
