@@ -16,8 +16,10 @@ them are cut into tiles by hashes, and a task works on one pair of tiles at a
 time, so a hot cell is spread over many tasks. From a tile come the number of
 links of each query and a spanning forest of the links, never all pairs.
 
-Cases: vectors that are null, zero or of another length than most, or hold null
-or non-finite components, link with nothing and stay. A null ``vec_id`` takes no
+Vectors of one length are compared with each other; each length has its own index.
+
+Cases: vectors that are null or zero, or hold null or non-finite components, link
+with nothing and stay. A null ``vec_id`` takes no
 part and has no component. Repeated rows link with each other. An empty table
 gives an empty result. Other columns are ignored.
 """
@@ -111,16 +113,16 @@ def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
 
 
-def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, int]:
-    """All rows with what they link by, the distinct vectors ``(rep, many, vector)``, and their length."""
+def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, list[int]]:
+    """All rows with what they link by, the distinct vectors ``(rep, many, vector)``, and their lengths."""
     rows = embeddings.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
     fine = F.col("vector").isNotNull() & F.col("vec_id").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     fine = F.coalesce(fine & F.exists("vector", lambda x: x != 0), F.lit(False))
-    lengths = rows.where(fine).groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
-    dim = lengths[0]["n"] if lengths else 0
-    rows = rows.withColumn("vector", F.when(fine & (F.size("vector") == dim), F.col("vector")))
+    rows = rows.withColumn("vector", F.when(fine, F.col("vector")))
     reps = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
-    return rows, materialize(reps, "pq-entries"), dim
+    reps = materialize(reps, "pq-entries")
+    lengths = reps.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()
+    return rows, reps, [r["n"] for r in lengths]
 
 
 def fit(reps: DataFrame, dim: int, cosine: float = COSINE, size: int = SAMPLE) -> Index | None:
@@ -211,13 +213,16 @@ def links(reps: DataFrame, index: Index) -> DataFrame:
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
-    rows, reps, dim = entries(embeddings, id_column, vector)
-    index = fit(reps, dim, cosine)
-    empty = F.lit(None).cast("long")
-    if index is None:
+    rows, reps, lengths = entries(embeddings, id_column, vector)
+    found, empty = None, F.lit(None).cast("long")
+    for dim in lengths:
+        alike = reps.where(F.size("vector") == dim) if len(lengths) > 1 else reps
+        some = links(alike, fit(alike, dim, cosine))
+        found = some if found is None else found.unionByName(some)
+    if found is None:
         classes = reps.select(F.col("vector").alias("v"), F.col("rep").alias("component"), F.lit(0).cast("long").alias("links"))
     else:
-        found = materialize(links(reps, index), "pq-links")
+        found = materialize(found, "pq-links")
         groups = connected_components(found.where("b is not null"))
         total = found.where("b is null").groupBy(F.col("a").alias("t")).agg(F.sum("n").alias("links"))
         joined = reps.join(groups, reps["rep"] == groups["node"], "left").join(total, F.col("rep") == F.col("t"), "left")

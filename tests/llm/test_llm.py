@@ -331,6 +331,12 @@ def test_embeddings_against_brute_force(spark):
 # Classifiers
 
 
+def test_embeddings_of_every_length_link(spark):
+    rows = [(i, [1.0, 0.0, float(i)]) for i in range(6)] + [(10, [1.0, 2.0]), (11, [1.0, 2.0]), (12, [1.0, 2.01]), (13, [2.0, -1.0]), (20, [3.0])]
+    got = {x["vec_id"]: (x["n_links"], x["component_id"]) for x in table(embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")))}
+    assert [got[i] for i in (10, 11, 12, 13, 20)] == [(2, 10), (2, 10), (2, 10), (0, 13), (0, 20)]
+
+
 def test_embeddings_against_sql(spark, tmp_path):
     rng = np.random.default_rng(5)
     first = rng.normal(size=(60, 16))
