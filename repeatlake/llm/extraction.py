@@ -11,7 +11,8 @@ programming. So no part of a menu inside the article survives, and no paragraph
 is main text without its ancestors agreeing.
 
 The text is what is left in page order: character references decoded, white
-space inside a block made one space, blocks trimmed and joined by a newline.
+space inside a block made one space, blocks trimmed and joined by two newlines.
+References are decoded in each run of text before inline elements are joined.
 
 Training pages come from a seeded generator of this module, not from the table.
 
@@ -23,6 +24,7 @@ result.
 
 from __future__ import annotations
 
+import html
 import random
 import re
 
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repeatlake.llm.arrow import map_rows
-from repeatlake.llm.dom import BLOCK, RAW, Node, parse, tidy
+from repeatlake.llm.dom import BLOCK, RAW, Node, fold, parse, tidy
 
 #: Tokens of class, id and role that hint at main text, and at what is around it.
 GOOD = frozenset("article articles body content contents entry main page post story text prose news blog hentry maincontent".split())
@@ -43,6 +45,7 @@ SKIP = RAW | {"head", "svg", "select", "option", "datalist", "object", "canvas",
 TAGS = ["article", "main", "section", "div", "p", "h1", "h2 h3 h4 h5 h6", "ul ol dl menu", "li dt dd", "nav", "header", "footer", "aside", "form fieldset button label input textarea", "table tbody tr", "td th", "blockquote pre figure figcaption", "#root html body", "a", "span b i em strong u small font"]
 TAG_NUMBER = {t: k for k, group in enumerate(TAGS) for t in group.split()}
 TOKENS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+TOGETHER = 20_000  # elements whose features are held at a time
 MOVE = 1.0  # cost of entering or leaving the main text, in log odds
 
 
@@ -136,14 +139,14 @@ class Page:
         return state == 1
 
     def text(self, main: np.ndarray) -> str:
-        """The main text's blocks, one to a line."""
+        """The main text's blocks with an empty line between them."""
         number = {id(node): k for k, node in enumerate(self.nodes)}
         blocks: list[str] = []
         run: list[str] = []
 
         def end() -> None:
             if run:
-                if block := tidy("".join(run)):
+                if block := fold("".join(run)):
                     blocks.append(block)
                 run.clear()
 
@@ -154,7 +157,7 @@ class Page:
                 end()
             elif isinstance(x, tuple):
                 if main[x[1]]:
-                    run.append(x[0])
+                    run.append(html.unescape(x[0]))
             elif id(x) in number:
                 me, block = number[id(x)], x.tag in BLOCK
                 if x.tag == "br":
@@ -165,7 +168,7 @@ class Page:
                     stack.append(None)
                 stack.extend((p, me) if isinstance(p, str) else p for p in reversed(x.parts))
         end()
-        return "\n".join(blocks)
+        return "\n\n".join(blocks)
 
 
 class Boosted:
@@ -319,13 +322,21 @@ def main_texts(pages: DataFrame, model: Boosted | None = None) -> DataFrame:
     """``(page_id, url, text, n_chars)`` of every page."""
     trained = model or train()
 
+    def texts_of(read: list[Page]) -> list[str]:
+        sizes = np.cumsum([0, *(len(p.nodes) for p in read)])
+        odds = trained.odds(np.concatenate([p.features for p in read]))
+        return [p.text(p.decode(odds[a:b])) if any(p.own) else "" for p, a, b in zip(read, sizes, sizes[1:])]
+
     def make():
         def each(batch: pa.RecordBatch):
-            read = [Page(p.as_py()) for p in batch.column(2)]
-            sizes = np.cumsum([0, *(len(p.nodes) for p in read)])
-            odds = trained.odds(np.concatenate([p.features for p in read])) if read else None
-            found = [p.text(p.decode(odds[a:b])) if any(p.own) else "" for p, a, b in zip(read, sizes, sizes[1:])]
-            yield {"page_id": batch.column(0), "url": batch.column(1), "text": found, "n_chars": [len(t) for t in found]}
+            read, size, start = [], 0, 0
+            for k, value in enumerate(batch.column(2)):
+                read.append(Page(value.as_py()))
+                size += len(read[-1].nodes)
+                if size >= TOGETHER or k == len(batch) - 1:
+                    found = texts_of(read)
+                    yield {"page_id": batch.column(0)[start : k + 1], "url": batch.column(1)[start : k + 1], "text": found, "n_chars": [len(t) for t in found]}
+                    read, size, start = [], 0, k + 1
 
         return each
 

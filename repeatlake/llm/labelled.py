@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-LONGEST = 50_000  # code points; longer documents are scored but not sampled for training
+from repeatlake.plans.storage import materialize
+
+#: A sample's bounds, the only ones that classifiers are fitted under: its documents over all labels, and their code points.
+DOCUMENTS, CODE_POINTS = 24_000, 32_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -25,23 +28,38 @@ def first_by_hash(rows: DataFrame, limit: int, *columns: str) -> DataFrame:
     return near.orderBy(h, *columns).limit(limit)
 
 
-def sample(rows: DataFrame, label: str, each: int, classes: list | None = None) -> DataFrame:
-    """``(doc_id, label)`` of at most ``each`` learnable rows of each label, in the order of a hash of their ids.
+def sample(rows: DataFrame, label: str, each: int) -> DataFrame:
+    """``(doc_id, label, h)`` of about ``each`` learnable ids of each label, in the order ``h`` of a hash of their ids.
+
+    ``rows`` has ``doc_id`` and ``label``. However many labels there are, all are
+    in it, each with fewer ids if there are more than ``DOCUMENTS // each``. An
+    id with several labels has the least of them. One pass counts, one picks:
+    rows over the hash under which twice as many are expected are left out
+    before anything is grouped.
+    """
+    rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.select("doc_id", F.col(label).alias("label"), F.xxhash64("doc_id").alias("h"))
+    sizes = materialize(rows.groupBy("label").agg(F.approx_count_distinct("doc_id").alias("n")), "label-sizes")
+    room = max(1, min(each, DOCUMENTS // max(1, sizes.count())))
+    cut = F.least(F.lit(1.0), (2.0 * room + 40.0) / F.col("n")) * F.lit(2.0**64) - F.lit(2.0**63)
+    near = rows.join(sizes.select(F.col("label").alias("of"), cut.alias("cut")), (F.col("label") == F.col("of")) & (F.col("h").cast("double") <= F.col("cut")))
+    one = near.groupBy("doc_id", "h").agg(F.min("label").alias("label"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy("h", "doc_id"))
+    return one.withColumn("place", place).where(F.col("place") <= room).drop("place")
+
+
+def labelled_texts(documents: DataFrame, rows: DataFrame, label: str, each: int) -> list[tuple[str, object]]:
+    """``(text, label)`` of a sample, in the order of a hash of ids, on the driver.
 
-    Labels are at most 64: their number bounds the sample. ``rows`` has ``doc_id`` and ``label``.
+    Texts are whole. Of each label documents are taken until their code points
+    reach its share of CODE_POINTS, at least one. Rows of one id are one
+    document: the text that sorts first.
     """
-    open_rows = rows.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col(label).alias("label"))
-    if classes is None:
-        classes = [r["label"] for r in open_rows.groupBy("label").count().orderBy(F.desc("count"), "label").limit(64).collect()]
-    picked = None
-    for value in classes:
-        some = first_by_hash(open_rows.where(F.col("label") == F.lit(value)), each, "doc_id")
-        picked = some if picked is None else picked.unionByName(some)
-    return open_rows.limit(0) if picked is None else picked
-
-
-def sampled_texts(documents: DataFrame, picked: DataFrame) -> list[tuple[str, object]]:
-    """``(text, label)`` of the picked ids, on the driver: bounded by the sample's size and LONGEST."""
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= LONGEST))
-    rows = texts.join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id").select("doc_id", "text", "label")
-    return [(r["text"], r["label"]) for r in sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"]))]
+    picked = materialize(sample(rows, label, each), "label-picked")
+    many = max(1, picked.select("label").distinct().count())
+    texts = documents.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    texts = texts.groupBy("doc_id", "h", "label").agg(F.min("text").alias("text"))
+    before = Window.partitionBy("label").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("before", F.coalesce(F.sum(F.length("text").cast("long")).over(before), F.lit(0)))
+    got = texts.where(F.col("before") < CODE_POINTS // many).select("h", "text", "label").collect()
+    return [(r["text"], r["label"]) for r in sorted(got, key=lambda r: (r["h"], r["text"]))]

@@ -8,8 +8,9 @@ through a word, so the sums compare. The language with the largest sum wins;
 the score is its share when the mean evidence of a word is taken ``EVIDENCE``
 times.
 
-Trained on at most ``EACH`` documents of each language, chosen by a hash of
-their ids; every text is scored whole.
+Learned from the bounded sample of :mod:`repeatlake.llm.labelled`, at most
+``EACH`` documents of each language, chosen by a hash of their ids; every text
+is scored whole.
 
 Cases: null text and text without letters are ``und`` with score 0. Ties go to
 the language that sorts first. A null ``doc_id`` is scored and not held out.
@@ -21,6 +22,8 @@ from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -30,15 +33,30 @@ from pyspark.sql import functions as F
 
 from repeatlake.llm.arrow import map_rows, plain_text, texts
 from repeatlake.llm.bpe import Memo
-from repeatlake.llm.labelled import held_out, sample, sampled_texts
+from repeatlake.llm.labelled import held_out, labelled_texts
 
 EACH = 1500  # documents sampled of each language
-WORDS, GRAMS = 30_000, 12_000  # kept of each language, and of each language and length
 LONGEST_GRAM = 5
 EVIDENCE = 8.0
 LEAST = 0.5  # under it no language has most of the evidence
 UNKNOWN = "und"
-WORD = re.compile(r"[^\W\d_]+")
+
+
+def _ranges(kinds: str) -> str:
+    """A character class of all code points whose Unicode category begins with one of ``kinds``."""
+    out, start = [], None
+    for point in range(sys.maxunicode + 2):
+        inside = point <= sys.maxunicode and unicodedata.category(chr(point))[0] in kinds
+        if inside and start is None:
+            start = point
+        elif not inside and start is not None:
+            out.append(f"{re.escape(chr(start))}-{re.escape(chr(point - 1))}")
+            start = None
+    return "".join(out)
+
+
+#: Words begin with a letter (not with what merely counts as a word character, such as a superscript) and hold letters and marks.
+WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
 
 
 class Model:
@@ -52,16 +70,16 @@ class Model:
         grams = [{y: Counter() for y in self.langs} for _ in range(LONGEST_GRAM + 1)]
         for y, seen in words.items():
             for word, n in seen.items():
-                marked = f" {word[:40]} "
+                marked = f" {word} "
                 for size in range(1, LONGEST_GRAM + 1):
                     into = grams[size][y]
                     for k in range(len(marked) - size + 1):
                         into[marked[k : k + size]] += n
-        self.words = self._logs(words, WORDS, 2)
-        self.grams = [self._logs(g, GRAMS, 3) if k else {} for k, g in enumerate(grams)]
+        self.words = self._logs(words, 2)
+        self.grams = [self._logs(g, 3) if k else {} for k, g in enumerate(grams)]
 
-    def _logs(self, counts: dict[str, Counter], most: int, least: int) -> dict[str, tuple]:
-        kept = {w for c in counts.values() for w, n in c.most_common(most) if n >= least}
+    def _logs(self, counts: dict[str, Counter], least: int) -> dict[str, tuple]:
+        kept = {w for c in counts.values() for w, n in c.items() if n >= least}  # rarer ones say too little
         total = {y: sum(c.values()) + 0.5 * len(kept) + 1 for y, c in counts.items()}
         return {w: tuple(math.log((counts[y][w] + 0.5) / total[y]) for y in self.langs) for w in kept}
 
@@ -97,7 +115,7 @@ class Model:
 
 def fit(documents: DataFrame, each: int = EACH) -> Model:
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"))
-    return Model(sampled_texts(plain_text(documents), sample(docs, "lang", each)))
+    return Model(labelled_texts(plain_text(documents), docs, "lang", each))
 
 
 def predictions(documents: DataFrame, model: Model, id_column: str = "doc_id") -> DataFrame:

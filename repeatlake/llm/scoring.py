@@ -11,9 +11,13 @@ often and how many different words fell there, among which a word has an equal
 share. Classes hold tokens of like frequency, about the same share of the corpus
 each. Tokens, buckets and classes grow with the square root of the corpus.
 
-The network starts from a sample and is then trained on every document: each
-task takes its documents in steps from the same start, and the changes are added
-up by executors, in blocks of rows, weighted by how often a row was used.
+The network starts from whole documents of a small sample and is then trained on
+every document in ``ROUNDS`` rounds, as masked language
+models are: in each round a random tenth of the tokens is masked, other tokens in
+other rounds, and predicted from whatever stands around them. A task takes its
+documents in steps from the network of the round before, and the changes are
+added up by executors, in blocks of rows, weighted by how often a row was used.
+Vocabulary, classes, training tokens and time grow with the corpus.
 
 Cases: null text and text without words have no tokens, the score 0 and a null
 mean. A null ``doc_id`` is scored like any other. Repeated rows are repeated. An
@@ -30,18 +34,19 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlake.llm.arrow import map_rows, plain_text, texts
 from repeatlake.llm.bpe import Memo
-from repeatlake.llm.labelled import LONGEST, first_by_hash
+from repeatlake.llm.labelled import first_by_hash
 from repeatlake.plans.storage import materialize
 
 FREQUENT, BUCKETS, CLASSES = 8000, 64, 64  # at least; FREQUENT may have fewer words to take
 SIDE, HIDDEN = 2, 24
-SAMPLE_DOCUMENTS, SAMPLE_TOKENS = 800, 200_000  # of the start only
-STEP = 8192  # tokens of a step over the corpus
+START_DOCUMENTS, START_TOKENS = 800, 200_000  # what the start is fitted to
+ROUNDS, MASKED = 2, 0.1  # and the share of tokens masked in a round
+STEP = 4096  # masked tokens of a step over the corpus
 BLOCK = 4096  # rows of weights that are added up at a time
 PIECE = 1 << 14  # tokens worked on at a time
 WORD = re.compile(r"[^\W\d_]+")
@@ -121,6 +126,12 @@ def fit_vocabulary(counts: DataFrame, frequent: int | None = None) -> Vocabulary
     return Vocabulary(known, rare, buckets)
 
 
+def _norm(z: np.ndarray) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials."""
+    top = z.max(axis=1, keepdims=True)
+    return np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
+
+
 class Network:
     """Classes and their tokens from the neighbours; the token before the start and after the end is the padding."""
 
@@ -137,39 +148,38 @@ class Network:
         n = len(padded) - 2 * SIDE
         return [padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE]
 
-    def forward(self, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    def forward(self, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hidden layer, the log odds of classes, and the logarithms of their sums."""
         *tables, bias, out, base, _ = self.params
         hidden = bias + tables[0][near[0]]
         for table, ids in zip(tables[1:], near[1:]):
             hidden += table[ids]
         np.tanh(hidden, out=hidden)
         z = hidden @ out + base
-        z -= z.max(axis=1, keepdims=True)
-        return hidden, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return hidden, z, _norm(z)
 
     def by_class(self, hidden: np.ndarray, target: np.ndarray):
-        """Of each class among the targets: its range of places, its rows, their tokens within it, and the log-probabilities."""
+        """Of each class among the targets: its range of places, its rows, their tokens within it, log odds and the logarithms of their sums."""
         kind, place, first, own = self.words.classes[target], self.words.place[target], self.words.first, self.params[-1]
         order = np.argsort(kind, kind="stable")
         cuts = np.flatnonzero(np.diff(kind[order], prepend=-1))
         for rows in np.split(order, cuts[1:]) if len(order) else ():
             lo, hi = first[kind[rows[0]]], first[kind[rows[0]] + 1]
             z = hidden[rows] @ own[lo:hi].T + self.words.inside[lo:hi]
-            z -= z.max(axis=1, keepdims=True)
-            yield lo, hi, rows, place[rows] - lo, z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+            yield lo, hi, rows, place[rows] - lo, z, _norm(z)
 
     def squares(self) -> list[np.ndarray]:
         return [np.full(p.shape[:1] if k < 2 * SIDE or k == len(self.params) - 1 else p.shape, 1e-3, np.float32) for k, p in enumerate(self.params)]
 
     def step(self, ids: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """One step of Adagrad on the cross-entropy of classes and of tokens inside them."""
-        hidden, logs = self.forward(list(ids))
-        err = np.exp(logs)
+        hidden, err, norm = self.forward(list(ids))
+        err = np.exp(err - norm[:, None])
         err[np.arange(len(target)), self.words.classes[target]] -= 1
         err /= len(target)
         back, own = err @ self.params[2 * SIDE + 1].T, self.params[-1]
-        for lo, hi, rows, at, inner in self.by_class(hidden, target):
-            e = np.exp(inner)
+        for lo, hi, rows, at, z, norm in self.by_class(hidden, target):
+            e = np.exp(z - norm[:, None])
             e[np.arange(len(rows)), at] -= 1
             e /= len(target)
             back[rows] += e @ own[lo:hi]
@@ -188,7 +198,7 @@ class Network:
             self.params[k][rows] -= rate * grad / np.sqrt(squares[k][rows])[:, None]
 
     def fit(self, padded: np.ndarray, epochs: int = 2, batch: int = 2048, rate: float = 0.15, seed: int = 6) -> None:
-        """Steps over one sequence, shuffled."""
+        """Steps over all tokens of one sequence, shuffled."""
         rng, squares = np.random.default_rng(seed), self.squares()
         near, target = np.stack(self.windows(padded)), padded[SIDE : len(padded) - SIDE]
         real = np.flatnonzero(target != self.pad)
@@ -205,10 +215,10 @@ class Network:
             target = part[SIDE : len(part) - SIDE]
             real = np.flatnonzero(target != self.pad)
             goal, got = target[real], np.zeros(len(target))
-            hidden, logs = self.forward([w[real] for w in self.windows(part)])
-            got[real] = logs[np.arange(len(real)), self.words.classes[goal]] - self.words.shared[goal]
-            for _, _, rows, k, inner in self.by_class(hidden, goal):
-                got[real[rows]] += inner[np.arange(len(rows)), k]
+            hidden, z, norm = self.forward([w[real] for w in self.windows(part)])
+            got[real] = z[np.arange(len(real)), self.words.classes[goal]] - norm - self.words.shared[goal]
+            for _, _, rows, k, z, norm in self.by_class(hidden, goal):
+                got[real[rows]] += z[np.arange(len(rows)), k] - norm
             out.append(got)
         return np.concatenate(out) if out else np.zeros(0)
 
@@ -257,8 +267,8 @@ def pieces(batches, room: int):
         yield batch, at, held
 
 
-def train_everywhere(tokens: DataFrame, start: Network, rate: float = 0.05) -> Network:
-    """``start`` after every document of ``tokens``: tasks step through their documents, the weighted mean of their changes is added."""
+def train_round(tokens: DataFrame, start: Network, number: int, rate: float = 0.05) -> Network:
+    """``start`` after a round over every document of ``tokens``: tasks step through their documents, the weighted mean of their changes is added."""
     context = tokens.sparkSession.sparkContext
     shared = context.broadcast(start)
 
@@ -269,10 +279,14 @@ def train_everywhere(tokens: DataFrame, start: Network, rate: float = 0.05) -> N
         own.words, own.pad, own.params = shared.value.words, shared.value.pad, [p.copy() for p in shared.value.params]
         squares, rng = own.squares(), np.random.default_rng(TaskContext.get().partitionId())
         used = [np.zeros(len(p)) for p in own.params]
-        for _, _, held in pieces(batches, 8 * STEP):
+        for _, _, held in pieces(batches, 8 * int(STEP / MASKED)):
+            if not held:
+                continue
             padded, _ = joined(held, own.pad)
             target = padded[SIDE : len(padded) - SIDE]
-            real = rng.permutation(np.flatnonzero(target != own.pad)) if held else ()
+            # the same draw in every round, of which each round masks its own part
+            drawn = rng.random(len(target))
+            real = rng.permutation(np.flatnonzero((target != own.pad) & (drawn >= number * MASKED) & (drawn < (number + 1) * MASKED)))
             if not len(real):
                 continue
             near = np.stack(own.windows(padded))
@@ -318,11 +332,16 @@ def trained(documents: DataFrame, counts: DataFrame | None = None, id_column: st
     table = materialize(counts if counts is not None else word_counts(documents, id_column=id_column), "lm-counts")
     start = Network(fit_vocabulary(table))
     tokens = materialize(encoded(documents, start.words, id_column), "lm-tokens")
-    picked = first_by_hash(tokens.where((F.size("ids") > 0) & (F.size("ids") <= LONGEST)), SAMPLE_DOCUMENTS, "doc_id", "ids")
-    padded, _ = joined([np.array(r["ids"], np.int64) for r in picked.collect()], start.pad)
+    picked = first_by_hash(tokens.where(F.size("ids") > 0), START_DOCUMENTS, "doc_id", "ids").withColumn("h", F.xxhash64("doc_id", "ids"))
+    before = Window.orderBy("h").rowsBetween(Window.unboundedPreceding, -1)  # of START_DOCUMENTS rows
+    picked = picked.withColumn("before", F.coalesce(F.sum(F.size("ids").cast("long")).over(before), F.lit(0))).where(F.col("before") < START_TOKENS)
+    padded, _ = joined([np.array(r["ids"], np.int64) for r in picked.orderBy("h").collect()], start.pad)
     if (padded != start.pad).any():
-        start.fit(padded[:SAMPLE_TOKENS])
-    return train_everywhere(tokens, start), tokens
+        start.fit(padded)
+    model = start
+    for number in range(ROUNDS):
+        model = train_round(tokens, model, number)
+    return model, tokens
 
 
 def train(documents: DataFrame, counts: DataFrame | None = None, id_column: str = "doc_id") -> Network:

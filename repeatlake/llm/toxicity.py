@@ -1,23 +1,27 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from training text: one of what is
-frequent in ordinary documents, and one that has the same content after the
-segments that toxic documents hold far oftener than ordinary ones, in many
-different contexts (copies of one document do not count as many). The shared
-part lies at the same distance from the text in both, so ordinary text
-compresses to the same length with either. Windows are single words in a fixed
-frame that both dictionaries know: without it so short a window would be
-stored as it is. The gain of a window is the share of its word's compressed
-bytes, the frame's taken off, that the toxic dictionary saves. The gains of a document's windows over a calibrated threshold give its
-features, and a logistic curve fitted to other training documents turns them
-into a score. Windows are remembered in a bounded memo, so a repeated word is
-compressed once.
-
-The training sample is bounded by ``EACH`` documents of either label; every
-text is scored whole.
+Two zstandard dictionaries are trained, one on running text of ordinary and one
+on that of toxic documents. What the toxic dictionary holds is mostly ordinary
+prose too; so it is cut into word beginnings, words and runs of up to three words,
+and what different windows of ordinary training text hold about as often is taken
+out of it. What is left stands before the ordinary dictionary's content, whose distance from the
+text is the same in both: text that toxic documents do not own then compresses to
+the same length with either.
+
+Windows are runs of ``WIDE`` words that overlap. The few that the toxic
+dictionary shortens at all are looked into: each run of one to three words in
+them is compressed in a fixed frame that both dictionaries know, for so short a
+text would be stored as it is. The share of its bytes that the toxic dictionary
+saves is its gain, and a run is a hit if it gains at least the threshold that is
+calibrated for its width. Hits are a document's features, and a logistic curve
+fitted to training documents that no dictionary has seen turns them into a
+score. Windows are remembered in a bounded memo.
+
+Learned from the bounded sample of :mod:`repeatlake.llm.labelled`; every text is
+scored whole.
 
 Cases: null, empty and very short texts get the score of a document without
-gains. A null ``doc_id`` is scored and not held out. Repeated rows are repeated.
+hits. A null ``doc_id`` is scored and not held out. Repeated rows are repeated.
 Without labels of both kinds all scores are 0. An empty table gives an empty
 result. Other columns are ignored.
 """
@@ -25,9 +29,8 @@ result. Other columns are ignored.
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import zstandard
@@ -36,117 +39,156 @@ from pyspark.sql import functions as F
 
 from repeatlake.llm.arrow import map_rows, plain_text, texts
 from repeatlake.llm.bpe import Memo
-from repeatlake.llm.labelled import held_out, sample, sampled_texts
+from repeatlake.llm.labelled import held_out, labelled_texts
 
 EACH = 2500  # documents sampled of each label
 THRESHOLD = 0.3
-SHARED_BYTES, TOXIC_BYTES = 16_000, 6_000
-FRAME = 48  # bytes of the shared content before and after a window
-LEVEL = 6  # the first that finds matches of five bytes reliably
-EDGES = re.compile(r"^\W+|\W+$")
-
-
-def _segments(ranked: list[str], limit: int) -> bytes:
-    """Words with spaces around them, the last the most useful: nearest to the text and cheapest to refer to."""
-    out, size = [], 0
-    for word in ranked:
-        raw = word.encode()
-        if len(raw) > 64:
-            continue
-        size += len(raw) + 1
-        if size > limit:
-            break
-        out.append(raw)
-    return b" " + b" ".join(reversed(out)) + b" "
+ORDINARY_BYTES, TOXIC_BYTES = 32_000, 32_000  # of the trained dictionaries
+LEVEL = 5
+WIDE, STEP = 20, 17  # words of a window, and from one to the next
+CONTEXT = 4  # words of a training window
+RUNS = (1, 2, 3)  # words of what is looked into
+STEMS = range(4, 9)  # letters of word beginnings
+WEIGHT = 5.0  # of an ordinary document hit against a toxic one missed
+FRAME = 48  # bytes of ordinary content before and after a run
+ODDS = 3.0  # least log odds of what stays in the toxic dictionary
+LEAST = 0.0004  # and the least share of the different toxic windows that hold it
+REPEATS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"  # ends the header of a trained dictionary
+
+
+def windows(text: str, wide: int, step: int) -> list[str]:
+    words = text.lower().split()
+    return [" ".join(words[k : k + wide]) + " " for k in range(0, max(1, len(words) - wide + step), step)] if words else []
+
+
+def _encoded(text: str) -> bytes:
+    return text.encode("utf-8", "replace")
+
+
+def trained(samples: list[str], size: int, segment: int) -> bytes:
+    """What a dictionary trained on ``samples`` holds; of too little text for training all of it."""
+    raw = [_encoded(s) for s in samples]
+    try:
+        made = zstandard.train_dictionary(size, raw, k=segment, d=6, level=LEVEL).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(raw)[-size:]
+    return made[made.find(REPEATS) + len(REPEATS) :]
+
+
+def cleansed(content: bytes, toxic: list[str], ordinary: list[str]) -> bytes:
+    """What toxic windows hold far oftener than ordinary ones of a toxic dictionary's word beginnings, words and runs of words; the commonest last."""
+    words = content.decode("utf-8", "ignore").split()
+    runs = {" ".join(["", *words[k : k + n]]) for n in RUNS for k in range(len(words) - n + 1)}
+    runs = sorted(runs | {f" {w[:n]}" for w in words for n in STEMS})
+    find = ahocorasick.Automaton()
+    for k, run in enumerate(runs):
+        if len(run.encode()) >= 5:
+            find.add_word(run, k)
+    if not len(find):
+        return b""
+    find.make_automaton()
+    seen = np.zeros((2, len(runs)))
+    for side, some in enumerate((ordinary, toxic)):
+        for window in some:
+            for k in {k for _, k in find.iter(f" {window}")}:
+                seen[side, k] += 1
+    odds = np.log((seen[1] + 0.3) / (len(toxic) + 1)) - np.log((seen[0] + 0.3) / (len(ordinary) + 1))
+    kept: list[str] = []
+    for k in sorted(np.flatnonzero((odds > ODDS) & (seen[1] >= max(3, LEAST * len(toxic)))), key=lambda k: (-seen[1, k], -len(runs[k]), runs[k])):
+        # a run is said already by what it begins with, and a beginning by the word that nearly all of its windows hold
+        if not any(runs[k].startswith(x) or x.startswith(runs[k]) for x in kept):
+            kept.append(runs[k])
+    return b"".join(_encoded(x) for x in reversed(kept)) + b" "
 
 
 class Detector:
-    """What training found: both dictionaries, the window threshold and the curve. Small, and shipped to every task."""
+    """What training found: both dictionaries, the thresholds and the curve. Small, and shipped to every task."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes, threshold: float, weights: list[float]):
-        self.ordinary, self.toxic, self.threshold, self.weights = ordinary, toxic, threshold, weights
+    def __init__(self, ordinary: bytes, toxic: bytes):
+        self.frame = ordinary[-FRAME:] + b" ", b" " + ordinary[-8 * FRAME : -7 * FRAME]
+        self.ordinary, self.toxic = bytes(len(toxic)) + ordinary, toxic + ordinary
+        self.thresholds, self.weights = [0.5] * len(RUNS), [0.0] * (3 * len(RUNS) + 2)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
-    def _gain(self, word: str) -> float:
-        window = self._before + EDGES.sub("", word.lower()).encode("utf-8", "replace") + self._after
+    def _ready(self) -> None:
+        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.ordinary, self.toxic)]
+        for d in made:
+            d.precompute_compress(level=LEVEL)
+        self._pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False).compress for d in made]
+        before, after = self.frame
+        self._least = len(self._pair[0](before + after))
+        self._memo = Memo(self._look)
+
+    def _look(self, window: str) -> tuple:
+        """Of a window ``(width, gain)`` of each run in it that gains; none if the window itself gains nothing."""
         a, b = self._pair
-        plain = len(a(window))
-        return (plain - len(b(window))) / max(1, plain - self._least)
-
-    def gains(self, text: str) -> np.ndarray:
-        """Of each word's window the share that the toxic dictionary saves."""
+        raw = _encoded(window)
+        if len(a(raw)) <= len(b(raw)):
+            return ()
+        words, out, (before, after) = window.split(), [], self.frame
+        for n in RUNS:
+            for k in range(len(words) - n + 1):
+                run = before + _encoded(" ".join(words[k : k + n])) + after
+                plain = len(a(run))
+                saved = plain - len(b(run))
+                if saved > 0:
+                    out.append((n, saved / max(1, plain - self._least)))
+        return tuple(out)
+
+    def gains(self, text: str) -> tuple[np.ndarray, int]:
+        """``(width, gain)`` of the runs that gain, and how many windows there are."""
         if not hasattr(self, "_pair"):
-            made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.ordinary, self.toxic)]
-            for d in made:
-                d.precompute_compress(level=LEVEL)
-            self._pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d).compress for d in made]
-            self._before, self._after = self.ordinary[-FRAME:], b" " + self.ordinary[-8 * FRAME : -7 * FRAME]
-            self._least = len(self._pair[0](self._before + self._after))
-            self._memo = Memo(self._gain)
-        words = text.split()
-        return np.fromiter(map(self._memo.__getitem__, words), np.float64, len(words))
-
-    def features(self, gains: np.ndarray) -> np.ndarray:
-        over = gains[gains >= self.threshold]
-        if not len(gains):
-            return np.zeros(4)
-        return np.array([1.0 if len(over) else 0.0, math.log1p(len(over)), math.log1p(float(over.sum())), len(over) / len(gains)])
+            self._ready()
+        some = windows(text, WIDE, STEP)
+        return np.array([g for w in some for g in self._memo[w]], float).reshape(-1, 2), len(some)
+
+    def features(self, gains: np.ndarray, many: int) -> np.ndarray:
+        of_width = [gains[gains[:, 0] == n, 1] for n in RUNS]
+        hits = [int((g >= at).sum()) for g, at in zip(of_width, self.thresholds)]
+        return np.array([x for g, h in zip(of_width, hits) for x in (float(h > 0), math.log1p(h), g.max(initial=0.0))] + [max(hits) / max(1, many)])
 
     def score(self, text: str) -> float:
-        z = self.weights[0] + float(self.features(self.gains(text)) @ np.array(self.weights[1:]))
+        z = self.weights[0] + float(self.features(*self.gains(text)) @ np.array(self.weights[1:]))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
+    """Weights of a logistic curve by Newton steps with a small ridge; the first is the constant."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    w, ridge = np.zeros(x.shape[1]), np.r_[1e-6, np.full(x.shape[1] - 1, 0.5)]
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        w -= np.clip(np.linalg.solve(hess, x.T @ (p - y) + ridge * w), -4, 4)
+    return w.tolist()
+
+
 def train(rows: list[tuple[str, int]]) -> Detector | None:
-    """Dictionaries from the even rows' texts of either label, threshold and curve from the odd ones."""
+    """Dictionaries from the even rows' texts of either label, thresholds and curve from the odd ones."""
     if len({int(y) for _, y in rows}) < 2:
         return None
     fit, check = rows[::2], rows[1::2]
     if len({int(y) for _, y in fit}) < 2 or len({int(y) for _, y in check}) < 2:
         fit = check = rows
-    contexts, total, use = [{}, {}], [0, 0], Counter()
-    for text, y in fit:
-        words = [EDGES.sub("", w) for w in text.lower().split()]
-        total[int(y)] += 1
-        into = contexts[int(y)]
-        for before, word in zip(["", *words], words):
-            if word:
-                into.setdefault(word, set()).add(before)
-        if not y:
-            use.update(w for w in words if w)
-    many = [sum(map(len, c.values())) + 1 for c in contexts]
-    odds = {w: math.log((len(c) + 0.3) / many[1]) - math.log((len(contexts[0].get(w, ())) + 0.3) / many[0]) for w, c in contexts[1].items()}
-    least = max(3, 0.015 * total[1])  # of a few occurrences by chance nothing can be said
-    toxic = [w for w, o in odds.items() if o > 3.0 and len(w) > 2 and len(contexts[1][w]) >= least]
-    toxic.sort(key=lambda w: (-len(contexts[1][w]) * odds[w], w))
-    shared = _segments([w for w, _ in sorted(use.items(), key=lambda x: (-x[1] * len(x[0]), x[0]))], SHARED_BYTES)
-    special = _segments(toxic, TOXIC_BYTES)
-    model = Detector(bytes(len(special)) + shared, special + shared, 0.5, [0.0] * 5)
-    gained = [(model.gains(t), int(y)) for t, y in check]
-
-    def separated(at: float) -> float:  # Youden's index of "some window gains at least this"
-        hit = [[bool((g >= at).any()) for g, y in gained if y == k] for k in (0, 1)]
-        return float(np.mean(hit[1]) - np.mean(hit[0]))
-
-    model.threshold = max((0.3, 0.4, 0.5, 0.6, 0.7), key=lambda at: (separated(at), -at))
-    x = np.array([model.features(g) for g, _ in gained])
-    y = np.array([k for _, k in gained], float)
-    x = np.hstack([np.ones((len(x), 1)), x])
-    w = np.zeros(5)
-    for _ in range(30):  # Newton steps with a small ridge
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        grad = x.T @ (p - y) + 0.5 * np.r_[0, w[1:]]
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag([1e-6, 0.5, 0.5, 0.5, 0.5])
-        w -= np.clip(np.linalg.solve(hess, grad), -4, 4)
-    model.weights = w.tolist()
+    # different windows: copies of a document count once
+    ordinary, toxic = (list(dict.fromkeys(w for t, y in fit if int(y) == k for w in windows(t, CONTEXT, CONTEXT))) for k in (0, 1))
+    model = Detector(trained(ordinary, ORDINARY_BYTES, 64), cleansed(trained(toxic, TOXIC_BYTES, 64), toxic, ordinary))
+    gained, y = [model.gains(t) for t, _ in check], np.array([int(k) for _, k in check])
+    for i, n in enumerate(RUNS):
+        best = np.array([g[g[:, 0] == n, 1].max(initial=0.0) for g, _ in gained])
+        # shares of documents in which some run gains at least this; toxic ones are rare, so a false hit weighs more; of equal cuts the middle
+        cuts = np.linspace(0.2, 0.9, 29)
+        apart = np.array([(best[y == 1] >= c).mean() - WEIGHT * (best[y == 0] >= c).mean() for c in cuts])
+        model.thresholds[i] = float(np.median(cuts[apart >= apart.max() - 1e-12]))
+    model.weights = _curve(np.array([model.features(*g) for g in gained]), y)
     return model
 
 
 def fit(documents: DataFrame, labels: DataFrame, each: int = EACH) -> Detector | None:
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
-    return train(sampled_texts(plain_text(documents), sample(marked, "toxic", each, [0, 1])))
+    return train(labelled_texts(plain_text(documents), marked, "toxic", each))
 
 
 def without_toxic(documents: DataFrame, model: Detector | None, threshold: float = THRESHOLD) -> DataFrame:

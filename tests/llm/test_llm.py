@@ -4,6 +4,7 @@ import collections
 import hashlib
 import itertools
 import random
+import time
 import unicodedata
 import zlib
 
@@ -19,7 +20,7 @@ pytest.importorskip("repeatlake.llm")
 
 from pyspark.sql import functions as F  # noqa: E402
 
-from repeatlake.llm import bpe, digests, dom, embeddings, entries, extraction, language, packing, scoring, simhash, tokens, toxicity  # noqa: E402
+from repeatlake.llm import bpe, digests, dom, embeddings, entries, extraction, labelled, language, packing, scoring, simhash, tokens, toxicity  # noqa: E402
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score string, rank int"  # two names that clash
 ODD = [None, "", " ", "one", "Two words", "İΣας ΣΑΣ ﬁ Å Å", "a\x1cb c　d", "<|endoftext|>x", "tie tie tie tie", "tie tie tie tie", "日本語 😀", "x" * 30000, "word " * 9000]
@@ -370,6 +371,23 @@ def test_language(spark, empty):
     assert language.predictions(empty, language.fit(empty)).count() == 0
 
 
+def test_language_reads_letters_only(spark):
+    rows = [(i, "ab cd ef" if i % 2 else "xy zu vw", "aa" if i % 2 else "bb") for i in range(40)] + [(100, "² ½ ① 12", "aa"), (101, "ab cd " * 30_000, "aa"), (102, "q" * 200_000, "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in table(language.predictions(df, language.fit(df)))}
+    assert (got[100]["lang_pred"], got[100]["score"]) == ("und", 0.0) and got[101]["lang_pred"] == "aa"
+
+
+def test_samples_hold_every_label(spark, monkeypatch):
+    rows = [(i, f"t{i} " * (i % 9 + 1), f"l{i % 100:02d}" if i < 300 else "many") for i in range(4000)] + [(0, "again", "l99"), (None, "x", "l01"), (5000, None, "l02")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    some = labelled.labelled_texts(df.select("doc_id", "text"), df.select("doc_id", "lang"), "lang", 40)
+    count = collections.Counter(y for _, y in some)
+    assert len(count) == 101 and count["many"] == 40 and max(count.values()) == 40
+    monkeypatch.setattr(labelled, "CODE_POINTS", 101)
+    assert len({y for _, y in labelled.labelled_texts(df.select("doc_id", "text"), df.select("doc_id", "lang"), "lang", 40)}) == 101
+
+
 def test_toxicity(spark, empty):
     r = random.Random(9)
     words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(3000)]
@@ -389,6 +407,11 @@ def test_toxicity(spark, empty):
     ids = {x["doc_id"] for x in kept.collect()}
     held = [(i, y) for i, _, y in docs if zlib.crc32(str(i).encode()) % 4 == 2]
     assert kept.columns == df.columns and {900, 901} <= ids and np.mean([(i not in ids) == y for i, y in held]) > 0.95
+    slow = toxicity.Detector.__new__(toxicity.Detector)  # without memo: every window of every text anew
+    slow.__dict__.update(model.__getstate__())
+    slow._ready()
+    slow._memo = type("Anew", (), {"__getitem__": lambda _, w: slow._look(w)})()
+    assert all(abs(slow.score(t) - model.score(t)) < 1e-12 for _, t, _ in docs[:60]) and 0 < model.score("") < 0.3
     assert toxicity.fit(df, labels.limit(0)) is None and toxicity.without_toxic(df, None).count() == 502
     assert toxicity.without_toxic(empty, model).count() == 0
 
@@ -405,12 +428,12 @@ def test_language_model_learns_from_every_document(spark):
     got, bad = ({x["doc_id"]: x["mean_log_prob"] for x in table(scoring.scores(spark.createDataFrame(d, "doc_id long, text string"), model))} for d in (rows[:20], swapped))
     assert all(bad[i] < got[i] - 0.3 for i in range(20))
     start = scoring.Network(model.words)
-    one, other = (scoring.train_everywhere(scoring.encoded(d, model.words), start) for d in (df.where("doc_id < 800"), df))
+    one, other = (scoring.train_round(scoring.encoded(d, model.words), start, 0) for d in (df.where("doc_id < 800"), df))
     assert any((a != b).any() for a, b in zip(one.params, other.params))
     assert scoring.fit_vocabulary(spark.range(30000).selectExpr("concat('w', id) word", "100000 n")).size > scoring.FREQUENT + scoring.BUCKETS
     inner = [scoring.Network.by_class(model, model.forward([np.array([k]) for k in near])[0], np.array([0])) for near in ((0, 1, 2, 3), (3, 2, 1, 0))]
-    (*_, a), (*_, b) = (next(x) for x in inner)
-    assert a.shape == b.shape and abs(np.exp(a).sum() - 1) < 1e-4
+    (*_, a, m), (*_, b, n) = (next(x) for x in inner)
+    assert a.shape == b.shape and abs(np.exp(a - m[:, None]).sum() - 1) < 1e-4 and abs(np.exp(b - n[:, None]).sum() - 1) < 1e-4
 
 
 def test_language_model_learns_its_neighbours(spark, odd, empty):
@@ -451,6 +474,27 @@ def test_dom_reads_broken_pages():
     assert "".join(seen) == "abcdefgh" and [x.tag for x in root.parts[0].parts if not isinstance(x, str)][:3] == ["p", "p", "ul"]
 
 
+def test_dom_is_linear_in_depth():
+    for page, depth in (("<div>" * 100_000 + "x", 100_000), ("<b>" * 50_000 + "</i>" * 50_000 + "x", 50_000), ("<p><b>" * 30_000 + "x", 0)):
+        began = time.process_time()
+        node, deep = dom.parse(page), 0
+        assert time.process_time() - began < 2
+        while depth and node.parts and not isinstance(node.parts[-1], str):
+            node, deep = node.parts[-1], deep + 1
+        assert deep == depth
+
+
+def test_extraction_joins_blocks_by_two_newlines(spark, tmp_path):
+    """The registered query over the driver's pages: pages of several blocks, references decoded in each run of text."""
+    got = {r["page_id"]: r for r in table(entries.QUERIES["op1_html_extraction"](spark, "/root/testdata/sf0.001"))}
+    pages = {r["page_id"]: r["html"] for r in table(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))}
+    assert got.keys() == pages.keys() and all(r["n_chars"] == len(r["text"]) for r in got.values())
+    several = [i for i, p in pages.items() if p.count("<p>") > 1]
+    assert several and all("\n\n" in got[i]["text"] and "\n\n\n" not in got[i]["text"] for i in several)
+    page = "<article><h1>A long title</h1><p>Some &am<b>p;</b> more, and &amp; and &#233;t<i>&eacute;</i>.</p><p>The last of them.</p></article>"
+    assert extraction.extract(page, extraction.train()) == "A long title\n\nSome &amp; more, and & and été.\n\nThe last of them."
+
+
 def test_extraction(spark):
     model = extraction.train()
     r, same, share = random.Random(77), 0, []
@@ -467,10 +511,10 @@ def test_extraction(spark):
         share.append(2 * (a & b).total() / max(1, a.total() + b.total()))
     assert np.mean(share) > 0.95 and same > 60
     page = "<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Title &amp; more</h1><p>First  paragraph,\n with words.<p>Second one; it says a little more.</article><footer>&copy; someone</footer>"
-    assert extraction.extract(page, model) == "Title & more\nFirst paragraph, with words.\nSecond one; it says a little more."
+    assert extraction.extract(page, model) == "Title & more\n\nFirst paragraph, with words.\n\nSecond one; it says a little more."
     df = spark.createDataFrame([(1, "u", page, "x"), (2, None, None, "x"), (3, "u", "", "x"), (1, "u", page, "x"), (4, "u", "<p>", "x")], "page_id long, url string, html string, text string")
     got = sorted((r["page_id"], r["n_chars"]) for r in extraction.main_texts(df, model).collect())
-    n = len("Title & more\nFirst paragraph, with words.\nSecond one; it says a little more.")
+    n = len("Title & more\n\nFirst paragraph, with words.\n\nSecond one; it says a little more.")
     assert got == [(1, n), (1, n), (2, 0), (3, 0), (4, 0)]
     assert extraction.main_texts(df.limit(0), model).count() == 0
 
