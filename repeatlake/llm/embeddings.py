@@ -1,27 +1,34 @@
 """Embedding near-duplicates by product quantisation.
 
-An index is fitted on a bounded sample: unit centroids of coarse cells, and for
-the residuals of their members one codebook in each subspace. Every vector is
-then coded (its cell, a code in each subspace, and the length of what the codes
-leave over) and looks for its links in the inverted lists of its own cell and of
-all cells that a vector within the angle could well be in: those whose score is
-behind the best by less than ``REACH`` standard errors of the difference that
-a step of that length in a random direction makes. In a list, asymmetric
-distances are sums of looked-up dot products; the leftover length bounds their
-error, so what is sorted out is certainly too far. The rest is reranked by exact
-cosines in double precision.
+An index is fitted on a bounded sample: unit centroids of coarse cells, about
+half the square root of the number of vectors, and for the residuals of their
+members one codebook in each subspace. Every vector is listed in its cell with
+a code in each subspace and the length of what the codes leave over. It looks
+for its links in the list of its own cell and of all cells of higher numbers
+that a vector within the angle could well be in: those whose score is behind the
+best by less than ``REACH`` standard errors of the difference that a step of
+that length in a random direction makes. The pair is met once, from the side of
+the lower cell. In a list, asymmetric distances are sums of looked-up dot
+products; the leftover length bounds their error, so what is sorted out is
+certainly too far.
+
+What travels is a vector's direction in 16 bits for each component, with the
+length of its rounding error. The cosine of two of them is known to within the
+sum of both errors; that decides nearly every pair that the look-ups leave, and
+the few that lie as near to the threshold as that are reranked by exact cosines
+of the vectors themselves, in double precision.
 
 Equal vectors are one entry with a weight. Lists and the queries that reach
 them are cut into tiles by hashes, and a task works on one pair of tiles at a
 time, so a hot cell is spread over many tasks. From a tile come the number of
-links of each query and a spanning forest of the links, never all pairs.
+links of each vector and a spanning forest of the links, never all pairs.
 
 Vectors of one length are compared with each other; each length has its own index.
 
 Cases: vectors that are null or zero, or hold null or non-finite components, link
-with nothing and stay. A null ``vec_id`` takes no
-part and has no component. Repeated rows link with each other. An empty table
-gives an empty result. Other columns are ignored.
+with nothing and stay. A null ``vec_id`` takes no part and has no component.
+Repeated rows link with each other. An empty table gives an empty result. Other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,31 +37,51 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repeatlake.llm.arrow import map_rows
 from repeatlake.llm.labelled import first_by_hash
 from repeatlake.llm.simhash import forest
 from repeatlake.operators.components import connected_components
 from repeatlake.plans.storage import materialize
 
 COSINE = 0.95
-SAMPLE = 8192  # vectors that the index is fitted on, at most
-CELLS, CODES = 256, 64  # at most
-REACH = 4.0
+SAMPLE, MEMBERS = 8192, 16  # vectors that the index is fitted on, or so many for each cell if that is more
+CODES = 64
+REACH = 2.5
 SLACK = 1e-4
-LIST_TILE, QUERY_TILE = 1024, 2048
+LIST_TILE, QUERY_TILE = 2048, 8192
+CHUNK = 1024
 
 
 def _unit(raw: np.ndarray) -> np.ndarray:
     v = raw.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)  # so that no square over- or underflows
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def _packed(x: np.ndarray) -> list[bytes]:
+    """Unit vectors in 16 bits a component, after the scale and the length of the rounding error."""
+    scale = (np.abs(x).max(axis=1) / 32767).astype(np.float32)
+    q = np.rint(x / scale[:, None].astype(np.float64)).astype(np.int16)
+    error = np.linalg.norm(x - q * scale[:, None].astype(np.float64), axis=1) * 1.000001 + 1e-12
+    head = np.stack([scale, np.nextafter(error.astype(np.float32), np.float32(1))], axis=1)
+    return [h.tobytes() + r.tobytes() for h, r in zip(head, q)]
+
+
+def _unpacked(packed: list[bytes], dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rounded vectors, and the lengths of their errors."""
+    raw = np.frombuffer(b"".join(p[: 8 + 2 * dim] for p in packed), np.uint8).reshape(len(packed), 8 + 2 * dim)
+    head = np.ascontiguousarray(raw[:, :8]).view(np.float32)
+    return np.ascontiguousarray(raw[:, 8:]).view(np.int16) * head[:, :1].astype(np.float64), head[:, 1].astype(np.float64)
+
+
 def _kmeans(x: np.ndarray, k: int, rounds: int, rng, unit: bool) -> np.ndarray:
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
     for _ in range(rounds):
-        at = (x @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1)
+        at = np.concatenate([(x[i : i + CHUNK] @ centres.T - 0.5 * (centres**2).sum(axis=1)).argmax(axis=1) for i in range(0, len(x), CHUNK)])
         sums, many = np.zeros_like(centres), np.bincount(at, minlength=len(centres))
         np.add.at(sums, at, x)
         centres = np.where(many[:, None] > 0, sums / np.maximum(many, 1)[:, None], centres)
@@ -64,171 +91,230 @@ def _kmeans(x: np.ndarray, k: int, rounds: int, rng, unit: bool) -> np.ndarray:
     return centres
 
 
+def cells_for(vectors: int) -> int:
+    return max(1, math.isqrt(vectors) // 2)
+
+
 class Index:
-    """Cells and codebooks; its size is bounded by CELLS, CODES and the vectors' length."""
+    """Cells and codebooks: what grows with the square root of the table, and the vectors' length."""
 
-    def __init__(self, sample: np.ndarray, cosine: float = COSINE, seed: int = 7):
+    def __init__(self, sample: np.ndarray, cosine: float = COSINE, cells: int | None = None, seed: int = 7):
         rng, self.dim, self.cosine = np.random.default_rng(seed), sample.shape[1], cosine
         self.step = math.sqrt(2 - 2 * cosine)
         self.subspaces = next(m for m in (8, 4, 2, 1) if self.dim % m == 0)
-        self.cells = _kmeans(sample, max(1, min(CELLS, len(sample) // 16)), 8, rng, unit=True)
-        rest = sample - self.cells[(sample @ self.cells.T).argmax(axis=1)]
-        self.books = [_kmeans(part, CODES, 6, rng, unit=False) for part in np.split(rest, self.subspaces, axis=1)]
-        self.apart = np.linalg.norm(self.cells[:, None] - self.cells[None], axis=2)
-
-    def code(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of unit vectors the cell, the codes, and the length of what is left over."""
-        cell = (x @ self.cells.T).argmax(axis=1)
+        self.cells = _kmeans(sample, max(1, min(cells or cells_for(len(sample)), len(sample) // MEMBERS)), 8, rng, unit=True)
+        at = np.concatenate([(sample[i : i + CHUNK] @ self.cells.T).argmax(axis=1) for i in range(0, len(sample), CHUNK)])
+        self.books = [_kmeans(part, CODES, 6, rng, unit=False) for part in np.split(sample - self.cells[at], self.subspaces, axis=1)]
+
+    def code(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of unit vectors of known cells the codes, and the length of what is left over."""
         rest = x - self.cells[cell]
         codes = np.empty((len(x), self.subspaces), np.uint8)
         for m, (part, book) in enumerate(zip(np.split(rest, self.subspaces, axis=1), self.books)):
             codes[:, m] = (part @ book.T - 0.5 * (book**2).sum(axis=1)).argmax(axis=1)
         found = np.concatenate([book[codes[:, m]] for m, book in enumerate(self.books)], axis=1)
-        return cell, codes, np.linalg.norm(rest - found, axis=1)
-
-    def probes(self, x: np.ndarray) -> list[np.ndarray]:
-        """Of unit vectors the cells where their links may be, their own included."""
-        score = x @ self.cells.T
-        best = score.argmax(axis=1)
-        reach = REACH * self.step * self.apart[best] / math.sqrt(self.dim)
-        near = score >= score[np.arange(len(x)), best][:, None] - reach
-        return [np.flatnonzero(row) for row in near]
-
-    def linked(self, query: np.ndarray, cell: int, codes: np.ndarray, left: np.ndarray, listed: np.ndarray, chunk: int = 256):
-        """Index pairs (query, listed) of one cell with a cosine of at least ``cosine``."""
+        return codes, np.linalg.norm(rest - found, axis=1)
+
+    def probes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of unit vectors their own cells, and ``(row, cell)`` of the cells of higher numbers where their links may be."""
+        cell, rows, cells = [], [], []
+        for at in range(0, len(x), CHUNK):
+            score = x[at : at + CHUNK] @ self.cells.T
+            best = score.argmax(axis=1)
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (self.cells[best] @ self.cells.T)))
+            reach = REACH * self.step * apart / math.sqrt(self.dim)
+            near = (score >= score[np.arange(len(best)), best][:, None] - reach) & (np.arange(len(self.cells)) > best[:, None])
+            i, j = np.nonzero(near)
+            cell.append(best)
+            rows.append(i + at)
+            cells.append(j)
+        return tuple(np.concatenate(v) if v else np.zeros(0, np.int64) for v in (cell, rows, cells))
+
+    def near(self, query: np.ndarray, cell: int, codes: np.ndarray, left: np.ndarray, chunk: int = 256):
+        """Index pairs (query, listed) of one cell that the look-ups do not rule out."""
         for at in range(0, len(query), chunk):
             some = query[at : at + chunk]
             # rows are listed vectors, so that a look-up copies a whole row of dot products; single precision errs by far less than SLACK
-            near = np.repeat((self.cells[cell] @ some.T).astype(np.float32)[None], len(codes), axis=0)
+            found = np.repeat((self.cells[cell] @ some.T).astype(np.float32)[None], len(codes), axis=0)
             for m, (part, book) in enumerate(zip(np.split(some, self.subspaces, axis=1), self.books)):
-                near += (book @ part.T).astype(np.float32)[codes[:, m]]
-            j, i = np.nonzero(near >= (self.cosine - SLACK - left)[:, None])
+                found += (book @ part.T).astype(np.float32)[codes[:, m]]
+            j, i = np.nonzero(found >= (self.cosine - SLACK - left)[:, None])
             for k in range(0, len(i), 1 << 16):
-                a, b = i[k : k + (1 << 16)], j[k : k + (1 << 16)]
-                ok = np.einsum("ij,ij->i", some[a], listed[b]) >= self.cosine
-                yield a[ok] + at, b[ok]
+                yield i[k : k + (1 << 16)] + at, j[k : k + (1 << 16)]
 
 
-def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten(), np.float32).reshape(-1, dim)
+def sound(vector: Column) -> Column:
+    """Whether a vector can link at all."""
+    fine = vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    return F.coalesce(fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, list[int]]:
-    """All rows with what they link by, the distinct vectors ``(rep, many, vector)``, and their lengths."""
+def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame, list[tuple[int, int]]]:
+    """All rows, the distinct vectors ``(rep, many, h1, h2, dim, packed)``, and each length with how many have it.
+
+    Vectors are told apart by 128 bits of hashes of all their components.
+    """
     rows = embeddings.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
-    fine = F.col("vector").isNotNull() & F.col("vec_id").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    fine = F.coalesce(fine & F.exists("vector", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("vector", F.when(fine, F.col("vector")))
-    reps = rows.where("vector is not null").groupBy("vector").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"))
+    rows = rows.withColumn("vector", F.when(F.col("vec_id").isNotNull() & sound(F.col("vector")), F.col("vector")))
+    rows = rows.withColumn("h1", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit("wide"), "vector")))
+
+    def make():
+        def each(batch: pa.RecordBatch):
+            many = pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False).astype(np.int64)
+            packed: list = [None] * len(batch)
+            for dim in np.unique(many):
+                at = np.flatnonzero(many == dim)
+                for k, p in zip(at, _packed(_unit(np.asarray(batch.column(3).take(pa.array(at)).flatten(), np.float32).reshape(-1, dim)))):
+                    packed[k] = p
+            yield {"vec_id": batch.column(0), "h1": batch.column(1), "h2": batch.column(2), "dim": many, "packed": packed}
+
+        return each
+
+    coded = map_rows(rows.where("vector is not null").select("vec_id", "h1", "h2", "vector"), "vec_id long, h1 long, h2 long, dim long, packed binary", make)
+    reps = coded.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many"), F.first("dim").alias("dim"), F.first("packed").alias("packed"))
     reps = materialize(reps, "pq-entries")
-    lengths = reps.select(F.size("vector").alias("n")).distinct().orderBy("n").collect()
-    return rows, reps, [r["n"] for r in lengths]
+    return rows, reps, [(r["dim"], r["count"]) for r in reps.groupBy("dim").count().orderBy("dim").collect()]
+
+
+def fit(reps: DataFrame, dim: int, many: int, cosine: float = COSINE) -> Index:
+    """An index fitted on a sample of the ``many`` distinct vectors, chosen by a hash of their ids."""
+    cells = cells_for(many)
+    got = first_by_hash(reps.select("rep", "packed"), max(SAMPLE, MEMBERS * cells), "rep").collect()
+    return Index(_unit(_unpacked([bytes(r["packed"]) for r in got], dim)[0]), cosine, cells)
 
 
-def fit(reps: DataFrame, dim: int, cosine: float = COSINE, size: int = SAMPLE) -> Index | None:
-    """An index fitted on at most ``size`` distinct vectors, chosen by a hash of their ids."""
-    got = first_by_hash(reps.select("rep", "vector"), size, "rep").collect()
-    return Index(_unit(np.array([r["vector"] for r in got], np.float32).reshape(-1, dim)), cosine) if got else None
+FIRST, SECOND, QUERY = 0, 1, 2  # parts of a tile: listed, listed in another tile of the cell, and queries of other cells
 
 
 def links(reps: DataFrame, index: Index) -> DataFrame:
-    """``(a, b, n)``: with a null ``b`` the weight of the links that ``a`` found in one tile, else an edge."""
+    """``(a, b, n)``: with a null ``b`` the weight of links that ``a`` has in one tile, else an edge, or with a null ``n`` a pair too near the threshold to tell."""
     spark, dim = reps.sparkSession, index.dim
     shared = spark.sparkContext.broadcast(index)
 
     def deal(batches):
         own = shared.value
         for batch in batches:
-            raw = _vectors(batch.column(2), dim)
-            x = _unit(raw)
-            cell, codes, left = own.code(x)
-            probes = own.probes(x)
-            many = np.array([len(p) for p in probes])
-            row = np.concatenate([np.arange(len(x)), np.repeat(np.arange(len(x)), many)])
-            to = np.concatenate([cell, *probes]) if len(x) else np.zeros(0, np.int64)
-            asks = np.arange(len(row)) >= len(x)
-            packed = [r.tobytes() + c.tobytes() + np.float64(e).tobytes() for r, c, e in zip(raw, codes, left)]
+            plain = batch.column(2).to_pylist()
+            x, error = _unpacked(plain, dim)
+            cell, row, to = own.probes(x)
+            codes, left = own.code(x, cell)
+            listed = [p + c.tobytes() + e.tobytes() for p, c, e in zip(plain, codes, (left + error).astype(np.float32))]
+            at = np.concatenate([np.arange(len(x)), row])
+            packed = pa.array(listed + [plain[k] for k in row], pa.binary())
             rep, weight = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(to.astype(np.int64)), pa.array(asks), pa.array(rep[row]), pa.array(weight[row]), pa.array([packed[k] for k in row], pa.binary())],
-                names=["cell", "asks", "rep", "many", "packed"],
-            )
-
-    dealt = materialize(reps.select("rep", "many", "vector").mapInArrow(deal, "cell long, asks boolean, rep long, many long, packed binary"), "pq-dealt")
-    sizes = dealt.groupBy("cell").agg(F.count_if(~F.col("asks")).alias("listed"), F.count_if("asks").alias("asked"))
-    tiles = sizes.select(F.col("cell").alias("c"), F.greatest(F.lit(1), F.ceil(F.col("listed") / LIST_TILE)).cast("long").alias("lt"), F.greatest(F.lit(1), F.ceil(F.col("asked") / QUERY_TILE)).cast("long").alias("qt"))
-    tiled = dealt.join(F.broadcast(tiles), F.col("cell") == F.col("c"))  # at most CELLS rows
-    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("qt")).otherwise(F.col("lt")))
-    all_of = F.sequence(F.lit(0).cast("long"), F.when(F.col("asks"), F.col("lt")).otherwise(F.col("qt")) - 1)
-    tiled = tiled.withColumn("mine", mine).withColumn("other", F.explode(all_of))
-    lt, qt = F.when(F.col("asks"), F.col("other")).otherwise(F.col("mine")), F.when(F.col("asks"), F.col("mine")).otherwise(F.col("other"))
-    keyed = tiled.select(F.concat_ws("/", "cell", lt, qt).alias("key"), "cell", "asks", "rep", "many", "packed")
+            columns = [pa.array(np.concatenate([cell, to]).astype(np.int32)), pa.array(np.arange(len(at)) >= len(x)), pa.array(rep[at]), pa.array(weight[at]), packed]
+            yield pa.RecordBatch.from_arrays(columns, names=["cell", "asks", "rep", "many", "packed"])
+
+    def count(batches):
+        # a row for each cell that a batch touches; the vectors themselves are dealt again below, which costs less than to write them
+        for batch in batches:
+            cell, _, to = shared.value.probes(_unpacked(batch.column(2).to_pylist(), dim)[0])
+            size = len(shared.value.cells)
+            many = np.stack([np.bincount(cell, minlength=size), np.bincount(to, minlength=size)])
+            some = np.flatnonzero(many.any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(many[0, some]), pa.array(many[1, some])], names=["c", "listed", "asked"])
+
+    source = reps.select("rep", "many", "packed")
+    sizes = source.mapInArrow(count, "c int, listed long, asked long").groupBy("c").agg(F.sum("listed").alias("listed"), F.sum("asked").alias("asked"))
+    parts = lambda n, tile: F.greatest(F.lit(1), F.ceil(F.col(n) / tile)).cast("int")
+    tiles = materialize(sizes.where("listed > 0").select("c", parts("listed", LIST_TILE).alias("lt"), parts("asked", QUERY_TILE).alias("qt")), "pq-tiles")
+    dealt = source.mapInArrow(deal, "cell int, asks boolean, rep long, many long, packed binary").join(F.broadcast(tiles), F.col("cell") == F.col("c"))  # a row for each cell
+    mine = F.pmod(F.xxhash64("rep"), F.when(F.col("asks"), F.col("qt")).otherwise(F.col("lt"))).cast("int")
+    # the first tile of queries is worked on with the list itself, the others on their own
+    spot = lambda i, j, part: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"), F.lit(part).alias("part"))
+    lists = F.sequence(F.lit(0), F.col("lt") - 1)
+    asked = F.transform(lists, lambda i: spot(i, F.when(F.col("mine") == 0, i).otherwise(-F.col("mine")), QUERY))
+    pairs = F.transform(lists, lambda k: spot(F.least(k, F.col("mine")), F.greatest(k, F.col("mine")), FIRST))
+    more = F.when(F.col("qt") > 1, F.sequence(F.lit(1), F.col("qt") - 1)).otherwise(F.array().cast("array<int>"))
+    held = F.concat(pairs, F.transform(more, lambda q: spot(F.col("mine"), -q, FIRST)))
+    tiled = dealt.withColumn("mine", mine).withColumn("s", F.explode(F.when(F.col("asks"), asked).otherwise(held)))
+    part = F.when((F.col("s.part") == FIRST) & (F.col("s.j") > F.col("s.i")) & (F.col("s.j") == F.col("mine")), SECOND).otherwise(F.col("s.part")).cast("int")
+    keyed = tiled.select("cell", F.col("s.i").alias("i"), F.col("s.j").alias("j"), part.alias("part"), "rep", "many", "packed")
 
     def join(batches):
-        own, size = shared.value, 4 * dim
+        own = shared.value
 
         def tile(table: pa.Table):
-            cell = table.column("cell")[0].as_py()
-            asks = table.column("asks").to_numpy()
-            rep, many = table.column("rep").to_numpy(), table.column("many").to_numpy()
-            raw = table.column("packed").to_pylist()
-            x = _unit(np.frombuffer(b"".join(p[:size] for p in raw), np.float32).reshape(-1, dim))
-            q, b = np.flatnonzero(asks), np.flatnonzero(~asks)
-            if not len(q) or not len(b):
-                return None
-            codes = np.frombuffer(b"".join(raw[k][size:-8] for k in b), np.uint8).reshape(len(b), -1)
-            left = np.frombuffer(b"".join(raw[k][-8:] for k in b), np.float64)
-            found, pairs = np.zeros(len(q), np.int64), []
-            for i, j in own.linked(x[q], cell, codes, left, x[b]):
-                other = rep[q[i]] != rep[b[j]]
-                i, j = i[other], j[other]
-                np.add.at(found, i, many[b[j]])
-                pairs.append((i, j))
-            # nodes are entries, of which a query and a listed vector may be the same
-            ids, node = np.unique(np.concatenate([rep[q], rep[b]]), return_inverse=True)
-            root = forest(len(ids), ((np.minimum(node[i], node[len(q) + j]), np.maximum(node[i], node[len(q) + j])) for i, j in pairs))
-            away, some = np.flatnonzero(root != np.arange(len(ids))), np.flatnonzero(found)
-            a = np.concatenate([rep[q[some]], ids[away]])
-            b = pa.array(np.concatenate([np.zeros(len(some), np.int64), ids[root[away]]]), mask=np.arange(len(a)) < len(some))
-            n = np.concatenate([found[some], np.zeros(len(away), np.int64)])
-            return pa.RecordBatch.from_arrays([pa.array(a), b, pa.array(n)], names=["a", "b", "n"])
+            cell, part = table.column("cell")[0].as_py(), table.column("part").to_numpy()
+            rep, many, packed = table.column("rep").to_numpy(), table.column("many").to_numpy(), table.column("packed").to_pylist()
+            x, error = _unpacked(packed, dim)
+            base, found, linked, unsure = np.flatnonzero(part == FIRST), np.zeros(len(rep), np.int64), [], []
+            codes = np.frombuffer(b"".join(packed[k][8 + 2 * dim : -4] for k in base), np.uint8).reshape(len(base), -1)
+            left = np.frombuffer(b"".join(packed[k][-4:] for k in base), np.float32)
+            same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+            for asking, self_join in ((np.flatnonzero(part == (SECOND if (part == SECOND).any() else FIRST)), same), (np.flatnonzero(part == QUERY), False)):
+                if not len(base) or not len(asking) or not same and part[asking[0]] == FIRST:
+                    continue
+                for i, j in own.near(x[asking], cell, codes, left + error[asking].max()):
+                    a, b = asking[i], base[j]
+                    if self_join:
+                        a, b = a[a < b], b[a < b]
+                    dot, room = np.einsum("ij,ij->i", x[a], x[b]), error[a] + error[b] + 1e-12
+                    sure = (dot >= own.cosine + room) & (rep[a] != rep[b])
+                    doubt = (np.abs(dot - own.cosine) < room) & (rep[a] != rep[b])
+                    np.add.at(found, a[sure], many[b[sure]])
+                    np.add.at(found, b[sure], many[a[sure]])
+                    linked.append((a[sure], b[sure]))
+                    unsure.append((rep[a[doubt]], rep[b[doubt]]))
+            root = forest(len(rep), ((np.minimum(a, b), np.maximum(a, b)) for a, b in linked))
+            away, some = np.flatnonzero(root != np.arange(len(rep))), np.flatnonzero(found)
+            ua, ub = (np.concatenate([u[k] for u in unsure]) if unsure else np.zeros(0, np.int64) for k in (0, 1))
+            first = np.concatenate([rep[some], rep[away], ua])
+            second = pa.array(np.concatenate([np.zeros(len(some), np.int64), rep[root[away]], ub]), mask=np.arange(len(first)) < len(some))
+            n = pa.array(np.concatenate([found[some], np.zeros(len(away) + len(ua), np.int64)]), mask=np.arange(len(first)) >= len(some) + len(away))
+            return pa.RecordBatch.from_arrays([pa.array(first), second, n], names=["a", "b", "n"])
 
         held: list[pa.RecordBatch] = []  # of one tile
+        last = None
         for batch in batches:
-            keys = batch.column(0).to_pylist()
-            start = 0
-            for k in range(1, len(keys) + 1):
-                if k == len(keys) or keys[k] != keys[start]:
-                    if held and held[0].column(0)[0].as_py() != keys[start]:
-                        if (out := tile(pa.Table.from_batches(held))) is not None:
-                            yield out
-                        held = []
-                    held.append(batch.slice(start, k - start))
-                    start = k
-        if held and (out := tile(pa.Table.from_batches(held))) is not None:
-            yield out
-
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(join, "a long, b long, n long")
+            keys = np.stack([batch.column(k).to_numpy() for k in range(3)], axis=1)
+            cuts = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]).any(axis=1)])) if len(keys) else np.zeros(0, np.int64)
+            for start, end in zip(cuts, [*cuts[1:], len(keys)]):
+                key = tuple(keys[start])
+                if held and key != last:
+                    yield tile(pa.Table.from_batches(held))
+                    held = []
+                held.append(batch.slice(start, end - start))
+                last = key
+        if held:
+            yield tile(pa.Table.from_batches(held))
+
+    return keyed.repartition("cell", "i", "j").sortWithinPartitions("cell", "i", "j").mapInArrow(join, "a long, b long, n long")
+
+
+def reranked(pairs: DataFrame, rows: DataFrame, cosine: float) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose vectors have an exact cosine of at least ``cosine``, in double precision."""
+    raw = rows.where("vector is not null").groupBy("vec_id").agg(F.min("vector").alias("vector"))
+    left, right = raw.select(F.col("vec_id").alias("a"), F.col("vector").alias("x")), raw.select(F.col("vec_id").alias("b"), F.col("vector").alias("y"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda u, v: u.cast("double") * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y")) >= cosine).select("a", "b")
 
 
 def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` of every row."""
     rows, reps, lengths = entries(embeddings, id_column, vector)
     found, empty = None, F.lit(None).cast("long")
-    for dim in lengths:
-        alike = reps.where(F.size("vector") == dim) if len(lengths) > 1 else reps
-        some = links(alike, fit(alike, dim, cosine))
+    for dim, many in lengths:
+        alike = reps.where(F.col("dim") == dim) if len(lengths) > 1 else reps
+        some = links(alike, fit(alike, dim, many, cosine))
         found = some if found is None else found.unionByName(some)
-    if found is None:
-        classes = reps.select(F.col("vector").alias("v"), F.col("rep").alias("component"), F.lit(0).cast("long").alias("links"))
-    else:
+    classes = reps.select("h1", "h2", F.col("rep").alias("component"), (F.col("many") - 1).alias("links"))
+    if found is not None:
         found = materialize(found, "pq-links")
-        groups = connected_components(found.where("b is not null"))
-        total = found.where("b is null").groupBy(F.col("a").alias("t")).agg(F.sum("n").alias("links"))
+        edges, total = found.where("b is not null and n is not null").select("a", "b"), found.where("b is null").select("a", "n")
+        unsure = found.where("n is null").select("a", "b")
+        if not unsure.isEmpty():
+            exact = materialize(reranked(unsure, rows, cosine), "pq-exact")
+            weights = reps.select(F.col("rep").alias("w"), F.col("many").alias("n"))
+            other = lambda x, y: exact.join(weights, exact[y] == weights["w"]).select(F.col(x).alias("a"), "n")
+            edges, total = edges.unionByName(exact), total.unionByName(other("a", "b")).unionByName(other("b", "a"))
+        groups = connected_components(edges)
+        total = total.groupBy(F.col("a").alias("t")).agg(F.sum("n").alias("found"))
         joined = reps.join(groups, reps["rep"] == groups["node"], "left").join(total, F.col("rep") == F.col("t"), "left")
-        classes = joined.select(F.col("vector").alias("v"), F.coalesce("component", "rep").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("many") - 1).alias("links"))
-    classes = materialize(classes, "pq-classes")
-    out = rows.join(classes, rows["vector"] == classes["v"], "left")
+        classes = joined.select("h1", "h2", F.coalesce("component", "rep").alias("component"), (F.coalesce("found", F.lit(0)) + F.col("many") - 1).alias("links"))
+    classes = materialize(classes, "pq-classes").select(F.col("h1").alias("c1"), F.col("h2").alias("c2"), "component", "links")
+    out = rows.select("vec_id", "h1", "h2").join(classes, (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")), "left")
     component = F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).otherwise(empty)
     out = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

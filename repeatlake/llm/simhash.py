@@ -318,16 +318,32 @@ def bit_budget(similarity: float, bits: int = 64 * len(WORDS), errors: float = 0
     return int(np.floor(bits * p + errors * np.sqrt(bits * p * (1 - p)) + 1e-9)) + 1
 
 
-def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024) -> DataFrame:
-    """``(a, b)`` edges among ``reps(f0..f3, rep, keys)`` that share a key and differ in at most ``budget`` bits.
+def _tiled(rows: DataFrame, key: str, settled: Column, low: str, high: str) -> DataFrame:
+    """``rows`` once for each pair of tiles they are compared in, ``(t, u, side)``.
+
+    ``low`` and ``high`` are the tiles of a key's settled rows, which are known
+    to be connected, and of the others. Pairs of settled tiles are left out.
+    """
+    own = F.when(settled, F.pmod(F.xxhash64("rep"), low)).otherwise(F.col(low) + F.pmod(F.xxhash64("rep"), high))
+    first = F.when(settled, F.col(low)).otherwise(F.lit(0).cast("long"))
+    out = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(first, F.col(low) + F.col(high) - 1)))
+    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
+    return out.withColumn("t", F.least("own", "other")).withColumn("u", F.greatest("own", "other")).withColumn("side", side)
+
 
-    Groups over ``split`` are cut into tiles by a hash, and every pair of tiles
-    of a group is joined on its own: work is in pieces of bounded size, and only
-    what shares a key is compared, whatever the sizes of groups.
+def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024) -> DataFrame:
+    """``(a, b)`` edges that connect whatever ``reps(f0..f3, rep, keys)`` share a key and differ in at most ``budget`` bits.
+
+    In groups over ``split`` every row is first held against the row with the
+    smallest id, in the JVM. Rows within its budget are connected and need not be
+    compared with each other any more; the rest is compared with all rows of the
+    group, tile by tile. So a large group of near copies costs little more than
+    its size, work is in pieces of bounded size, and which rows are connected
+    does not depend on ``split``.
     """
     keyed = reps.select(F.explode("keys").alias("key"), *WORDS, "rep")
     large = keyed.select("key").groupBy("key").count().where(F.col("count") > split)
-    hot = materialize(large.select(F.col("key").alias("hot"), F.ceil(F.col("count") / tile).cast("long").alias("tiles")), "simhash-hot")
+    hot = materialize(large.select(F.col("key").alias("hot")), "simhash-hot")
 
     def inside(key, fps, rep):
         ends = _ranges(key)
@@ -336,11 +352,17 @@ def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024)
     if hot.isEmpty():
         return by_group(keyed, WORDS, inside)
     cold = by_group(keyed.join(hot, keyed["key"] == hot["hot"], "left_anti"), WORDS, inside)
-    pool = keyed.join(hot, keyed["key"] == hot["hot"]).withColumn("own", F.pmod(F.xxhash64("rep"), "tiles"))
-    tiled = pool.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    # side: the tile itself, or the larger of two tiles
-    side = F.when(F.col("own") == F.col("other"), 2).otherwise((F.col("own") > F.col("other")).cast("int")).cast("long")
-    tiled = tiled.select(F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"), *WORDS, "rep", side.alias("side"))
+    pool = keyed.join(hot, keyed["key"] == hot["hot"], "left_semi")
+    first = materialize(pool.groupBy("key").agg(F.min(F.struct("rep", *WORDS)).alias("p")).withColumnRenamed("key", "hot"), "simhash-first")
+    bits = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"p.{w}"))) for w in WORDS), F.lit(0))
+    marked = pool.join(first, F.col("key") == F.col("hot")).select("key", *WORDS, "rep", F.col("p.rep").alias("pivot"), (bits <= budget).alias("near"))
+    marked = materialize(marked, "simhash-marked")
+    star = marked.where("near and rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b"))
+    tiles = lambda which: F.greatest(F.lit(1), F.ceil(F.count_if(which) / tile)).cast("long")
+    open_keys = marked.groupBy(F.col("key").alias("hot")).agg(tiles(F.col("near")).alias("low"), tiles(~F.col("near")).alias("high"), F.count_if(~F.col("near")).alias("rest"))
+    open_keys = materialize(open_keys.where("rest > 0").drop("rest"), "simhash-open")
+    tiled = _tiled(marked.join(open_keys, F.col("key") == F.col("hot")), "key", F.col("near"), "low", "high")
+    tiled = tiled.select(F.xxhash64("key", "t", "u").alias("key"), *WORDS, "rep", "side")
 
     def across(key, fps, rep, side):
         (start, end), pairs = _ranges(key), []
@@ -350,52 +372,114 @@ def link_wide(reps: DataFrame, budget: int, split: int = 1024, tile: int = 1024)
         a0, a1, b0, b1 = np.array(pairs, np.int64).T
         return _star(rep, trie_join(fps, (a0, a1), (b0, b1), budget))
 
-    return cold.unionByName(by_group(tiled, WORDS, across, "side"))
+    return cold.unionByName(star).unionByName(by_group(tiled, WORDS, across, "side"))
+
+
+def connecting(sets: list[np.ndarray], cluster: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float):
+    """``(i, j)`` links that connect whatever of ``left`` and ``right`` rows have a Jaccard similarity of at least ``similarity``.
+
+    A pair that is connected already (by ``cluster`` or links found before) is not compared.
+    """
+    many = np.array([len(h) for h in sets], np.int64)
+    starts = np.cumsum(many) - many
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    held = np.zeros(len(words), np.int64)
+    root = np.unique(cluster, return_inverse=True)[1]
+    for i in left:
+        j = right[(root[right] != root[i])]
+        if not len(j):
+            continue
+        mine = ids[starts[i] : starts[i] + many[i]]
+        held[mine] = 1
+        if 4 * len(j) > len(sets):
+            both = np.add.reduceat(held[ids], starts)[j]
+        else:
+            both = np.array([held[ids[starts[k] : starts[k] + many[k]]].sum() for k in j])
+        held[mine] = 0
+        near = j[both / (many[i] + many[j] - both) >= similarity]
+        for k in near:
+            if root[k] != root[i]:
+                root[root == root[k]] = root[i]
+                yield i, k
 
 
 def exact_links(documents: DataFrame, groups: DataFrame, width: int, similarity: float, id_column: str = "doc_id", tile: int = 1024) -> DataFrame:
     """``(a, b)`` edges that connect whatever documents of one of ``groups(node, component)`` have a Jaccard similarity of at least ``similarity``.
 
-    The sets of shingles are compared themselves, all pairs of a group; groups
-    over ``tile`` are cut by a hash, and every pair of tiles is compared on its own.
+    The sets of shingles are compared themselves. In groups over ``tile`` each
+    set is first compared with that of the smallest id, which is sent to every
+    tile; the sets that are not similar to it are then compared with all others,
+    tile by tile. Pairs that are connected by then are not compared.
     """
-    sizes = groups.groupBy(F.col("component").alias("c")).agg(F.ceil(F.count("*") / tile).cast("long").alias("tiles"))
-    members = materialize(groups.join(sizes, groups["component"] == sizes["c"]).select("node", "component", "tiles"), "simhash-members")
-    rows = plain_text(documents, id_column)
-    rows = rows.join(members, rows["doc_id"] == members["node"]).select("component", "tiles", "node", "text")
+    sizes = groups.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("size"))
+    members = materialize(groups.join(sizes, groups["component"] == sizes["c"]).select("node", "component", "size"), "simhash-members")
 
-    def make():
-        def each(batch: pa.RecordBatch):
-            packed = [shingle_set(t, width).tobytes() for t in texts(batch)]
-            yield {"component": batch.column(0), "tiles": batch.column(1), "rep": batch.column(2), "packed": packed}
+    def packed_sets(some: DataFrame, *more: str) -> DataFrame:
+        rows = plain_text(documents, id_column)
+        rows = rows.join(some, rows["doc_id"] == some["node"]).select("component", F.col("node").alias("rep"), *more, "text")
 
-        return each
+        def make():
+            def each(batch: pa.RecordBatch):
+                packed = [shingle_set(t, width).tobytes() for t in texts(batch)]
+                yield {c: batch.column(k) for k, c in enumerate(("component", "rep", *more))} | {"packed": packed}
+
+            return each
 
-    sets = map_rows(rows, "component long, tiles long, rep long, packed binary", make).where("length(packed) > 0")
-    sets = sets.withColumn("own", F.pmod(F.xxhash64("rep"), "tiles")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
-    keyed = sets.select("component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).alias("side"), "rep", "packed")
+        kinds = "".join(f", {c} {some.schema[c].dataType.simpleString()}" for c in more)
+        return map_rows(rows, f"component long, rep long{kinds}, packed binary", make).where("length(packed) > 0")
 
-    def compare(group: pa.Table) -> pa.Table:
-        rep, side = group["rep"].to_numpy(), group["side"].to_numpy()
+    def edges(rep: np.ndarray, pairs) -> pa.Table:
+        found = np.array(list(pairs), np.int64).reshape(-1, 2)
+        return pa.table({"a": rep[found[:, 0]], "b": rep[found[:, 1]]})
+
+    def within(group: pa.Table) -> pa.Table:
+        rep = group["rep"].to_numpy()
+        some = np.argsort(rep, kind="stable")
+        return edges(rep, connecting([np.frombuffer(p, np.uint64) for p in group["packed"].to_pylist()], np.arange(len(rep)), some, some, similarity))
+
+    small = packed_sets(members.where(F.col("size") <= tile).select("node", "component")).groupBy("component").applyInArrow(within, "a long, b long")
+    large = members.where(F.col("size") > tile)
+    if large.isEmpty():
+        return small
+
+    def against_first(batches):
+        key, pivot, first = None, None, None
+        for batch in batches:
+            component, at, rep = (batch.column(k).to_numpy() for k in range(3))
+            keep = []
+            for k in range(len(batch)):
+                own = np.frombuffer(batch.column(3)[k].as_buffer(), np.uint64)
+                if (component[k], at[k]) != key:
+                    key, pivot, first = (component[k], at[k]), own, rep[k]
+                both = np.intersect1d(pivot, own, assume_unique=True).size if rep[k] != first else len(own)
+                if rep[k] != component[k]:
+                    keep.append((component[k], rep[k], bool(both / (len(pivot) + len(own) - both) >= similarity and first == component[k])))
+            columns = list(zip(*keep)) or [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.bool_()))], names=["component", "node", "near"])
+
+    tiles = F.ceil(F.col("size") / tile).cast("long")
+    all_tiles, one = F.sequence(F.lit(0).cast("long"), tiles - 1), F.array(F.pmod(F.xxhash64("node"), tiles))
+    spread = large.withColumn("at", F.explode(F.when(F.col("node") == F.col("component"), all_tiles).otherwise(one)))
+    dealt = packed_sets(spread, "at").select("component", "at", "rep", "packed").repartition("component", "at").sortWithinPartitions("component", "at", "rep")
+    first = materialize(dealt.mapInArrow(against_first, "component long, node long, near boolean"), "simhash-first")
+    star = first.where("near").select(F.col("node").alias("a"), F.col("component").alias("b"))
+    count = lambda which: F.greatest(F.lit(1), F.ceil(F.count_if(which) / tile)).cast("long")
+    rest = first.groupBy(F.col("component").alias("c")).agg(count(F.col("near")).alias("low"), count(~F.col("near")).alias("high"), F.count_if(~F.col("near")).alias("left"))
+    rest = materialize(rest.where("left > 0").drop("left"), "simhash-open")
+    if rest.isEmpty():
+        return small.unionByName(star)
+    again = first.join(rest, F.col("component") == F.col("c")).select("component", "node", "near", "low", "high")
+    tiled = _tiled(packed_sets(again, "near", "low", "high"), "component", F.col("near"), "low", "high")
+
+    def across(group: pa.Table) -> pa.Table:
+        rep, side, near = group["rep"].to_numpy(), group["side"].to_numpy(), group["near"].to_numpy(zero_copy_only=False)
+        cluster = np.where(near, group["component"].to_numpy(), rep)
         sets = [np.frombuffer(p, np.uint64) for p in group["packed"].to_pylist()]
-        many = np.array([len(h) for h in sets])
-        starts = np.cumsum(many) - many
-        words, ids = np.unique(np.concatenate(sets), return_inverse=True)
-        within, held = group["low"][0].as_py() == group["high"][0].as_py(), np.zeros(len(words), np.int64)
-
-        def pairs():
-            for i in range(len(sets)) if within else np.flatnonzero(~side):
-                mine = ids[starts[i] : starts[i] + many[i]]
-                held[mine] = 1
-                both = np.add.reduceat(held[ids], starts)
-                held[mine] = 0
-                near = both / (many[i] + many - both) >= similarity
-                j = np.flatnonzero(near & (np.arange(len(sets)) > i if within else side))
-                yield np.full(len(j), i), j
-
-        return pa.Table.from_batches([_star(rep, pairs())])
-
-    return keyed.groupBy("component", "low", "high").applyInArrow(compare, "a long, b long")
+        left, right = (np.flatnonzero(side != 1), np.flatnonzero(side != 0))
+        return edges(rep, connecting(sets, cluster, left, right, similarity))
+
+    compared = tiled.select("component", "t", "u", "side", "rep", "near", "packed").groupBy("component", "t", "u").applyInArrow(across, "a long, b long")
+    return small.unionByName(star).unionByName(compared)
 
 
 def near_groups(documents: DataFrame, width: int = 5, similarity: float = 0.8, id_column: str = "doc_id") -> DataFrame:

@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import time
 import unicodedata
@@ -129,8 +130,18 @@ def test_only_what_shares_a_key_is_compared(spark):
         assert found == {k: k // 20 * 20 for k in range(60)}
 
 
-def test_near_copies_by_exact_similarity(spark):
+@pytest.mark.parametrize("tile", [1024, 6])
+def test_near_copies_by_exact_similarity(spark, tile, monkeypatch):
+    """Planted similarities around 0.8, and a large group of different near copies with strangers that share its keys."""
+    monkeypatch.setattr(simhash, "link_wide", lambda reps, budget, link=simhash.link_wide: link(reps, budget, tile, tile))
+    monkeypatch.setattr(simhash, "exact_links", lambda *a, links=simhash.exact_links: links(*a, tile=tile))
     r, texts_ = random.Random(21), []
+    page = prose(r, 200)
+    for _ in range(60):
+        words = list(page)
+        for _ in range(r.randint(1, 6)):
+            words[r.randrange(200)] = prose(r, 1)[0]
+        texts_.append(words)
     for k in range(120):
         words = prose(r, r.choice([12, 60, 150, 400]))
         texts_.append(words)
@@ -338,6 +349,28 @@ def test_embeddings_of_every_length_link(spark):
     assert [got[i] for i in (10, 11, 12, 13, 20)] == [(2, 10), (2, 10), (2, 10), (0, 13), (0, 20)]
 
 
+def test_embeddings_at_the_threshold(spark, monkeypatch):
+    """Pairs too near the threshold for 16 bits are told apart by exact cosines; tiles of any size give the same links."""
+    edge = [[1.0, 0.0]] + [[c, math.sqrt(1 - c * c)] for c in (0.95 + 1e-7, 0.95 - 1e-7, 0.95 + 3e-7)] + [[0.95, -math.sqrt(1 - 0.95**2) * (1 + s)] for s in (1e-6, -1e-6)]
+    rng = np.random.default_rng(3)
+    hot = (rng.normal(size=16) + 0.07 * rng.normal(size=(400, 16))).tolist() + rng.normal(size=(300, 16)).tolist()
+    rows = [(i, v) for i, v in enumerate(edge + hot)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    want = {}
+    for some in (rows[: len(edge)], rows[len(edge) :]):
+        u = np.array([v for _, v in some], np.float32).astype(np.float64)
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        near = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+        want |= {i: int(n) for (i, _), n in zip(some, near.sum(axis=1))}
+    assert len({want[i] for i in range(len(edge))}) > 1
+    for lists, queries in ((2048, 8192), (32, 16)):
+        monkeypatch.setattr(embeddings, "LIST_TILE", lists)
+        monkeypatch.setattr(embeddings, "QUERY_TILE", queries)
+        got = {x["vec_id"]: x["n_links"] for x in table(embeddings.near_duplicates(df))}
+        assert {i: got[i] for i in range(len(edge))} == {i: want[i] for i in range(len(edge))}
+        assert sum(got.values()) >= 0.95 * sum(want.values()) and all(got[i] <= want[i] for i in want)
+
+
 def test_embeddings_against_sql(spark, tmp_path):
     rng = np.random.default_rng(5)
     first = rng.normal(size=(60, 16))
