@@ -18,19 +18,22 @@ one task is needed. Whole texts are shuffled once.
 
 Cases: null text is empty; empty text has a fingerprint like any other. A null
 ``doc_id`` sorts after all ids. Rows with equal ids follow each other in the
-order of their texts. A lone document is its own next. An empty table gives an
+order of a hash of their texts, by which the rows of an id that many have are
+dealt into several buckets. A lone document is its own next. An empty table gives an
 empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlake.llm.arrow import plain_text
 from repeatlake.plans.storage import materialize
 
-BUCKETS = 1 << 16  # of ids at most: what bounds the broadcast table of bucket heads
+BUCKETS = 1 << 20  # of ids at most: what bounds the broadcast table of bucket heads, 24 MB; larger buckets are sorted on disk
 ROWS = 2000  # aimed at in a bucket
 SEGMENTS = 64
 LOWEST = -(1 << 63)
@@ -52,44 +55,57 @@ def digest(canon: Column) -> Column:
     return F.lower(F.concat(*halves))
 
 
-def id_buckets(ids: DataFrame, key: str = "k") -> tuple[Column, int]:
-    """A column that deals ``key`` into at most BUCKETS buckets, in order, about evenly; and their number."""
+def id_buckets(ids: DataFrame) -> Column:
+    """A column that deals ``(k, h)`` into at most about BUCKETS buckets, numbered in the order of ``k``, then against ``h``; about evenly.
+
+    A key that several percentiles hit has many rows: it has buckets of its own, by ``h``.
+    """
     probabilities = [i / SEGMENTS for i in range(SEGMENTS + 1)]
-    row = ids.agg(F.count("*").alias("n"), F.percentile_approx(key, probabilities, 2000).alias("p")).first()
-    cuts = sorted(set(row["p"] or [0]))
-    each = max(1, min(BUCKETS, row["n"] // ROWS) // max(1, len(cuts) - 1))
-    value, bucket = F.col(key).cast("double"), F.lit(0)
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
+    row = ids.agg(F.count("*").alias("n"), F.percentile_approx("k", probabilities, 2000).alias("p")).first()
+    hits = Counter(row["p"] or [0])
+    cuts, total = sorted(hits), min(BUCKETS, row["n"] // ROWS)
+    each = max(1, total // max(1, len(cuts) - 1))
+    value, bucket, base = F.col("k").cast("double"), F.lit(0).cast("long"), 0
+    for a, b in zip(cuts, [*cuts[1:], cuts[-1] + 1]):
+        if hits[a] > 1:
+            parts = max(1, total * hits[a] // SEGMENTS)
+            turn = F.floor((F.col("h").cast("double") / 2.0**64 + 0.5) * parts)
+            bucket = F.when(F.col("k") >= F.lit(a).cast("long"), base + parts - 1 - F.least(F.lit(parts - 1), turn)).otherwise(bucket)
+            base += parts
+        after = F.col("k") > F.lit(a).cast("long") if hits[a] > 1 else F.col("k") >= F.lit(a).cast("long")
         share = F.greatest(F.lit(0), F.least(F.lit(each - 1), F.floor((value - float(a)) * each / (float(b) - float(a) or 1.0))))
-        bucket = F.when(F.col(key) >= F.lit(a).cast("long"), F.lit(i * each) + share).otherwise(bucket) if i else share
-    return bucket.cast("int"), each * max(1, len(cuts) - 1)
+        bucket = F.when(after, F.lit(base) + share).otherwise(bucket)
+        base += each
+    return bucket.cast("int")
 
 
 def with_next(docs: DataFrame, *carried: str) -> DataFrame:
-    """``docs(doc_id, ...)`` with ``next_<c>`` for each of ``carried``: its value in the next document in descending ids."""
-    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(LOWEST).cast("long")))
-    bucket, _ = id_buckets(keyed.select("k"))
-    heads = keyed.select("k").groupBy(bucket.alias("b")).agg(F.max("k").alias("head"))
+    """``docs(doc_id, ...)`` with ``next_<c>`` for each of ``carried``, the first a text: its value in the next document in descending ids."""
+    keyed = docs.withColumn("k", F.coalesce("doc_id", F.lit(LOWEST).cast("long"))).withColumn("h", F.xxhash64(carried[0]))
+    bucket = id_buckets(keyed.select("k", "h"))
+    heads = keyed.select("k", "h").groupBy(bucket.alias("b")).agg(F.max(F.struct("k", F.bitwise_not("h").alias("not_h"))).alias("head"))
     order = Window.orderBy("b")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    heads = heads.select("head", F.coalesce(F.lead("b").over(order), F.first("b").over(whole)).alias("above"))
-    heads = materialize(heads, "digest-heads")  # at most BUCKETS rows
-    both = keyed.withColumn("b", bucket).join(F.broadcast(heads), F.col("k") == F.col("head"), "left")
+    above = F.coalesce(F.lead("b").over(order), F.first("b").over(whole))
+    heads = heads.select(F.col("head.k").alias("head"), F.bitwise_not("head.not_h").alias("head_h"), above.alias("above"))
+    heads = materialize(heads, "digest-heads")  # at most about BUCKETS rows
+    both = keyed.withColumn("b", bucket).join(F.broadcast(heads), (F.col("k") == F.col("head")) & (F.col("h") == F.col("head_h")), "left")
     sent = F.array(F.struct(F.col("b").alias("at"), F.lit(0).alias("copy")), F.struct(F.col("above").alias("at"), F.lit(1).alias("copy")))
-    here = both.withColumn("to", F.explode(F.filter(sent, lambda x: x["at"].isNotNull()))).select(*docs.columns, "k", "to.at", "to.copy")
-    across = Window.partitionBy("at").orderBy("copy", F.col("k").desc(), *carried)
+    here = both.withColumn("to", F.explode(F.filter(sent, lambda x: x["at"].isNotNull()))).select(*docs.columns, "k", "h", "to.at", "to.copy")
+    across = Window.partitionBy("at").orderBy("copy", F.col("k").desc(), "h", *carried)
     out = here.select(*docs.columns, "copy", *(F.lead(c).over(across).alias(f"next_{c}") for c in carried))
     return out.where("copy = 0").drop("copy")
 
 
-def exact_classes(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """``(fingerprint, class_id, canon)`` of buckets with several rows.
+def exact_classes(documents: DataFrame, id_column: str = "doc_id", printed: DataFrame | None = None) -> DataFrame:
+    """``(fingerprint, class_id, canon)`` of buckets with several rows; ``printed`` is ``(doc_id, fingerprint)`` of all rows, if known.
 
     ``class_id`` is the smallest id with the same canonical bytes. ``canon`` is
     null where all of a bucket is byte-equal, else the text that tells its classes apart.
     """
     docs = plain_text(documents, id_column)
-    printed = materialize(docs.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "digest-prints")
+    if printed is None:
+        printed = materialize(docs.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "digest-prints")
     several = materialize(printed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "digest-several")
     members = printed.join(several, "fingerprint", "left_semi").select("doc_id").distinct()
     texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]), "left_semi")
@@ -121,11 +137,25 @@ def fingerprint_edits(documents: DataFrame, id_column: str = "doc_id") -> DataFr
     return rows
 
 
+def with_classes(documents: DataFrame, rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """``rows(doc_id, fingerprint, ...)`` with ``class_id``: the smallest id with the same canonical bytes."""
+    classes = materialize(exact_classes(documents, id_column, rows.select("doc_id", "fingerprint")), "digest-classes")
+    same = classes.where("canon is null").select(F.col("fingerprint").alias("class_print"), F.col("class_id").alias("same_id"))
+    joined = rows.join(same, rows["fingerprint"] == same["class_print"], "left").drop("class_print")
+    apart = classes.where("canon is not null")
+    if apart.isEmpty():
+        return joined.select(*rows.columns, F.coalesce("same_id", "doc_id").alias("class_id"))
+    # fingerprints that different texts share: each row's class is that of its own bytes
+    ids = rows.join(apart.select("fingerprint").distinct(), "fingerprint", "left_semi").select(F.col("doc_id").alias("member")).distinct()
+    docs = plain_text(documents, id_column)
+    texts = docs.join(ids, docs["doc_id"].eqNullSafe(ids["member"]), "left_semi").select("doc_id", canonical(F.col("text")).alias("canon"))
+    own = texts.withColumn("fingerprint", digest(F.col("canon"))).join(apart, ["fingerprint", "canon"]).groupBy("doc_id", "fingerprint").agg(F.min("class_id").alias("own_id"))
+    own = materialize(own, "digest-apart").select(F.col("doc_id").alias("own_doc"), F.col("fingerprint").alias("own_print"), "own_id")
+    found = joined.join(own, joined["doc_id"].eqNullSafe(own["own_doc"]) & (joined["fingerprint"] == own["own_print"]), "left")
+    return found.select(*rows.columns, F.coalesce("same_id", "own_id", "doc_id").alias("class_id"))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """``op6``: digests of all documents and their edited texts, and each document's exact class."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    classes = materialize(exact_classes(documents), "digest-classes")
-    rows = fingerprint_edits(documents)
-    same = classes.where("canon is null").select(F.col("fingerprint").alias("class_print"), "class_id")
-    joined = rows.join(same, rows["fingerprint"] == same["class_print"], "left")
-    return joined.select(*rows.columns, F.coalesce("class_id", "doc_id").alias("class_id"))
+    return with_classes(documents, materialize(fingerprint_edits(documents), "digest-rows"))

@@ -303,6 +303,28 @@ def test_digests_against_brute_force(spark, empty):
     assert digests.fingerprint_edits(empty).count() == 0 and digests.exact_classes(empty).count() == 0
 
 
+def test_classes_of_colliding_digests(spark, monkeypatch):
+    """With one digest for all texts the bytes alone tell classes apart, null ids and repeated rows included."""
+    monkeypatch.setattr(digests, "digest", lambda canon: F.when(canon.isNotNull(), F.lit("0" * 32)))
+    docs = [(5, "same"), (2, "Same "), (9, "other"), (3, None), (4, ""), (9, "other"), (None, "SAME"), (7, "alone")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = [(r["doc_id"], r["class_id"]) for r in table(digests.with_classes(df, digests.fingerprint_edits(df)))]
+    assert sorted(got, key=str) == sorted([(5, 2), (2, 2), (9, 9), (3, 3), (4, 3), (9, 9), (None, 2), (7, 7)], key=str)
+
+
+def test_next_of_an_id_that_many_rows_have(spark, monkeypatch):
+    monkeypatch.setattr(digests, "ROWS", 5)
+    rows = [(7 if i % 3 else None, f"t{i}") for i in range(120)] + [(i, f"u{i}") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["text"]: r["next_text"] for r in digests.with_next(df, "text").collect()}
+    at, walk = "u29", []
+    while at not in walk:
+        walk.append(at)
+        at = got[at]
+    ids = {t: i for i, t in rows}
+    assert len(walk) == 150 and at == "u29" and [ids[t] for t in walk] == sorted(ids.values(), key=lambda i: digests.LOWEST if i is None else i, reverse=True)
+
+
 def test_next_across_buckets(spark, monkeypatch):
     monkeypatch.setattr(digests, "ROWS", 5)
     ids = random.Random(6).sample(range(10**12), 150) + [1, 2, 3, None]
