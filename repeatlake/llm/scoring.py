@@ -12,12 +12,9 @@ share. Classes hold tokens of like frequency, about the same share of the corpus
 each. Tokens, buckets and classes grow with the square root of the corpus.
 
 The network starts from whole documents of a small sample and is then trained on
-every document in ``ROUNDS`` rounds, as masked language
-models are: in each round a random tenth of the tokens is masked, other tokens in
-other rounds, and predicted from whatever stands around them. A task takes its
-documents in steps from the network of the round before, and the changes are
-added up by executors, in blocks of rows, weighted by how often a row was used.
-Vocabulary, classes, training tokens and time grow with the corpus.
+every token of every document: each task takes its documents in steps from the
+same start, and the changes are added up by executors, in blocks of rows, weighted
+by how often a row was used. Vocabulary, classes and training grow with the corpus.
 
 Cases: null text and text without words have no tokens, the score 0 and a null
 mean. A null ``doc_id`` is scored like any other. Repeated rows are repeated. An
@@ -43,10 +40,9 @@ from repeatlake.llm.labelled import first_by_hash
 from repeatlake.plans.storage import materialize
 
 FREQUENT, BUCKETS, CLASSES = 8000, 64, 64  # at least; FREQUENT may have fewer words to take
-SIDE, HIDDEN = 2, 24
+SIDE, HIDDEN = 2, 16
 START_DOCUMENTS, START_TOKENS = 800, 200_000  # what the start is fitted to
-ROUNDS, MASKED = 2, 0.1  # and the share of tokens masked in a round
-STEP = 4096  # masked tokens of a step over the corpus
+STEP = 8192  # tokens of a step over the corpus
 BLOCK = 4096  # rows of weights that are added up at a time
 PIECE = 1 << 14  # tokens worked on at a time
 WORD = re.compile(r"[^\W\d_]+")
@@ -126,8 +122,10 @@ def fit_vocabulary(counts: DataFrame, frequent: int | None = None) -> Vocabulary
     return Vocabulary(known, rare, buckets)
 
 
-def _norm(z: np.ndarray) -> np.ndarray:
-    """The logarithm of the sum of each row's exponentials."""
+def _norm(z: np.ndarray, most: float) -> np.ndarray:
+    """The logarithm of the sum of each row's exponentials; ``most`` bounds their size, so that nothing has to be taken off first."""
+    if most < 60:
+        return np.log(np.exp(z).sum(axis=1))
     top = z.max(axis=1, keepdims=True)
     return np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
 
@@ -156,7 +154,7 @@ class Network:
             hidden += table[ids]
         np.tanh(hidden, out=hidden)
         z = hidden @ out + base
-        return hidden, z, _norm(z)
+        return hidden, z, _norm(z, float((np.abs(out).sum(axis=0) + np.abs(base)).max(initial=0)))  # no unit is over 1
 
     def by_class(self, hidden: np.ndarray, target: np.ndarray):
         """Of each class among the targets: its range of places, its rows, their tokens within it, log odds and the logarithms of their sums."""
@@ -166,7 +164,7 @@ class Network:
         for rows in np.split(order, cuts[1:]) if len(order) else ():
             lo, hi = first[kind[rows[0]]], first[kind[rows[0]] + 1]
             z = hidden[rows] @ own[lo:hi].T + self.words.inside[lo:hi]
-            yield lo, hi, rows, place[rows] - lo, z, _norm(z)
+            yield lo, hi, rows, place[rows] - lo, z, _norm(z, float((np.abs(own[lo:hi]).sum(axis=1) + np.abs(self.words.inside[lo:hi])).max(initial=0)))
 
     def squares(self) -> list[np.ndarray]:
         return [np.full(p.shape[:1] if k < 2 * SIDE or k == len(self.params) - 1 else p.shape, 1e-3, np.float32) for k, p in enumerate(self.params)]
@@ -244,7 +242,7 @@ def encoded(documents: DataFrame, words: Vocabulary, id_column: str = "doc_id")
         memo = Memo(shared.value.token)
 
         def each(batch: pa.RecordBatch):
-            yield {"doc_id": batch.column(0), "ids": [np.array([memo[w] for w in WORD.findall(t.lower())], np.int32) for t in texts(batch)]}
+            yield {"doc_id": batch.column(0), "ids": [np.array(list(map(memo.__getitem__, WORD.findall(t.lower()))), np.int32) for t in texts(batch)]}
 
         return each
 
@@ -267,8 +265,8 @@ def pieces(batches, room: int):
         yield batch, at, held
 
 
-def train_round(tokens: DataFrame, start: Network, number: int, rate: float = 0.05) -> Network:
-    """``start`` after a round over every document of ``tokens``: tasks step through their documents, the weighted mean of their changes is added."""
+def train_everywhere(tokens: DataFrame, start: Network, rate: float = 0.05) -> Network:
+    """``start`` after every document of ``tokens``: tasks step through their documents, the weighted mean of their changes is added."""
     context = tokens.sparkSession.sparkContext
     shared = context.broadcast(start)
 
@@ -279,14 +277,12 @@ def train_round(tokens: DataFrame, start: Network, number: int, rate: float = 0.
         own.words, own.pad, own.params = shared.value.words, shared.value.pad, [p.copy() for p in shared.value.params]
         squares, rng = own.squares(), np.random.default_rng(TaskContext.get().partitionId())
         used = [np.zeros(len(p)) for p in own.params]
-        for _, _, held in pieces(batches, 8 * int(STEP / MASKED)):
+        for _, _, held in pieces(batches, 8 * STEP):
             if not held:
                 continue
             padded, _ = joined(held, own.pad)
             target = padded[SIDE : len(padded) - SIDE]
-            # the same draw in every round, of which each round masks its own part
-            drawn = rng.random(len(target))
-            real = rng.permutation(np.flatnonzero((target != own.pad) & (drawn >= number * MASKED) & (drawn < (number + 1) * MASKED)))
+            real = rng.permutation(np.flatnonzero(target != own.pad))
             if not len(real):
                 continue
             near = np.stack(own.windows(padded))
@@ -338,10 +334,7 @@ def trained(documents: DataFrame, counts: DataFrame | None = None, id_column: st
     padded, _ = joined([np.array(r["ids"], np.int64) for r in picked.orderBy("h").collect()], start.pad)
     if (padded != start.pad).any():
         start.fit(padded)
-    model = start
-    for number in range(ROUNDS):
-        model = train_round(tokens, model, number)
-    return model, tokens
+    return train_everywhere(tokens, start), tokens
 
 
 def train(documents: DataFrame, counts: DataFrame | None = None, id_column: str = "doc_id") -> Network:
