@@ -26,14 +26,20 @@ def from_text(text: Column) -> Column:
 
 
 def encode(kmer: Column) -> Column:
-    """The number of a k-mer; null if any base is invalid or it is longer than MAX_K."""
-    valid = kmer.rlike(f"^[ACGT]{{1,{MAX_K}}}$")
-    return F.when(valid, F.conv(F.translate(kmer, BASES, "0123"), 4, 10).cast("long"))
+    """The number of a k-mer, whose bases may be of either case; null if any base is invalid or it is longer than MAX_K."""
+    valid = kmer.rlike(f"^[ACGTacgt]{{1,{MAX_K}}}$")
+    return F.when(valid, F.conv(F.translate(kmer, BASES + BASES.lower(), "01230123"), 4, 10).cast("long"))
 
 
 def decode(code: Column, k: int) -> Column:
-    """The k-mer of a number."""
-    return F.translate(F.lpad(F.conv(code.cast("string"), 10, 4), k, "0"), "0123", BASES)
+    """The k-mer of a number: pairs of bits are spread to hexadecimal digits, at most 16 bases at a time."""
+    parts = []
+    for bases in ([k] if k <= 16 else [k - 16, 16]):
+        x = F.shiftrightunsigned(code, 32) if k > 16 and not parts else code.bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333)):
+            x = x.bitwiseOR(F.shiftleft(x, shift)).bitwiseAND(F.lit(mask).cast("long"))
+        parts.append(F.translate(F.lpad(F.hex(x), bases, "0"), "0123", BASES))
+    return F.concat(*parts)
 
 
 def revcomp(seq: Column) -> Column:

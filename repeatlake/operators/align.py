@@ -58,20 +58,72 @@ def sampled_prefilter(kmers: DataFrame, index_kmers: DataFrame, probes: int = 4,
     return hits.where(F.col("hits") >= least).groupBy("title").agg(F.count("*").alias("mates")).where("mates = 2").select("title")
 
 
+def pair_codes(pairs: DataFrame, k: int, probes: int = 4) -> DataFrame:
+    """``(pair_id, mate, pos, kmer, probe)`` of both mates: canonical k-mers as numbers, with the windows a pair is sampled by."""
+    mates = F.array(*(F.struct(F.lit(i).cast("long").alias("mate"), F.col(f"seq{i}").alias("seq")) for i in (1, 2)))
+    rows = pairs.select("pair_id", F.explode(mates).alias("m")).select("pair_id", "m.mate", "m.seq")
+    return K.codes(rows, ["pair_id", "mate"], k, probes=probes).withColumn("pos", F.col("pos").cast("long"))
+
+
+def locus_classes(index: DataFrame) -> DataFrame:
+    """``(kmer, c1, c2)``: k-mers with the same loci have the same class, 128 bits of the hashes of their loci; no list is gathered."""
+    return index.groupBy("kmer").agg(F.bit_xor(F.xxhash64("locus")).alias("c1"), F.bit_xor(F.xxhash64(F.lit("wide"), "locus")).alias("c2"))
+
+
+def class_loci(classes: DataFrame, index: DataFrame) -> DataFrame:
+    """``(c1, c2, locus)``: the loci of each class, those of its smallest k-mer."""
+    first = classes.groupBy("c1", "c2").agg(F.min("kmer").alias("kmer"))
+    return first.join(index.select("kmer", "locus"), "kmer").select("c1", "c2", "locus")
+
+
+def filtered_hits(kmers: DataFrame, classes: DataFrame, least: int, sampled: int = 1) -> DataFrame:
+    """``(pair_id, c1, c2, n1, n2)``: k-mers of either mate that each class has, after both filters.
+
+    A pair stays if of either mate at least ``sampled`` of the probes are in the
+    index; of it a mate stays if at least ``least`` of all its k-mers are.
+    A k-mer meets one class, however many loci it has, and everything of a pair
+    is in one partition after one shuffle.
+    """
+    hit = kmers.join(classes, "kmer").repartition("pair_id")
+    of = lambda i, more=F.lit(True): F.count_if((F.col("mate") == i) & more)
+    counts = hit.groupBy("pair_id", "c1", "c2").agg(of(1).alias("n1"), of(2).alias("n2"), of(1, F.col("probe")).alias("p1"), of(2, F.col("probe")).alias("p2"))
+    pair = Window.partitionBy("pair_id")
+    for c in ("n1", "n2", "p1", "p2"):
+        counts = counts.withColumn(f"all_{c}", F.sum(c).over(pair))
+    kept = counts.where((F.col("all_p1") >= sampled) & (F.col("all_p2") >= sampled))
+    for i in (1, 2):
+        kept = kept.withColumn(f"n{i}", F.when(F.col(f"all_n{i}") >= least, F.col(f"n{i}")).otherwise(0))
+    return kept.where("n1 + n2 > 0").select("pair_id", "c1", "c2", "n1", "n2")
+
+
+def expanded(counts: DataFrame, loci: DataFrame) -> DataFrame:
+    """``(pair_id, locus, m1, m2)``: the hits of classes given to each of their loci."""
+    return counts.join(loci, ["c1", "c2"]).groupBy("pair_id", "locus").agg(F.sum("n1").alias("m1"), F.sum("n2").alias("m2"))
+
+
+def kept_mates(counts: DataFrame) -> DataFrame:
+    """``(pair_id, mate)`` of mates that passed both filters."""
+    both = counts.groupBy("pair_id").agg((F.sum("n1") > 0).alias("k1"), (F.sum("n2") > 0).alias("k2"))
+    mates = F.filter(F.array(*(F.when(F.col(f"k{i}"), F.lit(i).cast("long")) for i in (1, 2))), lambda x: x.isNotNull())
+    return both.select("pair_id", F.explode(mates).alias("mate"))
+
+
 def locus_hits(counts: DataFrame, index: DataFrame) -> DataFrame:
     """``(title, locus, m1, m2)``: hits of either mate in each locus; ``index`` is ``(kmer, locus)``, distinct."""
     return counts.join(index, "kmer").groupBy("title", "locus").agg(F.sum("n1").alias("m1"), F.sum("n2").alias("m2"))
 
 
-def best_loci(hits: DataFrame, top: int) -> DataFrame:
+def best_loci(hits: DataFrame, top: int, by: str = "title") -> DataFrame:
     """The ``top`` loci of each pair by hits, the smaller locus first among equals; with their rank from 1."""
-    order = Window.partitionBy("title").orderBy((F.col("m1") + F.col("m2")).desc(), "locus")
+    order = Window.partitionBy(by).orderBy((F.col("m1") + F.col("m2")).desc(), "locus")
     return hits.withColumn("rank", F.row_number().over(order).cast("long")).where(F.col("rank") <= top)
 
 
-def assign(hits: DataFrame, least: int) -> DataFrame:
-    """``(title, locus, m1, m2)`` of pairs whose best locus has enough hits from both mates, or twice as many in all."""
-    best = hits.groupBy("title").agg(F.max_by(F.struct("locus", "m1", "m2"), F.struct(F.col("m1") + F.col("m2"), -F.col("locus"))).alias("b")).select("title", "b.*")
+def assign(hits: DataFrame, least: int, by: str = "title", qc: DataFrame | None = None) -> DataFrame:
+    """``(title, locus, m1, m2)`` of pairs whose best locus has enough hits from both mates, or twice as many in all, and is in ``qc(locus, ok)`` if given."""
+    best = hits.groupBy(by).agg(F.max_by(F.struct("locus", "m1", "m2"), F.struct(F.col("m1") + F.col("m2"), -F.col("locus"))).alias("b")).select(by, "b.*")
+    if qc is not None:
+        best = best.join(qc.where("ok").select("locus").distinct(), "locus", "left_semi").select(by, "locus", "m1", "m2")
     return best.where((F.col("m1") >= least) & (F.col("m2") >= least) | (F.col("m1") + F.col("m2") >= 2 * least))
 
 
@@ -82,7 +134,7 @@ def states(assigned_kmers: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("fl") == 1, 1).when(F.col("fl") == 0, 2).otherwise(0).cast("long")).drop("fl")
 
 
-def segment(state_rows: DataFrame, least_spanning: int = 40) -> DataFrame:
+def segment(state_rows: DataFrame, least_spanning: int = 40, by: str = "title") -> DataFrame:
     """One row for each mate: number of changes ``nt``, first known state ``bs``, bounds ``[si, ei)`` and whether it is kept.
 
     Changes are counted between known states. Kept are reads within the repeat,
@@ -90,7 +142,7 @@ def segment(state_rows: DataFrame, least_spanning: int = 40) -> DataFrame:
     ``least_spanning`` repeat positions. A boundary lies where the new state
     begins, or halfway into the unknown tract before it.
     """
-    mate = Window.partitionBy("title", "mate")
+    mate = Window.partitionBy(by, "mate")
     so_far = mate.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     known = F.when(F.col("state") > 0, F.col("state"))
     rows = state_rows.withColumn("known", known)
@@ -98,7 +150,8 @@ def segment(state_rows: DataFrame, least_spanning: int = 40) -> DataFrame:
     turn = F.col("known").isNotNull() & F.col("before").isNotNull() & (F.col("known") != F.col("before"))
     edge = F.when(turn, F.when(F.col("pos") - F.col("seen") > 1, F.floor((F.col("seen") + 1 + F.col("pos")) / 2)).otherwise(F.col("pos")))
     marked = rows.withColumn("turn", turn).withColumn("edge", edge.cast("long"))
-    out = marked.groupBy("title", "locus", "mate").agg(
+    out = marked.groupBy(by, "mate").agg(
+        F.first("locus").alias("locus"),
         F.count_if("turn").alias("nt"), F.min_by("known", F.when(F.col("known").isNotNull(), F.col("pos"))).alias("bs"), F.count_if(F.col("state") == 2).alias("n_tr"),
         F.min("edge").alias("first"), F.max("edge").alias("second"), (F.max("pos") + 1).alias("nk"),
     )
@@ -107,12 +160,12 @@ def segment(state_rows: DataFrame, least_spanning: int = 40) -> DataFrame:
     kept = F.coalesce(kept, F.lit(False))
     si = F.when(bs == 2, F.lit(0)).otherwise(F.col("first"))
     ei = F.when(nt == 0, F.col("nk")).when((nt == 1) & (bs == 2), F.col("first")).when(nt == 1, F.col("nk")).otherwise(F.col("second"))
-    return out.select("title", "locus", "mate", "nt", "bs", "n_tr", kept.alias("kept"), F.when(kept, si.cast("long")).alias("si"), F.when(kept, ei.cast("long")).alias("ei"))
+    return out.select(by, "locus", "mate", "nt", "bs", "n_tr", kept.alias("kept"), F.when(kept, si.cast("long")).alias("si"), F.when(kept, ei.cast("long")).alias("ei"))
 
 
-def genotype(state_rows: DataFrame, segments: DataFrame) -> DataFrame:
+def genotype(state_rows: DataFrame, segments: DataFrame, by: str = "title") -> DataFrame:
     """``(locus, kmer, cnt)``: repeat positions of kept mates."""
-    return state_rows.where("state = 2").join(segments.where("kept").select("title", "mate"), ["title", "mate"], "left_semi").groupBy("locus", "kmer").agg(F.count("*").alias("cnt"))
+    return state_rows.where("state = 2").join(segments.where("kept").select(by, "mate"), [by, "mate"], "left_semi").groupBy("locus", "kmer").agg(F.count("*").alias("cnt"))
 
 
 def summary(segments: DataFrame) -> DataFrame:
@@ -120,10 +173,10 @@ def summary(segments: DataFrame) -> DataFrame:
     return segments.where("kept").groupBy("locus").agg(F.count("*").alias("nmapread"), F.sum(F.col("ei") - F.col("si")).alias("kmc"))
 
 
-def bait_rejected(kmers: DataFrame, assigned: DataFrame, bait: DataFrame) -> DataFrame:
+def bait_rejected(kmers: DataFrame, assigned: DataFrame, bait: DataFrame, by: str = "title") -> DataFrame:
     """Titles in which some k-mer of a mate occurs less often than ``mi`` or more often than ``ma`` of its locus' bait."""
-    seen = kmers.join(assigned.select("title", "locus"), "title").groupBy("title", "locus", "mate", "kmer").agg(F.count("*").alias("n"))
-    return seen.join(bait, ["locus", "kmer"]).where((F.col("n") < F.col("mi")) | (F.col("n") > F.col("ma"))).select("title").distinct()
+    seen = kmers.join(assigned.select(by, "locus"), by).groupBy(by, "locus", "mate", "kmer").agg(F.count("*").alias("n"))
+    return seen.join(bait, ["locus", "kmer"]).where((F.col("n") < F.col("mi")) | (F.col("n") > F.col("ma"))).select(by).distinct()
 
 
 def pair_mates(reads: DataFrame) -> DataFrame:

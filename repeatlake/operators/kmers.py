@@ -76,6 +76,90 @@ def extract(rows: DataFrame, keep: list[str], k: int, canonical: bool = False, k
     return rows.select(*keep, "seq").mapInArrow(run, schema)
 
 
+def codes(rows: DataFrame, keep: list[str], k: int, canonical: bool = True, probes: int = 0) -> DataFrame:
+    """``(*keep, pos, kmer)`` of every valid window of ``rows.seq``, k-mers as numbers of at most 62 bits, in Arrow batches.
+
+    Rows are worked on together: a batch's bases are one array, and windows that
+    cross into the next row are left out like those with an invalid base. With
+    ``probes``, ``probe`` marks so many evenly spaced valid windows of each row,
+    the first and the last among them.
+    """
+    if k > S.MAX_K:
+        raise ValueError(f"k-mers of at most {S.MAX_K} bases have a number")
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def run(batches):
+        digit = np.full(256, 4, np.uint8)
+        for i, base in enumerate(S.BASES):
+            digit[ord(base)] = i
+
+        def windows(b: np.ndarray):
+            n = len(b) - k + 1
+            forward, back = np.zeros(n, np.int64), np.zeros(n, np.int64)
+            for t in range(k):
+                part = b[t : t + n].astype(np.int64) & 3
+                forward = forward << 2 | part
+                if canonical:
+                    back |= (3 - part) << 2 * t
+            bad = np.concatenate([[0], np.cumsum(b > 3)])
+            return np.minimum(forward, back) if canonical else forward, bad[k:] == bad[:n]
+
+        def out(batch, row, pos, kmer):
+            at = pa.array(row)
+            columns = [batch.column(i).take(at) for i in range(len(keep))] + [pa.array(pos, pa.int32()), pa.array(kmer)]
+            if probes:
+                many = np.bincount(row)
+                start = np.cumsum(many) - many
+                i, n = np.arange(len(row)) - start[row], many[row]
+                step = n // (probes - 1)
+                columns.append(pa.array((i == n - 1) | np.isin(i, 0) | (step > 0) & (i % np.maximum(step, 1) == 0) & (i < (probes - 1) * step)))
+            return pa.RecordBatch.from_arrays(columns, names=[*keep, "pos", "kmer", *(["probe"] if probes else [])])
+
+        def long_row(batch, i, raw):
+            # a row longer than a piece; probes need the whole row, so its windows stay together then
+            parts = []
+            for start in range(0, len(raw) - k + 1, PIECE):
+                kmer, ok = windows(digit[raw[start : start + PIECE + k - 1]])
+                at = np.flatnonzero(ok)
+                parts.append((np.full(len(at), i), at + start, kmer[at]))
+                if not probes:
+                    yield out(batch, *parts.pop())
+            if probes and parts:
+                yield out(batch, *(np.concatenate(x) for x in zip(*parts)))
+
+        def together(batch, rows_, raws):
+            size = np.array([len(r) + 1 for r in raws])
+            bases = np.full(size.sum(), 4, np.uint8)  # an invalid base between rows
+            first = np.cumsum(size) - size
+            for f, r in zip(first, raws):
+                bases[f : f + len(r)] = digit[r]
+            kmer, ok = windows(bases)
+            at = np.flatnonzero(ok)
+            row = np.repeat(np.arange(len(raws)), size)[at]
+            return out(batch, np.array(rows_)[row], at - first[row], kmer[at])
+
+        for batch in batches:
+            rows_, raws, held = [], [], 0
+            for i, seq in enumerate(batch.column(len(keep))):
+                raw = np.frombuffer(seq.as_buffer(), np.uint8) if seq.is_valid and len(seq.as_buffer()) >= k else None
+                if raw is None:
+                    continue
+                if len(raw) > PIECE:
+                    yield from long_row(batch, i, raw)
+                    continue
+                rows_.append(i)
+                raws.append(raw)
+                held += len(raw)
+                if held >= PIECE:
+                    yield together(batch, rows_, raws)
+                    rows_, raws, held = [], [], 0
+            if raws:
+                yield together(batch, rows_, raws)
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", pos int, kmer long" + (", probe boolean" if probes else "")
+    return rows.select(*keep, "seq").mapInArrow(run, schema)
+
+
 def run_lengths(seqs: DataFrame) -> DataFrame:
     """``(locus, rle)``: run-length text of whole sequences, in Arrow batches; the work grows with the sequence, not with its square."""
 
@@ -104,7 +188,8 @@ def scan(seqs: DataFrame, k: int, left: int = 0, right: int = 0, keep_invalid: b
 def count(seqs: DataFrame, k: int, counted: bool = True) -> DataFrame:
     """Canonical k-mers of each locus; with ``counted`` false they are listed with 0."""
     n = F.count("*") if counted else F.lit(0).cast("long")
-    return scan(seqs, k, canonical=True).groupBy("locus", "kmer").agg(n.alias("cnt"))
+    found = codes(seqs, ["locus"], k).groupBy("locus", "kmer").agg(n.alias("cnt"))
+    return found.select("locus", S.decode(F.col("kmer"), k).alias("kmer"), "cnt")
 
 
 def region(pos: Column, length: Column, k: int, inner: int, outer: int) -> Column:

@@ -61,52 +61,60 @@ def pair_kmer_multiplicity(spark, sf):
 
 @query("SELECT title, locus, m1, m2 FROM hits")
 def locus_hits(spark, sf):
-    return T.hits(spark, sf)
+    m = T.Mapping(spark, sf)
+    return m.titled(m.hits())
 
 
 @query("SELECT title, locus, m1, m2, rank FROM best WHERE rank<=2")
 def top2_loci(spark, sf):
-    return align.best_loci(T.hits(spark, sf), 2)
+    m = T.Mapping(spark, sf)
+    return m.titled(align.best_loci(m.hits(), 2, "pair_id"))
 
 
 @query("SELECT title, locus, m1, m2 FROM asg")
 def locus_assign(spark, sf):
-    return T.assigned(spark, sf)
+    m = T.Mapping(spark, sf)
+    return m.titled(m.assigned())
 
 
 @query("SELECT title, locus, mate, pos, state FROM st")
 def tr_flank_state(spark, sf):
-    return T.states(spark, sf).select("title", "locus", "mate", "pos", "state")
+    m = T.Mapping(spark, sf)
+    return m.titled(m.states().drop("kmer"))
 
 
 @query("SELECT title, locus, mate, nt, bs, n_tr, kept, si, ei FROM seg")
 def tr_segment(spark, sf):
-    return T.segments(spark, sf)
+    m = T.Mapping(spark, sf)
+    return m.titled(m.segments())
 
 
 @query("SELECT st.locus, kmer, count(*) AS cnt FROM st JOIN seg USING (title, mate) WHERE state=2 AND kept GROUP BY ALL")
 def genotype_kmers(spark, sf):
-    states = materialize(T.states(spark, sf), "states")  # read twice
-    return align.genotype(states, align.segment(states))
+    m = T.Mapping(spark, sf)
+    states = materialize(m.states(), "states")  # read twice
+    return T.named(align.genotype(states, m.segments(states), "pair_id"))
 
 
 @query("SELECT locus, count(*) AS nmapread, CAST(sum(ei-si) AS BIGINT) AS kmc FROM seg WHERE kept GROUP BY locus")
 def locus_summary(spark, sf):
-    return align.summary(T.segments(spark, sf))
+    return align.summary(T.Mapping(spark, sf).segments())
 
 
 @query(
     "SELECT sim.title, CAST(split_part(sim.title,':',1) AS BIGINT) AS src, coalesce(CAST(locus AS VARCHAR),'.') AS dst, CAST(length(seq2) AS BIGINT) AS len2, CAST(length(seq1) AS BIGINT) AS len1, seq2, seq1 FROM (SELECT title, seq1, seq2 FROM sim) sim LEFT JOIN (SELECT title, locus FROM asg) USING (title)"
 )
 def kam_records(spark, sf):
-    both = T.sim(spark, sf).select("title", "seq1", "seq2").join(T.assigned(spark, sf).select("title", F.col("locus").alias("dst")), "title", "left")
+    m = T.Mapping(spark, sf)
+    both = m.pairs.join(m.assigned().select("pair_id", F.col("locus").alias("dst")), "pair_id", "left")
     src = F.split("title", ":")[0].cast("long")
     return both.select("title", src.alias("src"), F.coalesce(F.col("dst").cast("string"), F.lit(".")).alias("dst"), F.length("seq2").cast("long").alias("len2"), F.length("seq1").cast("long").alias("len1"), "seq2", "seq1")
 
 
 @query("SELECT '>'||sim.title||':'||asg.locus||'/1' AS title1, seq1, '>'||sim.title||':'||asg.locus||'/2' AS title2, seq2 FROM (SELECT title, seq1, seq2 FROM sim) sim JOIN asg USING (title)")
 def extract_reads(spark, sf):
-    both = T.sim(spark, sf).select("title", "seq1", "seq2").join(T.assigned(spark, sf).select("title", "locus"), "title")
+    m = T.Mapping(spark, sf)
+    both = m.pairs.select("pair_id", "title", "seq1", "seq2").join(m.assigned().select("pair_id", "locus"), "pair_id")
     name = lambda i: F.concat(F.lit(">"), "title", F.lit(":"), F.col("locus").cast("string"), F.lit(f"/{i}"))
     return both.select(name(1).alias("title1"), "seq1", name(2).alias("title2"), "seq2")
 
@@ -115,11 +123,12 @@ def extract_reads(spark, sf):
     f"SELECT (SELECT count(*) FROM sim) AS pairs, (SELECT count(*) FROM (SELECT title FROM hits GROUP BY title)) AS hit, (SELECT count(*) FROM asg) AS assigned, (SELECT count(*) FROM seg) AS mates, (SELECT count(*) FROM seg WHERE kept) AS kept"
 )
 def filter_funnel(spark, sf):
+    m = T.Mapping(spark, sf)
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    segments = T.segments(spark, sf).agg(F.count("*").alias("mates"), F.count_if("kept").alias("kept"))
-    hit = T.hits(spark, sf).agg(F.count_distinct("title").alias("hit"))
+    segments = m.segments().agg(F.count("*").alias("mates"), F.count_if("kept").alias("kept"))
+    hit = m.counts.agg(F.count_distinct("pair_id").alias("hit"))
     # each side is one row
-    return one(T.sim(spark, sf), "pairs").crossJoin(hit).crossJoin(one(T.assigned(spark, sf), "assigned")).crossJoin(segments)
+    return one(m.pairs, "pairs").crossJoin(hit).crossJoin(one(m.assigned(), "assigned")).crossJoin(segments)
 
 
 BAIT = "(SELECT locus, kmer, CAST(1 AS BIGINT) AS mi, max(n) AS ma FROM (SELECT locus, kmer, genome, count(*) AS n FROM sets WHERE kind='tr' GROUP BY ALL) GROUP BY ALL)"
@@ -127,9 +136,10 @@ BAIT = "(SELECT locus, kmer, CAST(1 AS BIGINT) AS mi, max(n) AS ma FROM (SELECT
 
 @query(f"SELECT DISTINCT title FROM (SELECT title, a.locus, mate, kmer, count(*) AS n FROM pk JOIN asg a USING (title) GROUP BY ALL) s JOIN {BAIT} b ON b.locus=s.locus AND b.kmer=s.kmer WHERE s.n<mi OR s.n>ma")
 def bait_filter(spark, sf):
-    n = T.sets(spark, sf).where("kind = 'tr'").groupBy("locus", "kmer", "genome").agg(F.count("*").alias("n"))
+    m = T.Mapping(spark, sf)
+    n = m.sets.where("kind = 'tr'").groupBy("locus", "kmer", "genome").agg(F.count("*").alias("n"))
     bait = n.groupBy("locus", "kmer").agg(F.lit(1).cast("long").alias("mi"), F.max("n").alias("ma"))
-    return align.bait_rejected(T.pk(spark, sf), T.assigned(spark, sf), bait)
+    return m.titled(align.bait_rejected(m.kmers, m.assigned(), bait, "pair_id"))
 
 
 PROFILED = "(SELECT g.genome, a.locus=CAST(split_part(title,':',1) AS BIGINT) AS \"right\", a.locus, title, mate, kmer FROM pk JOIN asg a USING (title) JOIN (SELECT locus, genome FROM seqs) g ON g.locus=CAST(split_part(title,':',1) AS BIGINT))"
@@ -137,22 +147,23 @@ PROFILE = f"(SELECT genome, \"right\", locus, kmer, min(n) AS mi, max(n) AS ma,
 
 
 def _profile(spark, sf):
-    source = F.split("title", ":")[0].cast("long")
-    genomes = T.seqs(spark, sf).select(F.col("locus").alias("src"), "genome")
-    rows = T.pk(spark, sf).join(T.assigned(spark, sf).select("title", "locus"), "title").withColumn("src", source).join(genomes, "src")
-    return profiles.profile(rows.withColumn("right", F.col("src") == F.col("locus")))
+    m = T.Mapping(spark, sf)
+    genomes = T.table(spark, sf, "documents").where("text is not null").select(F.col("doc_id").alias("src"), F.col("source").alias("genome"))
+    sources = m.pairs.select("pair_id", F.col("locus").alias("src")).join(m.assigned().select("pair_id", "locus"), "pair_id").join(genomes, "src")
+    rows = m.kmers.join(sources.withColumn("right", F.col("src") == F.col("locus")).drop("src"), "pair_id")
+    return profiles.profile(rows, "pair_id")
 
 
 @query(f"SELECT genome, \"right\", locus, kmer, mi, ma, round(mean,6) AS mean, round(sd,6) AS sd FROM {PROFILE}")
 def kmer_profile(spark, sf):
-    return _profile(spark, sf).withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
+    return T.named(_profile(spark, sf)).withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
 
 
 @query(
     f"WITH p AS (SELECT * FROM {PROFILE}), w AS (SELECT locus, kmer, min(mean) AS lo, max(mean) AS hi FROM p WHERE NOT \"right\" GROUP BY ALL), b AS (SELECT w.locus, w.kmer, bool_or(coalesce(hi>=mean-2*sd AND lo<=mean+2*sd, false)) AS near, min(mi) AS mi, max(ma) AS ma FROM w LEFT JOIN (SELECT * FROM p WHERE \"right\") r ON r.locus=w.locus AND r.kmer=w.kmer GROUP BY ALL) SELECT locus, kmer, coalesce(mi,255) AS mi, coalesce(ma,0) AS ma FROM b WHERE NOT near"
 )
 def fps_kmers(spark, sf):
-    return profiles.bait(_profile(spark, sf))
+    return T.named(profiles.bait(materialize(_profile(spark, sf), "profile")))  # read twice
 
 
 @query("SELECT e.locus, count(*) AS n FROM edges e WHERE cnt=1 AND NOT EXISTS (SELECT 1 FROM edges f WHERE f.edge=e.edge AND f.locus<>e.locus) GROUP BY e.locus")

@@ -51,11 +51,16 @@ CTE = {
     "mates": "SELECT title, CAST(1 AS BIGINT) AS mate, seq1 AS seq FROM sim UNION ALL SELECT title, CAST(2 AS BIGINT), seq2 FROM sim",
     "pk": f"SELECT title, mate, pos, {ca('kmer')} AS kmer FROM ({_windows('mates', READ_K, 'title, mate')}) WHERE NOT contains(kmer,'N')",
     "mult": "SELECT title, kmer, count(*) FILTER (mate=1) AS n1, count(*) FILTER (mate=2) AS n2 FROM pk GROUP BY ALL",
-    "hits": "SELECT title, locus, CAST(sum(n1) AS BIGINT) AS m1, CAST(sum(n2) AS BIGINT) AS m2 FROM mult JOIN idx USING (kmer) GROUP BY ALL",
+    "ranked": "SELECT title, mate, kmer, row_number() OVER (PARTITION BY title, mate ORDER BY pos)-1 AS i, count(*) OVER (PARTITION BY title, mate) AS n FROM pk",
+    "pre": "SELECT title FROM ranked WHERE i IN (0, n//3, 2*(n//3), n-1) AND kmer IN (SELECT kmer FROM idx) GROUP BY title HAVING count(DISTINCT mate)=2",
+    "passing": f"SELECT title, mate FROM pk WHERE kmer IN (SELECT kmer FROM idx) AND title IN (SELECT title FROM pre) GROUP BY ALL HAVING count(*)>={LEAST}",
+    "good": "SELECT title, mate, pos, kmer FROM pk JOIN passing USING (title, mate)",
+    "multg": "SELECT title, kmer, count(*) FILTER (mate=1) AS n1, count(*) FILTER (mate=2) AS n2 FROM good GROUP BY ALL",
+    "hits": "SELECT title, locus, CAST(sum(n1) AS BIGINT) AS m1, CAST(sum(n2) AS BIGINT) AS m2 FROM multg JOIN idx USING (kmer) GROUP BY ALL",
     "best": "SELECT *, row_number() OVER (PARTITION BY title ORDER BY m1+m2 DESC, locus) AS rank FROM hits",
     "asg": f"SELECT title, locus, m1, m2 FROM best WHERE rank=1 AND ((m1>={LEAST} AND m2>={LEAST}) OR m1+m2>={2 * LEAST})",
     "kinds": "SELECT locus, kmer, max(CASE WHEN kind='fl' THEN 1 ELSE 0 END) AS fl FROM sets GROUP BY ALL",
-    "st": "SELECT title, a.locus, mate, pos, pk.kmer, CAST(CASE WHEN fl=1 THEN 1 WHEN fl=0 THEN 2 ELSE 0 END AS BIGINT) AS state FROM pk JOIN asg a USING (title) LEFT JOIN kinds n ON n.locus=a.locus AND n.kmer=pk.kmer",
+    "st": "SELECT title, a.locus, mate, pos, good.kmer, CAST(CASE WHEN fl=1 THEN 1 WHEN fl=0 THEN 2 ELSE 0 END AS BIGINT) AS state FROM good JOIN asg a USING (title) LEFT JOIN kinds n ON n.locus=a.locus AND n.kmer=good.kmer",
     "st1": "SELECT *, CASE WHEN state>0 THEN state END AS known, last_value(CASE WHEN state>0 THEN state END IGNORE NULLS) OVER w AS before, last_value(CASE WHEN state>0 THEN pos END IGNORE NULLS) OVER w AS seen FROM st WINDOW w AS (PARTITION BY title, mate ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)",
     "st2": "SELECT *, (known IS NOT NULL AND before IS NOT NULL AND known<>before) AS turn, CASE WHEN known IS NOT NULL AND before IS NOT NULL AND known<>before THEN CASE WHEN pos-seen>1 THEN (seen+1+pos)//2 ELSE pos END END AS edge FROM st1",
     "seg0": "SELECT title, locus, mate, count(*) FILTER (turn) AS nt, arg_min(known, CASE WHEN known IS NOT NULL THEN pos END) AS bs, count(*) FILTER (state=2) AS n_tr, min(edge) AS fst, max(edge) AS snd, max(pos)+1 AS nk FROM st2 GROUP BY ALL",
@@ -132,24 +137,50 @@ def pk(spark, sf) -> DataFrame:
     return align.pair_kmers(sim(spark, sf), READ_K)
 
 
-def hits(spark, sf) -> DataFrame:
-    return align.locus_hits(align.multiplicity(pk(spark, sf)), index(spark, sf))
+class Mapping:
+    """Read pairs against the index: each table that is used more than once is written once, k-mers as numbers, pairs by number."""
 
+    def __init__(self, spark, sf):
+        self.pairs = materialize(sim(spark, sf).withColumn("pair_id", F.monotonically_increasing_id()), "pairs")
+        self.kmers = materialize(align.pair_codes(self.pairs, READ_K), "reads")
+        rows = kmers.codes(seqs(spark, sf).withColumn("length", F.length("seq")), ["locus", "genome", "length"], READ_K)
+        self.sets = rows.withColumn("kind", kmers.region(F.col("pos"), F.col("length"), READ_K, INNER, OUTER)).where("kind is not null")
+        flank = F.max(F.when(F.col("kind") == "fl", 1).otherwise(0)).alias("fl")
+        self.kinds = materialize(self.sets.groupBy("locus", "kmer").agg(flank), "kinds")
+        classes = materialize(align.locus_classes(self.kinds), "classes")
+        self.counts = materialize(align.filtered_hits(self.kmers, classes, LEAST), "hits")
+        self.loci = align.class_loci(classes, self.kinds)
 
-def assigned(spark, sf) -> DataFrame:
-    return align.assign(hits(spark, sf), LEAST)
+    def hits(self) -> DataFrame:
+        return align.expanded(self.counts, self.loci)
 
+    def assigned(self) -> DataFrame:
+        """``(pair_id, locus, m1, m2)``, written once."""
+        if not hasattr(self, "_assigned"):
+            self._assigned = materialize(align.assign(self.hits(), LEAST, "pair_id"), "assigned")
+        return self._assigned
 
-def states(spark, sf) -> DataFrame:
-    # reads' k-mers and the index are each used twice, by the assignment and by the states
-    reads, indexed = materialize(pk(spark, sf), "reads"), materialize(sets(spark, sf).select("locus", "kmer", "kind").distinct(), "sets")
-    found = align.locus_hits(align.multiplicity(reads), indexed.select("kmer", "locus").distinct())
-    rows = reads.join(align.assign(found, LEAST).select("title", "locus"), "title")
-    return align.states(rows, indexed)
+    def good(self) -> DataFrame:
+        """The k-mers of assigned pairs' mates that passed the filters, with their locus."""
+        mates = align.kept_mates(self.counts).join(self.assigned().select("pair_id", "locus"), "pair_id")
+        return self.kmers.select("pair_id", "mate", "pos", "kmer").join(mates, ["pair_id", "mate"])
 
+    def states(self) -> DataFrame:
+        known = self.good().join(self.kinds, ["locus", "kmer"], "left")
+        state = F.when(F.col("fl") == 1, 1).when(F.col("fl") == 0, 2).otherwise(0).cast("long")
+        return known.select("pair_id", "locus", "mate", "pos", "kmer", state.alias("state"))
 
-def segments(spark, sf) -> DataFrame:
-    return align.segment(states(spark, sf))
+    def segments(self, states: DataFrame | None = None) -> DataFrame:
+        return align.segment(self.states() if states is None else states, by="pair_id")
+
+    def titled(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with titles in the place of numbers of pairs."""
+        return rows.join(self.pairs.select("pair_id", "title"), "pair_id").select("title", *(c for c in rows.columns if c != "pair_id"))
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """``rows`` with k-mers as text."""
+    return rows.withColumn("kmer", S.decode(F.col("kmer"), READ_K))
 
 
 def geno(spark, sf) -> DataFrame:
