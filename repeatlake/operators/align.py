@@ -76,6 +76,17 @@ def class_loci(classes: DataFrame, index: DataFrame) -> DataFrame:
     return first.join(index.select("kmer", "locus"), "kmer").select("c1", "c2", "locus")
 
 
+def first_of_alike(loci: DataFrame) -> DataFrame:
+    """``loci(c1, c2, locus)`` with only the smallest of the loci that are in the same classes.
+
+    Such loci have the same hits of every pair, and ties go to the smallest, so an
+    assignment needs no other: copies of a locus do not multiply its pairs.
+    """
+    signs = loci.groupBy("locus").agg(F.bit_xor(F.xxhash64("c1", "c2")).alias("s1"), F.bit_xor(F.xxhash64(F.lit("wide"), "c1", "c2")).alias("s2"))
+    first = signs.groupBy("s1", "s2").agg(F.min("locus").alias("locus")).select("locus")
+    return loci.join(first, "locus", "left_semi")
+
+
 def filtered_hits(kmers: DataFrame, classes: DataFrame, least: int, sampled: int = 1) -> DataFrame:
     """``(pair_id, c1, c2, n1, n2)``: k-mers of either mate that each class has, after both filters.
 

@@ -149,7 +149,7 @@ class Mapping:
         self.kinds = materialize(self.sets.groupBy("locus", "kmer").agg(flank), "kinds")
         classes = materialize(align.locus_classes(self.kinds), "classes")
         self.counts = materialize(align.filtered_hits(self.kmers, classes, LEAST), "hits")
-        self.loci = align.class_loci(classes, self.kinds)
+        self.loci = materialize(align.class_loci(classes, self.kinds), "loci")
 
     def hits(self) -> DataFrame:
         return align.expanded(self.counts, self.loci)
@@ -157,7 +157,7 @@ class Mapping:
     def assigned(self) -> DataFrame:
         """``(pair_id, locus, m1, m2)``, written once."""
         if not hasattr(self, "_assigned"):
-            self._assigned = materialize(align.assign(self.hits(), LEAST, "pair_id"), "assigned")
+            self._assigned = materialize(align.assign(align.expanded(self.counts, align.first_of_alike(self.loci)), LEAST, "pair_id"), "assigned")
         return self._assigned
 
     def good(self) -> DataFrame:
