@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
+from repeatlake.plans.storage import materialize
 
 PIECE = 1 << 17  # windows made at a time
 
@@ -271,14 +272,38 @@ def reindex(tables: DataFrame, ok: DataFrame) -> DataFrame:
     return tables.join(kept, "locus").select(F.col("ordinal").alias("locus"), "kmer", "cnt")
 
 
-def rank_present(loci: DataFrame, width: int = 4096) -> DataFrame:
-    """``(locus, ordinal)``: the place of each locus among those there are, from 0; counted by ranges of ``width`` ids."""
-    rows = loci.select("locus").distinct().withColumn("range", F.floor(F.col("locus") / width))
-    sizes = rows.groupBy("range").agg(F.count("*").alias("n"))
-    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range of ids
-    base = sizes.select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    own = F.row_number().over(Window.partitionBy("range").orderBy("locus")) - 1
-    return rows.withColumn("own", own).join(base, "range").select("locus", (F.col("base") + F.col("own")).alias("ordinal"))
+def ranges(rows: DataFrame, column: str, aim: int = 100_000, most: int = 65_536) -> Column:
+    """The range of ``column`` that a row falls into: cut at percentiles, so that ranges hold about as many rows however values lie.
+
+    At most 512 percentiles are taken; between two of them ranges are of equal width.
+    """
+    row = rows.agg(F.count(column).alias("n"), F.percentile_approx(column, [i / 512 for i in range(513)], 4096).alias("p")).first()
+    cuts = sorted(set(row["p"] or [0]))
+    each = max(1, min(most, row["n"] // aim) // max(1, len(cuts) - 1))
+    if row["n"] <= aim:
+        return F.lit(0).cast("long")
+    array = F.array(*(F.lit(float(c)) for c in cuts))
+    at = F.greatest(F.lit(1), F.size(F.filter(array, lambda c: c <= F.col(column).cast("double"))))
+    low, high = F.element_at(array, at), F.coalesce(F.get(array, at), F.element_at(array, at) + 1.0)
+    share = F.floor((F.col(column).cast("double") - low) * each / F.greatest(high - low, F.lit(1e-300)))
+    return ((at - 1) * each + F.least(F.lit(each - 1), F.greatest(F.lit(0), share))).cast("long")
+
+
+def rank_within(rows: DataFrame, group: str, column: str = "locus") -> DataFrame:
+    """``rows`` with ``ordinal``: the place of ``column`` among the rows of its ``group``, from 0; by ranges, then over the ranges."""
+    rows = rows.withColumn("range", ranges(rows, column))
+    sizes = rows.groupBy(group, "range").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(group).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    base = sizes.select(F.col(group).alias("g"), F.col("range").alias("r"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    own = F.row_number().over(Window.partitionBy(group, "range").orderBy(column)) - 1
+    joined = rows.withColumn("own", own).join(base, F.col(group).eqNullSafe(F.col("g")) & (F.col("range") == F.col("r")))
+    return joined.withColumn("ordinal", F.col("base") + F.col("own")).drop("own", "base", "g", "r", "range")
+
+
+def rank_present(loci: DataFrame) -> DataFrame:
+    """``(locus, ordinal)``: the place of each locus among those there are, from 0; counted by ranges of about as many loci each."""
+    rows = loci.select("locus").distinct()
+    return rank_within(rows.withColumn("all_of", F.lit(0)), "all_of").select("locus", "ordinal")
 
 
 def entropy(seqs: DataFrame, k: int) -> DataFrame:
@@ -289,9 +314,10 @@ def entropy(seqs: DataFrame, k: int) -> DataFrame:
     return seen.groupBy("locus").agg((-F.sum(p * F.log2(p))).alias("entropy"))
 
 
-def cumulative(tables: DataFrame, width: int = 4096) -> DataFrame:
+def cumulative(tables: DataFrame) -> DataFrame:
     """``(locus, n, upto)``: k-mers of each locus and of all loci up to it."""
-    own = tables.groupBy("locus").agg(F.count("*").alias("n")).withColumn("range", F.floor(F.col("locus") / width))
+    own = materialize(tables.groupBy("locus").agg(F.count("*").alias("n")), "cumulative")
+    own = own.withColumn("range", ranges(own, "locus"))
     sizes = own.groupBy("range").agg(F.sum("n").alias("m"))
     base = sizes.select("range", F.coalesce(F.sum("m").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     upto = F.sum("n").over(Window.partitionBy("range").orderBy("locus"))

@@ -370,9 +370,16 @@ def eqtl_slope(spark, sf):
     return _tests(spark, sf).select("locus", "gene", "n", F.round("slope", 6).alias("slope"), F.round("se", 6).alias("se"))
 
 
-@query()
+# the share of the area of cos^(n - 3) beyond the angle of t, by Simpson's rule at 401 points each
+ANGLES = f"(SELECT locus, gene, n, atan(abs(r)/sqrt(1-r*r)) AS angle FROM {TESTED} WHERE n>2 AND sx>0 AND sy>0 AND abs(r)<1-1e-9)"
+RULE = "CASE WHEN i IN (0, 400) THEN 1 WHEN i%2=1 THEN 4 ELSE 2 END"
+AREAS = f"(SELECT locus, gene, any_value(angle) AS angle, sum({RULE}*pow(greatest(cos(angle*i/400.0),0), n-3))*any_value(angle) AS below, sum({RULE}*pow(greatest(cos(angle+(pi()/2-angle)*i/400.0),0), n-3))*(pi()/2-any_value(angle)) AS beyond FROM {ANGLES}, unnest(range(0, 401)) AS u(i) GROUP BY locus, gene)"
+
+
+@query(f"SELECT gene, arg_min(locus, (p, locus)) AS locus, count(*) AS tests, round(least(min(p)*count(*), 1.0), 6) AS p FROM (SELECT gene, locus, round(beyond/(below+beyond), 9) AS p FROM {AREAS}) GROUP BY gene")
 def best_tr_per_gene(spark, sf):
-    return predict.best_per_gene(predict.p_values(_tests(spark, sf)))
+    tests = predict.p_values(_tests(spark, sf)).withColumn("p", F.round("p", 9))
+    return predict.best_per_gene(tests).withColumn("p", F.round("p", 6))
 
 
 @query("WITH t AS (SELECT l_orderkey AS o, CAST(l_linenumber AS BIGINT) AS i, (l_extendedprice-900.0)/110000.0 AS p FROM lineitem), r AS (SELECT *, p*count(*) OVER ()/count(*) OVER (ORDER BY p) AS raw FROM t) SELECT o, i, round(least(min(raw) OVER (ORDER BY p DESC),1.0),8) AS q FROM r")
@@ -420,9 +427,14 @@ def _novel(spark, sf):
     return rows.join(shared, "edge", "left_anti"), nodes.join(common, "kmer", "left_semi")
 
 
-@query()
+DIRECTED = f"(SELECT locus, kmer AS edge, count(*) AS cnt FROM ({T._windows('seqs', T.K + 1, 'locus')}) WHERE NOT contains(kmer,'N') GROUP BY ALL)"
+
+
+@query(
+    f"WITH RECURSIVE de AS (SELECT * FROM {DIRECTED}), alone AS (SELECT edge FROM de GROUP BY edge HAVING count(*)=1), common AS (SELECT kmer FROM (SELECT DISTINCT locus, kmer FROM km) GROUP BY kmer HAVING count(*)>1), e AS (SELECT locus, substr(edge,1,{T.K}) AS a, substr(edge,2) AS b, cnt, substr(edge,1,{T.K}) IN (SELECT kmer FROM common) AS starts, substr(edge,2) IN (SELECT kmer FROM common) AS ends FROM de WHERE edge IN (SELECT edge FROM alone) AND substr(edge,1,{T.K})<>substr(edge,2)), r(locus, root, node) AS (SELECT DISTINCT locus, a, a FROM e WHERE starts UNION SELECT r.locus, r.root, e.b FROM r JOIN e ON r.locus=e.locus AND r.node=e.a WHERE NOT e.ends), w AS (SELECT r.locus, r.root, e.a, e.b, e.cnt, e.ends FROM r JOIN e ON r.locus=e.locus AND r.node=e.a), g(locus, root, node) AS (SELECT DISTINCT locus, root, b FROM w WHERE ends UNION SELECT g.locus, g.root, w.a FROM g JOIN w ON w.locus=g.locus AND w.root=g.root AND w.b=g.node), s AS (SELECT locus, root, count(*) AS nodes FROM r GROUP BY ALL), f AS (SELECT w.locus, w.root, count(*) AS reached, count(g.node) AS alive, avg(CASE WHEN g.node IS NOT NULL THEN w.cnt END) AS mean, stddev_pop(CASE WHEN g.node IS NOT NULL THEN w.cnt END) AS sd FROM w LEFT JOIN g ON g.locus=w.locus AND g.root=w.root AND g.node=w.b GROUP BY ALL) SELECT f.locus, f.root, reached, alive, nodes, round(coalesce(mean,0),6) AS mean, round(coalesce(sd,0),6) AS sd FROM f JOIN s USING (locus, root)"
+)
 def bubble_roots(spark, sf):
-    return loci.bubbles(*_novel(spark, sf))
+    return loci.bubbles(*_novel(spark, sf)).withColumn("mean", F.round("mean", 6)).withColumn("sd", F.round("sd", 6))
 
 
 EDGE = "(SELECT e.locus, e.edge, e.cnt, x.n=1 AS novel FROM edges e JOIN (SELECT edge, count(*) AS n FROM edges GROUP BY edge) x USING (edge))"

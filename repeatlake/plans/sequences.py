@@ -56,14 +56,8 @@ def kmers_threshold(spark, sf):
 
 @query("SELECT hap, locus, row_number() OVER (PARTITION BY hap ORDER BY locus)-1 AS ordinal FROM seqs")
 def ortho_rank_map(spark, sf):
-    order = Window.partitionBy("hap").orderBy("locus")
-    return T.seqs(spark, sf).select("hap", "locus", (F.row_number().over(order) - 1).cast("long").alias("ordinal"))
-
-
-@query("SELECT a.locus, a.kmer, a.cnt AS n, b.cnt AS listed FROM counts a JOIN (SELECT locus, kmer, CAST(0 AS BIGINT) AS cnt FROM counts) b ON a.locus=b.locus AND a.kmer=b.kmer")
-def zip_counts_with_index(spark, sf):
-    listed = kmers.count(T.seqs(spark, sf), K, counted=False).select("locus", "kmer", F.col("cnt").alias("listed"))
-    return T.counts(spark, sf).withColumnRenamed("cnt", "n").join(listed, ["locus", "kmer"])
+    loci = T.table(spark, sf, "documents").where("text is not null").select(F.col("lang").alias("hap"), F.col("doc_id").alias("locus"))
+    return kmers.rank_within(loci, "hap").select("hap", "locus", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 FIRST = f"(SELECT locus, substr(seq,1,{K}) AS kmer FROM seqs WHERE regexp_matches(substr(seq,1,{K}), '^[ACGT]{{{K}}}$'))"

@@ -89,6 +89,8 @@ def sql(body: str) -> str:
     extra = ", ".join(f"{n} AS ({CTE[n]})" for n in need)
     if not extra:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {extra}, " + body[15:]
     return f"WITH {extra}, " + body[5:] if body.startswith("WITH ") else f"WITH {extra} {body}"
 
 

@@ -3,10 +3,10 @@
 import numpy as np
 import pytest
 
-from repeatlake.plans import reads, sequences
+from repeatlake.plans import formats, reads, sequences
 
-QUERIES = {**sequences.QUERIES, **reads.QUERIES}
-SQL = {**sequences.SQL, **reads.SQL}
+QUERIES = {**sequences.QUERIES, **reads.QUERIES, **formats.QUERIES}
+SQL = {**sequences.SQL, **reads.SQL, **formats.SQL}
 
 
 def plain(frame):
