@@ -122,12 +122,19 @@ def fit_vocabulary(counts: DataFrame, frequent: int | None = None) -> Vocabulary
     return Vocabulary(known, rare, buckets)
 
 
-def _norm(z: np.ndarray, most: float) -> np.ndarray:
-    """The logarithm of the sum of each row's exponentials; ``most`` bounds their size, so that nothing has to be taken off first."""
-    if most < 60:
-        return np.log(np.exp(z).sum(axis=1))
-    top = z.max(axis=1, keepdims=True)
-    return np.log(np.exp(z - top).sum(axis=1)) + top[:, 0]
+def _exponentials(z: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray | float]:
+    """Puts each row's exponentials in its place; their sum, and what was taken off before: nothing where ``most``, a bound of their size, is small."""
+    top: np.ndarray | float = 0.0
+    if most >= 60:
+        top = z.max(axis=1)
+        z -= top[:, None]
+    np.exp(z, out=z)
+    return z @ np.ones(z.shape[1], z.dtype), top
+
+
+def _order(ids: np.ndarray, most: int) -> np.ndarray:
+    """A stable order of numbers up to ``most``; short ones are sorted by their digits."""
+    return np.argsort(ids.astype(np.uint16) if most < 1 << 16 else ids, kind="stable")
 
 
 class Network:
@@ -146,54 +153,80 @@ class Network:
         n = len(padded) - 2 * SIDE
         return [padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE]
 
+    def hidden(self, near: list[np.ndarray]) -> np.ndarray:
+        *tables, bias, _, _, _ = self.params
+        hidden = tables[0].take(near[0], axis=0)
+        for table, ids in zip(tables[1:], near[1:]):
+            hidden += table.take(ids, axis=0)
+        hidden += bias
+        return np.tanh(hidden, out=hidden)
+
+    def odds(self, hidden: np.ndarray) -> tuple[np.ndarray, float]:
+        """The log odds of classes and a bound of their size."""
+        out, base = self.params[2 * SIDE + 1], self.params[2 * SIDE + 2]
+        z = hidden @ out
+        z += base
+        return z, float((np.abs(out).sum(axis=0) + np.abs(base)).max(initial=0))  # no unit is over 1
+
     def forward(self, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The hidden layer, the log odds of classes, and the logarithms of their sums."""
-        *tables, bias, out, base, _ = self.params
-        hidden = bias + tables[0][near[0]]
-        for table, ids in zip(tables[1:], near[1:]):
-            hidden += table[ids]
-        np.tanh(hidden, out=hidden)
-        z = hidden @ out + base
-        return hidden, z, _norm(z, float((np.abs(out).sum(axis=0) + np.abs(base)).max(initial=0)))  # no unit is over 1
+        hidden = self.hidden(near)
+        z, most = self.odds(hidden)
+        total, top = _exponentials(z.copy(), most)
+        return hidden, z, np.log(total) + top
+
+    def inside(self, hidden: np.ndarray, target: np.ndarray):
+        """Of each class among targets that are in the order of their classes: its range of places, the range of its rows, their tokens within it, log odds and a bound of their size. The log odds stay until the next class."""
+        kind, place, first, own = self.words.classes[target], self.words.place[target], self.words.first, self.params[-1]
+        most = float((np.abs(own) @ np.ones(HIDDEN, np.float32) + np.abs(self.words.inside)).max(initial=0))
+        starts = np.flatnonzero(np.diff(kind, prepend=-1))
+        ends, lows, highs = np.append(starts[1:], len(kind)), first[kind[starts]], first[kind[starts] + 1]
+        room = np.empty(((ends - starts) * (highs - lows)).max(initial=0), np.float32)
+        for start, end, lo, hi in zip(starts, ends, lows, highs):
+            z = np.matmul(hidden[start:end], own[lo:hi].T, out=room[: (end - start) * (hi - lo)].reshape(end - start, hi - lo))
+            z += self.words.inside[lo:hi]
+            yield lo, hi, slice(start, end), place[start:end] - lo, z, most
 
     def by_class(self, hidden: np.ndarray, target: np.ndarray):
         """Of each class among the targets: its range of places, its rows, their tokens within it, log odds and the logarithms of their sums."""
-        kind, place, first, own = self.words.classes[target], self.words.place[target], self.words.first, self.params[-1]
-        order = np.argsort(kind, kind="stable")
-        cuts = np.flatnonzero(np.diff(kind[order], prepend=-1))
-        for rows in np.split(order, cuts[1:]) if len(order) else ():
-            lo, hi = first[kind[rows[0]]], first[kind[rows[0]] + 1]
-            z = hidden[rows] @ own[lo:hi].T + self.words.inside[lo:hi]
-            yield lo, hi, rows, place[rows] - lo, z, _norm(z, float((np.abs(own[lo:hi]).sum(axis=1) + np.abs(self.words.inside[lo:hi])).max(initial=0)))
+        order = _order(self.words.classes[target], self.words.kinds)
+        for lo, hi, rows, at, z, most in self.inside(hidden.take(order, axis=0), target[order]):
+            odds = z.copy()
+            total, top = _exponentials(z, most)
+            yield lo, hi, order[rows], at, odds, np.log(total) + top
 
     def squares(self) -> list[np.ndarray]:
         return [np.full(p.shape[:1] if k < 2 * SIDE or k == len(self.params) - 1 else p.shape, 1e-3, np.float32) for k, p in enumerate(self.params)]
 
     def step(self, ids: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
         """One step of Adagrad on the cross-entropy of classes and of tokens inside them."""
-        hidden, err, norm = self.forward(list(ids))
-        err = np.exp(err - norm[:, None])
-        err[np.arange(len(target)), self.words.classes[target]] -= 1
-        err /= len(target)
+        order, n = _order(self.words.classes[target], self.words.kinds), len(target)
+        ids, target = ids[:, order], target[order]
+        hidden = self.hidden(list(ids))
+        err, most = self.odds(hidden)
+        total, _ = _exponentials(err, most)
+        err *= (1 / (n * total))[:, None]
+        err[np.arange(n), self.words.classes[target]] -= 1 / n
         back, own = err @ self.params[2 * SIDE + 1].T, self.params[-1]
-        for lo, hi, rows, at, z, norm in self.by_class(hidden, target):
-            e = np.exp(z - norm[:, None])
-            e[np.arange(len(rows)), at] -= 1
-            e /= len(target)
+        for lo, hi, rows, at, e, most in self.inside(hidden, target):
+            total, _ = _exponentials(e, most)
+            e *= (1 / (n * total))[:, None]
+            e[np.arange(len(at)), at] -= 1 / n
             back[rows] += e @ own[lo:hi]
             grad = e.T @ hidden[rows]
-            squares[-1][lo:hi] += (grad**2).mean(axis=1)
-            own[lo:hi] -= rate * grad / np.sqrt(squares[-1][lo:hi])[:, None]
+            squares[-1][lo:hi] += np.einsum("ij,ij->i", grad, grad) / HIDDEN
+            own[lo:hi] -= grad * (rate / np.sqrt(squares[-1][lo:hi]))[:, None]
         back *= 1 - hidden**2
         for k, grad in ((2 * SIDE, back.sum(axis=0)), (2 * SIDE + 1, hidden.T @ err), (2 * SIDE + 2, err.sum(axis=0))):
             squares[k] += grad**2
             self.params[k] -= rate * grad / np.sqrt(squares[k])
         for k in range(2 * SIDE):
-            order = np.argsort(ids[k], kind="stable")
-            starts = np.flatnonzero(np.diff(ids[k][order], prepend=-1))
-            rows, grad = ids[k][order[starts]], np.add.reduceat(back[order], starts)
-            squares[k][rows] += (grad**2).mean(axis=1)
-            self.params[k][rows] -= rate * grad / np.sqrt(squares[k][rows])[:, None]
+            order = _order(ids[k], self.pad)
+            near = ids[k][order]
+            starts = np.flatnonzero(np.diff(near, prepend=-1))
+            rows, grad = near[starts], np.add.reduceat(back.take(order, axis=0), starts)
+            squares[k][rows] += np.einsum("ij,ij->i", grad, grad) / HIDDEN
+            self.params[k][rows] -= grad * (rate / np.sqrt(squares[k][rows]))[:, None]
 
     def fit(self, padded: np.ndarray, epochs: int = 2, batch: int = 2048, rate: float = 0.15, seed: int = 6) -> None:
         """Steps over all tokens of one sequence, shuffled."""
@@ -211,12 +244,19 @@ class Network:
         for at in range(0, n, PIECE):
             part = padded[at : min(at + PIECE, n) + 2 * SIDE]
             target = part[SIDE : len(part) - SIDE]
-            real = np.flatnonzero(target != self.pad)
-            goal, got = target[real], np.zeros(len(target))
-            hidden, z, norm = self.forward([w[real] for w in self.windows(part)])
-            got[real] = z[np.arange(len(real)), self.words.classes[goal]] - norm - self.words.shared[goal]
-            for _, _, rows, k, z, norm in self.by_class(hidden, goal):
-                got[real[rows]] += z[np.arange(len(rows)), k] - norm
+            real, got = np.flatnonzero(target != self.pad), np.zeros(len(target))
+            real = real[_order(self.words.classes[target[real]], self.words.kinds)]
+            goal = target[real]
+            hidden = self.hidden([w[real] for w in self.windows(part)])
+            z, most = self.odds(hidden)
+            sure = z[np.arange(len(real)), self.words.classes[goal]] - self.words.shared[goal]
+            total, top = _exponentials(z, most)
+            sure -= np.log(total) + top
+            for _, _, rows, at, z, most in self.inside(hidden, goal):
+                sure[rows] += z[np.arange(len(at)), at]
+                total, top = _exponentials(z, most)
+                sure[rows] -= np.log(total) + top
+            got[real] = sure
             out.append(got)
         return np.concatenate(out) if out else np.zeros(0)
 
