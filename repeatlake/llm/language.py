@@ -42,21 +42,31 @@ LEAST = 0.5  # under it no language has most of the evidence
 UNKNOWN = "und"
 
 
-def _ranges(kinds: str) -> str:
-    """A character class of all code points whose Unicode category begins with one of ``kinds``."""
+def _ranges(kinds: str, first: int, last: int) -> str:
+    """A character class of the code points from ``first`` to ``last`` whose Unicode category begins with one of ``kinds``."""
     out, start = [], None
-    for point in range(sys.maxunicode + 2):
-        inside = point <= sys.maxunicode and unicodedata.category(chr(point))[0] in kinds
+    for point in range(first, last + 2):
+        inside = point <= last and unicodedata.category(chr(point))[0] in kinds
         if inside and start is None:
             start = point
         elif not inside and start is not None:
             out.append(f"{re.escape(chr(start))}-{re.escape(chr(point - 1))}")
             start = None
-    return "".join(out)
+    return f"[{''.join(out)}]"
 
 
-#: Words begin with a letter (not with what merely counts as a word character, such as a superscript) and hold letters and marks.
-WORD = re.compile(f"[{_ranges('L')}][{_ranges('LM')}]*")
+def _words() -> re.Pattern:
+    """Words begin with a letter (not with what merely counts as a word character, such as a superscript) and hold letters and marks.
+
+    Classes within the first 65,536 code points are looked up, others are gone
+    through range by range, so these are tried only where such a code point is.
+    """
+    low, high, is_high = (0, 0xFFFF), (0x10000, sys.maxunicode), "(?=[\U00010000-\U0010ffff])"
+    letter, more = ((_ranges(k, *low), is_high + _ranges(k, *high)) for k in ("L", "LM"))
+    return re.compile(f"(?:{letter[0]}|{letter[1]})(?:{more[0]}++|{more[1]})*+")
+
+
+WORD = _words()
 
 
 class Model:
