@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from repeatlake.llm import bpe, codes, digests, divergence, embeddings, extraction, language, packing, scoring, simhash, tokens, toxicity
+from repeatlake.llm import bpe, codes, digests, divergence, embeddings, extraction, language, packing, privacy, scoring, simhash, tokens, toxicity
 
 QUERIES = {
     "op1_html_extraction": extraction.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_best_fit_packing": packing.query,
     "op10_bpe_round_trip": bpe.query,
     "op11_source_divergence": divergence.query,
+    "op12_private_terms": privacy.query,
     "op13_vector_codes": codes.query,
 }
 
@@ -42,4 +43,4 @@ SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id =
 FROM components LEFT JOIN many USING (vec_id)
 """
 
-ORACLE_SQL: dict[str, str] = {"op5_embedding_near_dedup": OP5, "op11_source_divergence": divergence.SQL, "op13_vector_codes": codes.oracle()}
+ORACLE_SQL: dict[str, str] = {"op5_embedding_near_dedup": OP5, "op11_source_divergence": divergence.SQL, "op12_private_terms": privacy.SQL, "op13_vector_codes": codes.oracle()}
