@@ -14,11 +14,12 @@ anywhere and ``n(e, t)`` with ``t`` beside ``e``, the term tells ``PMI(e, t) = l
 of the ``IC(e) = ln(N / n(e))`` that there is to tell. Their ratio is the share
 disclosed, 1 where the term occurs beside ``e`` only. Terms that disclose at least ``REMOVED``
 of any entity are removed wherever they occur, those of at least ``GENERALISED``
-are made general. Evidence has to come from ``CONTEXTS`` different surroundings: copies of
-a document have the same ones, so copying a text does not make its words telling.
+are made general. Evidence has to come from ``CONTEXTS`` different surroundings, and two
+surroundings of an entity may have at most half their terms in common on average: so
+copying a text, exactly or nearly, does not make its words telling.
 
-Whole documents are read three times and never shuffled, except those that hold
-a disclosing term. Evidence is at most ``2 WINDOW`` terms an entity found and is
+Whole documents are read four times at most and not shuffled, unless more than
+``HOLDERS`` different texts hold a disclosing term. Evidence is at most ``2 WINDOW`` terms an entity found and is
 added up before it is shuffled, so an entity or a term that many documents hold is no hot key.
 
 Cases: null text is empty and has no spans. Repeated rows are documents of their own; copies of a text
@@ -53,6 +54,7 @@ QUICK = {
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 WORD, BETWEEN = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW, CONTEXTS, REMOVED, GENERALISED = 8, 3, 0.9, 0.75
+HOLDERS = 100_000  # texts that hold a telling term: up to so many, and 64 code points of terms for each, are broadcast so that no text is shuffled
 SPAN = "array<struct<start:bigint,stop:bigint,hit:string>>"
 CUT = "\x01"  # in no address, number or word
 
@@ -158,7 +160,8 @@ def base_rows(docs: DataFrame) -> DataFrame:
     """``(doc_id, k1, k2, <kind>, evidence)``: spans ``(start, stop)`` of each kind, and what their surroundings are evidence of.
 
     Evidence is text: ``entity, term, surroundings`` with ``CUT`` between them,
-    each once a document; then ``entity, term``; then ``entity``.
+    each once a document; then ``entity, term``; then ``entity``, with all its
+    ``surroundings``; then ``term`` beside any entity.
     """
     wide = docs.select("doc_id", *keys(F.col("text")), *(base(F.col("text"), kind, ends).alias(kind) for kind in KINDS))
 
@@ -166,8 +169,10 @@ def base_rows(docs: DataFrame) -> DataFrame:
         def each(s: Column) -> Column:
             around = F.concat(s["before"]["last"], s["after"]["first"])
             name = entity(kind, s["hit"])
-            said = lambda pair: F.flatten(F.transform(F.array_distinct(pair["around"]), lambda t: F.array(F.concat_ws(CUT, pair["name"], t, pair["place"]), F.concat_ws(CUT, pair["name"], t))))
-            return F.concat(F.array(name), let(F.struct(around.alias("around"), name.alias("name"), F.hex(F.xxhash64(around)).alias("place")), said))
+            ways = lambda pair, t: F.array(F.concat_ws(CUT, pair["name"], t, pair["place"]), F.concat_ws(CUT, pair["name"], t), F.concat_ws(CUT, F.lit(""), t))
+            said = lambda pair: F.flatten(F.transform(F.array_distinct(pair["around"]), lambda t: ways(pair, t)))
+            place = F.hex(F.xxhash64(around))
+            return F.concat(F.array(name, F.concat_ws(CUT, name, F.lit(""), place)), let(F.struct(around.alias("around"), name.alias("name"), place.alias("place")), said))
 
         return F.coalesce(F.flatten(F.transform(kind, each)), F.array().cast("array<string>"))
 
@@ -179,18 +184,29 @@ def disclosing(docs: DataFrame, rows: DataFrame, contexts: int = CONTEXTS, least
     """``(term, share)`` of the terms that disclose at least ``least`` of an entity; None if no term has evidence enough."""
     said = rows.select(F.explode("evidence").alias("said")).groupBy("said").agg(F.count("*").alias("n"))
     part = F.split("said", CUT)
-    said = said.select(part[0].alias("entity"), F.get(part, F.lit(1)).alias("term"), F.get(part, F.lit(2)).alias("place"), "n")
+    said = said.select(part[0].alias("entity"), F.nullif(F.get(part, F.lit(1)), F.lit("")).alias("term"), F.get(part, F.lit(2)).alias("place"), "n")
     said = said.groupBy("entity", "term").agg(F.sum(F.when(F.col("place").isNull(), F.col("n"))).alias("n"), F.count("place").alias("contexts"))
-    said = materialize(said.where((F.col("contexts") >= contexts) | F.col("term").isNull()), "private-evidence")
-    terms = said.where("term is not null").select("entity", "term", F.col("n").alias("n_both"))
-    wanted = materialize(terms.select("term").distinct(), "private-terms")
-    if wanted.isEmpty():
+    said = materialize(said, "private-evidence")
+    total = F.lit(float(rows.count()))
+    both = said.where("entity <> '' and term is not null")
+    # of two of an entity's surroundings, what share of the terms do they have in common? Over half: they are copies
+    alike = both.groupBy("entity").agg(F.sum("contexts").alias("held"), F.sum(F.col("contexts") * (F.col("contexts") - 1)).alias("met"))
+    entities = said.where("term is null").select("entity", F.col("n").alias("n_entity"), F.col("contexts").alias("places")).where((F.col("n_entity") < total) & (F.col("places") >= contexts))
+    entities = entities.join(alike, "entity").where("2 * met <= (places - 1) * held").select("entity", "n_entity")
+    beside = said.where("entity = ''").select("term", F.col("n").alias("n_beside"))
+    terms = both.where(F.col("contexts") >= contexts).select("entity", "term", F.col("n").alias("n_both")).join(entities, "entity").join(beside, "term")
+
+    def share(n_term: str) -> Column:
+        pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col(n_term)) * total / F.col("n_entity"))
+        return pmi / F.log(total / F.col("n_entity"))
+
+    # a term is in at least the documents that have it beside any entity: what that rules out need not be counted
+    terms = materialize(terms.where(share("n_beside") >= least - 1e-9), "private-terms")
+    if terms.isEmpty():
         return None
-    entities = said.where("term is null").select("entity", F.col("n").alias("n_entity"))
+    wanted = terms.select("term").distinct()
     held = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(wanted, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    total = F.lit(float(rows.count()))
-    pmi = F.log(F.least(F.lit(1.0), F.col("n_both") / F.col("n_term")) * total / F.col("n_entity"))
-    shares = terms.join(entities, "entity").join(held, "term").where(F.col("n_entity") < total).select("term", (pmi / F.log(total / F.col("n_entity"))).alias("share"))
+    shares = terms.join(held, "term").select("term", share("n_term").alias("share"))
     return materialize(shares.where(F.col("share") >= least).groupBy("term").agg(F.max("share").alias("share")), "private-shares")
 
 
@@ -198,7 +214,10 @@ def term_spans(docs: DataFrame, shares: DataFrame) -> DataFrame:
     """``(k1, k2, term, removed)`` of the texts that hold a disclosing term: the spans of all such terms outside base spans, and of those to be removed."""
     some = docs.select(*keys(F.col("text")), F.explode(F.array_distinct(words(F.col("text")))).alias("term")).join(shares, "term")
     some = some.groupBy("k1", "k2").agg(F.collect_set("term").alias("terms"), F.collect_set(F.when(F.col("share") >= REMOVED, F.col("term"))).alias("gone"))  # at most a document's own words
-    texts = docs.select(*keys(F.col("text")), "text").join(some, ["k1", "k2"])
+    some = materialize(some, "private-holders")
+    size = some.agg(F.count("*").alias("n"), F.sum(F.length(F.array_join("terms", " "))).alias("chars")).first()
+    small = size["n"] <= HOLDERS and (size["chars"] or 0) <= 64 * HOLDERS
+    texts = docs.select(*keys(F.col("text")), "text").join(F.broadcast(some) if small else some, ["k1", "k2"])
     own = F.filter(located(F.col("text"), WORD), lambda s: F.array_contains(F.col("terms"), F.lower(s["hit"])))
     taken = F.concat(*(F.coalesce(base(F.col("text"), kind), F.array().cast(SPAN)) for kind in KINDS))
     rows = texts.select("k1", "k2", "gone", own.alias("own"), taken.alias("taken"))
@@ -278,8 +297,12 @@ WITH docs AS MATERIALIZED (
     WHEN 'phone' THEN length(d) BETWEEN 9 AND 15 ELSE true END
 ), beside AS MATERIALIZED (
   SELECT r, entity, around, unnest(around) AS term FROM base
+), both_ AS MATERIALIZED (
+  SELECT entity, term, count(DISTINCT r) AS n_both, count(DISTINCT around) AS c FROM beside GROUP BY ALL
+), apart AS (
+  SELECT entity FROM both_ JOIN (SELECT entity, count(DISTINCT around) AS places FROM base GROUP BY ALL) USING (entity) GROUP BY entity HAVING 2 * sum(c * (c - 1)) <= (max(places) - 1) * sum(c)
 ), terms AS (
-  SELECT entity, term, count(DISTINCT r) AS n_both FROM beside GROUP BY ALL HAVING count(DISTINCT around) >= {CONTEXTS}
+  SELECT entity, term, n_both FROM both_ WHERE c >= {CONTEXTS} AND entity IN (SELECT entity FROM apart)
 ), held AS (
   SELECT term, count(*) AS n_term FROM (SELECT unnest(list_distinct({_WORDS.format(of="text")})) AS term FROM docs) WHERE term IN (SELECT term FROM terms) GROUP BY term
 ), shares AS (

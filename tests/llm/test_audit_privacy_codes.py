@@ -153,12 +153,17 @@ def test_private_spans_of_long_runs(spark):
 def telling():
     """A name beside one address in four different surroundings, and once elsewhere; common words; copies of one text."""
     rng = random.Random(8)
-    common = "of the and to in is was for on with as by at from it an be this which or".split()
+    common = "of the and to in is was for on with as by at from it an be this which or".split() + [f"w{c}{d}" for c in "abcdef" for d in "abcdefgh"]
     some = lambda k: " ".join(rng.choices(common, k=k))
     rows = [some(rng.randint(5, 30)) for _ in range(200)]
     rows += [f"{some(3)} Zaphod é {some(4)} Zaphod@mail.example.com {some(9)}, ask Trillian {some(2)}" for _ in range(4)]
     rows += [f"{some(30)} zaphod. {some(3)} 😀 TRILLIAN", "call +1 (988) 555-2485 Marvin " + some(9), "so Zaphod@x.example.org " + some(4)]
     rows += [f"{some(8)} Arthur 10.0.0.7 {some(8)}"] * 7
+    near = some(16).split()
+    for k in range(9):  # near copies around one number
+        words = [*near]
+        words[k], words[15 - k // 3] = f"edit{'abcdefghi'[k]}", some(1)
+        rows.append(" ".join([*words[:8], "Ford 10.9.8.7", *words[8:]]))
     return [*rows, None, ""]
 
 
@@ -170,7 +175,7 @@ def test_telling_terms(spark, tmp_path):
     spans = dict(zip(got.doc_id, got.spans))
     assert all("term:" in spans[i] for i in range(200, 205)) and not any("term:" in spans[i] for i in range(200))
     named = {texts[i][int(a) : int(b)].lower() for i in range(200, 205) for kind, a, b in (s.split(":") for s in spans[i].split(",")) if kind == "term"}
-    assert named == {"zaphod"}  # ``trillian`` is further away; copies of one text make ``arthur`` no more telling
+    assert named == {"zaphod"}  # ``trillian`` is further away; copies, exact or near, make ``arthur`` and ``ford`` no more telling
     clean = {r.doc_id: r.text for r in privacy.sanitised(docs(spark, [(i, t, "", "") for i, t in enumerate(texts)])).collect()}
     assert "Zaphod" not in clean[200] and "[EMAIL]" in clean[200] and "[PHONE] Marvin" in clean[205] and clean[3] == texts[3] and clean[len(texts) - 2] == ""
     digest = hashlib.sha256(",".join(s for s in spans[200].split(",") if "term" not in s).encode()).hexdigest()
