@@ -5,10 +5,14 @@ half the square root of the number of vectors, and for the residuals of their
 members one codebook in each subspace. Every vector is listed in its cell with
 a code in each subspace and the length of what the codes leave over. It looks
 for its links in the list of its own cell and of all cells of higher numbers
-that a vector within the angle could well be in: those whose score is behind the
-best by less than ``REACH`` standard errors of the difference that a step of
-that length in a random direction makes. The pair is met once, from the side of
-the lower cell. In a list, asymmetric distances are sums of looked-up dot
+that a vector within the angle could be in. A step within the angle changes the
+difference of two cells' scores by at most ``sin(angle)`` times their distance,
+which is what ``exact=True`` probes by, and loses nothing. Without it the reach is cut
+to ``REACH`` standard errors where that is less: on the sample, how much of a
+step between neighbours, and of what members differ from their cell's mean, lies along the
+directions to the cells around is measured for each cell, so that vectors near
+a subspace of few dimensions get the wider reach that they need. The pair is met once, from
+the side of the lower cell. In a list, asymmetric distances are sums of looked-up dot
 products; the leftover length bounds their error, so what is sorted out is
 certainly too far.
 
@@ -50,7 +54,7 @@ from repeatlake.plans.storage import materialize
 COSINE = 0.95
 SAMPLE, MEMBERS = 8192, 16  # vectors that the index is fitted on, or so many for each cell if that is more
 CODES = 64
-REACH = 2.5
+REACH, AROUND = 4.0, 8  # standard errors of a step; cells around one, along whose directions steps are measured
 SLACK = 1e-4
 LIST_TILE, QUERY_TILE = 2048, 8192
 CHUNK = 1024
@@ -98,14 +102,36 @@ def cells_for(vectors: int) -> int:
 class Index:
     """Cells and codebooks: what grows with the square root of the table, and the vectors' length."""
 
-    def __init__(self, sample: np.ndarray, cosine: float = COSINE, cells: int | None = None, seed: int = 7):
+    def __init__(self, sample: np.ndarray, cosine: float = COSINE, cells: int | None = None, seed: int = 7, exact: bool = False):
         rng, self.dim, self.cosine = np.random.default_rng(seed), sample.shape[1], cosine
-        self.step = math.sqrt(2 - 2 * cosine)
+        self.most = math.sqrt(max(0.0, 1 - cosine * cosine)) if cosine > 0 else 1.0
         self.subspaces = next(m for m in (8, 4, 2, 1) if self.dim % m == 0)
         self.cells = _kmeans(sample, max(1, min(cells or cells_for(len(sample)), len(sample) // MEMBERS)), 8, rng, unit=True)
         at = np.concatenate([(sample[i : i + CHUNK] @ self.cells.T).argmax(axis=1) for i in range(0, len(sample), CHUNK)])
+        self.reach = np.full(len(self.cells), np.inf) if exact else REACH * math.sqrt(2 - 2 * cosine) * self._spread(sample, at)
         self.books = [_kmeans(part, CODES, 6, rng, unit=False) for part in np.split(sample - self.cells[at], self.subspaces, axis=1)]
 
+    def _spread(self, sample: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of each cell the standard deviation of unit steps along the directions to the cells around it, at least that of random directions."""
+        out = np.full(len(self.cells), 1 / math.sqrt(self.dim))
+        order = np.argsort(at, kind="stable")
+        cuts = np.searchsorted(at[order], np.arange(len(self.cells) + 1))
+        for c in range(len(self.cells)):
+            own, away = sample[order[cuts[c] : cuts[c + 1]]], self.cells - self.cells[c]
+            gap = np.linalg.norm(away, axis=1)
+            near = np.argsort(np.where(gap > 0, gap, np.inf), kind="stable")[: min(AROUND, int((gap > 0).sum()))]
+            if len(own) < 3 or not len(near):
+                continue
+            toward = away[near] / gap[near][:, None]
+            alike = own @ own.T
+            np.fill_diagonal(alike, -2)
+            for steps in (own - own[alike.argmax(axis=1)], own - own.mean(axis=0)):
+                length = (steps * steps).sum(axis=1)
+                steps, length = steps[length > 1e-12], length[length > 1e-12]
+                if len(steps) > 2:
+                    out[c] = max(out[c], math.sqrt(((steps @ toward.T) ** 2 / length[:, None]).mean()))
+        return out
+
     def code(self, x: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Of unit vectors of known cells the codes, and the length of what is left over."""
         rest = x - self.cells[cell]
@@ -122,7 +148,7 @@ class Index:
             score = x[at : at + CHUNK] @ self.cells.T
             best = score.argmax(axis=1)
             apart = np.sqrt(np.maximum(0, 2 - 2 * (self.cells[best] @ self.cells.T)))
-            reach = REACH * self.step * apart / math.sqrt(self.dim)
+            reach = np.minimum(self.most, np.maximum(self.reach[best][:, None], self.reach[None, :])) * apart + 1e-9
             near = (score >= score[np.arange(len(best)), best][:, None] - reach) & (np.arange(len(self.cells)) > best[:, None])
             i, j = np.nonzero(near)
             cell.append(best)
@@ -154,7 +180,8 @@ def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "emb
 
     Vectors are told apart by 128 bits of hashes of all their components.
     """
-    rows = embeddings.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast("array<float>").alias("vector"))
+    kind = "array<double>" if dict(embeddings.dtypes).get(vector) != "array<float>" else "array<float>"
+    rows = embeddings.select(F.col(id_column).cast("long").alias("vec_id"), F.col(vector).cast(kind).alias("vector"))
     rows = rows.withColumn("vector", F.when(F.col("vec_id").isNotNull() & sound(F.col("vector")), F.col("vector")))
     rows = rows.withColumn("h1", F.when(F.col("vector").isNotNull(), F.xxhash64("vector"))).withColumn("h2", F.when(F.col("vector").isNotNull(), F.xxhash64(F.lit("wide"), "vector")))
 
@@ -164,7 +191,7 @@ def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "emb
             packed: list = [None] * len(batch)
             for dim in np.unique(many):
                 at = np.flatnonzero(many == dim)
-                for k, p in zip(at, _packed(_unit(np.asarray(batch.column(3).take(pa.array(at)).flatten(), np.float32).reshape(-1, dim)))):
+                for k, p in zip(at, _packed(_unit(np.asarray(batch.column(3).take(pa.array(at)).flatten(), np.float64).reshape(-1, dim)))):
                     packed[k] = p
             yield {"vec_id": batch.column(0), "h1": batch.column(1), "h2": batch.column(2), "dim": many, "packed": packed}
 
@@ -176,11 +203,11 @@ def entries(embeddings: DataFrame, id_column: str = "vec_id", vector: str = "emb
     return rows, reps, [(r["dim"], r["count"]) for r in reps.groupBy("dim").count().orderBy("dim").collect()]
 
 
-def fit(reps: DataFrame, dim: int, many: int, cosine: float = COSINE) -> Index:
+def fit(reps: DataFrame, dim: int, many: int, cosine: float = COSINE, exact: bool = False) -> Index:
     """An index fitted on a sample of the ``many`` distinct vectors, chosen by a hash of their ids."""
     cells = cells_for(many)
     got = first_by_hash(reps.select("rep", "packed"), max(SAMPLE, MEMBERS * cells), "rep").collect()
-    return Index(_unit(_unpacked([bytes(r["packed"]) for r in got], dim)[0]), cosine, cells)
+    return Index(_unit(_unpacked([bytes(r["packed"]) for r in got], dim)[0]), cosine, cells, exact=exact)
 
 
 FIRST, SECOND, QUERY = 0, 1, 2  # parts of a tile: listed, listed in another tile of the cell, and queries of other cells
@@ -291,13 +318,13 @@ def reranked(pairs: DataFrame, rows: DataFrame, cosine: float) -> DataFrame:
     return both.where(dot("x", "y") / F.sqrt(dot("x", "x") * dot("y", "y")) >= cosine).select("a", "b")
 
 
-def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """``(vec_id, n_links, component_id, kept)`` of every row."""
+def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_column: str = "vec_id", vector: str = "embedding", exact: bool = False) -> DataFrame:
+    """``(vec_id, n_links, component_id, kept)`` of every row; ``exact`` probes every list that may hold a link."""
     rows, reps, lengths = entries(embeddings, id_column, vector)
     found, empty = None, F.lit(None).cast("long")
     for dim, many in lengths:
         alike = reps.where(F.col("dim") == dim) if len(lengths) > 1 else reps
-        some = links(alike, fit(alike, dim, many, cosine))
+        some = links(alike, fit(alike, dim, many, cosine, exact))
         found = some if found is None else found.unionByName(some)
     classes = reps.select("h1", "h2", F.col("rep").alias("component"), (F.col("many") - 1).alias("links"))
     if found is not None:

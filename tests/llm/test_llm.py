@@ -393,6 +393,29 @@ def test_embeddings_at_the_threshold(spark, monkeypatch):
         assert sum(got.values()) >= 0.95 * sum(want.values()) and all(got[i] <= want[i] for i in want)
 
 
+@pytest.mark.parametrize("dims", [64, 16, 8, 4, 0])
+def test_no_link_is_lost_in_few_dimensions(spark, dims):
+    """Vectors near a subspace of ``dims`` dimensions, or in clusters: as many links as brute force finds."""
+    rng = np.random.default_rng(dims)
+    if dims:
+        flat = np.linalg.qr(rng.normal(size=(64, dims)))[0].T
+        base, step = rng.normal(size=(2500, dims)) @ flat, rng.normal(size=(1000, dims)) @ flat
+    else:
+        base, step = rng.normal(size=(40, 64))[rng.integers(0, 40, 2500)] + 0.4 * rng.normal(size=(2500, 64)), rng.normal(size=(1000, 64))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    step -= (step * base[:1000]).sum(axis=1)[:, None] * base[:1000]
+    step /= np.linalg.norm(step, axis=1, keepdims=True)
+    cosine = rng.uniform(0.95, 0.96, 1000)[:, None]
+    v = np.concatenate([base, base[:1000] * cosine + step * np.sqrt(1 - cosine**2)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>").repartition(4)
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    links = (u @ u.T >= 0.95) & ~np.eye(len(u), dtype=bool)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df).collect()}
+    assert links.sum() >= 1900 and sum(got.values()) >= 0.998 * links.sum() and all(got[i] <= links[i].sum() for i in got)
+    sure = {r.vec_id: r.n_links for r in embeddings.near_duplicates(df, exact=True).collect()}
+    assert sure == dict(enumerate(links.sum(axis=1).tolist()))
+
+
 def test_embeddings_against_sql(spark, tmp_path):
     rng = np.random.default_rng(5)
     first = rng.normal(size=(60, 16))
