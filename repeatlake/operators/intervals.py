@@ -24,16 +24,24 @@ def overlaps(left: DataFrame, right: DataFrame, width: int = 10_000) -> DataFram
     return a.join(b, (F.col("chrom") == F.col("r_chrom")) & (F.col("bin") == F.col("r_bin")) & hit & first).drop("bin", "r_bin", "r_chrom")
 
 
-def map_count(left: DataFrame, right: DataFrame, key: str = "name", width: int = 10_000) -> DataFrame:
-    """``left`` with the number of ``right`` intervals that overlap each."""
-    n = overlaps(left, right, width).groupBy(key).agg(F.count("*").alias("n"))
-    return left.join(n, key, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+def _mapped(left: DataFrame, right: DataFrame, width: int, value) -> DataFrame:
+    """``left`` with an aggregate over the rows of ``right`` that overlap each; rows of ``left`` are told apart by all their columns, equal ones together."""
+    mine = left.columns
+    found = overlaps(left.distinct(), right, width).groupBy(*mine).agg(value.alias("mapped"))
+    same = found.select(*(F.col(c).alias(f"of_{c}") for c in mine), "mapped")
+    on = [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in mine]
+    return left.join(same, on, "left").select(*mine, "mapped")
 
 
-def map_collapse(left: DataFrame, right: DataFrame, key: str = "name", width: int = 10_000) -> DataFrame:
+def map_count(left: DataFrame, right: DataFrame, width: int = 10_000) -> DataFrame:
+    """``left`` with the number of ``right`` intervals that overlap each; names need not differ."""
+    return _mapped(left, right, width, F.count("*")).withColumn("n", F.coalesce("mapped", F.lit(0))).drop("mapped")
+
+
+def map_collapse(left: DataFrame, right: DataFrame, width: int = 10_000) -> DataFrame:
     """``left`` with the sorted distinct names of the overlapping ``right`` intervals, ``.`` if none."""
-    names = overlaps(left, right, width).groupBy(key).agg(F.array_join(F.array_sort(F.collect_set(F.col("r_name"))), ",").alias("hits"))
-    return left.join(names, key, "left").withColumn("hits", F.coalesce("hits", F.lit(".")))
+    names = F.array_join(F.array_sort(F.collect_set(F.col("r_name"))), ",")
+    return _mapped(left, right, width, names).withColumn("hits", F.coalesce("mapped", F.lit("."))).drop("mapped")
 
 
 def merge(rows: DataFrame, gap: int = 0) -> DataFrame:
@@ -120,3 +128,27 @@ def merge_quality(merged: DataFrame, parts: DataFrame, most_gap: int, least: int
     gap = inside.withColumn("gap", F.coalesce(F.col("r_start") - reach, F.lit(0)))
     out = gap.groupBy("chrom", "start", "end").agg(F.max("gap").alias("gap"), F.count("*").alias("support"))
     return out.where((F.col("gap") <= most_gap) & (F.col("support") >= least))
+
+
+def in_box(x, y, box: tuple[float, float, float, float]):
+    """Whether a point lies in the half-open box ``(x from, x to, y from, y to)``."""
+    return (x >= box[0]) & (x < box[1]) & (y >= box[2]) & (y < box[3])
+
+
+def upper_bound(cuts: list[float], value):
+    """How many of the sorted ``cuts`` are at most ``value``: the place of the first that is greater."""
+    return F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= value)).cast("long")
+
+
+def merge_excess(parts: DataFrame, most: float = 5.0, good: float = 0.5) -> DataFrame:
+    """``(merged, parts, excess, verdict)`` of ``parts(merged, start, end)``: by how much the merged locus is longer than the loci in it."""
+    rows = parts.groupBy("merged").agg(F.sum(F.col("end") - F.col("start")).alias("parts"), (F.max("end") - F.min("start")).alias("span"))
+    excess = (F.col("span") - F.col("parts")) / F.col("parts")
+    return rows.select("merged", "parts", excess.alias("excess"), F.when(excess > most, "reject").when(excess < good, "good").otherwise("fair").alias("verdict"))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """``(merged, hap, chrom, start, end)`` of ``parts(merged, hap, chrom, start, end, strand)``: a haplotype's parts as one interval, null where they are on several contigs or strands. A single part stays as it is."""
+    one = (F.count_distinct("chrom") == 1) & (F.count_distinct("strand") == 1)
+    rows = parts.groupBy("merged", "hap").agg(one.alias("one"), F.min("chrom").alias("chrom"), F.min("start").alias("start"), F.max("end").alias("end"))
+    return rows.select("merged", "hap", *(F.when(F.col("one"), F.col(c)).alias(c) for c in ("chrom", "start", "end")))

@@ -328,3 +328,25 @@ def adjacency(seqs: DataFrame, k: int) -> DataFrame:
     """``(locus, prefix, suffix, n)``: how often each pair of overlapping (k-1)-mers follows, by locus."""
     rows = scan(seqs, k)
     return rows.groupBy("locus", F.substring("kmer", 1, k - 1).alias("prefix"), F.substring("kmer", 2, k - 1).alias("suffix")).agg(F.count("*").alias("n"))
+
+
+def raw_and_canonical(seqs: DataFrame, keep: list[str], k: int) -> DataFrame:
+    """``(*keep, pos, raw, canonical)`` of every valid window: its number as it stands, and the smaller one of both strands."""
+    rows = codes(seqs, keep, k, canonical=False)
+    return rows.select(*keep, F.col("pos").cast("long").alias("pos"), F.col("kmer").alias("raw"), F.least("kmer", S.revcomp_code(F.col("kmer"), k)).alias("canonical"))
+
+
+def shared_with(rows: DataFrame, others: DataFrame) -> DataFrame:
+    """Distinct ``(locus, kmer)`` of ``rows`` whose k-mer is in ``others`` as well."""
+    return rows.select("locus", "kmer").distinct().join(others.select("kmer").distinct(), "kmer", "left_semi").select("locus", "kmer")
+
+
+def joined_lines(lines: DataFrame, least: int) -> DataFrame:
+    """``(title, seq)`` of ``lines(title, line, text)``: a record's lines joined in their order; records under ``least`` characters are dropped."""
+    rows = lines.groupBy("title").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"))
+    return rows.select("title", F.array_join(F.transform("l", lambda x: x["text"]), "").alias("seq")).where(F.length("seq") >= least)
+
+
+def presence(seqs: DataFrame, least: int) -> DataFrame:
+    """``(genome, locus, present)`` of ``seqs(genome, locus, seq)``, a row for each haplotype: whether any of them has at least ``least`` bases."""
+    return seqs.groupBy("genome", "locus").agg(F.bool_or(F.length("seq") >= least).alias("present"))

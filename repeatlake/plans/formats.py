@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
-from repeatlake.operators import kmers
+from repeatlake.operators import intervals, kmers
 from repeatlake.plans import tables as T
 from repeatlake.plans.sequences import CODE
-from repeatlake.plans.storage import shared_dir
+from repeatlake.plans.storage import temporary
 from repeatlake.plans.tables import K, ca
-from repeatlake.sources import formats
+from repeatlake.sources import formats, stored
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -29,7 +27,7 @@ def query(sql: str | None = None):
 
 
 def _place(spark, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return f"{temporary(spark, name)}/{name}"
 
 
 def _coded(spark, sf):
@@ -70,13 +68,13 @@ def kmer_text_roundtrip(spark, sf):
     return formats.kmer_rows(spark, place, ["cnt"])
 
 
-@query(f"SELECT locus, {_code('edge')} AS edge, cnt FROM edges WHERE edge>'AC'".replace(f"range(1,{K}+1)", f"range(1,{K + 1}+1)"))
+@query(f"SELECT locus, {_code('edge')} AS edge, cnt FROM edges".replace(f"range(1,{K}+1)", f"range(1,{K + 1}+1)"))
 def bubble_text_roundtrip(spark, sf):
-    """Directed edges of both strands in a text, added up by canonical edge when read; those over AC."""
+    """Directed edges of both strands in a text, added up by canonical edge when read."""
     place = _place(spark, "bubbles")
     rows = kmers.codes(T.seqs(spark, sf), ["locus"], K + 1, canonical=False).groupBy("locus", "kmer").agg(F.count("*").alias("cnt"))
     formats.write_kmer_rows(rows, place, ["cnt"])
-    return formats.bubble_counts(spark, place, K + 1).where(F.col("edge") >= 1 << 2 * (K - 1))
+    return formats.bubble_counts(spark, place, K + 1)
 
 
 @query("SELECT row_number() OVER (ORDER BY doc_id)-1 AS locus, n_chars>=500 AS ok FROM documents")
@@ -149,60 +147,57 @@ def bait_signed_threshold(spark, sf):
     return both.select(F.col("h").alias("locus"), S.decode(F.col("kmer"), K).alias("kmer"), threshold.alias("threshold"))
 
 
-@query(f"SELECT locus, pos, {_code('kmer')} AS raw, {_code('ca')} AS canonical FROM (SELECT locus, pos, kmer, {ca('kmer')} AS ca FROM km WHERE kmer<'CA')")
+@query(f"SELECT locus, pos, {_code('kmer')} AS raw, {_code('ca')} AS canonical FROM (SELECT locus, pos, kmer, {ca('kmer')} AS ca FROM km)")
 def raw_and_canonical(spark, sf):
-    """Both forms of the windows that begin with A."""
-    rows = kmers.codes(T.seqs(spark, sf), ["locus"], K, canonical=False).where(F.col("kmer") < 1 << 2 * (K - 1))
-    return rows.select("locus", F.col("pos").cast("long").alias("pos"), F.col("kmer").alias("raw"), F.least("kmer", S.revcomp_code(F.col("kmer"), K)).alias("canonical"))
+    return kmers.raw_and_canonical(T.seqs(spark, sf), ["locus"], K)
 
 
 @query("SELECT DISTINCT locus, kmer FROM counts WHERE kmer IN (SELECT kmer FROM km WHERE genome='src1' UNION SELECT reverse(translate(kmer,'ACGT','TGCA')) FROM km WHERE genome='src1')")
 def kmers_of_assembly(spark, sf):
     """k-mers of each locus that one genome has as well."""
     rows = _coded(spark, sf)
-    own = rows.where("genome = 'src1'").select("kmer").distinct()
-    found = rows.select("locus", "kmer").distinct().join(own, "kmer", "left_semi")
-    return found.select("locus", S.decode(F.col("kmer"), K).alias("kmer"))
+    return kmers.shared_with(rows, rows.where("genome = 'src1'")).select("locus", S.decode(F.col("kmer"), K).alias("kmer"))
 
 
 @query("SELECT o_orderkey AS name, l.n, l.l_extendedprice>=20000 AND l.l_extendedprice<60000 AND l.l_quantity>=10 AND l.l_quantity<30 AS inside, (SELECT count(*) FROM (VALUES (1.0),(5.0),(10.0),(25.0),(40.0)) v(b) WHERE b<=l.l_quantity) AS upper FROM (SELECT l_orderkey AS o_orderkey, CAST(l_linenumber AS BIGINT) AS n, l_extendedprice, l_quantity FROM lineitem) l")
 def region_and_upper_bound(spark, sf):
-    """Whether a point lies in a half-open box, and how many of a sorted list's values are at most one of its coordinates."""
     x, y = F.col("l_extendedprice"), F.col("l_quantity")
-    inside = (x >= 20000) & (x < 60000) & (y >= 10) & (y < 30)
-    cuts = F.array(*(F.lit(c) for c in (1.0, 5.0, 10.0, 25.0, 40.0)))
-    return T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_linenumber").cast("long").alias("n"), inside.alias("inside"), F.size(F.filter(cuts, lambda c: c <= y)).cast("long").alias("upper"))
+    inside, upper = intervals.in_box(x, y, (20000, 60000, 10, 30)), intervals.upper_bound([1.0, 5.0, 10.0, 25.0, 40.0], y)
+    return T.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("name"), F.col("l_linenumber").cast("long").alias("n"), inside.alias("inside"), upper.alias("upper"))
 
 
 @query("SELECT conv_id AS title, string_agg(text, '' ORDER BY turn) AS seq FROM conversations GROUP BY conv_id HAVING length(string_agg(text, ''))>=300")
 def masked_fasta_merge(spark, sf):
-    """Lines of one record joined in their order; records under 300 characters are dropped."""
-    rows = T.table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("title")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
-    return rows.select("title", F.array_join(F.transform("l", lambda x: x["text"]), "").alias("seq")).where(F.length("seq") >= 300)
+    """Conversations as records, their turns as lines."""
+    lines = T.table(spark, sf, "conversations").select(F.col("conv_id").alias("title"), F.col("turn").alias("line"), "text")
+    return kmers.joined_lines(lines, 300)
 
 
 @query("SELECT genome, locus//2 AS locus, bool_or(length(seq)>=400) AS present FROM seqs GROUP BY ALL")
 def genome_presence(spark, sf):
-    """Whether a genome has a locus on either haplotype."""
-    return T.seqs(spark, sf).groupBy("genome", F.floor(F.col("locus") / 2).alias("locus")).agg(F.bool_or(F.length("seq") >= 400).alias("present"))
+    """Whether a genome has a locus on either haplotype; two neighbouring documents are one locus."""
+    return kmers.presence(T.seqs(spark, sf).select("genome", F.floor(F.col("locus") / 2).alias("locus"), "seq"), 400)
+
+
+def _parts(spark, sf):
+    """Line items as loci that are to be merged by order."""
+    g = T.table(spark, sf, "lineitem")
+    start = F.col("l_partkey") * 20
+    return g.select(F.col("l_orderkey").cast("long").alias("merged"), start.cast("double").alias("start"), (start + 200 + F.col("l_linenumber")).cast("double").alias("end"))
 
 
 @query("SELECT CAST(l_orderkey AS BIGINT) AS merged, CAST(sum(size) AS BIGINT) AS parts, (max(e)-min(s)-sum(size))/sum(size) AS excess, CASE WHEN (max(e)-min(s)-sum(size))/sum(size)>5 THEN 'reject' WHEN (max(e)-min(s)-sum(size))/sum(size)<0.5 THEN 'good' ELSE 'fair' END AS verdict FROM (SELECT l_orderkey, CAST(l_partkey*20 AS DOUBLE) AS s, CAST(l_partkey*20+200+l_linenumber AS DOUBLE) AS e, CAST(200+l_linenumber AS DOUBLE) AS size FROM lineitem) GROUP BY l_orderkey")
 def merge_qc(spark, sf):
     """By how much a merged locus is longer than the loci in it: over five times is rejected, under a half is good."""
-    g = T.table(spark, sf, "lineitem").select(F.col("l_orderkey").cast("long").alias("merged"), (F.col("l_partkey") * 20).cast("double").alias("s"), (F.lit(200) + F.col("l_linenumber")).cast("double").alias("size"))
-    rows = g.groupBy("merged").agg(F.sum("size").alias("parts"), (F.max(F.col("s") + F.col("size")) - F.min("s")).alias("span"))
-    excess = (F.col("span") - F.col("parts")) / F.col("parts")
-    return rows.select("merged", F.col("parts").cast("long").alias("parts"), excess.alias("excess"), F.when(excess > 5, "reject").when(excess < 0.5, "good").otherwise("fair").alias("verdict"))
+    return intervals.merge_excess(_parts(spark, sf)).withColumn("parts", F.col("parts").cast("long"))
 
 
-@query("SELECT o AS merged, hap, CASE WHEN ok THEN contig END AS contig, CASE WHEN ok THEN s END AS start, CASE WHEN ok THEN e END AS \"end\" FROM (SELECT l_orderkey//4 AS o, l_suppkey%3 AS hap, min(l_returnflag) AS contig, min(l_partkey*50) AS s, max(l_partkey*50+200) AS e, count(DISTINCT l_returnflag)=1 AND count(DISTINCT l_linestatus)=1 AND count(*)>1 AS ok FROM lineitem GROUP BY ALL)")
+@query("SELECT o AS merged, hap, CASE WHEN ok THEN contig END AS contig, CASE WHEN ok THEN s END AS start, CASE WHEN ok THEN e END AS \"end\" FROM (SELECT l_orderkey//4 AS o, l_suppkey%3 AS hap, min(l_returnflag) AS contig, min(l_partkey*50) AS s, max(l_partkey*50+200) AS e, count(DISTINCT l_returnflag)=1 AND count(DISTINCT l_linestatus)=1 AS ok FROM lineitem GROUP BY ALL)")
 def merged_beds(spark, sf):
-    """The merged interval of each haplotype; null where contigs or strands differ, or only one part is there."""
-    g = T.table(spark, sf, "lineitem")
-    ok = (F.count_distinct("l_returnflag") == 1) & (F.count_distinct("l_linestatus") == 1) & (F.count("*") > 1)
-    rows = g.groupBy(F.floor(F.col("l_orderkey") / 4).alias("merged"), (F.col("l_suppkey") % 3).alias("hap")).agg(F.min("l_returnflag").alias("contig"), F.min(F.col("l_partkey") * 50).alias("s"), F.max(F.col("l_partkey") * 50 + 200).alias("e"), ok.alias("ok"))
-    return rows.select("merged", "hap", *(F.when(F.col("ok"), F.col(c)).alias(n) for c, n in (("contig", "contig"), ("s", "start"), ("e", "end"))))
+    """The merged interval of each haplotype; null where contigs or strands differ."""
+    start = F.col("l_partkey") * 50
+    parts = T.table(spark, sf, "lineitem").select(F.floor(F.col("l_orderkey") / 4).alias("merged"), (F.col("l_suppkey") % 3).alias("hap"), F.col("l_returnflag").alias("chrom"), start.alias("start"), (start + 200).alias("end"), F.col("l_linestatus").alias("strand"))
+    return intervals.merge_parts(parts).withColumnRenamed("chrom", "contig")
 
 
 @query("SELECT locus, kmer, cnt AS n, row_number() OVER (PARTITION BY locus ORDER BY kmer)-1 AS pos FROM counts")
@@ -214,3 +209,67 @@ def zip_counts_with_index(spark, sf):
     formats.write_kmer_rows(rows, f"{place}/index", [])
     both = formats.positions(spark, f"{place}/counts", "n").join(formats.positions(spark, f"{place}/index", "code"), ["locus", "pos"])
     return both.select("locus", S.decode(F.col("code"), K).alias("kmer"), "n", "pos")
+
+
+LINE = 5000
+
+
+@query(f"SELECT CAST(locus AS VARCHAR) AS chrom, w * {LINE} AS start, least((w + 1) * {LINE}, length(seq)) AS \"end\", substr(seq, w * {LINE} + 1, {LINE}) AS seq FROM seqs, unnest(range(0, greatest(1, (length(seq) + {LINE - 1}) // {LINE}))) AS t(w)")
+def fasta_windows(spark, sf):
+    """Sequences written as FASTA with an index, and read back by windows of bytes."""
+    place = _place(spark, "fasta")
+    stored.write_fasta(T.seqs(spark, sf).select(F.col("locus").cast("string").alias("title"), "seq"), place)
+    return stored.fasta_windows(spark, place, LINE)
+
+
+@query(f"SELECT CAST(locus AS VARCHAR) AS chrom, length(seq)//3 AS start, length(seq)//3 + 40 AS \"end\", CASE WHEN length(seq)//3 + 40 <= length(seq) THEN substr(seq, length(seq)//3 + 1, 40) ELSE '' END AS seq FROM seqs WHERE locus % 10 = 3 AND length(seq) > 0")
+def fasta_regions(spark, sf):
+    """Forty bases of every tenth sequence by their offsets; a region beyond its sequence's end is empty. The regions are a stated list."""
+    place = _place(spark, "fasta")
+    rows = T.seqs(spark, sf).select(F.col("locus").cast("string").alias("title"), "seq")
+    stored.write_fasta(rows, place)
+    asked = rows.where("title % 10 = 3 and length(seq) > 0").select("title", F.floor(F.length("seq") / 3).alias("at")).collect()
+    return stored.fasta_windows(spark, place, regions=[f"{r['title']}:{r['at']}-{r['at'] + 40}" for r in asked])
+
+
+def _dense(spark, sf):
+    """k-mer counts of loci numbered densely from 0, and how many there are."""
+    rows = _coded(spark, sf).groupBy("locus", "kmer").agg(F.count("*").alias("cnt"))
+    return rows, T.table(spark, sf, "documents").agg(F.max("doc_id")).first()[0] + 1
+
+
+@query(f"SELECT locus, {_code('kmer')} AS kmer, least(cnt, 65535) AS value FROM counts")
+def kmer_map_binary_roundtrip(spark, sf):
+    """Counts by locus in a folder of binary maps of 16 bits a count, written and read in ranges."""
+    (rows, loci), place = _dense(spark, sf), _place(spark, "kmdb")
+    stored.write_kmer_set(rows.withColumn("cnt", F.least("cnt", F.lit(65535))), place, loci, 4, "cnt")
+    return stored.kmer_set(spark, place)
+
+
+@query(f"SELECT locus, {_code('kmer')} AS kmer FROM counts WHERE locus BETWEEN 20 AND 39 OR locus % 50 = 0")
+def kmer_set_of_loci(spark, sf):
+    """A binary set in one file, of which the bytes of some loci are read."""
+    (rows, loci), place = _dense(spark, sf), f"{_place(spark, 'kdb')}.kdb"
+    stored.write_kmer_set(rows, place, loci)
+    return stored.kmer_set(spark, place, ["20-39", *range(0, loci, 50)])
+
+
+@query(f"SELECT {_code('kmer')} AS kmer, list(locus::INTEGER ORDER BY locus) AS loci FROM counts GROUP BY kmer")
+def kmer_index_binary_roundtrip(spark, sf):
+    """k-mers with the loci that hold them, in a folder of binary indexes."""
+    rows, _ = _dense(spark, sf)
+    place = _place(spark, "dbi")
+    stored.write_kmer_index(rows.groupBy("kmer").agg(F.collect_set("locus").alias("loci")), place, 4)
+    return stored.kmer_set(spark, place)
+
+
+@query(f"SELECT count(DISTINCT locus) AS loci, count(*) AS kmers, CAST(0 AS BIGINT) AS differing FROM counts")
+def kmer_set_validated(spark, sf):
+    """What a binary map holds against the rows that it was written from: rows that only one of them has."""
+    (rows, loci), place = _dense(spark, sf), f"{_place(spark, 'kmdb')}.kmdb"
+    rows = rows.withColumn("cnt", F.least("cnt", F.lit(65535)))
+    stored.write_kmer_set(rows, place, loci, value="cnt")
+    back = stored.kmer_set(spark, place).select("locus", "kmer", F.col("value").alias("cnt"))
+    both = back.select("*", F.lit(1).alias("w")).unionByName(rows.select("locus", "kmer", "cnt", F.lit(-1).alias("w")))
+    odd = both.groupBy("locus", "kmer", "cnt").agg(F.sum("w").alias("w"), F.max("w").alias("there"))
+    return odd.agg(F.count_distinct(F.when(F.col("there") == 1, F.col("locus"))).alias("loci"), F.count_if(F.col("there") == 1).alias("kmers"), F.count_if(F.col("w") != 0).alias("differing"))

@@ -32,6 +32,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{_LOCAL[0]}"
 
 
+def temporary(spark: SparkSession, tag: str) -> str:
+    """A new path in the shared folder, for files that no reader of this module knows; deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+    system.mkdirs(hadoop)  # only what exists can be marked
+    system.deleteOnExit(hadoop)
+    return path
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return it as read from there; deleted when the driver ends, if not before."""
     spark = df.sparkSession

@@ -1,4 +1,4 @@
-"""Sequence and k-mer files as DataFrames, and back. All are read by Spark, in parallel over files and splits."""
+"""Small readers: record counts, BED, binary counts. All are read by Spark, in parallel over files and splits."""
 
 from __future__ import annotations
 
@@ -7,66 +7,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def fasta(spark: SparkSession, path: str) -> DataFrame:
-    """``(file, ord, title, seq)``: records cut at '>', their lines joined; empty records have an empty sequence.
-
-    ``ord`` numbers the records within the file's read order and is unique, rising, but not dense.
-    """
-    raw = spark.read.option("lineSep", ">").text(path).select(F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("ord"), "value")
-    lines = F.split(F.regexp_replace("value", "\r", ""), "\n", 2)
-    rows = raw.select("file", "ord", F.trim(lines[0]).alias("title"), F.regexp_replace(F.coalesce(F.get(lines, F.lit(1)), F.lit("")), "\\s", "").alias("seq"), "value")
-    return rows.where(F.length(F.trim("value")) > 0).drop("value")
-
-
 def count_records(spark: SparkSession, path: str) -> int:
     """Number of lines that begin a record."""
     return spark.read.text(path).where(F.col("value").startswith(">")).count()
 
 
-def fastq(spark: SparkSession, path: str) -> DataFrame:
-    """``(title, ord, seq, qual)`` of four-line records; each file is read whole, as records have no mark of their own."""
-
-    def cut(batches):
-        for batch in batches:
-            for text in batch["value"]:
-                lines = text.replace("\r", "").split("\n")
-                lines = lines[: len(lines) // 4 * 4]
-                yield pd.DataFrame({"title": [x[1:] for x in lines[::4]], "ord": range(len(lines) // 4), "seq": lines[1::4], "qual": lines[3::4]}).astype({"title": object, "seq": object, "qual": object})
-
-    return spark.read.text(path, wholetext=True).mapInPandas(cut, "title string, ord long, seq string, qual string")
-
-
-def kmer_table(spark: SparkSession, path: str, by: str = "order", least: int | None = None) -> DataFrame:
-    """``(locus, kmer, value)`` of a text of ``>locus`` headers and ``kmer<TAB>value`` rows.
-
-    ``by`` 'order' numbers loci by their headers' order, 'header' takes the
-    number in the header. Files are read whole and in parallel.
-    """
-
-    def cut(batches):
-        for batch in batches:
-            for text in batch["value"]:
-                locus, out = -1, []
-                for line in text.split("\n"):
-                    if line.startswith(">"):
-                        locus = locus + 1 if by == "order" else int(line[1:])
-                    elif line:
-                        kmer, _, value = line.partition("\t")
-                        out.append((locus, int(kmer), int(value or 0)))
-                yield pd.DataFrame(out, columns=["locus", "kmer", "value"])
-
-    rows = spark.read.text(path, wholetext=True).mapInPandas(cut, "locus int, kmer long, value long")
-    return rows if least is None else rows.where(F.col("value") >= least)
-
-
-def write_kmer_table(rows: DataFrame, path: str, least: int = 0) -> None:
-    """One text part for each range of loci: headers, then rows in the order of k-mers with at least ``least``."""
-    listed = rows.where(F.col("value") >= least).groupBy("locus").agg(F.array_sort(F.collect_list(F.struct("kmer", "value"))).alias("all"))
-    line = F.transform("all", lambda x: F.concat_ws("\t", x["kmer"], x["value"]))
-    text = F.concat(F.lit(">"), F.col("locus").cast("string"), F.lit("\n"), F.array_join(line, "\n"))
-    listed.repartitionByRange("locus").sortWithinPartitions("locus").select(text.alias("value")).write.text(path)
-
-
 def bed(spark: SparkSession, path: str) -> DataFrame:
     """``(chrom, start, end, name)``; lines without a fourth field are named by their place."""
     rows = spark.read.text(path).where((F.length("value") > 0) & ~F.col("value").startswith("#"))
@@ -88,15 +33,3 @@ def binary_counts(spark: SparkSession, path: str) -> DataFrame:
                 yield pd.DataFrame({"file": name, "kmer_idx": np.arange(n), "value": np.frombuffer(content, "<u8", n, 8).astype(np.int64)}).astype({"file": object})
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(cut, "file string, kmer_idx long, value long")
-
-
-def ortho_table(spark: SparkSession, path: str) -> DataFrame:
-    """``(locus, hap, ord)`` of a tab-separated matrix, row = locus, column = haplotype, '.' = absent; read whole."""
-
-    def cut(batches):
-        for batch in batches:
-            for text in batch["value"]:
-                cells = [line.split("\t") for line in text.split("\n") if line]
-                yield pd.DataFrame([(i, j, None if c == "." else int(c)) for i, row in enumerate(cells) for j, c in enumerate(row)], columns=["locus", "hap", "ord"]).astype({"ord": "Int64"})
-
-    return spark.read.text(path, wholetext=True).mapInPandas(cut, "locus int, hap int, ord long")

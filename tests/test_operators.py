@@ -2,12 +2,14 @@
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
 from repeatlake.operators import align, intervals, kmers, loci, predict
 from repeatlake.operators.components import connected_components
-from repeatlake.sources import files
+from repeatlake.sources import files, formats
 
 
 def rows(df):
@@ -144,21 +146,41 @@ def test_map_counts_each_overlap_once(spark):
     assert {x["name"]: x["n"] for x in got.collect()} == {i: sum(s < f and t < e for _, t, f, _ in b) for _, s, e, i in a}
 
 
+def test_maps_of_equal_names(spark):
+    kind = "chrom string, start long, end long, name string"
+    a = spark.createDataFrame([("c", 0, 10, "x"), ("c", 5, 30, "x"), ("c", 50, 60, None), ("c", 5, 30, "x")], kind)
+    b = spark.createDataFrame([("c", 8, 12, "p"), ("c", 28, 52, "q"), ("c", 9, 9, "z")], kind)
+    assert rows(intervals.map_count(a, b, width=7).select("start", "n")) == [(0, 2), (5, 3), (5, 3), (50, 1)]
+    assert rows(intervals.map_collapse(a, b, width=7).select("start", "hits")) == [(0, "p,z"), (5, "p,q,z"), (5, "p,q,z"), (50, "q")]
+
+
+def test_merged_parts(spark):
+    kind = "merged long, hap string, chrom string, start long, end long, strand string"
+    parts = spark.createDataFrame([(1, "h", "c", 5, 9, "+"), (2, "h", "c", 5, 9, "+"), (2, "h", "c", 20, 30, "+"), (3, "h", "c", 1, 2, "+"), (3, "h", "d", 1, 2, "+"), (4, "h", "c", 1, 2, "+"), (4, "h", "c", 4, 5, "-")], kind)
+    got = {r.merged: (r.chrom, r.start, r.end) for r in intervals.merge_parts(parts).collect()}
+    assert got == {1: ("c", 5, 9), 2: ("c", 5, 30), 3: (None, None, None), 4: (None, None, None)}
+
+
 def test_files(spark, tmp_path):
-    (tmp_path / "a.fa").write_text(">x one\nACG\nTT\n>y\nGG\n")
-    got = rows(files.fasta(spark, str(tmp_path / "a.fa")).select("title", "seq"))
-    assert got == [("x one", "ACGTT"), ("y", "GG")] and files.count_records(spark, str(tmp_path / "a.fa")) == 2
-    (tmp_path / "a.fq").write_text("@r/1\nACGT\n+\nIIII\n@r/2\nGGCC\n+\nIIII\n")
-    reads = files.fastq(spark, str(tmp_path / "a.fq"))
-    assert rows(align.pair_mates(reads)) == [("r", "GGCC", "ACGT")]
+    (tmp_path / "a.fa").write_text(">x p>q\nACG\r\nTT\n>\nG\n\n>y\nGG\n>empty\n")
+    (tmp_path / "b.fa").write_text(">z\nA")
+    got = rows(formats.fasta_records(spark, str(tmp_path / "*.fa")).select("ord", "title", "seq"))
+    assert got == [(0, "x p>q", "ACGTT"), (0, "z", "A"), (1, "", "G"), (2, "y", "GG"), (3, "empty", "")] and files.count_records(spark, str(tmp_path / "a.fa")) == 4
+    (tmp_path / "a.fq").write_text("@r1\nACGT\n+\nIIII\n@none\n\n+\n\n@r/1\r\nGGCC\r\n+r\r\n@@@@\r\n@r/2\nA\n+\nJ\n\n")
+    assert rows(formats.fastq_records(spark, str(tmp_path / "a.fq")).select("title", "seq", "qual")) == [("none", "", ""), ("r/1", "GGCC", "@@@@"), ("r/2", "A", "J"), ("r1", "ACGT", "IIII")]
+    assert rows(align.pair_mates(formats.fastq_records(spark, str(tmp_path / "a.fq")))) == [("r", "A", "GGCC")]
+    for bad in ("@a\nAC\n+\nI\n", "a\nAC\n+\nII\n", "@a\nAC\nII\n+\n", "@a\nAC\n+\n"):
+        (tmp_path / "bad.fq").write_text(bad)
+        with pytest.raises(Exception):
+            formats.fastq_records(spark, str(tmp_path / "bad.fq")).collect()
     (tmp_path / "k.txt").write_text(">5\n11\t2\n9\t1\n>8\n3\t4\n")
-    assert rows(files.kmer_table(spark, str(tmp_path / "k.txt"))) == [(0, 9, 1), (0, 11, 2), (1, 3, 4)]
-    table = files.kmer_table(spark, str(tmp_path / "k.txt"), by="header", least=2)
+    assert rows(formats.kmer_rows(spark, str(tmp_path / "k.txt"), ["value"], by="order")) == [(0, 9, 1), (0, 11, 2), (1, 3, 4)]
+    table = formats.kmer_rows(spark, str(tmp_path / "k.txt"), ["value"]).where("value >= 2")
     assert rows(table) == [(5, 11, 2), (8, 3, 4)]
-    files.write_kmer_table(table, str(tmp_path / "out"))
+    formats.write_kmer_rows(table, str(tmp_path / "out"), ["value"])
     assert "".join(r["value"] + "\n" for r in spark.read.text(str(tmp_path / "out"), wholetext=True).collect()).split() == [">5", "11", "2", ">8", "3", "4"]
     (tmp_path / "o.tsv").write_text("0\t.\n1\t0\n")
-    assert set(rows(files.ortho_table(spark, str(tmp_path / "o.tsv")).fillna(-1))) == {(0, 0, 0), (0, 1, -1), (1, 0, 1), (1, 1, 0)}
+    assert set(rows(formats.ortho_table(spark, str(tmp_path / "o.tsv")).fillna(-1))) == {(0, 0, 0), (0, 1, -1), (1, 0, 1), (1, 1, 0)}
     import numpy as np
 
     (tmp_path / "c.ar").write_bytes(np.array([2, 7, 9], "<u8").tobytes())
