@@ -145,9 +145,11 @@ def states(assigned_kmers: DataFrame, sets: DataFrame) -> DataFrame:
     return joined.withColumn("state", F.when(F.col("fl") == 1, 1).when(F.col("fl") == 0, 2).otherwise(0).cast("long")).drop("fl")
 
 
-def segment(state_rows: DataFrame, least_spanning: int = 40, by: str = "title") -> DataFrame:
+def segment(state_rows: DataFrame, least_spanning: int = 40, by: str = "title", observed: bool = False) -> DataFrame:
     """One row for each mate: number of changes ``nt``, first known state ``bs``, bounds ``[si, ei)`` and whether it is kept.
 
+    With ``observed``, also ``[seen_si, seen_ei)``: from the first to after the last repeat k-mer, without the unknown tracts at boundaries.
+
     Changes are counted between known states. Kept are reads within the repeat,
     reads that cross one boundary, and reads that span it with at least
     ``least_spanning`` repeat positions. A boundary lies where the new state
@@ -165,13 +167,30 @@ def segment(state_rows: DataFrame, least_spanning: int = 40, by: str = "title")
         F.first("locus").alias("locus"),
         F.count_if("turn").alias("nt"), F.min_by("known", F.when(F.col("known").isNotNull(), F.col("pos"))).alias("bs"), F.count_if(F.col("state") == 2).alias("n_tr"),
         F.min("edge").alias("first"), F.max("edge").alias("second"), (F.max("pos") + 1).alias("nk"),
+        F.min(F.when(F.col("turn"), F.col("pos"))).alias("into"), F.min(F.when(F.col("turn"), F.col("seen") + 1)).alias("left"), F.max(F.when(F.col("turn"), F.col("seen") + 1)).alias("left_last"),
     )
     nt, bs = F.col("nt"), F.col("bs")
     kept = (nt == 0) & (bs == 2) | (nt == 1) | (nt == 2) & (bs == 1) & (F.col("n_tr") >= least_spanning)
     kept = F.coalesce(kept, F.lit(False))
     si = F.when(bs == 2, F.lit(0)).otherwise(F.col("first"))
     ei = F.when(nt == 0, F.col("nk")).when((nt == 1) & (bs == 2), F.col("first")).when(nt == 1, F.col("nk")).otherwise(F.col("second"))
-    return out.select(by, "locus", "mate", "nt", "bs", "n_tr", kept.alias("kept"), F.when(kept, si.cast("long")).alias("si"), F.when(kept, ei.cast("long")).alias("ei"))
+    seen_si = F.when(bs == 2, F.lit(0)).otherwise(F.col("into"))
+    seen_ei = F.when(nt == 0, F.col("nk")).when((nt == 1) & (bs == 2), F.col("left")).when(nt == 1, F.col("nk")).otherwise(F.col("left_last"))
+    bounds = [("si", si), ("ei", ei), *([("seen_si", seen_si), ("seen_ei", seen_ei)] if observed else [])]
+    return out.select(by, "locus", "mate", "nt", "bs", "n_tr", kept.alias("kept"), *(F.when(kept, x.cast("long")).alias(n) for n, x in bounds))
+
+
+def novel_edges(edges: DataFrame, segments: DataFrame, known: DataFrame, by: str = "title") -> DataFrame:
+    """``(locus, edge, n)``: how often kept mates hold an edge between two of their repeat k-mers that their locus does not know.
+
+    ``edges`` is ``(by, mate, pos, edge)``, valid windows of one base more than a
+    k-mer, numbered by their start in the read, so that there is none over an
+    unknown base; ``segments`` come with observed bounds, of which the last k-mer
+    has no edge behind it; ``known`` is ``(locus, edge)``. Edges are counted before they are compared with what is known.
+    """
+    inside = segments.where("kept and seen_ei - 1 > seen_si").select(by, "mate", "locus", "seen_si", "seen_ei")
+    found = edges.join(inside, [by, "mate"]).where("pos >= seen_si and pos < seen_ei - 1").groupBy("locus", "edge").agg(F.count("*").alias("n"))
+    return found.join(known.select("locus", "edge").distinct(), ["locus", "edge"], "left_anti")
 
 
 def genotype(state_rows: DataFrame, segments: DataFrame, by: str = "title") -> DataFrame:

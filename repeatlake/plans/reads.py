@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from repeatlake.functions import sequence as S
 from repeatlake.operators import align, intervals, kmers, loci, predict, profiles
 from repeatlake.plans import tables as T
-from repeatlake.plans.storage import materialize
+from repeatlake.plans.storage import materialize, temporary
 from repeatlake.plans.tables import LEAST, READ_K, ca
+from repeatlake.sources import formats
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -174,6 +175,20 @@ def novel_edges(spark, sf):
     return rows.where("cnt = 1").join(shared, "edge", "left_anti").groupBy("locus").agg(F.count("*").alias("n"))
 
 
+@query("SELECT locus, edge, n FROM novel")
+def read_novel_edges(spark, sf):
+    """Edges of read pairs, inside the observed bounds of their repeats, that the graph of their locus does not know."""
+    return T.Mapping(spark, sf).novel_edges().withColumn("edge", S.decode(F.col("edge"), READ_K + 1))
+
+
+@query("SELECT locus, edge, n FROM novel WHERE n>=5")
+def read_bubbles_dump(spark, sf):
+    """Novel edges of reads seen at least five times, written as bubble text and read back."""
+    place = f"{temporary(spark, 'bubbles')}/text"
+    formats.write_kmer_rows(T.Mapping(spark, sf).novel_edges().withColumnRenamed("edge", "kmer"), place, ["n"], least=5)
+    return formats.kmer_rows(spark, place, ["n"]).select("locus", S.decode(F.col("kmer"), READ_K + 1).alias("edge"), "n")
+
+
 @query("SELECT c.locus, c.kmer, coalesce(p.cnt,0) AS pan FROM counts c LEFT JOIN (SELECT kmer, CAST(sum(cnt) AS BIGINT) AS cnt FROM counts WHERE cnt>=2 GROUP BY kmer) p USING (kmer)")
 def map_pan_counts(spark, sf):
     rows = T.counts(spark, sf)

@@ -66,6 +66,10 @@ CTE = {
     "seg0": "SELECT title, locus, mate, count(*) FILTER (turn) AS nt, arg_min(known, CASE WHEN known IS NOT NULL THEN pos END) AS bs, count(*) FILTER (state=2) AS n_tr, min(edge) AS fst, max(edge) AS snd, max(pos)+1 AS nk FROM st2 GROUP BY ALL",
     "seg1": "SELECT *, coalesce((nt=0 AND bs=2) OR nt=1 OR (nt=2 AND bs=1 AND n_tr>=40), false) AS kept FROM seg0",
     "seg": "SELECT title, locus, mate, nt, bs, n_tr, kept, CASE WHEN kept THEN CASE WHEN bs=2 THEN 0 ELSE fst END END AS si, CASE WHEN kept THEN CASE WHEN nt=0 THEN nk WHEN nt=1 AND bs=2 THEN fst WHEN nt=1 THEN nk ELSE snd END END AS ei FROM seg1",
+    "obs": "SELECT title, locus, mate, CASE WHEN s.bs=2 THEN 0 ELSE t.into_ END AS lo, CASE WHEN s.nt=0 THEN t.nk WHEN s.nt=1 AND s.bs=2 THEN t.out1 WHEN s.nt=1 THEN t.nk ELSE t.out2 END AS hi FROM seg s JOIN (SELECT title, mate, min(pos) FILTER (turn) AS into_, min(seen+1) FILTER (turn) AS out1, max(seen+1) FILTER (turn) AS out2, max(pos)+1 AS nk FROM st2 GROUP BY ALL) t USING (title, mate) WHERE s.kept",
+    "known_edges": f"SELECT locus, edge FROM (SELECT locus, {ca('kmer')} AS edge FROM ({_windows('seqs', READ_K + 1, 'locus, length(seq) AS len')}) WHERE NOT contains(kmer,'N') AND pos>={INNER} AND pos<len-{INNER}-{READ_K}) GROUP BY ALL HAVING count(*)>=2",
+    "read_edges": f"SELECT title, mate, pos, {ca('kmer')} AS edge FROM ({_windows('mates', READ_K + 1, 'title, mate')}) WHERE NOT contains(kmer,'N')",
+    "novel": "SELECT o.locus, e.edge, count(*) AS n FROM read_edges e JOIN obs o ON o.title=e.title AND o.mate=e.mate WHERE e.pos>=o.lo AND e.pos<o.hi-1 AND NOT EXISTS (SELECT 1 FROM known_edges k WHERE k.locus=o.locus AND k.edge=e.edge) GROUP BY ALL",
     "geno": "SELECT CAST(l_suppkey AS BIGINT) AS sample, CAST(l_partkey AS BIGINT) AS locus, CAST(l_linenumber AS BIGINT) AS kmer_idx, sum(l_quantity) AS value FROM lineitem GROUP BY ALL",
     "depth": "SELECT CAST(s_suppkey AS BIGINT) AS sample, 10.0 + abs(s_acctbal)/1000.0 AS depth FROM supplier",
     "inv": "SELECT DISTINCT CAST(p_partkey AS BIGINT) AS locus, CAST(i AS BIGINT) AS kmer_idx, 1.0 + (p_size % 5) AS ikmc FROM part, unnest(range(1,4)) AS t(i)",
@@ -145,7 +149,8 @@ class Mapping:
     def __init__(self, spark, sf):
         self.pairs = materialize(sim(spark, sf).withColumn("pair_id", F.monotonically_increasing_id()), "pairs")
         self.kmers = materialize(align.pair_codes(self.pairs, READ_K), "reads")
-        rows = kmers.codes(seqs(spark, sf).withColumn("length", F.length("seq")), ["locus", "genome", "length"], READ_K)
+        self.source = seqs(spark, sf)
+        rows = kmers.codes(self.source.withColumn("length", F.length("seq")), ["locus", "genome", "length"], READ_K)
         self.sets = rows.withColumn("kind", kmers.region(F.col("pos"), F.col("length"), READ_K, INNER, OUTER)).where("kind is not null")
         flank = F.max(F.when(F.col("kind") == "fl", 1).otherwise(0)).alias("fl")
         self.kinds = materialize(self.sets.groupBy("locus", "kmer").agg(flank), "kinds")
@@ -175,6 +180,17 @@ class Mapping:
     def segments(self, states: DataFrame | None = None) -> DataFrame:
         return align.segment(self.states() if states is None else states, by="pair_id")
 
+    def known_edges(self) -> DataFrame:
+        """``(locus, edge)``: what a pruned graph knows, edges that the repeats of a locus hold at least twice."""
+        rows = kmers.codes(self.source.withColumn("length", F.length("seq")), ["locus", "length"], READ_K + 1)
+        inner = rows.where((F.col("pos") >= INNER) & (F.col("pos") < F.col("length") - INNER - READ_K))
+        return inner.groupBy("locus", F.col("kmer").alias("edge")).agg(F.count("*").alias("n")).where("n >= 2").select("locus", "edge")
+
+    def novel_edges(self) -> DataFrame:
+        """``(locus, edge, n)`` of the reads' edges within repeats that the graph does not know."""
+        edges = align.pair_codes(self.pairs, READ_K + 1).withColumnRenamed("kmer", "edge")
+        return align.novel_edges(edges, align.segment(self.states(), by="pair_id", observed=True), self.known_edges(), "pair_id")
+
     def titled(self, rows: DataFrame) -> DataFrame:
         """``rows`` with titles in the place of numbers of pairs."""
         return rows.join(self.pairs.select("pair_id", "title"), "pair_id").select("title", *(c for c in rows.columns if c != "pair_id"))
