@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
-from repeatlake.operators import align, intervals, kmers, loci, predict, profiles
+from repeatlake.operators import align, bubbles, intervals, kmers, loci, predict, profiles, scorers
 from repeatlake.plans import tables as T
 from repeatlake.plans.storage import materialize, temporary
 from repeatlake.plans.tables import LEAST, READ_K, ca
@@ -468,11 +468,83 @@ def bubble_edge_filter(spark, sf):
     return marked.where("novel").join(th, "locus").where("cnt > th").select("locus", "edge", "cnt")
 
 
-@query(f"SELECT locus, count(*) AS edges, round(avg(cnt),6) AS mean, round(stddev_pop(cnt),6) AS sd, count(*) FILTER (edge={ca('edge')}) AS forward FROM edges GROUP BY locus")
+ROOT_LEAST = 2
+BUBBLES = f"""
+WITH RECURSIVE tr AS (SELECT DISTINCT locus, kmer FROM counts WHERE kmer IN (SELECT kmer FROM counts GROUP BY kmer HAVING count(*)>1)),
+trn AS MATERIALIZED (SELECT locus, kmer AS node FROM tr UNION SELECT locus, {T.rc('kmer')} FROM tr),
+fl AS (SELECT DISTINCT locus, kmer FROM km WHERE pos<{T.INNER} OR pos>len-{T.INNER}-{T.K}),
+fln AS MATERIALIZED (SELECT locus, kmer AS node FROM fl UNION SELECT locus, {T.rc('kmer')} FROM fl),
+alone AS (SELECT locus, edge, cnt FROM edges WHERE edge IN (SELECT edge FROM edges GROUP BY edge HAVING count(*)=1)),
+de AS MATERIALIZED (SELECT locus, edge, substr(edge,1,{T.K}) AS a, substr(edge,2) AS b, cnt, EXISTS (SELECT 1 FROM trn t WHERE t.locus=d.locus AND t.node=substr(edge,1,{T.K})) AS starts, EXISTS (SELECT 1 FROM trn t WHERE t.locus=d.locus AND t.node=substr(edge,2)) AS ends, EXISTS (SELECT 1 FROM fln t WHERE t.locus=d.locus AND t.node=substr(edge,2)) AS lost FROM (SELECT locus, edge, cnt FROM alone UNION SELECT locus, {T.rc('edge')}, cnt FROM alone) d WHERE substr(edge,1,{T.K})<>substr(edge,2)),
+al(locus, node) AS (SELECT DISTINCT locus, a FROM de WHERE ends UNION SELECT de.locus, de.a FROM al JOIN de ON de.locus=al.locus AND de.b=al.node AND NOT de.ends AND NOT de.lost),
+sound AS MATERIALIZED (SELECT * FROM de WHERE ends OR (NOT lost AND EXISTS (SELECT 1 FROM al WHERE al.locus=de.locus AND al.node=de.b))),
+roots AS MATERIALIZED (SELECT * FROM sound WHERE starts AND cnt>={ROOT_LEAST}),
+re(locus, root, edge, b, stops) AS (SELECT locus, edge, edge, b, ends FROM roots UNION SELECT re.locus, re.root, g.edge, g.b, g.ends FROM re JOIN sound g ON NOT re.stops AND g.locus=re.locus AND g.a=re.b),
+leaving AS (SELECT *, EXISTS (SELECT 1 FROM roots r WHERE r.locus=de.locus AND r.edge=de.edge) AS alive FROM de WHERE starts)
+"""
+
+
+def _entropy(k: int) -> str:
+    words = f"list_transform(range(1, length(r.edge)-{k}+2), lambda i: least(substr(r.edge,i,{k}), reverse(translate(substr(r.edge,i,{k}),'ACGT','TGCA'))))"
+    return f"round(-list_sum(list_transform(map_values(list_histogram({words})), lambda n: n/length(r.edge)*log2(n/length(r.edge)))),6) AS h{k}"
+
+
+def _bubbles(spark, sf):
+    """Edges that one locus alone has, as novel ones; its k-mers that others have too are its repeat, those near its ends its flank."""
+    source = materialize(T.seqs(spark, sf).withColumn("length", F.length("seq")), "bubble-source")
+    rows = materialize(kmers.codes(source, ["locus", "length"], T.K).select("locus", "length", "pos", "kmer"), "bubble-kmers")
+    counted = rows.groupBy("locus", "kmer").agg(F.count("*").alias("cnt"))
+    shared = counted.groupBy("kmer").agg(F.count("*").alias("n")).where("n > 1").select("kmer")
+    flank = rows.where((F.col("pos") < T.INNER) | (F.col("pos") > F.col("length") - T.INNER - T.K)).select("locus", "kmer")
+    edges = kmers.codes(source, ["locus"], T.K + 1).groupBy("locus", F.col("kmer").alias("edge")).agg(F.count("*").alias("cnt"))
+    alone = edges.groupBy("edge").agg(F.count("*").alias("n"), F.max("locus").alias("locus"), F.max("cnt").alias("cnt")).where("n = 1").select("locus", "edge", "cnt")
+    repeat = materialize(counted.join(shared, "kmer", "left_semi"), "bubble-shared")
+    return bubbles.Bubbles(alone, repeat.select("locus", "kmer"), flank, T.K, ROOT_LEAST), repeat
+
+
+def _rounded(rows, *names):
+    return rows.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in names})
+
+
+ROOTS = BUBBLES + f"""SELECT r.locus, r.edge, c.cnt AS c_root, r.cnt AS c_nv_e, c.cnt-n.novel AS c_ex_e, n.c_tm_e, round(r.cnt/c.cnt,6) AS r_nve_r, round(CASE WHEN c.cnt-n.novel+1<>0 THEN r.cnt/(c.cnt-n.novel+1) END,6) AS r_nve_exe, n.n_snrl, n.n_tm_e, s.n_bb_e, {", ".join(_entropy(k) for k in (1, 2, 3))}
+FROM roots r JOIN (SELECT locus, a, CAST(sum(cnt) AS BIGINT) AS novel, CAST(coalesce(sum(cnt) FILTER (NOT alive),0) AS BIGINT) AS c_tm_e, count(*) FILTER (alive) AS n_snrl, count(*) FILTER (NOT alive) AS n_tm_e FROM leaving GROUP BY ALL) n ON n.locus=r.locus AND n.a=r.a
+JOIN (SELECT locus, root, count(*) AS n_bb_e FROM re GROUP BY ALL) s ON s.locus=r.locus AND s.root=r.edge JOIN counts c ON c.locus=r.locus AND c.kmer={ca('r.a')}"""
+
+
+@query(ROOTS.strip())
+def bubble_root_features(spark, sf):
+    """Features of root edges whose bubble comes back to the repeat."""
+    found, counted = _bubbles(spark, sf)
+    return _rounded(found.root_features(counted), "r_nve_r", "r_nve_exe", "h1", "h2", "h3")
+
+
+PATHS = BUBBLES + f"""SELECT r.locus, r.edge, s.bbs, round(s.mcov,6) AS mcov, round(s.scov,6) AS scov, coalesce(d.fcmax,0) AS fcmax, round(s.mcov-coalesce(d.fcmax,0),6) AS cdiff, coalesce(g.n3gp,0) AS n3gp, coalesce(g.n4gp,0) AS n4gp,
+  EXISTS (SELECT 1 FROM re x WHERE x.locus=r.locus AND x.edge={T.rc('r.edge')}) AS bdir
+FROM roots r JOIN (SELECT re.locus, root, count(*) AS bbs, avg(cnt) AS mcov, stddev_pop(cnt) AS scov FROM re JOIN de ON de.locus=re.locus AND de.edge=re.edge GROUP BY ALL) s ON s.locus=r.locus AND s.root=r.edge
+LEFT JOIN (SELECT locus, max(cnt) AS fcmax FROM leaving WHERE NOT alive GROUP BY ALL) d ON d.locus=r.locus
+LEFT JOIN (SELECT re.locus, root, count(*) FILTER (abs(p.cnt-c.cnt)>=3) AS n3gp, count(*) FILTER (abs(p.cnt-c.cnt)>=4) AS n4gp FROM re JOIN sound p ON p.locus=re.locus AND p.edge=re.edge JOIN sound c ON NOT p.ends AND c.locus=p.locus AND c.a=p.b GROUP BY ALL) g ON g.locus=r.locus AND g.root=r.edge"""
+
+
+@query(PATHS.strip())
 def bubble_path_features(spark, sf):
-    rows = T.edges(spark, sf)
-    forward = F.count_if(F.col("edge") == S.canonical(F.col("edge")))
-    return rows.groupBy("locus").agg(F.count("*").alias("edges"), F.round(F.avg("cnt"), 6).alias("mean"), F.round(F.stddev_pop("cnt"), 6).alias("sd"), forward.alias("forward"))
+    """What the alive edges behind each root edge have in common, and how their counts change from edge to edge."""
+    return _rounded(_bubbles(spark, sf)[0].path_features(), "mcov", "scov", "cdiff")
+
+
+WEIGHTS = {"c_nv_e": 0.5, "r_nve_r": -1.0, "n_bb_e": 0.0625, "h2": 0.25}
+BIAS = -2.5
+
+
+@query(BUBBLES.strip() + f"""
+SELECT DISTINCT locus, edge FROM (SELECT re.locus, unnest([re.edge, {T.rc('re.edge')}]) AS edge FROM re JOIN (SELECT locus, edge AS root FROM (
+{ROOTS.removeprefix(BUBBLES)}) WHERE {" + ".join(f"{w}*{c}" for c, w in WEIGHTS.items())} + ({BIAS}) > 0) x ON x.locus=re.locus AND x.root=re.root)""")
+def bubble_calls(spark, sf):
+    """Edges of both strands behind root edges that a scorer takes."""
+    found, counted = _bubbles(spark, sf)
+    features = _rounded(found.root_features(counted), "r_nve_r", "h2")
+    registry = scorers.Registry()
+    registry.add("roots", scorers.Scorer(scorers.Linear(list(WEIGHTS.values()), BIAS), list(WEIGHTS)))
+    return found.called(registry.score(features, "roots").where("score > 0"))
 
 
 SPENT = "(SELECT CAST(l_partkey AS BIGINT) AS gene, CAST(l_suppkey AS BIGINT) AS sample, sum(l_quantity) AS y FROM lineitem GROUP BY ALL)"
