@@ -1,36 +1,31 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on running text of ordinary and one
-on that of toxic documents. What the toxic dictionary holds is mostly ordinary
-prose too; so it is cut into word beginnings, words and runs of up to three words,
-and what different windows of ordinary training text hold about as often is taken
-out of it. What is left stands before the ordinary dictionary's content, whose distance from the
-text is the same in both: text that toxic documents do not own then compresses to
-the same length with either.
-
-Windows are runs of ``WIDE`` words that overlap. The few that the toxic
-dictionary shortens at all are looked into: each run of one to three words in
-them is compressed in a fixed frame that both dictionaries know, for so short a
-text would be stored as it is. The share of its bytes that the toxic dictionary
-saves is its gain, and a run is a hit if it gains at least the threshold that is
-calibrated for its width. Hits are a document's features, and a logistic curve
-fitted to training documents that no dictionary has seen turns them into a
-score. Windows are remembered in a bounded memo.
+Two zstandard dictionaries are trained, one on the text of ordinary documents and
+a small one on that of toxic ones, each as zstd makes it. A text is cut into
+windows of ``WIDE`` words that overlap. Each window is compressed twice: with the ordinary
+dictionary, and with the toxic one put before it, so that what the second saves
+is what only toxic text says this way; in the first, zeros fill the toxic one's
+place, so that the ordinary content is as far from the window. Most toxic
+documents are ordinary prose too, which is why the ordinary dictionary has to be large:
+it holds what prose repeats, so that prose in the toxic dictionary saves little.
+
+How many bytes windows save, in steps of ``CUTS``, and the most that one saves are a document's
+features. A logistic curve, fitted to training documents that no dictionary has
+seen, calibrates them to a score. Windows are remembered in a bounded memo.
 
 Learned from the bounded sample of :mod:`repeatlake.llm.labelled`; every text is
 scored whole.
 
-Cases: null, empty and very short texts get the score of a document without
-hits. A null ``doc_id`` is scored and not held out. Repeated rows are repeated.
-Without labels of both kinds all scores are 0. An empty table gives an empty
-result. Other columns are ignored.
+Cases: null, empty and very short texts get the score of a document whose windows
+save nothing. A null ``doc_id`` is scored and not held out. Repeated rows are
+repeated. Without labels of both kinds all scores are 0. An empty table gives
+an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 import zstandard
@@ -41,18 +36,15 @@ from repeatlake.llm.arrow import map_rows, plain_text, texts
 from repeatlake.llm.bpe import Memo
 from repeatlake.llm.labelled import held_out, labelled_texts
 
-EACH = 2500  # documents sampled of each label
+EACH = 8000  # documents sampled of each label
+CHECKED = 800  # of them, the most that the curve is fitted to; the others train the dictionaries
 THRESHOLD = 0.3
-ORDINARY_BYTES, TOXIC_BYTES = 32_000, 32_000  # of the trained dictionaries
-LEVEL = 5
+ORDINARY_BYTES, TOXIC_BYTES = 4_000_000, 64_000  # of the trained dictionaries, at most
+LEVEL = 9  # of matches that compression looks for
 WIDE, STEP = 20, 17  # words of a window, and from one to the next
 CONTEXT = 4  # words of a training window
-RUNS = (1, 2, 3)  # words of what is looked into
-STEMS = range(4, 9)  # letters of word beginnings
-WEIGHT = 5.0  # of an ordinary document hit against a toxic one missed
-FRAME = 48  # bytes of ordinary content before and after a run
-ODDS = 3.0  # least log odds of what stays in the toxic dictionary
-LEAST = 0.0004  # and the least share of the different toxic windows that hold it
+CUTS = (1, 2, 3, 4, 5, 6, 8)  # bytes saved
+WEIGHT = 4.0  # of an ordinary document in the curve
 REPEATS = b"\1\0\0\0\4\0\0\0\x08\0\0\0"  # ends the header of a trained dictionary
 
 
@@ -75,114 +67,62 @@ def trained(samples: list[str], size: int, segment: int) -> bytes:
     return made[made.find(REPEATS) + len(REPEATS) :]
 
 
-def cleansed(content: bytes, toxic: list[str], ordinary: list[str]) -> bytes:
-    """What toxic windows hold far oftener than ordinary ones of a toxic dictionary's word beginnings, words and runs of words; the commonest last."""
-    words = content.decode("utf-8", "ignore").split()
-    runs = {" ".join(["", *words[k : k + n]]) for n in RUNS for k in range(len(words) - n + 1)}
-    runs = sorted(runs | {f" {w[:n]}" for w in words for n in STEMS})
-    find = ahocorasick.Automaton()
-    for k, run in enumerate(runs):
-        if len(run.encode()) >= 5:
-            find.add_word(run, k)
-    if not len(find):
-        return b""
-    find.make_automaton()
-    seen = np.zeros((2, len(runs)))
-    for side, some in enumerate((ordinary, toxic)):
-        for window in some:
-            for k in {k for _, k in find.iter(f" {window}")}:
-                seen[side, k] += 1
-    odds = np.log((seen[1] + 0.3) / (len(toxic) + 1)) - np.log((seen[0] + 0.3) / (len(ordinary) + 1))
-    kept: list[str] = []
-    for k in sorted(np.flatnonzero((odds > ODDS) & (seen[1] >= max(3, LEAST * len(toxic)))), key=lambda k: (-seen[1, k], -len(runs[k]), runs[k])):
-        # a run is said already by what it begins with, and a beginning by the word that nearly all of its windows hold
-        if not any(runs[k].startswith(x) or x.startswith(runs[k]) for x in kept):
-            kept.append(runs[k])
-    return b"".join(_encoded(x) for x in reversed(kept)) + b" "
-
-
 class Detector:
-    """What training found: both dictionaries, the thresholds and the curve. Small, and shipped to every task."""
+    """What training found: both dictionaries and the curve. Shipped to every task once."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.frame = ordinary[-FRAME:] + b" ", b" " + ordinary[-8 * FRAME : -7 * FRAME]
-        self.ordinary, self.toxic = bytes(len(toxic)) + ordinary, toxic + ordinary
-        self.thresholds, self.weights = [0.5] * len(RUNS), [0.0] * (3 * len(RUNS) + 2)
+        self.ordinary, self.toxic, self.weights = ordinary, toxic, [0.0] * (len(CUTS) + 3)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def _ready(self) -> None:
-        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (self.ordinary, self.toxic)]
+        made = [zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT) for d in (bytes(len(self.toxic)) + self.ordinary, self.toxic + self.ordinary)]
         for d in made:
             d.precompute_compress(level=LEVEL)
         self._pair = [zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_checksum=False, write_content_size=False).compress for d in made]
-        before, after = self.frame
-        self._least = len(self._pair[0](before + after))
-        self._memo = Memo(self._look)
-
-    def _look(self, window: str) -> tuple:
-        """Of a window ``(width, gain)`` of each run in it that gains; none if the window itself gains nothing."""
-        a, b = self._pair
-        raw = _encoded(window)
-        if len(a(raw)) <= len(b(raw)):
-            return ()
-        words, out, (before, after) = window.split(), [], self.frame
-        for n in RUNS:
-            for k in range(len(words) - n + 1):
-                run = before + _encoded(" ".join(words[k : k + n])) + after
-                plain = len(a(run))
-                saved = plain - len(b(run))
-                if saved > 0:
-                    out.append((n, saved / max(1, plain - self._least)))
-        return tuple(out)
-
-    def gains(self, text: str) -> tuple[np.ndarray, int]:
-        """``(width, gain)`` of the runs that gain, and how many windows there are."""
+        self._memo = Memo(self._saved)
+
+    def _saved(self, window: str) -> int:
+        """Bytes by which the toxic dictionary shortens a window."""
+        raw, (plain, toxic) = _encoded(window), self._pair
+        return len(plain(raw)) - len(toxic(raw))
+
+    def features(self, text: str) -> np.ndarray:
         if not hasattr(self, "_pair"):
             self._ready()
-        some = windows(text, WIDE, STEP)
-        return np.array([g for w in some for g in self._memo[w]], float).reshape(-1, 2), len(some)
-
-    def features(self, gains: np.ndarray, many: int) -> np.ndarray:
-        of_width = [gains[gains[:, 0] == n, 1] for n in RUNS]
-        hits = [int((g >= at).sum()) for g, at in zip(of_width, self.thresholds)]
-        return np.array([x for g, h in zip(of_width, hits) for x in (float(h > 0), math.log1p(h), g.max(initial=0.0))] + [max(hits) / max(1, many)])
+        saved = np.array([self._memo[w] for w in windows(text, WIDE, STEP)] or [0], float)
+        many = [(saved >= c).sum() for c in CUTS]
+        return np.array([max(0.0, saved.max()), *(math.log1p(n) for n in many), many[1] / len(saved)])
 
     def score(self, text: str) -> float:
-        z = self.weights[0] + float(self.features(*self.gains(text)) @ np.array(self.weights[1:]))
+        z = self.weights[0] + float(self.features(text) @ np.array(self.weights[1:]))
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _curve(x: np.ndarray, y: np.ndarray) -> list[float]:
-    """Weights of a logistic curve by Newton steps with a small ridge; the first is the constant."""
-    x = np.hstack([np.ones((len(x), 1)), x])
+def _curve(x: np.ndarray, y: np.ndarray, weight: float) -> list[float]:
+    """Weights of a logistic curve by Newton steps with a small ridge, rows of class 0 counted ``weight`` times; the first is the constant."""
+    x, each = np.hstack([np.ones((len(x), 1)), x]), np.where(y == 1, 1.0, weight)
     w, ridge = np.zeros(x.shape[1]), np.r_[1e-6, np.full(x.shape[1] - 1, 0.5)]
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        hess = (x * (p * (1 - p))[:, None]).T @ x + np.diag(ridge)
-        w -= np.clip(np.linalg.solve(hess, x.T @ (p - y) + ridge * w), -4, 4)
+        hess = (x * (each * p * (1 - p))[:, None]).T @ x + np.diag(ridge)
+        w -= np.clip(np.linalg.solve(hess, x.T @ (each * (p - y)) + ridge * w), -4, 4)
     return w.tolist()
 
 
 def train(rows: list[tuple[str, int]]) -> Detector | None:
-    """Dictionaries from the even rows' texts of either label, thresholds and curve from the odd ones."""
-    if len({int(y) for _, y in rows}) < 2:
+    """Dictionaries from the text of either label, the curve from up to ``CHECKED`` other rows of each, or from a third of them if there are few."""
+    of = {k: [t for t, y in rows if int(y) == k] for k in (0, 1)}
+    if not of[0] or not of[1]:
         return None
-    fit, check = rows[::2], rows[1::2]
-    if len({int(y) for _, y in fit}) < 2 or len({int(y) for _, y in check}) < 2:
-        fit = check = rows
+    check = {k: v[: min(CHECKED, len(v) // 3)] or v for k, v in of.items()}
     # different windows: copies of a document count once
-    ordinary, toxic = (list(dict.fromkeys(w for t, y in fit if int(y) == k for w in windows(t, CONTEXT, CONTEXT))) for k in (0, 1))
-    model = Detector(trained(ordinary, ORDINARY_BYTES, 64), cleansed(trained(toxic, TOXIC_BYTES, 64), toxic, ordinary))
-    gained, y = [model.gains(t) for t, _ in check], np.array([int(k) for _, k in check])
-    for i, n in enumerate(RUNS):
-        best = np.array([g[g[:, 0] == n, 1].max(initial=0.0) for g, _ in gained])
-        # shares of documents in which some run gains at least this; toxic ones are rare, so a false hit weighs more; of equal cuts the middle
-        cuts = np.linspace(0.2, 0.9, 29)
-        apart = np.array([(best[y == 1] >= c).mean() - WEIGHT * (best[y == 0] >= c).mean() for c in cuts])
-        model.thresholds[i] = float(np.median(cuts[apart >= apart.max() - 1e-12]))
-    model.weights = _curve(np.array([model.features(*g) for g in gained]), y)
+    parts = {k: list(dict.fromkeys(w for t in (v[len(check[k]) :] or v) for w in windows(t, CONTEXT, CONTEXT))) for k, v in of.items()}
+    model = Detector(trained(parts[0], ORDINARY_BYTES, 64), trained(parts[1], TOXIC_BYTES, 64))
+    both = [(t, k) for k in (0, 1) for t in check[k]]
+    weight = WEIGHT * len(check[1]) / len(check[0])
+    model.weights = _curve(np.array([model.features(t) for t, _ in both]), np.array([k for _, k in both]), weight)
     return model
 
 

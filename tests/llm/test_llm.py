@@ -466,6 +466,45 @@ def test_samples_hold_every_label(spark, monkeypatch):
     assert len({y for _, y in labelled.labelled_texts(df.select("doc_id", "text"), df.select("doc_id", "lang"), "lang", 40)}) == 101
 
 
+def slow_saved(model, window):
+    import zstandard
+
+    raw = window.encode()
+    sizes = []
+    for content in (bytes(len(model.toxic)) + model.ordinary, model.toxic + model.ordinary):
+        made = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        sizes.append(len(zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=made, write_checksum=False, write_content_size=False).compress(raw)))
+    return sizes[0] - sizes[1]
+
+
+def test_toxic_phrases_of_common_words():
+    """What is toxic is the order of words that ordinary text holds as well: the hard case, told apart in part only."""
+    r = random.Random(6)
+    words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(600)]
+    phrases = [" ".join(r.choices(words, k=5)) for _ in range(6)]
+    rows = []
+    for i in range(3500):
+        text, y = r.choices(words, k=80), int(i % 4 == 0)
+        for _ in range(3 * y):
+            text.insert(r.randrange(80), r.choice(phrases))
+        rows.append((" ".join(text), y))
+    model = toxicity.train(rows[:2500])
+    by = {k: np.array([model.score(t) for t, y in rows[2500:] if y == k]) for k in (0, 1)}
+    above = (by[1][:, None] > by[0][None]).mean() + (by[1][:, None] == by[0][None]).mean() / 2
+    assert above > 0.75  # of pairs of a toxic and another document; thresholds are not calibrated well by so few rows
+
+
+def test_toxicity_query(spark, tmp_path):
+    """The registered query: ids, null ids, repeated rows and what is held out."""
+    rows = [(i, f"plain words number {i} of a text", "en") for i in range(40)] + [(i, f"awful vilewort {i} vilewort grubnose", "en") for i in range(40, 80)] + [(3, "plain words", "en")] * 2 + [(None, None, None)]
+    spark.createDataFrame([(i, t, x, "s", 0, "q", 1) for i, t, x in rows], KIND).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, 1, int(i >= 40)) for i in range(80)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = table(entries.QUERIES["op8_toxicity"](spark, str(tmp_path)))
+    assert len(got) == 83 and all(x["held_out"] == (x["doc_id"] is not None and zlib.crc32(str(x["doc_id"]).encode()) % 4 == 2) for x in got)
+    assert all(0 <= x["score"] <= 1 and x["predicted"] == int(x["score"] >= 0.3) for x in got)
+    assert np.mean([x["predicted"] == int(x["doc_id"] >= 40) for x in got if x["doc_id"] is not None]) > 0.9
+
+
 def test_toxicity(spark, empty):
     r = random.Random(9)
     words = ["".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(r.randint(1, 4))) for _ in range(3000)]
@@ -485,11 +524,13 @@ def test_toxicity(spark, empty):
     ids = {x["doc_id"] for x in kept.collect()}
     held = [(i, y) for i, _, y in docs if zlib.crc32(str(i).encode()) % 4 == 2]
     assert kept.columns == df.columns and {900, 901} <= ids and np.mean([(i not in ids) == y for i, y in held]) > 0.95
-    slow = toxicity.Detector.__new__(toxicity.Detector)  # without memo: every window of every text anew
-    slow.__dict__.update(model.__getstate__())
-    slow._ready()
-    slow._memo = type("Anew", (), {"__getitem__": lambda _, w: slow._look(w)})()
-    assert all(abs(slow.score(t) - model.score(t)) < 1e-12 for _, t, _ in docs[:60]) and 0 < model.score("") < 0.3
+    for _, t, _ in docs[:20]:  # by plain calls of the library, each window anew
+        saved = [slow_saved(model, w) for w in toxicity.windows(t, toxicity.WIDE, toxicity.STEP)]
+        want = [max(0, *saved), *(math.log1p(sum(x >= c for x in saved)) for c in toxicity.CUTS), sum(x >= 2 for x in saved) / len(saved)]
+        assert np.allclose(model.features(t), want)
+        z = model.weights[0] + np.dot(model.weights[1:], want)
+        assert abs(model.score(t) - 1 / (1 + math.exp(-z))) < 1e-9
+    assert 0 < model.score("") < 0.3
     assert toxicity.fit(df, labels.limit(0)) is None and toxicity.without_toxic(df, None).count() == 502
     assert toxicity.without_toxic(empty, model).count() == 0
 
@@ -497,7 +538,7 @@ def test_toxicity(spark, empty):
 def test_language_model_learns_from_every_document(spark):
     """Words of one class are told apart by neighbours that no sampled document has."""
     r, rows = random.Random(11), []
-    for i in range(1600):
+    for i in range(3500):
         a = [f"{w}{chr(97 + r.randrange(6))}" for w in ("left", "low") for _ in range(20)]
         rows.append((i, " ".join(w for x in a for w in (x, ("hot" if x[:2] == "le" else "ice") + x[-1]))))
     df = spark.createDataFrame(rows, "doc_id long, text string")
