@@ -1,4 +1,4 @@
-"""Algorithms that are iterative within a locus: boundary expansion and novel-edge bubbles. One locus is one group."""
+"""What of the novel edges of a locus returns to its repeat, walked locus by locus. One locus is one group; :mod:`repeatlake.operators.bubbles` needs no groups."""
 
 from __future__ import annotations
 
@@ -6,63 +6,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-_TURN = str.maketrans("ACGT", "TGCA")
-
-
-def _canonical(seq: str, k: int) -> list:
-    out = []
-    for i in range(len(seq) - k + 1):
-        w = seq[i : i + k]
-        out.append(min(w, w[::-1].translate(_TURN)) if set(w) <= set("ACGT") else None)
-    return out
-
-
-def expand_group(seqs: list[str], starts: list[int], ends: list[int], k: int, flank: int, most: int, grow: bool = True) -> list[tuple[int, int, bool]]:
-    """New bounds of one locus in each haplotype.
-
-    k-mers of all haplotypes' repeats are one set. Where a k-mer of a flank is in
-    the set, the bound moves out to the outermost such k-mer; the k-mers taken in
-    join the set (unless it is kept fixed), and all flanks are looked at again,
-    until none changes. A haplotype fails if its flank leaves the sequence or it
-    grew by more than ``most``.
-    """
-    words = [_canonical(s, k) for s in seqs]
-    bounds, alive = [[a, b] for a, b in zip(starts, ends)], [True] * len(seqs)
-    known = {w for ws, (a, b) in zip(words, bounds) for w in ws[a : max(a, b - k + 1)] if w}
-    changed = True
-    while changed:
-        changed = False
-        for h, ws in enumerate(words):
-            if not alive[h]:
-                continue
-            a, b = bounds[h]
-            if a - flank < 0 or b + flank > len(seqs[h]):
-                alive[h] = False
-                continue
-            left = [i for i in range(a - flank, a) if i < len(ws) and ws[i] in known]
-            right = [i for i in range(max(0, b - k + 1), min(len(ws), b + flank - k + 1)) if ws[i] in known]
-            low, high = min(left, default=a), max((i + k for i in right), default=b)
-            high = max(high, b)
-            if (low, high) != (a, b):
-                bounds[h], changed = [low, high], True
-                if grow:
-                    known.update(w for w in ws[low : max(low, high - k + 1)] if w)
-                if starts[h] - low > most or high - ends[h] > most:
-                    alive[h] = False
-    return [(a, b, ok) for (a, b), ok in zip(bounds, alive)]
-
-
-def expand(rows: DataFrame, k: int, flank: int, most: int, grow: bool = True) -> DataFrame:
-    """``(locus, hap, start, end, ok)`` of ``(locus, hap, seq, start, end)`` after expansion."""
-
-    def one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("hap", kind="stable")
-        found = expand_group(group["seq"].tolist(), group["start"].astype(int).tolist(), group["end"].astype(int).tolist(), k, flank, most, grow)
-        return pd.DataFrame({"locus": group["locus"].to_numpy(), "hap": group["hap"].to_numpy(), "start": [a for a, _, _ in found], "end": [b for _, b, _ in found], "ok": [c for _, _, c in found]})
-
-    return rows.groupBy("locus").applyInPandas(one, "locus long, hap string, start long, end long, ok boolean")
-
-
 def bubbles_of(edges: list[tuple[str, int]], repeat: set[str]) -> list[tuple[str, int, int, int, float, float]]:
     """Of each repeat node from which novel edges leave: what of them returns to the repeat.
 

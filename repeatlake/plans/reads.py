@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
-from repeatlake.operators import align, bubbles, intervals, kmers, loci, predict, profiles, scorers
+from repeatlake.operators import align, boundary, bubbles, intervals, kmers, loci, predict, profiles, scorers
 from repeatlake.plans import tables as T
 from repeatlake.plans.storage import materialize, temporary
 from repeatlake.plans.tables import LEAST, READ_K, ca
@@ -423,14 +423,44 @@ def _haplotypes(spark, sf):
     return rows.select(F.floor(F.col("locus") / 2).alias("locus"), F.concat_ws("-", "hap", F.col("locus").cast("string")).alias("hap"), "seq", F.lit(150).cast("long").alias("start"), (F.length("seq") - 150).cast("long").alias("end"))
 
 
-@query()
+FLANK, MOST, ROUNDS = 100, 300, 8  # rounds that the SQL has; bounds 150 bases from the ends cannot move oftener without failing
+
+
+def _expansion(grow: bool) -> str:
+    """The rounds of an expansion written out, up to ``b{ROUNDS}`` and the check of flanks after it."""
+    k, n = READ_K, ROUNDS
+    hit = f"(pos>=s-{FLANK} AND pos<s), (pos>e-{k} AND pos<=e+{FLANK}-{k})"
+    lo, hi = hit.split(", ")
+    steps = [f"hs AS (SELECT locus//2 AS locus, hap||'-'||locus AS hap, seq, CAST(length(seq) AS BIGINT) AS len FROM seqs WHERE length(seq)>=400)"]
+    steps += [f"hw AS MATERIALIZED (SELECT locus, hap, pos, {ca('kmer')} AS kmer, pos>=150 AND pos<=len-150-{k} AS inside FROM ({T._windows('hs', k, 'locus, hap, len')}) WHERE NOT contains(kmer,'N'))"]
+    steps += ["fw AS MATERIALIZED (SELECT locus, hap, pos, kmer FROM hw WHERE NOT inside)", "k0 AS MATERIALIZED (SELECT DISTINCT locus, kmer FROM hw WHERE inside)", "b0 AS (SELECT locus, hap, len, CAST(150 AS BIGINT) AS s, len-150 AS e, true AS ok FROM hs)"]
+    for i in range(n + 1):
+        steps.append(f"a{i} AS MATERIALIZED (SELECT locus, hap, len, s, e, ok AND s>={FLANK} AND e+{FLANK}<=len AS ok FROM b{i})")
+        if i == n:
+            break
+        known = f"k{i if grow else 0}"
+        steps.append(f"m{i} AS MATERIALIZED (SELECT a.locus, a.hap, a.s, a.e, min(pos) FILTER {lo.replace('(', '(WHERE ', 1)} AS low, max(pos) FILTER {hi.replace('(', '(WHERE ', 1)} AS high FROM a{i} a JOIN fw w ON w.locus=a.locus AND w.hap=a.hap JOIN {known} x ON x.locus=w.locus AND x.kmer=w.kmer WHERE a.ok AND ({lo} OR {hi}) GROUP BY ALL)")
+        steps.append(f"b{i + 1} AS MATERIALIZED (SELECT locus, hap, len, s, e, ok AND 150-s<={MOST} AND e-(len-150)<={MOST} AS ok FROM (SELECT a.locus, a.hap, a.len, coalesce(m.low, a.s) AS s, coalesce(m.high+{k}, a.e) AS e, a.ok FROM a{i} a LEFT JOIN m{i} m ON m.locus=a.locus AND m.hap=a.hap))")
+        if grow:
+            steps.append(f"k{i + 1} AS MATERIALIZED (SELECT locus, kmer FROM k{i} UNION SELECT w.locus, w.kmer FROM fw w JOIN m{i} m ON m.locus=w.locus AND m.hap=w.hap WHERE (pos>=low AND pos<s) OR (pos>e-{k} AND pos<=high))")
+    return "WITH " + ", ".join(steps)
+
+
+@query(f"{_expansion(True)} SELECT locus, hap, s AS start, e AS \"end\", ok FROM a{ROUNDS}")
 def boundary_expand(spark, sf):
-    return loci.expand(_haplotypes(spark, sf), READ_K, 100, 300)
+    return boundary.expand(_haplotypes(spark, sf), READ_K, FLANK, MOST)
 
 
-@query()
+@query(f"{_expansion(False)} SELECT locus, hap, s AS start, e AS \"end\", ok FROM a{ROUNDS}")
 def boundary_expand_ref_guided(spark, sf):
-    return loci.expand(_haplotypes(spark, sf), READ_K, 100, 300, grow=False)
+    return boundary.expand(_haplotypes(spark, sf), READ_K, FLANK, MOST, grow=False)
+
+
+@query(f"{_expansion(True)} SELECT locus, present, failed, expanded, (NOT expanded OR ((present-failed)/2>=0.1 AND failed<2)) AND present>=1.6 AS kept FROM (SELECT locus, count(*) AS present, count(*) FILTER (NOT ok) AS failed, bool_or(s<>150 OR e<>len-150) AS expanded FROM a{ROUNDS} GROUP BY locus)")
+def boundary_retention(spark, sf):
+    """Which pairs of neighbouring sequences stay loci after their bounds have moved."""
+    before = materialize(_haplotypes(spark, sf), "haplotypes")
+    return boundary.retained(before, boundary.expand(before, READ_K, FLANK, MOST), 2)
 
 
 def _novel(spark, sf):

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repeatlake.functions import sequence as S
-from repeatlake.operators import align, intervals, kmers, loci, predict
+from repeatlake.operators import align, boundary, intervals, kmers, loci, predict
 from repeatlake.operators.components import connected_components
 from repeatlake.sources import files, formats
 
@@ -118,13 +118,63 @@ def test_reads_come_home(spark):
     assert len(found) == pairs.count() and all(int(x["title"].split(":")[0]) == x["locus"] for x in found)
 
 
-def test_expansion_reaches_a_fixpoint():
-    unit = "ACGTTGCATGCC"
-    left, right = "".join(random.Random(7).choice("ACGT") for _ in range(120)), "".join(random.Random(8).choice("ACGT") for _ in range(120))
-    seq = left + unit * 10 + right
-    a, b, ok = loci.expand_group([seq], [len(left) + 36], [len(left) + 84], 8, 30, 100)[0]
-    assert ok and abs(a - len(left)) <= 8 and abs(b - len(left) - 120) <= 8
-    assert loci.expand_group([seq], [10], [len(seq) - 10], 8, 30, 100)[0][2] is False
+def expand_slowly(seqs, starts, ends, k, flank, most, grow=True):
+    """New bounds of one locus in each haplotype, round by round; all haplotypes of a round see the same k-mers."""
+    turn = str.maketrans("ACGT", "TGCA")
+    words = [[min(w, w[::-1].translate(turn)) if set(w) <= set("ACGT") else None for w in (s[i : i + k] for i in range(len(s) - k + 1))] for s in seqs]
+    bounds, alive = [[a, b] for a, b in zip(starts, ends)], [True] * len(seqs)
+    known = {w for ws, (a, b) in zip(words, bounds) for w in ws[a : max(a, b - k + 1)] if w}
+    while True:
+        moves = {}
+        for h, ws in enumerate(words):
+            a, b = bounds[h]
+            alive[h] = alive[h] and a - flank >= 0 and b + flank <= len(seqs[h])
+            if alive[h]:
+                low = [i for i in range(a - flank, a) if ws[i] in known]
+                high = [i + k for i in range(b - k + 1, b + flank - k + 1) if ws[i] in known]
+                if low or high:
+                    moves[h] = min(low, default=a), max(high, default=b)
+        if not moves:
+            return [(a, b, ok) for (a, b), ok in zip(bounds, alive)]
+        for h, (low, high) in moves.items():
+            a, b = bounds[h]
+            if grow:
+                known.update(w for w in words[h][low:a] + words[h][b - k + 1 : high - k + 1] if w)
+            bounds[h] = [low, high]
+            alive[h] = starts[h] - low <= most and high - ends[h] <= most
+
+
+@pytest.mark.parametrize("grow", [True, False])
+def test_expansion(spark, grow):
+    r = random.Random(7)
+    rows = []
+    for locus in range(12):
+        unit, unit2 = ("".join(r.choice("ACGT") for _ in range(12)) for _ in range(2))
+        for hap in range(3):
+            left, right = ("".join(r.choice("ACGTN" if locus % 5 == 4 else "ACGT") for _ in range(r.randint(20, 160))) for _ in range(2))
+            middle = unit2 * r.randint(0, 3) + unit * r.randint(4, 9) + unit2 * r.randint(0, 9)
+            if r.random() < 0.3:
+                middle = middle[::-1].translate(str.maketrans("ACGT", "TGCA"))
+            seq = left + middle + right
+            rows.append((locus, str(hap), seq, len(left) + r.randint(0, 20), len(left) + len(middle) - r.randint(0, 20)))
+    df = spark.createDataFrame(rows, "locus long, hap string, seq string, start long, end long")
+    got = {(x.locus, x.hap): (x.start, x.end, x.ok) for x in boundary.expand(df, 8, 30, 60, grow).collect()}
+    want = {}
+    for locus in range(12):
+        own = [x for x in rows if x[0] == locus]
+        for x, found in zip(own, expand_slowly([x[2] for x in own], [x[3] for x in own], [x[4] for x in own], 8, 30, 60, grow)):
+            want[locus, x[1]] = found
+    assert got == want and {ok for _, _, ok in want.values()} == {True, False}
+    assert boundary.expand(df.limit(0), 8, 30, 60).count() == 0
+
+
+def test_retention(spark):
+    kind = "locus long, hap string, start long, end long"
+    before = [(i, str(h), 10, 20) for i in range(5) for h in range(10) if not (i == 4 and h > 6)]
+    moved = {(1, "0"): (5, 20, True), **{(2, str(h)): (5, 20, False) for h in range(10)}, **{(3, str(h)): (5, 20, h == 0) for h in range(10)}}
+    after = [(i, h, *moved.get((i, h), (10, 20, True))) for i, h, _, _ in before]
+    got = boundary.retained(spark.createDataFrame(before, kind), spark.createDataFrame(after, kind + ", ok boolean"), 10)
+    assert {x.locus: (x.present, x.failed, x.expanded, x.kept) for x in got.collect()} == {0: (10, 0, False, True), 1: (10, 0, True, True), 2: (10, 10, True, False), 3: (10, 9, True, True), 4: (7, 0, False, False)}
 
 
 def test_bubbles_keep_what_returns():
