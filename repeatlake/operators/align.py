@@ -7,6 +7,8 @@ pair's rows are shuffled once. Ties go to the smaller locus, and counts are full
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -203,10 +205,85 @@ def summary(segments: DataFrame) -> DataFrame:
     return segments.where("kept").groupBy("locus").agg(F.count("*").alias("nmapread"), F.sum(F.col("ei") - F.col("si")).alias("kmc"))
 
 
-def bait_rejected(kmers: DataFrame, assigned: DataFrame, bait: DataFrame, by: str = "title") -> DataFrame:
-    """Titles in which some k-mer of a mate occurs less often than ``mi`` or more often than ``ma`` of its locus' bait."""
+def pair_stages(pairs: DataFrame, kmers: DataFrame, classes: DataFrame, least: int, sampled: int = 1) -> DataFrame:
+    """``(pair_id, sub, kf1, kf2)`` of every pair of ``pairs``: whether the sampled filter removes it, and which mates of the others the hit filter removes."""
+    hit = kmers.join(classes.select("kmer"), "kmer", "left_semi")
+    of = lambda i, more=F.lit(True): F.count_if((F.col("mate") == i) & more)
+    sums = hit.groupBy("pair_id").agg(of(1).alias("n1"), of(2).alias("n2"), of(1, F.col("probe")).alias("p1"), of(2, F.col("probe")).alias("p2"))
+    rows = pairs.select("pair_id").join(sums, "pair_id", "left").na.fill(0, ["n1", "n2", "p1", "p2"])
+    sub = (F.col("p1") < sampled) | (F.col("p2") < sampled)
+    return rows.select("pair_id", sub.alias("sub"), *((~sub & (F.col(f"n{i}") < least)).alias(f"kf{i}") for i in (1, 2)))
+
+
+#: How states are written, unknown, flank and repeat.
+STATES = ("*", ".", "=")
+
+
+def annotation(states: DataFrame, windows: DataFrame) -> DataFrame:
+    """``(pair_id, mate, annot)``: run lengths of the states ``(pair_id, mate, pos, state)`` of all ``windows(pair_id, mate, nk)``; one without a k-mer is unknown."""
+    seen = states.groupBy("pair_id", "mate").agg(F.map_from_entries(F.collect_list(F.struct("pos", "state"))).alias("at"))
+    letters = F.array(*(F.lit(x) for x in STATES))
+    every = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nk") - 1), lambda i: F.get(letters, F.coalesce(F.element_at("at", i), F.lit(0)).cast("int")))
+    rows = windows.join(seen, ["pair_id", "mate"], "left").withColumn("at", F.coalesce("at", F.create_map().cast("map<bigint,bigint>")))
+    return rows.select("pair_id", "mate", F.when(F.col("nk") > 0, S.run_lengths(every)).otherwise(F.lit("*")).alias("annot"))
+
+
+def provenance(stages: DataFrame, assigned: DataFrame, qc: DataFrame, baited: DataFrame, segments: DataFrame) -> DataFrame:
+    """One row for each pair with the flag of each filter, nothing dropped.
+
+    ``stages`` as of :func:`pair_stages`, ``assigned(pair_id, locus)``, ``qc(locus,
+    ok)``, ``baited(pair_id, mate)`` mates that break a bait, ``segments`` of both
+    mates of assigned pairs. ``dst0`` is the locus that was found, ``dst`` what is left
+    of it; ``hf`` mates that found none, ``qc`` pairs of a bad locus, ``bf`` and ``bait``
+    broken baits of mates and pairs, ``af`` mates without a clear repeat, ``rm`` mates
+    that do not count; ``out`` pairs that are written.
+    """
+    bait = baited.groupBy("pair_id").agg(*(F.bool_or(F.col("mate") == i).alias(f"b{i}") for i in (1, 2)))
+    of = lambda i, c: F.max(F.when(F.col("mate") == i, F.col(c))).alias(f"{c}{i}")
+    mates = segments.groupBy("pair_id").agg(*(of(i, c) for i in (1, 2) for c in ("kept", "nt", "bs", "si", "ei")))
+    rows = stages.join(assigned.select("pair_id", F.col("locus").alias("dst0")), "pair_id", "left").join(bait, "pair_id", "left").join(mates, "pair_id", "left")
+    rows = rows.join(qc.where("not ok").select(F.col("locus").alias("dst0"), F.lit(True).alias("bad")), "dst0", "left")
+    no = lambda c: F.coalesce(F.col(c), F.lit(False))
+    found = F.col("dst0").isNotNull()
+    rows = rows.withColumns({"hf1": ~found & ~F.col("sub") & ~F.col("kf1"), "hf2": ~found & ~F.col("sub") & ~F.col("kf2"), "qc": no("bad"), "out": found & ~no("bad")})
+    rows = rows.withColumns({"bf1": F.col("out") & no("b1"), "bf2": F.col("out") & no("b2")}).withColumn("bait", F.col("bf1") | F.col("bf2"))
+    rows = rows.withColumns({f"af{i}": F.col("out") & ~F.col("bait") & ~F.col(f"kf{i}") & ~no(f"kept{i}") for i in (1, 2)})
+    rows = rows.withColumns({f"rm{i}": F.col(f"kf{i}") | F.col("bait") | F.col(f"af{i}") for i in (1, 2)})
+    rows = rows.withColumn("dst", F.when(F.col("out") & ~(F.col("rm1") & F.col("rm2")), F.col("dst0")))
+    early = {i: F.col(f"kf{i}") | F.col("bait") for i in (1, 2)}
+    shown = {f"{c}{i}": F.when(~early[i], F.coalesce(f"{c}{i}", F.lit(0)) if c in ("nt", "bs") else F.col(f"{c}{i}")) for i in (1, 2) for c in ("nt", "bs", "si", "ei")}
+    return rows.withColumns(shown).drop("b1", "b2", "bad", "kept1", "kept2")
+
+
+def counters(rows: DataFrame) -> DataFrame:
+    """The run's eleven counters, in one pass over :func:`provenance` rows with ``short``: reads, and how many of them each step removed or let through."""
+    many = lambda *flags: F.sum(functools.reduce(lambda a, b: a + b, (f.cast("long") for f in flags)))
+    two, c = lambda flag: 2 * F.count_if(flag), F.col
+    return rows.agg(
+        (2 * F.count("*")).alias("reads"), two(c("short")).alias("short"), two(c("sub")).alias("sampled_filter"), many(c("kf1"), c("kf2")).alias("kmer_filter"),
+        many(c("bf1") & ~c("kf1"), c("bf2") & ~c("kf2")).alias("bait_filter"), F.lit(0).cast("long").alias("quality_filter"), many(c("hf1"), c("hf2")).alias("locus_filter"),
+        many(c("qc") & ~c("kf1"), c("qc") & ~c("kf2")).alias("qc_filter"), two(c("out")).alias("entered"), two(c("out")).alias("feasible"), many(c("out") & ~c("rm1"), c("out") & ~c("rm2")).alias("assigned"),
+    )
+
+
+def kam(rows: DataFrame, pairs: DataFrame, annotations: DataFrame) -> DataFrame:
+    """The fifteen columns of the assignment record, mate 2 before mate 1, of the pairs that are written; ``pairs(pair_id, title, src, seq1, seq2, qual1, qual2)``."""
+    of = lambda i: F.max(F.when(F.col("mate") == i, F.col("annot"))).alias(f"annot{i}")
+    both = rows.where("out").join(pairs, "pair_id").join(annotations.groupBy("pair_id").agg(of(1), of(2)), "pair_id", "left")
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("."))
+    flag = lambda c: F.col(c).cast("int").cast("string")
+    stats = lambda i: F.concat_ws(":", *(flag(f"{c}{i}") for c in ("kf", "hf", "bf")), F.lit("0"), flag(f"af{i}"), flag(f"rm{i}"), F.lit("0"), F.lit("0"), text(f"si{i}"), text(f"nt{i}"), text(f"bs{i}"), F.lit("."))
+    length = lambda i: F.coalesce(F.col(f"ei{i}") - F.col(f"si{i}"), F.lit(0)).cast("long").alias(f"len{i}")
+    return both.select(
+        text("src").alias("src"), text("dst").alias("dst"), text("dst0").alias("dst0"), length(2), length(1), F.lit("kf:hf:bf:qf:af:rm:qn:qm:si:nt:bs:ti").alias("tag"),
+        stats(2).alias("stats2"), stats(1).alias("stats1"), *(F.coalesce(f"annot{i}", F.lit("*")).alias(f"annot{i}") for i in (2, 1)), "title", "seq2", text("qual2").alias("qual2"), "seq1", text("qual1").alias("qual1"),
+    )
+
+
+def bait_rejected(kmers: DataFrame, assigned: DataFrame, bait: DataFrame, by: str = "title", mates: bool = False) -> DataFrame:
+    """Titles (with ``mates``, titles and mates) in which some k-mer of a mate occurs less often than ``mi`` or more often than ``ma`` of its locus' bait."""
     seen = kmers.join(assigned.select(by, "locus"), by).groupBy(by, "locus", "mate", "kmer").agg(F.count("*").alias("n"))
-    return seen.join(bait, ["locus", "kmer"]).where((F.col("n") < F.col("mi")) | (F.col("n") > F.col("ma"))).select(by).distinct()
+    return seen.join(bait, ["locus", "kmer"]).where((F.col("n") < F.col("mi")) | (F.col("n") > F.col("ma"))).select(by, *(["mate"] if mates else [])).distinct()
 
 
 def pair_mates(reads: DataFrame) -> DataFrame:

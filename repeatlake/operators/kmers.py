@@ -272,20 +272,40 @@ def reindex(tables: DataFrame, ok: DataFrame) -> DataFrame:
     return tables.join(kept, "locus").select(F.col("ordinal").alias("locus"), "kmer", "cnt")
 
 
+PERCENTILES = 128
+
+
+def place_of(value: Column, cuts: list[float]) -> Column:
+    """How many of the sorted ``cuts`` are at most ``value``: a balanced tree of comparisons, inside generated code."""
+    if not cuts:
+        return F.lit(0)
+
+    def tree(low: int, high: int) -> Column:  # the answer is from low to high
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(value < F.lit(cuts[middle]), tree(low, middle)).otherwise(tree(middle + 1, high))
+
+    return tree(0, len(cuts))
+
+
 def ranges(rows: DataFrame, column: str, aim: int = 100_000, most: int = 65_536) -> Column:
     """The range of ``column`` that a row falls into: cut at percentiles, so that ranges hold about as many rows however values lie.
 
-    At most 512 percentiles are taken; between two of them ranges are of equal width.
+    At most ``PERCENTILES`` are taken; between two of them ranges are of equal width.
     """
-    row = rows.agg(F.count(column).alias("n"), F.percentile_approx(column, [i / 512 for i in range(513)], 4096).alias("p")).first()
-    cuts = sorted(set(row["p"] or [0]))
-    each = max(1, min(most, row["n"] // aim) // max(1, len(cuts) - 1))
+    row = rows.agg(F.count(column).alias("n"), F.percentile_approx(column, [i / PERCENTILES for i in range(PERCENTILES + 1)], 4096).alias("p")).first()
     if row["n"] <= aim:
         return F.lit(0).cast("long")
-    array = F.array(*(F.lit(float(c)) for c in cuts))
-    at = F.greatest(F.lit(1), F.size(F.filter(array, lambda c: c <= F.col(column).cast("double"))))
+    cuts = [float(c) for c in sorted(set(row["p"]))]
+    each = max(1, min(most, row["n"] // aim) // max(1, len(cuts) - 1))
+    value = F.col(column).cast("double")
+    at = F.greatest(F.lit(1), place_of(value, cuts))
+    if each == 1:
+        return (at - 1).cast("long")
+    array = F.array(*(F.lit(c) for c in cuts))
     low, high = F.element_at(array, at), F.coalesce(F.get(array, at), F.element_at(array, at) + 1.0)
-    share = F.floor((F.col(column).cast("double") - low) * each / F.greatest(high - low, F.lit(1e-300)))
+    share = F.floor((value - low) * each / F.greatest(high - low, F.lit(1e-300)))
     return ((at - 1) * each + F.least(F.lit(each - 1), F.greatest(F.lit(0), share))).cast("long")
 
 

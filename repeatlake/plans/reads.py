@@ -102,14 +102,15 @@ def locus_summary(spark, sf):
     return align.summary(T.Mapping(spark, sf).segments())
 
 
-@query(
-    "SELECT sim.title, CAST(split_part(sim.title,':',1) AS BIGINT) AS src, coalesce(CAST(locus AS VARCHAR),'.') AS dst, CAST(length(seq2) AS BIGINT) AS len2, CAST(length(seq1) AS BIGINT) AS len1, seq2, seq1 FROM (SELECT title, seq1, seq2 FROM sim) sim LEFT JOIN (SELECT title, locus FROM asg) USING (title)"
-)
+@query("SELECT CAST(src AS VARCHAR) AS src, CASE WHEN baited OR ((kf1 OR af1) AND (kf2 OR af2)) THEN '.' ELSE CAST(dst0 AS VARCHAR) END AS dst, CAST(dst0 AS VARCHAR) AS dst0, CAST(CASE WHEN kf2 OR baited THEN 0 ELSE coalesce(ei2-si2,0) END AS BIGINT) AS len2, CAST(CASE WHEN kf1 OR baited THEN 0 ELSE coalesce(ei1-si1,0) END AS BIGINT) AS len1, 'kf:hf:bf:qf:af:rm:qn:qm:si:nt:bs:ti' AS tag, kf2::INT||':'||hf2::INT||':'||bf2::INT||':0:'||af2::INT||':'||(kf2 OR baited OR af2)::INT||':0:0:'||CASE WHEN kf2 OR baited THEN '.:.:.' ELSE coalesce(si2::VARCHAR,'.')||':'||coalesce(nt2,0)||':'||coalesce(bs2,0) END||':.' AS stats2, kf1::INT||':'||hf1::INT||':'||bf1::INT||':0:'||af1::INT||':'||(kf1 OR baited OR af1)::INT||':0:0:'||CASE WHEN kf1 OR baited THEN '.:.:.' ELSE coalesce(si1::VARCHAR,'.')||':'||coalesce(nt1,0)||':'||coalesce(bs1,0) END||':.' AS stats1, n2.annot AS annot2, n1.annot AS annot1, flow.title, seq2, repeat('I', length(seq2)) AS qual2, seq1, repeat('I', length(seq1)) AS qual1 FROM flow JOIN (SELECT title, annot FROM noted WHERE mate=1) n1 ON n1.title=flow.title JOIN (SELECT title, annot FROM noted WHERE mate=2) n2 ON n2.title=flow.title WHERE out_")
 def kam_records(spark, sf):
+    """The assignment record of every pair that found a sound locus, with all flags."""
     m = T.Mapping(spark, sf)
-    both = m.pairs.join(m.assigned().select("pair_id", F.col("locus").alias("dst")), "pair_id", "left")
-    src = F.split("title", ":")[0].cast("long")
-    return both.select("title", src.alias("src"), F.coalesce(F.col("dst").cast("string"), F.lit(".")).alias("dst"), F.length("seq2").cast("long").alias("len2"), F.length("seq1").cast("long").alias("len1"), "seq2", "seq1")
+    quality = lambda i: F.repeat(F.lit("I"), F.length(f"seq{i}")).alias(f"qual{i}")
+    pairs = m.pairs.select("pair_id", "title", F.split("title", ":")[0].alias("src"), "seq1", "seq2", quality(1), quality(2))
+    mates = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("mate"), (F.length(f"seq{i}") - READ_K + 1).cast("long").alias("nk")) for i in (1, 2)))).alias("m")
+    windows = m.pairs.join(m.assigned().select("pair_id"), "pair_id", "left_semi").select("pair_id", mates).select("pair_id", "m.mate", "m.nk")
+    return align.kam(m.provenance(), pairs, align.annotation(m.all_states(), windows))
 
 
 @query("SELECT '>'||sim.title||':'||asg.locus||'/1' AS title1, seq1, '>'||sim.title||':'||asg.locus||'/2' AS title2, seq2 FROM (SELECT title, seq1, seq2 FROM sim) sim JOIN asg USING (title)")
@@ -120,16 +121,12 @@ def extract_reads(spark, sf):
     return both.select(name(1).alias("title1"), "seq1", name(2).alias("title2"), "seq2")
 
 
-@query(
-    f"SELECT (SELECT count(*) FROM sim) AS pairs, (SELECT count(*) FROM (SELECT title FROM hits GROUP BY title)) AS hit, (SELECT count(*) FROM asg) AS assigned, (SELECT count(*) FROM seg) AS mates, (SELECT count(*) FROM seg WHERE kept) AS kept"
-)
+@query("SELECT 2*count(*) AS reads, 2*count(*) FILTER (length(seq1)<{K} OR length(seq2)<{K}) AS short, 2*count(*) FILTER (sub) AS sampled_filter, count(*) FILTER (kf1)+count(*) FILTER (kf2) AS kmer_filter, count(*) FILTER (bf1 AND NOT kf1)+count(*) FILTER (bf2 AND NOT kf2) AS bait_filter, CAST(0 AS BIGINT) AS quality_filter, count(*) FILTER (hf1)+count(*) FILTER (hf2) AS locus_filter, count(*) FILTER (qc AND NOT kf1)+count(*) FILTER (qc AND NOT kf2) AS qc_filter, 2*count(*) FILTER (out_) AS entered, 2*count(*) FILTER (out_) AS feasible, count(*) FILTER (out_ AND NOT (kf1 OR baited OR af1))+count(*) FILTER (out_ AND NOT (kf2 OR baited OR af2)) AS assigned FROM flow".replace("{K}", str(READ_K)))
 def filter_funnel(spark, sf):
+    """How many reads each step of the flow removed or let through."""
     m = T.Mapping(spark, sf)
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    segments = m.segments().agg(F.count("*").alias("mates"), F.count_if("kept").alias("kept"))
-    hit = m.counts.agg(F.count_distinct("pair_id").alias("hit"))
-    # each side is one row
-    return one(m.pairs, "pairs").crossJoin(hit).crossJoin(one(m.assigned(), "assigned")).crossJoin(segments)
+    short = m.pairs.select("pair_id", ((F.length("seq1") < READ_K) | (F.length("seq2") < READ_K)).alias("short"))
+    return align.counters(m.provenance().join(short, "pair_id"))
 
 
 BAIT = "(SELECT locus, kmer, CAST(1 AS BIGINT) AS mi, max(n) AS ma FROM (SELECT locus, kmer, genome, count(*) AS n FROM sets WHERE kind='tr' GROUP BY ALL) GROUP BY ALL)"
@@ -602,3 +599,20 @@ def merged_locus_qc(spark, sf):
     parts = T.wider(spark, sf).select("chrom", "start", "end")
     merged = intervals.merge(T.wider(spark, sf), 100).select("chrom", "start", "end")
     return intervals.merge_quality(merged, parts, 90, 2)
+
+
+FAR = 2.5  # deviations; of a few dozen rows none is 10 away
+_FITTED = f"SELECT *, bool_and(near) OVER (PARTITION BY locus) AS calm FROM (SELECT *, abs(res-avg(res) OVER w)<{FAR}*stddev_pop(res) OVER w AS near FROM (SELECT *, y-x*(sum(x*y) OVER w0/sum(x*x) OVER w0) AS res FROM rec WINDOW w0 AS (PARTITION BY locus, r)) WINDOW w AS (PARTITION BY locus, r))"
+OUTLIERS = f"WITH RECURSIVE base AS (SELECT l_partkey AS locus, l_quantity AS x, CASE WHEN l_orderkey%17=3 THEN 0 WHEN l_orderkey%23=5 THEN NULL WHEN l_orderkey%41=7 THEN l_extendedprice*9 ELSE l_extendedprice END AS y FROM lineitem), rec AS (SELECT 0 AS r, locus, x, y FROM base WHERE y IS NOT NULL AND y<>0 UNION ALL SELECT r+1, locus, x, y FROM ({_FITTED}) WHERE near AND NOT calm), last AS (SELECT locus, max(r) AS r FROM rec GROUP BY locus)"
+
+
+@query(f"{OUTLIERS} SELECT b.locus, b.n AS rows, z.n AS sound, s.n-coalesce(k.n,0) AS rejected, round(k.total,4) AS total FROM (SELECT locus, count(*) AS n FROM base GROUP BY ALL) b LEFT JOIN (SELECT locus, count(*) AS n FROM base WHERE y IS NOT NULL GROUP BY ALL) z USING (locus) LEFT JOIN (SELECT locus, count(*) AS n FROM rec WHERE r=0 GROUP BY ALL) s USING (locus) LEFT JOIN (SELECT locus, count(*) AS n, sum(y) AS total FROM ({_FITTED.replace('FROM rec', 'FROM (SELECT rec.* FROM rec JOIN last USING (locus, r)) rec')}) WHERE calm GROUP BY ALL) k USING (locus)")
+def outlier_rejection(spark, sf):
+    """Prices by quantity, some of them zero, missing or nine times too high: rows that are left by each rule, and the sum of those that the last leaves."""
+    item, order = T.table(spark, sf, "lineitem"), F.col("l_orderkey")
+    y = F.when(order % 17 == 3, 0.0).when(order % 23 == 5, None).when(order % 41 == 7, F.col("l_extendedprice") * 9).otherwise(F.col("l_extendedprice"))
+    rows = materialize(item.select(F.col("l_partkey").alias("locus"), F.col("l_quantity").alias("x"), y.alias("y")), "outlier-rows")
+    sound, _ = predict.reject_outliers(rows, "locus", rule=0)
+    left, rejected = predict.reject_outliers(rows, "locus", rule=2, far=FAR)
+    out = rows.groupBy("locus").agg(F.count("*").alias("rows")).join(sound.groupBy("locus").agg(F.count("*").alias("sound")), "locus", "left").join(rejected, "locus", "left")
+    return out.join(left.groupBy("locus").agg(F.round(F.sum("y"), 4).alias("total")), "locus", "left")

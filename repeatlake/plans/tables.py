@@ -70,6 +70,13 @@ CTE = {
     "known_edges": f"SELECT locus, edge FROM (SELECT locus, {ca('kmer')} AS edge FROM ({_windows('seqs', READ_K + 1, 'locus, length(seq) AS len')}) WHERE NOT contains(kmer,'N') AND pos>={INNER} AND pos<len-{INNER}-{READ_K}) GROUP BY ALL HAVING count(*)>=2",
     "read_edges": f"SELECT title, mate, pos, {ca('kmer')} AS edge FROM ({_windows('mates', READ_K + 1, 'title, mate')}) WHERE NOT contains(kmer,'N')",
     "novel": "SELECT o.locus, e.edge, count(*) AS n FROM read_edges e JOIN obs o ON o.title=e.title AND o.mate=e.mate WHERE e.pos>=o.lo AND e.pos<o.hi-1 AND NOT EXISTS (SELECT 1 FROM known_edges k WHERE k.locus=o.locus AND k.edge=e.edge) GROUP BY ALL",
+    "bait": "SELECT locus, kmer, CAST(1 AS BIGINT) AS mi, max(n) AS ma FROM (SELECT locus, kmer, genome, count(*) AS n FROM sets WHERE kind='tr' GROUP BY ALL) GROUP BY ALL",
+    "broken": "SELECT DISTINCT s.title, s.mate FROM (SELECT pk.title, a.locus, mate, pk.kmer, count(*) AS n FROM pk JOIN asg a ON a.title=pk.title GROUP BY ALL) s JOIN bait b ON b.locus=s.locus AND b.kmer=s.kmer WHERE s.n<mi OR s.n>ma",
+    "flow0": "SELECT s.title, s.seq1, s.seq2, s.locus AS src, a.locus AS dst0, p.title IS NULL AS sub, p.title IS NOT NULL AND NOT EXISTS (SELECT 1 FROM passing x WHERE x.title=s.title AND x.mate=1) AS kf1, p.title IS NOT NULL AND NOT EXISTS (SELECT 1 FROM passing x WHERE x.title=s.title AND x.mate=2) AS kf2, coalesce(a.locus%7=3, false) AS qc, EXISTS (SELECT 1 FROM broken x WHERE x.title=s.title AND x.mate=1) AS b1, EXISTS (SELECT 1 FROM broken x WHERE x.title=s.title AND x.mate=2) AS b2, g1.kept AS kept1, g2.kept AS kept2, g1.nt AS nt1, g2.nt AS nt2, g1.bs AS bs1, g2.bs AS bs2, g1.si AS si1, g2.si AS si2, g1.ei AS ei1, g2.ei AS ei2 FROM sim s LEFT JOIN pre p ON p.title=s.title LEFT JOIN asg a ON a.title=s.title LEFT JOIN (SELECT * FROM seg WHERE mate=1) g1 ON g1.title=s.title LEFT JOIN (SELECT * FROM seg WHERE mate=2) g2 ON g2.title=s.title",
+    "flow1": "SELECT *, dst0 IS NOT NULL AND NOT qc AS out_, dst0 IS NULL AND NOT sub AND NOT kf1 AS hf1, dst0 IS NULL AND NOT sub AND NOT kf2 AS hf2, dst0 IS NOT NULL AND NOT qc AND b1 AS bf1, dst0 IS NOT NULL AND NOT qc AND b2 AS bf2 FROM flow0",
+    "flow": "SELECT *, bf1 OR bf2 AS baited, out_ AND NOT (bf1 OR bf2) AND NOT kf1 AND NOT coalesce(kept1,false) AS af1, out_ AND NOT (bf1 OR bf2) AND NOT kf2 AND NOT coalesce(kept2,false) AS af2 FROM flow1",
+    "noted0": f"SELECT a.title, m.mate, CAST(t.pos AS BIGINT) AS pos, CASE WHEN fl=1 THEN '.' WHEN fl=0 THEN '=' ELSE '*' END AS c FROM asg a JOIN mates m ON m.title=a.title, unnest(range(0, length(m.seq)-{READ_K}+1)) AS t(pos) LEFT JOIN pk ON pk.title=a.title AND pk.mate=m.mate AND pk.pos=t.pos LEFT JOIN kinds n ON n.locus=a.locus AND n.kmer=pk.kmer",
+    "noted": "SELECT title, mate, string_agg(n||c, '' ORDER BY s) AS annot FROM (SELECT title, mate, c, min(pos) AS s, count(*) AS n FROM (SELECT *, pos-row_number() OVER (PARTITION BY title, mate, c ORDER BY pos) AS run FROM noted0) GROUP BY title, mate, c, run) GROUP BY ALL",
     "geno": "SELECT CAST(l_suppkey AS BIGINT) AS sample, CAST(l_partkey AS BIGINT) AS locus, CAST(l_linenumber AS BIGINT) AS kmer_idx, sum(l_quantity) AS value FROM lineitem GROUP BY ALL",
     "depth": "SELECT CAST(s_suppkey AS BIGINT) AS sample, 10.0 + abs(s_acctbal)/1000.0 AS depth FROM supplier",
     "inv": "SELECT DISTINCT CAST(p_partkey AS BIGINT) AS locus, CAST(i AS BIGINT) AS kmer_idx, 1.0 + (p_size % 5) AS ikmc FROM part, unnest(range(1,4)) AS t(i)",
@@ -154,7 +161,7 @@ class Mapping:
         self.sets = rows.withColumn("kind", kmers.region(F.col("pos"), F.col("length"), READ_K, INNER, OUTER)).where("kind is not null")
         flank = F.max(F.when(F.col("kind") == "fl", 1).otherwise(0)).alias("fl")
         self.kinds = materialize(self.sets.groupBy("locus", "kmer").agg(flank), "kinds")
-        classes = materialize(align.locus_classes(self.kinds), "classes")
+        classes = self.classes = materialize(align.locus_classes(self.kinds), "classes")
         self.counts = materialize(align.filtered_hits(self.kmers, classes, LEAST), "hits")
         self.loci = materialize(align.class_loci(classes, self.kinds), "loci")
 
@@ -191,6 +198,19 @@ class Mapping:
         edges = align.pair_codes(self.pairs, READ_K + 1).withColumnRenamed("kmer", "edge")
         return align.novel_edges(edges, align.segment(self.states(), by="pair_id", observed=True), self.known_edges(), "pair_id")
 
+    def all_states(self) -> DataFrame:
+        """States of all k-mers of both mates of assigned pairs, whether a mate passed or not."""
+        known = self.kmers.select("pair_id", "mate", "pos", "kmer").join(self.assigned().select("pair_id", "locus"), "pair_id").join(self.kinds, ["locus", "kmer"], "left")
+        return known.select("pair_id", "mate", "pos", F.when(F.col("fl") == 1, 1).when(F.col("fl") == 0, 2).otherwise(0).cast("long").alias("state"))
+
+    def provenance(self) -> DataFrame:
+        """Every pair with the flags of all filters, among them a quality mask that leaves every seventh locus out, and the bait."""
+        n = self.sets.where("kind = 'tr'").groupBy("locus", "kmer", "genome").agg(F.count("*").alias("n"))
+        bait = n.groupBy("locus", "kmer").agg(F.lit(1).cast("long").alias("mi"), F.max("n").alias("ma"))
+        broken = align.bait_rejected(self.kmers, self.assigned(), bait, "pair_id", mates=True)
+        qc = self.source.select("locus", (F.col("locus") % 7 != 3).alias("ok"))
+        return align.provenance(align.pair_stages(self.pairs, self.kmers, self.classes, LEAST), self.assigned(), qc, broken, self.segments())
+
     def titled(self, rows: DataFrame) -> DataFrame:
         """``rows`` with titles in the place of numbers of pairs."""
         return rows.join(self.pairs.select("pair_id", "title"), "pair_id").select("title", *(c for c in rows.columns if c != "pair_id"))

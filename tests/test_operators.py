@@ -249,3 +249,48 @@ def test_mates_in_a_stream(spark, tmp_path):
     run = stream.writeStream.format("memory").queryName("mates").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
     run.awaitTermination(60)
     assert rows(spark.table("mates")) == [("a", "AC", "TT")]
+
+
+@pytest.mark.parametrize("rule", range(4))
+def test_outliers(spark, rule):
+    """Each rule against a fit that is made anew until it rejects nothing."""
+    import math
+
+    import numpy as np
+
+    r, data = random.Random(3), []
+    for g in ("a", "b", None, "even", "calm"):
+        for i in range(1 if g == "even" else 400):
+            x = r.choice([0.0, 1.0, 2.0, 5.0])
+            y = 3 * x + r.gauss(0, 1) + (10.0 ** r.randint(2, 4) if g in ("a", "b") and r.random() < 0.02 else 0)
+            data.append((g, x, r.choice([y] * 30 + [float("nan"), None, 0.0])))
+    data.append(("even", 2.0, 6.0))
+    df = spark.createDataFrame(data, "g string, x double, y double").repartition(3)
+    want, gone = [], {}
+    for g in {g for g, _, _ in data}:
+        own = [(x, y) for h, x, y in data if h == g and y is not None and math.isfinite(y) and (rule in (0, 3) or x != 0 and y != 0)]
+        n = len(own)
+        while rule > 1 and own:
+            x, y = (np.array(v) for v in zip(*own))
+            res = y - x * (x @ y) / (x @ x) if x @ x else y
+            near = abs(res - res.mean()) < 10 * res.std()
+            own = [o for o, k in zip(own, near) if k]
+            if near.all():
+                break
+        want += [(g, *o) for o in own]
+        if n:
+            gone[g] = n - len(own)
+    left, rejected = predict.reject_outliers(df, "g", rule=rule)
+    key = lambda t: str(t)
+    assert sorted(map(tuple, left.collect()), key=key) == sorted(want, key=key)
+    assert {x.g: x.rejected for x in rejected.collect()} == gone and (rule < 2 or sum(gone.values()) > 1)
+
+
+def test_places_of_values(spark):
+    cuts = [1.0, 2.0, 2.5, 7.0]
+    got = spark.createDataFrame([(x,) for x in (0.0, 1.0, 1.5, 2.5, 6.9, 7.0, 99.0)], "x double").select("x", kmers.place_of(F.col("x"), cuts).alias("n")).collect()
+    assert [r.n for r in got] == [sum(c <= r.x for c in cuts) for r in got]
+    rows_ = spark.range(3_000).select((F.col("id") * 7919 % 3_001).alias("locus"), F.lit(0).alias("g"))
+    at = kmers.ranges(rows_, "locus", aim=100)
+    cut = rows_.select("locus", at.alias("r")).groupBy("r").agg(F.min("locus").alias("a"), F.max("locus").alias("b"), F.count("*").alias("n")).orderBy("r").collect()
+    assert len(cut) > 20 and all(x.b < y.a for x, y in zip(cut, cut[1:])) and max(x.n for x in cut) < 200
