@@ -4,6 +4,14 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns the rows that stay, with
 the columns of ``documents``; the last returns packed pieces. ``run`` writes
 each stage's rows as Parquet in the shared folder and reads them as the next
 one's input.
+
+Cases, of every stage: rows of null ids, repeated rows and columns of other names
+(whatever they are called) are treated like any other and keep all their values; an empty
+table gives an empty one. Null and empty texts are not toxic, in no language, so the second stage
+drops them; should one reach the later stages, it is a near copy of the other empty ones, and packed as its end token alone.
+Without labels of both kinds nothing is toxic; without any ``lang`` to learn from no
+document is in a language. Of near copies the smallest id stays, of rows of one id and text one; texts are
+whole, however long.
 """
 
 from __future__ import annotations

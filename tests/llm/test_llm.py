@@ -654,3 +654,31 @@ def test_pipeline(spark, small):
     out = corpus_pipeline.run(spark, path)
     assert {r["doc_id"] for r in out.select("doc_id").collect()} == {r["doc_id"] for r in docs.collect()}
     assert out.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 4096
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    r = random.Random(12)
+    say = {"de": "der die und nicht ist mit von auf".split(), "en": "the and of that with from this have".split()}
+    text = lambda y, n=60: " ".join(r.choice(say[y]) + r.choice(["", "", "er", "al"]) for _ in range(n))
+    rows = [(i, text(y), y) for i, y in enumerate(["de", "en"] * 40)]
+    rows += [(500, rows[0][1], "de"), rows[1], (None, text("en"), "en"), (None, None, None), (501, "", "en"), (502, "12 34", None), (503, text("en", 30_000), None), (504, None, "de")]
+    wide = KIND + ", h1 string, component string, words int"  # names that stages use inside
+    df = spark.createDataFrame([(i, t, y, "s", 0, "q", 1, "h", "c", 3) for i, t, y in rows], wide)
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(60)], "doc_id long, quality int, toxic int")
+    for name, some, marks in (("full", df, labels), ("empty", df.limit(0), labels.limit(0)), ("plain", df, labels.limit(0))):
+        some.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        docs, path = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet"), f"{tmp_path}/{name}"
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, docs, path)
+            assert out.columns == docs.columns
+            kept = [tuple(x) for x in out.collect()]
+            assert not collections.Counter(kept) - collections.Counter(tuple(x) for x in docs.collect())  # rows as they were
+            docs = spark.createDataFrame(kept, out.schema)
+        pieces = corpus_pipeline.run(spark, path).collect()
+        assert (name == "empty") == (not pieces) and all(x["offset"] + x["length"] <= 4096 for x in pieces)
+        ids = {x["doc_id"] for x in pieces}
+        if name == "plain":  # nothing is toxic: only what is in no language, and copies, go
+            assert ids == {*range(80), None, 503} and sum(x["length"] for x in pieces if x["doc_id"] == 503) > 30_000
