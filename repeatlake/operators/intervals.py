@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repeatlake.operators.components import connected_components
+from repeatlake.operators.kmers import ranges
+from repeatlake.plans.storage import materialize
 
 
 def binned(rows: DataFrame, width: int, name: str) -> DataFrame:
@@ -44,12 +46,31 @@ def map_collapse(left: DataFrame, right: DataFrame, width: int = 10_000) -> Data
     return _mapped(left, right, width, names).withColumn("hits", F.coalesce("mapped", F.lit("."))).drop("mapped")
 
 
-def merge(rows: DataFrame, gap: int = 0) -> DataFrame:
-    """Runs of intervals that start at most ``gap`` after the furthest end before them: ``(chrom, start, end, n)``."""
-    order = Window.partitionBy("chrom").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    islands = rows.withColumn("new", F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(1)))
-    numbered = islands.withColumn("island", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+def _cut(rows: DataFrame, key: str, column: str, aim: int, *totals: Column) -> tuple[DataFrame, DataFrame]:
+    """``rows`` with the ``range`` that ``column`` falls into, and a row of ``totals`` for each ``(key, range)``, written once."""
+    cut = materialize(rows.withColumn("range", ranges(rows, column, aim)), "interval-ranges")
+    return cut, materialize(cut.groupBy(F.col(key).alias("of"), F.col("range").alias("at")).agg(*totals), "interval-totals")
+
+
+def _carried(cut: DataFrame, base: DataFrame, key: str) -> DataFrame:
+    return cut.join(base, F.col(key).eqNullSafe(F.col("of")) & (F.col("range") == F.col("at"))).drop("of", "at")
+
+
+def merge(rows: DataFrame, gap: int = 0, aim: int = 100_000) -> DataFrame:
+    """Runs of intervals that start at most ``gap`` after the furthest end before them: ``(chrom, start, end, n)``.
+
+    Intervals are worked on by ranges of starts; a range is given the furthest
+    end of the ranges before it, and the number of runs that begin in them, so a chromosome is not one task.
+    """
+    cut, totals = _cut(rows.select("chrom", "start", "end"), "chrom", "start", aim, F.max("end").alias("last"))
+    before = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    cut = _carried(cut, totals.select("of", "at", F.max("last").over(before).alias("carried")), "chrom")
+    order = Window.partitionBy("chrom", "range").orderBy("start", "end")
+    reach = F.greatest(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("carried"))
+    islands = cut.withColumn("new", F.coalesce((F.col("start") > reach + gap).cast("int"), F.lit(1)))
+    islands = materialize(islands.withColumn("own", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("carried"), "interval-islands")
+    begun = islands.groupBy(F.col("chrom").alias("of"), F.col("range").alias("at")).agg(F.sum("new").alias("begun"))
+    numbered = _carried(islands, begun.select("of", "at", F.coalesce(F.sum("begun").over(before), F.lit(0)).alias("base")), "chrom").withColumn("island", F.col("base") + F.col("own"))
     return numbered.groupBy("chrom", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n")).drop("island")
 
 
@@ -57,9 +78,12 @@ def slop(rows: DataFrame, flank: int) -> DataFrame:
     return rows.withColumn("start", F.greatest(F.col("start") - flank, F.lit(0))).withColumn("end", F.col("end") + flank)
 
 
-def gaps(rows: DataFrame) -> DataFrame:
-    """The distance from each interval's end to the next one's start on its chromosome."""
-    return rows.withColumn("gap", F.lead("start").over(Window.partitionBy("chrom").orderBy("start", "end", "name")) - F.col("end"))
+def gaps(rows: DataFrame, aim: int = 100_000) -> DataFrame:
+    """The distance from each interval's end to the next one's start on its chromosome; the last of a range of starts looks at the first of the next range."""
+    cut, totals = _cut(rows, "chrom", "start", aim, F.min("start").alias("first"))
+    cut = _carried(cut, totals.select("of", "at", F.lead("first").over(Window.partitionBy("of").orderBy("at")).alias("later")), "chrom")
+    after = F.lead("start").over(Window.partitionBy("chrom", "range").orderBy("start", "end", "name"))
+    return cut.withColumn("gap", F.coalesce(after, F.col("later")) - F.col("end")).select(*rows.columns, "gap")
 
 
 def fetch(regions: DataFrame, contigs: DataFrame) -> DataFrame:
@@ -113,11 +137,13 @@ def merge_sets(groups: DataFrame) -> DataFrame:
     return found.join(vetoed, "component", "left_anti").select(F.col("node").alias("member"), "component")
 
 
-def ortho_map(rows: DataFrame) -> DataFrame:
-    """``(locus, hap, ord)``: the running number of each present locus within its haplotype, null where absent. ``rows``: ``(locus, hap, present)``."""
-    order = Window.partitionBy("hap").orderBy("locus")
-    upto = F.sum(F.col("present").cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return rows.select("locus", "hap", F.when(F.col("present"), upto).alias("ord"))
+def ortho_map(rows: DataFrame, aim: int = 100_000) -> DataFrame:
+    """``(locus, hap, ord)``: the running number of each present locus within its haplotype, null where absent. ``rows``: ``(locus, hap, present)``; counted by ranges of loci."""
+    cut, totals = _cut(rows.select("locus", "hap", "present"), "hap", "locus", aim, F.count_if("present").alias("many"))
+    before = Window.partitionBy("of").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    cut = _carried(cut, totals.select("of", "at", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base")), "hap")
+    own = F.sum(F.col("present").cast("long")).over(Window.partitionBy("hap", "range").orderBy("locus").rowsBetween(Window.unboundedPreceding, 0))
+    return cut.select("locus", "hap", F.when(F.col("present"), F.col("base") + own - 1).alias("ord"))
 
 
 def merge_quality(merged: DataFrame, parts: DataFrame, most_gap: int, least: int) -> DataFrame:

@@ -257,6 +257,12 @@ def inverted_index(tables: DataFrame) -> DataFrame:
     return tables.select("kmer", "locus").distinct().groupBy("kmer").agg(F.sort_array(F.collect_set("locus")).alias("loci"))
 
 
+def index_chunks(tables: DataFrame, span: int) -> DataFrame:
+    """``(kmer, chunk, loci)``: the sorted loci of each k-mer in chunks of ``span`` locus numbers, so that no list is longer than that and a k-mer of very many loci is several rows."""
+    rows = tables.select("kmer", "locus").distinct().withColumn("chunk", F.floor(F.col("locus") / span))
+    return rows.groupBy("kmer", "chunk").agg(F.sort_array(F.collect_set("locus")).alias("loci"))
+
+
 def closure(tables: DataFrame) -> DataFrame:
     """k-mers of each locus with their other strands."""
     return tables.select("locus", "kmer").unionByName(tables.select("locus", S.revcomp(F.col("kmer")).alias("kmer"))).distinct()

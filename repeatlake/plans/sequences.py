@@ -220,7 +220,13 @@ def kmer_count(spark, sf):
 
 @query("SELECT kmer, list_sort(list(DISTINCT locus)) AS loci FROM idx GROUP BY kmer")
 def kmer_inverted_index(spark, sf):
-    return kmers.inverted_index(T.sets(spark, sf))
+    return kmers.inverted_index(T.coded_sets(spark, sf)).withColumn("kmer", S.decode(F.col("kmer"), T.READ_K))
+
+
+@query("SELECT kmer, locus//100 AS chunk, list_sort(list(DISTINCT locus)) AS loci FROM idx GROUP BY ALL")
+def kmer_index_chunks(spark, sf):
+    """The same in lists of a hundred locus numbers at most."""
+    return kmers.index_chunks(T.coded_sets(spark, sf), 100).withColumn("kmer", S.decode(F.col("kmer"), T.READ_K))
 
 
 @query("SELECT locus, kind, kmer, count(*) AS cnt FROM sets GROUP BY ALL")

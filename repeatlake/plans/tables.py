@@ -137,6 +137,12 @@ def sets(spark, sf) -> DataFrame:
     return kmers.regions(seqs(spark, sf), READ_K, INNER, OUTER, "hap", "genome")
 
 
+def coded_sets(spark, sf) -> DataFrame:
+    """``(locus, kmer)`` of repeats and flanks, k-mers as numbers."""
+    rows = kmers.codes(seqs(spark, sf).withColumn("length", F.length("seq")), ["locus", "length"], READ_K)
+    return rows.where(kmers.region(F.col("pos"), F.col("length"), READ_K, INNER, OUTER).isNotNull()).select("locus", "kmer")
+
+
 def index(spark, sf) -> DataFrame:
     """``(kmer, locus)``, distinct."""
     return sets(spark, sf).select("kmer", "locus").distinct()

@@ -294,3 +294,25 @@ def test_places_of_values(spark):
     at = kmers.ranges(rows_, "locus", aim=100)
     cut = rows_.select("locus", at.alias("r")).groupBy("r").agg(F.min("locus").alias("a"), F.max("locus").alias("b"), F.count("*").alias("n")).orderBy("r").collect()
     assert len(cut) > 20 and all(x.b < y.a for x, y in zip(cut, cut[1:])) and max(x.n for x in cut) < 200
+
+
+def test_merge_and_gaps_over_many_ranges(spark):
+    """Ranges far smaller than runs, runs that bridge several, ties; a null chromosome is one of its own."""
+    r = random.Random(15)
+    data = [(c, s, s + r.choice([1, 5, 40, 3000 if r.random() < 0.02 else 9]), str(i)) for i in range(1500) for c, s in [(r.choice(["a", "b", None]), r.randint(0, 20_000))]]
+    df = spark.createDataFrame(data, "chrom string, start long, end long, name string").repartition(3)
+    merged, nexts = [], {}
+    for c in ("a", "b", None):
+        own = sorted((s, e, n) for x, s, e, n in data if x == c)
+        run = None
+        for s, e, _ in own:
+            if run and s <= run[2] + 7:
+                run = (c, run[1], max(run[2], e), run[3] + 1)
+            else:
+                merged += [run] if run else []
+                run = (c, s, e, 1)
+        merged.append(run)
+        nexts |= {n: (t[0] - e if t else None) for (s, e, n), t in zip(own, [*own[1:], None])}
+    key = lambda t: str(t)
+    assert sorted(map(tuple, intervals.merge(df, 7, aim=20).collect()), key=key) == sorted(merged, key=key)
+    assert {x["name"]: x["gap"] for x in intervals.gaps(df, aim=20).collect()} == nexts
