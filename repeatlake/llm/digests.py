@@ -36,6 +36,7 @@ from repeatlake.plans.storage import materialize
 BUCKETS = 1 << 20  # of ids at most: what bounds the broadcast table of bucket heads, 24 MB; larger buckets are sorted on disk
 ROWS = 2000  # aimed at in a bucket
 SEGMENTS = 64
+MEMBERS = 1 << 20  # ids of documents whose fingerprint others have too: up to so many, about 24 MB, are broadcast
 LOWEST = -(1 << 63)
 
 
@@ -91,8 +92,9 @@ def with_next(docs: DataFrame, *carried: str) -> DataFrame:
     heads = materialize(heads, "digest-heads")  # at most about BUCKETS rows
     both = keyed.withColumn("b", bucket).join(F.broadcast(heads), (F.col("k") == F.col("head")) & (F.col("h") == F.col("head_h")), "left")
     sent = F.array(F.struct(F.col("b").alias("at"), F.lit(0).alias("copy")), F.struct(F.col("above").alias("at"), F.lit(1).alias("copy")))
-    here = both.withColumn("to", F.explode(F.filter(sent, lambda x: x["at"].isNotNull()))).select(*docs.columns, "k", "h", "to.at", "to.copy")
-    across = Window.partitionBy("at").orderBy("copy", F.col("k").desc(), "h", *carried)
+    # what is shuffled beside whole texts is kept small: the key is made of the id again
+    here = both.withColumn("to", F.explode(F.filter(sent, lambda x: x["at"].isNotNull()))).select(*docs.columns, "h", "to.at", "to.copy")
+    across = Window.partitionBy("at").orderBy("copy", F.coalesce("doc_id", F.lit(LOWEST).cast("long")).desc(), "h", *carried)
     out = here.select(*docs.columns, "copy", *(F.lead(c).over(across).alias(f"next_{c}") for c in carried))
     return out.where("copy = 0").drop("copy")
 
@@ -107,7 +109,9 @@ def exact_classes(documents: DataFrame, id_column: str = "doc_id", printed: Data
     if printed is None:
         printed = materialize(docs.select("doc_id", digest(canonical(F.col("text"))).alias("fingerprint")), "digest-prints")
     several = materialize(printed.groupBy("fingerprint").agg(F.count("*").alias("n")).where("n > 1").select("fingerprint"), "digest-several")
-    members = printed.join(several, "fingerprint", "left_semi").select("doc_id").distinct()
+    members = materialize(printed.join(several, "fingerprint", "left_semi").select("doc_id").distinct(), "digest-members")
+    if members.count() <= MEMBERS:  # then no text but theirs has to move
+        members = F.broadcast(members)
     texts = docs.join(members, docs["doc_id"].eqNullSafe(members["doc_id"]), "left_semi")
     texts = texts.select("doc_id", canonical(F.col("text")).alias("canon")).withColumn("fingerprint", digest(F.col("canon")))
     checked = texts.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"), (F.min("canon") == F.max("canon")).alias("pure"))
@@ -122,19 +126,27 @@ def exact_classes(documents: DataFrame, id_column: str = "doc_id", printed: Data
 
 def fingerprint_edits(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
     """Fingerprints of every text and of its edited text, with their likeness, and the class of byte-equal canonical texts."""
+    return unpacked(packed_edits(documents, id_column))
+
+
+def packed_edits(documents: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of :func:`fingerprint_edits` with digests as bytes, half as large when they are shuffled or written."""
     docs = plain_text(documents, id_column)
-    printed = docs.withColumn("fingerprint", digest(canonical(F.col("text"))))
-    paired = with_next(printed, "text", "fingerprint")
+    printed = docs.withColumn("print", F.unhex(digest(canonical(F.col("text")))))
+    paired = with_next(printed, "text", "print")
     n, half = F.length("text"), F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substr("text", F.lit(1), n - half), F.substr("next_text", F.lit(1), half))
-    rows = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "fingerprint", "next_fingerprint")
-    rows = rows.withColumn("edited_fingerprint", digest(canonical(F.col("edited"))))
-    like = lambda other: (F.col("fingerprint") == F.col(other)).cast("double")
-    rows = rows.select(
-        "doc_id", "n_chars", F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
-        like("edited_fingerprint").alias("near_edited"), like("next_fingerprint").alias("near_next"),
+    rows = paired.select("doc_id", n.cast("long").alias("n_chars"), edited.alias("edited"), "print", "next_print")
+    rows = rows.withColumn("edited_print", F.unhex(digest(canonical(F.col("edited")))))
+    return rows.select("doc_id", "n_chars", F.unhex(F.sha2(F.encode("edited", "UTF-8"), 256)).alias("sha"), "print", "edited_print", (F.col("print") == F.col("next_print")).alias("same_next"))
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    text = lambda c: F.lower(F.hex(c))
+    return rows.select(
+        "doc_id", "n_chars", text("sha").alias("edited_sha256"), text("print").alias("fingerprint"), text("edited_print").alias("edited_fingerprint"),
+        (F.col("print") == F.col("edited_print")).cast("double").alias("near_edited"), F.col("same_next").cast("double").alias("near_next"),
     )
-    return rows
 
 
 def with_classes(documents: DataFrame, rows: DataFrame, id_column: str = "doc_id") -> DataFrame:
@@ -158,4 +170,4 @@ def with_classes(documents: DataFrame, rows: DataFrame, id_column: str = "doc_id
 def query(spark, sf_dir: str) -> DataFrame:
     """``op6``: digests of all documents and their edited texts, and each document's exact class."""
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return with_classes(documents, materialize(fingerprint_edits(documents), "digest-rows"))
+    return with_classes(documents, unpacked(materialize(packed_edits(documents), "digest-rows")))
