@@ -316,3 +316,27 @@ def test_merge_and_gaps_over_many_ranges(spark):
     key = lambda t: str(t)
     assert sorted(map(tuple, intervals.merge(df, 7, aim=20).collect()), key=key) == sorted(merged, key=key)
     assert {x["name"]: x["gap"] for x in intervals.gaps(df, aim=20).collect()} == nexts
+
+
+@pytest.mark.parametrize("k", [4, 11, 30])
+def test_loci_of_one_row_are_grouped_where_they_are(spark, monkeypatch, k):
+    """Loci of one row take no shuffle of k-mers; long ones and those of several rows, which do, give the same."""
+    pick = random.Random(k)
+    text = lambda n: "".join(pick.choices("ACGT", k=n // 9)) * 9 + pick.choice(["", "N", "AAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA"])
+    one = [(i, text(pick.choice([0, 3, 40, 900]))) for i in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame([*one, (5, text(300)), (6, one[6][1]), (None, text(90)), (None, text(90))], "locus long, seq string")
+    alone = spark.createDataFrame(one, "locus long, seq string")
+    ways = {"count": lambda x: kmers.count(x, k), "graph": lambda x: kmers.graph(x, k), "entropy": lambda x: kmers.entropy(x, k).withColumn("entropy", F.round("entropy", 9))}
+    small = {name: rows(way(alone)) for name, way in ways.items()}
+    for name in ("count", "graph"):
+        assert "Exchange hashpartitioning" not in ways[name](alone)._jdf.queryExecution().executedPlan().toString()
+    key = lambda t: tuple((x is not None, x) for x in t)
+    mixed = {name: sorted(map(tuple, way(df).collect()), key=key) for name, way in ways.items()}
+    monkeypatch.setattr(kmers, "LONG", 0)
+    assert {name: rows(way(alone)) for name, way in ways.items()} == small
+    assert {name: sorted(map(tuple, way(df).collect()), key=key) for name, way in ways.items()} == mixed
+
+
+def test_closure_lists_a_palindrome_once(spark):
+    tables = spark.createDataFrame([(1, "ACGT", 2), (1, "AAAC", 1)], "locus long, kmer string, cnt long")
+    assert rows(kmers.closure(tables)) == [(1, "AAAC"), (1, "ACGT"), (1, "GTTT")]
