@@ -340,3 +340,30 @@ def test_loci_of_one_row_are_grouped_where_they_are(spark, monkeypatch, k):
 def test_closure_lists_a_palindrome_once(spark):
     tables = spark.createDataFrame([(1, "ACGT", 2), (1, "AAAC", 1)], "locus long, kmer string, cnt long")
     assert rows(kmers.closure(tables)) == [(1, "AAAC"), (1, "ACGT"), (1, "GTTT")]
+
+
+def test_blocks_of_whole_and_of_parted_loci(spark, tmp_path, monkeypatch):
+    """Blocks written where their rows are hold what blocks of shuffled rows hold, also for loci of several rows."""
+    pick = random.Random(3)
+    seqs = [(i, "".join(pick.choices("ACGTN", [9, 9, 9, 9, 1], k=pick.choice([2, 60, 400])))) for i in range(30)] + [(4, "ACGTACGTAC" * 9)]
+    df = spark.createDataFrame(seqs, "locus long, seq string")
+    want = kmers.codes(df, ["locus"], 5, canonical=False).groupBy("locus", "kmer").agg(F.count("*").alias("cnt"))
+    edge = F.least("kmer", S.revcomp_code(F.col("kmer"), 5)).alias("edge")
+    counts = rows(want.groupBy("locus", edge).agg(F.sum("cnt").alias("cnt")).select("locus", "edge", "cnt"))
+    parted = lambda x: kmers.tally(x, 5, canonical=False)
+    for long in (kmers.LONG, 0):
+        monkeypatch.setattr(kmers, "LONG", long)
+        place = str(tmp_path / f"blocks{long}")
+        formats.write_kmer_blocks(df, 5, place, ["cnt"], kmers.counted_windows, parted, canonical=False)
+        assert rows(formats.kmer_rows(spark, place, ["cnt"])) == rows(want.select("locus", "kmer", "cnt"))
+        assert rows(formats.bubble_counts(spark, place, 5)) == counts
+        assert "Exchange" not in formats.bubble_counts(spark, place, 5)._jdf.queryExecution().executedPlan().toString()
+    again = str(tmp_path / "again")
+    spark.createDataFrame([(">7\n3\t1\n9\t2\n>8\n1\t1\n>7\n3\t4",)], "value string").write.text(again)
+    assert sum(r[2] for r in rows(formats.bubble_counts(spark, again, 5)) if r[0] == 7) == 7 and len(rows(formats.bubble_counts(spark, again, 5))) == 3
+
+
+def test_zipped_keeps_places(spark, tmp_path):
+    for name, text in (("a", ">1\n5\n\n7\n>2\n1\n>3\n1"), ("b", ">2\n8\t0\n9\t0\n>1\n6\n4\n2")):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(str(tmp_path / name))
+    assert rows(formats.zipped(spark, str(tmp_path / "a"), str(tmp_path / "b"), ("n", "code"))) == [(1, 0, 5, 6), (1, 2, 7, 2), (2, 0, 1, 8)]
