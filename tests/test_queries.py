@@ -40,3 +40,20 @@ def test_entry_point():
 
     names = entry.queries()
     assert set(entry.oracle_sql()) <= set(names) and set(QUERIES) <= set(names)
+
+
+AGAIN = "kmer_count kmer_graph kmer_entropy pan_merge pan_graph_merge map_pan_counts bubble_edge_filter novel_edges kmers_of_assembly shared_kmers kmers_except bidirectional_closure bubble_text_roundtrip bait_text_roundtrip".split()
+
+
+@pytest.mark.parametrize("name", AGAIN)
+def test_query_with_loci_of_several_rows(spark, tmp_path, name):
+    import duckdb
+
+    con = duckdb.connect()
+    source = "(SELECT doc_id, substr(text, 1, 700) AS text, lang, source, n_chars FROM '/root/testdata/sf0.001/documents.parquet')"
+    con.execute(f"COPY (SELECT * FROM {source} WHERE doc_id < 40 UNION ALL SELECT doc_id - 30, text, lang, 'src1', n_chars FROM {source} WHERE doc_id BETWEEN 40 AND 49) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    a, b = plain(QUERIES[name](spark, str(tmp_path)).toPandas()), plain(con.sql(SQL[name]).df())
+    assert len(a) == len(b) and list(a.columns) == list(b.columns)
+    for c in a.columns:
+        assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-9) if a[c].dtype.kind == "f" else (a[c].astype(str) == b[c].astype(str)).all(), c
