@@ -57,3 +57,13 @@ def test_query_with_loci_of_several_rows(spark, tmp_path, name):
     assert len(a) == len(b) and list(a.columns) == list(b.columns)
     for c in a.columns:
         assert np.allclose(a[c].astype(float), b[c].astype(float), atol=1e-9) if a[c].dtype.kind == "f" else (a[c].astype(str) == b[c].astype(str)).all(), c
+
+
+@pytest.mark.parametrize("name", ["kmer_inverted_index", "kmer_index_chunks", "haplotype_merge", "read_index_join", "sampled_prefilter", "kmer_hit_filter"])
+def test_index_query_with_loci_of_several_rows(spark, tmp_path, name):
+    test_query_with_loci_of_several_rows(spark, tmp_path, name)
+
+
+def test_probes_take_no_window_over_all_reads(spark, small):
+    plan = QUERIES["sampled_prefilter"](spark, small[0])._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
