@@ -67,3 +67,34 @@ def test_index_query_with_loci_of_several_rows(spark, tmp_path, name):
 def test_probes_take_no_window_over_all_reads(spark, small):
     plan = QUERIES["sampled_prefilter"](spark, small[0])._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan
+
+
+@pytest.mark.parametrize("name", ["bubble_roots", "bubble_root_features", "bubble_path_features", "bubble_calls"])
+def test_bubble_query_with_loci_of_several_rows(spark, tmp_path, name):
+    test_query_with_loci_of_several_rows(spark, tmp_path, name)
+
+
+@pytest.mark.parametrize("name", ["bubble_roots", "bubble_path_features"])
+def test_bubble_tables_do_not_grow_with_the_sequences(spark, small, name, monkeypatch):
+    """Rows of novel edges, their nodes and their flanks: no more of them where every sequence is there three times, which leaves no edge to one locus."""
+    from repeatlake.operators import bubbles, loci
+
+    sizes = []
+    seen = lambda *tables: sizes.append(sum(t.count() for t in tables))
+    monkeypatch.setattr(loci, "bubbles", lambda edges, repeat: seen(edges, repeat) or edges.limit(0).selectExpr("locus", "edge root", "cnt reached", "cnt alive", "cnt nodes", "0D mean", "0D sd"))
+
+    class Counted(bubbles.Bubbles):
+        def __init__(self, edges, repeat, flank, *more):
+            seen(edges, repeat, flank)
+            super().__init__(edges, repeat, flank, *more)
+
+    monkeypatch.setattr(bubbles, "Bubbles", Counted)
+    docs = spark.read.parquet(f"{small[0]}/documents.parquet").cache()
+    wide = docs.unionByName(docs.withColumn("doc_id", docs.doc_id + 10000)).unionByName(docs.withColumn("doc_id", docs.doc_id + 20000))
+    import tempfile
+
+    place = tempfile.mkdtemp()
+    wide.write.parquet(f"{place}/documents.parquet")
+    QUERIES[name](spark, small[0]).count()
+    QUERIES[name](spark, place).count()
+    assert 0 == sizes[1] < sizes[0]
