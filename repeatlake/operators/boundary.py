@@ -7,10 +7,15 @@ the k-mers that the round before added are joined with the windows of their locu
 windows found once stay found, and a round picks those that lie in a flank as it is
 then. All haplotypes of a round see the same set. A haplotype fails if a flank
 leaves the sequence or a bound has moved by more than ``most``; it stays as it is then.
+
+A locus whose haplotypes have at most ``kmers.LONG`` bases in all is expanded where
+its sequences have met, so only they are shuffled; the rounds of longer ones are joins.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +27,51 @@ ONE = ["locus", "hap"]
 
 def expand(rows: DataFrame, k: int, flank: int, most: int, grow: bool = True) -> DataFrame:
     """``(locus, hap, start, end, ok)`` of ``(locus, hap, seq, start, end)`` after expansion; without ``grow`` the set stays that of the repeats given."""
+    sizes = rows.groupBy("locus").agg(F.sum(F.length("seq")).alias("bases"), F.count("*").alias("rows"), F.count_distinct("hap").alias("haps"))
+    far = sizes.where((F.col("bases") > kmers.LONG) | (F.col("rows") > F.col("haps")) | F.col("locus").isNull()).select("locus")
+    kinds = dict(rows.dtypes)
+    near = lambda x: x.groupBy("locus").applyInPandas(lambda g: _expanded(g, k, flank, most, grow), f"locus {kinds['locus']}, hap {kinds['hap']}, start long, end long, ok boolean")
+    rows = rows.select(*ONE, "seq", "start", "end")
+    if far.isEmpty():
+        return near(rows)
+    far = materialize(far, "long-loci")
+    match = rows["locus"].eqNullSafe(far["locus"])
+    return near(rows.join(far, match, "left_anti")).unionByName(_expand_by_joins(rows.join(far, match, "left_semi"), k, flank, most, grow))
+
+
+def _expanded(group: pd.DataFrame, k: int, flank: int, most: int, grow: bool) -> pd.DataFrame:
+    """The rounds of one locus, over its haplotypes' windows outside their repeats."""
+    start, end = group["start"].to_numpy(np.int64, copy=True), group["end"].to_numpy(np.int64, copy=True)
+    start0, end0, length = start.copy(), end.copy(), group["seq"].str.len().to_numpy(np.int64)
+    pos, kmer, of, inner = [], [], [], []
+    for i, seq in enumerate(group["seq"]):
+        at, codes = kmers.valid_windows(np.frombuffer(seq.encode(), np.uint8), k)
+        inside = (at >= start[i]) & (at <= end[i] - k)
+        inner.append(codes[inside])
+        pos.append(at[~inside])
+        kmer.append(codes[~inside])
+        of.append(np.full(len(pos[-1]), i))
+    pos, kmer, of = (np.concatenate(x) for x in (pos, kmer, of))
+    hit = np.isin(kmer, np.concatenate(inner))
+    ok = np.ones(len(group), bool)
+    while True:
+        ok &= (start >= flank) & (end + flank <= length)
+        s, e = start[of], end[of]
+        left, right = (pos >= s - flank) & (pos < s), (pos > e - k) & (pos <= e + flank - k)
+        seen = hit & ok[of]
+        if not (seen & (left | right)).any():
+            return pd.DataFrame({"locus": group["locus"], "hap": group["hap"], "start": start, "end": end, "ok": ok})
+        low, high = start.copy(), end - k
+        np.minimum.at(low, of[seen & left], pos[seen & left])
+        np.maximum.at(high, of[seen & right], pos[seen & right])
+        passed = left & (pos >= low[of]) | right & (pos <= high[of])
+        start, end = low, high + k
+        ok &= (start0 - start <= most) & (end - end0 <= most)
+        if grow:
+            hit |= np.isin(kmer, kmer[passed])
+
+
+def _expand_by_joins(rows: DataFrame, k: int, flank: int, most: int, grow: bool) -> DataFrame:
     bounds = rows.select(*ONE, F.length("seq").alias("length"), F.col("start").alias("start0"), F.col("end").alias("end0"), "start", "end", F.lit(True).alias("ok"))
     bounds = materialize(bounds, "bounds")
     every = kmers.codes(rows.select(*ONE, "seq"), ONE, k).withColumn("pos", F.col("pos").cast("long")).join(bounds.select(*ONE, "start0", "end0"), ONE)

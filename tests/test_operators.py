@@ -367,3 +367,22 @@ def test_zipped_keeps_places(spark, tmp_path):
     for name, text in (("a", ">1\n5\n\n7\n>2\n1\n>3\n1"), ("b", ">2\n8\t0\n9\t0\n>1\n6\n4\n2")):
         spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(str(tmp_path / name))
     assert rows(formats.zipped(spark, str(tmp_path / "a"), str(tmp_path / "b"), ("n", "code"))) == [(1, 0, 5, 6), (1, 2, 7, 2), (2, 0, 1, 8)]
+
+
+def test_expansion_of_short_loci_writes_no_windows(spark, monkeypatch):
+    r = random.Random(3)
+    unit, seqs = "".join(r.choice("ACGT") for _ in range(12)), []
+    for n in (5, 7, 9):
+        seqs.append("".join(r.choice("ACGT") for _ in range(90)) + unit * n + "".join(r.choice("ACGT") for _ in range(90)))
+    rows = [(locus, f"h{hap}", seq, 95, len(seq) - 101) for locus in (1, 2, 3) for hap, seq in enumerate(seqs)] + [(2, "h0", seqs[1], 99, 120), (None, "h0", seqs[0], 95, 140)]
+    df = spark.createDataFrame(rows, "locus long, hap string, seq string, start long, end long")
+    written, write = [], boundary.materialize
+    monkeypatch.setattr(boundary, "materialize", lambda table, tag: written.append(tag) or write(table, tag))
+    plain = lambda table: sorted(map(str, table.select("locus", "hap", "start", "end", "ok").collect()))
+    once = df.where("locus in (1, 3)")
+    near = plain(boundary.expand(once, 8, 30, 60))
+    assert written == []
+    both = plain(boundary.expand(df, 8, 30, 60))
+    assert "bound-windows" in written  # of locus 2, which has a haplotype twice, and of the row without a locus
+    monkeypatch.setattr(kmers, "LONG", 0)
+    assert plain(boundary.expand(once, 8, 30, 60)) == near and plain(boundary.expand(df, 8, 30, 60)) == both
