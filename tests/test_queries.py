@@ -98,3 +98,28 @@ def test_bubble_tables_do_not_grow_with_the_sequences(spark, small, name, monkey
     QUERIES[name](spark, small[0]).count()
     QUERIES[name](spark, place).count()
     assert 0 == sizes[1] < sizes[0]
+
+
+@pytest.mark.parametrize("name", ["bait_filter", "filter_funnel"])
+def test_mapping_query_with_loci_of_several_rows(spark, tmp_path, name):
+    """Second rows of loci are too short for pairs, whose titles would be those of others."""
+    import duckdb
+
+    con = duckdb.connect()
+    source = "'/root/testdata/sf0.001/documents.parquet'"
+    con.execute(f"COPY (SELECT doc_id, substr(text, 1, 900) AS text, lang, source, n_chars FROM {source} WHERE doc_id < 40 UNION ALL SELECT doc_id - 1, substr(text, 1, 450), lang, 'src1', n_chars FROM {source} WHERE doc_id BETWEEN 11 AND 25 UNION ALL SELECT doc_id, substr(text, 200, 450), lang, 'src2', n_chars FROM {source} WHERE doc_id < 8) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    a, b = plain(QUERIES[name](spark, str(tmp_path)).toPandas()), plain(con.sql(SQL[name]).df())
+    assert len(a) == len(b) and (a.astype(str) == b.astype(str)[list(a.columns)]).all(axis=None)
+
+
+def test_mapping_writes_no_table_of_all_read_kmers(spark, small, monkeypatch):
+    """Reads' k-mers are made where they are used, and sets of repeats and flanks are grouped in their row: no exchange by locus and k-mer before the classes."""
+    from repeatlake.plans import tables
+
+    sizes, write = {}, tables.materialize
+    monkeypatch.setattr(tables, "materialize", lambda rows, tag: sizes.setdefault(tag, (rows._jdf.queryExecution().executedPlan().toString(), write(rows, tag)))[1])
+    mapping = tables.Mapping(spark, small[0])
+    windows = mapping.kmers.count()
+    assert all(table.count() < windows for tag, (_, table) in sizes.items() if tag not in ("kinds", "classes"))
+    assert "hashpartitioning(locus" not in sizes["kinds"][0] and "HashAggregate" not in sizes["kinds"][0]
