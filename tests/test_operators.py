@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
@@ -386,3 +387,18 @@ def test_expansion_of_short_loci_writes_no_windows(spark, monkeypatch):
     assert "bound-windows" in written  # of locus 2, which has a haplotype twice, and of the row without a locus
     monkeypatch.setattr(kmers, "LONG", 0)
     assert plain(boundary.expand(once, 8, 30, 60)) == near and plain(boundary.expand(df, 8, 30, 60)) == both
+
+
+def test_residuals_of_one_covariate_take_no_python_group(spark):
+    r = random.Random(5)
+    rows = [(gene, sample, r.uniform(0, 50) + 1e6 * (gene == 4)) for gene in range(6) for sample in range(1 + 3 * gene)]
+    depth = {sample: 10 + r.random() if sample > 3 else 12.5 for sample in range(15)}
+    got = predict.residualize(spark.createDataFrame(rows, "gene long, sample long, y double"), spark.createDataFrame(list(depth.items()), "sample long, depth double"), ["depth"])
+    assert "FlatMapGroups" not in got._jdf.queryExecution().executedPlan().toString()
+    left = {(x.gene, x.sample): x.residual for x in got.collect()}
+    for gene in range(6):
+        own = [(s, y) for g, s, y in rows if g == gene and s in depth]
+        x, y = np.column_stack([np.ones(len(own)), [depth[s] for s, _ in own]]), np.array([y for _, y in own])
+        want = y - x @ np.linalg.lstsq(x, y, rcond=None)[0]
+        assert np.allclose([left[gene, s] for s, _ in own], want, atol=1e-6)
+    assert len(left) == sum(s in depth for _, s, _ in rows)
