@@ -2,14 +2,17 @@
 
 Each token is masked in turn and predicted from the two tokens on either side by
 a window network in numpy: the four neighbours' vectors are summed, go through
-tanh, and give the log odds of the token's class and, inside the class, of the
-token. The sum of the conditional log-probabilities scores a document.
+tanh, and give the log odds of a group of classes, inside it of the token's class
+and, inside the class, of the token. The sum of the conditional log-probabilities
+scores a document.
 
 Frequencies are counted over all documents: the frequent words become tokens,
 and all others fall, by a hash of their last letters, into buckets that know how
 often and how many different words fell there, among which a word has an equal
-share. Classes hold tokens of like frequency, about the same share of the corpus
-each. Tokens, buckets and classes grow with the square root of the corpus.
+share. Classes hold tokens of like frequency, about the same sum of square roots
+of shares of the corpus each: with as many classes as the roots of all shares add
+up to, a token meets the fewest log odds. Groups are made of classes in the same
+way. Tokens and buckets grow with the square root of the corpus, classes more slowly.
 
 The network starts from whole documents of a small sample and is then trained on
 every token of every document: each task takes its documents in steps from the
@@ -28,6 +31,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +49,8 @@ START_DOCUMENTS, START_TOKENS = 800, 200_000  # what the start is fitted to
 STEP = 8192  # tokens of a step over the corpus
 BLOCK = 4096  # rows of weights that are added up at a time
 PIECE = 1 << 14  # tokens worked on at a time
+ROWS = 1024  # tokens whose log odds within a range are held at a time, so that they stay near the processor
+CHARACTERS = 1 << 22  # of texts, whole ones, whose words are looked up at a time
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -52,6 +58,49 @@ def bucket(word: str, buckets: int = BUCKETS) -> int:
     return zlib.crc32(word[-3:].encode("utf-8", "replace")) % buckets
 
 
+@cache
+def letters() -> np.ndarray:
+    """Of every code point, whether words have it."""
+    inside = np.zeros(0x110000, bool)
+    for m in WORD.finditer("".join(map(chr, range(0x110000)))):
+        inside[m.start() : m.end()] = True
+    return inside
+
+
+def words_of(some: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The different words of texts, lower-cased; of each occurrence its place among them, in order; and how many words each text has. As ``WORD`` finds them."""
+    lower = [t.lower() for t in some]
+    flat = "\n".join(lower)  # no word has it
+    data = np.frombuffer(flat.encode("utf-8"), np.uint8)
+    points = data if flat.isascii() else np.frombuffer(flat.encode("utf-32-le"), np.uint32)
+    inside = np.zeros(len(points) + 2, bool)
+    inside[1:-1] = letters().take(points)
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    many = np.diff(np.searchsorted(edges[::2], np.cumsum([0, *(len(t) + 1 for t in lower)])))
+    if points is not data:
+        edges = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))[edges]
+    ends = np.concatenate([[0], edges, [len(data)]])  # what is between words, and words, in turn
+    parts = pa.LargeStringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
+    at = parts.indices.to_numpy()[1::2]
+    found = np.flatnonzero(np.bincount(at, minlength=len(parts.dictionary)))
+    place = np.zeros(len(parts.dictionary), np.int64)
+    place[found] = np.arange(len(found))
+    return parts.dictionary.take(pa.array(found)).to_numpy(zero_copy_only=False).tolist(), place[at], many
+
+
+def groups(batch: pa.RecordBatch):
+    """``(first row, texts)``: the texts of a batch, about ``CHARACTERS`` at a time."""
+    first, held, size = 0, [], 0
+    for k, text in enumerate(texts(batch)):
+        held.append(text)
+        size += len(text)
+        if size >= CHARACTERS:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
+
+
 def word_counts(documents: DataFrame, most: int = 100_000, id_column: str = "doc_id") -> DataFrame:
     """``(word, n)`` over all documents, lower-cased; tasks add up what they have read before anything is shuffled."""
 
@@ -61,8 +110,9 @@ def word_counts(documents: DataFrame, most: int = 100_000, id_column: str = "doc
 
         seen: Counter = Counter()
         for batch in batches:
-            for text in texts(batch):
-                seen.update(WORD.findall(text.lower()))
+            for _, some in groups(batch):
+                words, at, _ = words_of(some)
+                seen.update(dict(zip(words, np.bincount(at, minlength=len(words)).tolist())))
                 if len(seen) > most:
                     yield out(seen)
                     seen = Counter()
@@ -72,28 +122,48 @@ def word_counts(documents: DataFrame, most: int = 100_000, id_column: str = "doc
     return plain_text(documents, id_column).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def _ranges(share: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of ranges of shares: as many as the square roots of all add up to, but for empty ones, each with about as much of them."""
+    root = np.sqrt(share)
+    many = max(least, round(root.sum()))
+    at = np.minimum(((np.cumsum(root) - root / 2) / root.sum() * many).astype(np.int64), many - 1)
+    return np.cumsum(np.diff(at, prepend=at[:1]) != 0)
+
+
 class Vocabulary:
-    """Frequent words and buckets of the others, with classes and shares."""
+    """Frequent words and buckets of the others, with classes, their groups, and shares."""
 
     def __init__(self, frequent: list[tuple[str, int]], rare: dict[int, tuple[int, int]], buckets: int = BUCKETS):
         frequent = sorted(frequent, key=lambda x: (-x[1], x[0]))
         self.ids, self.buckets = {w: k for k, (w, _) in enumerate(frequent)}, buckets
         self.size = len(frequent) + buckets
-        self.kinds = max(CLASSES, math.isqrt(self.size))
         n = np.array([c for _, c in frequent] + [rare.get(b, (0, 0))[0] + 1 for b in range(buckets)], float)
         order = np.argsort(-n, kind="stable")
-        share = np.cumsum(n[order]) / n.sum()
         self.classes = np.empty(self.size, np.int64)
-        self.classes[order] = np.minimum(((share - n[order] / n.sum() / 2) * self.kinds).astype(np.int64), self.kinds - 1)
+        self.classes[order] = _ranges(n[order] / n.sum(), CLASSES)
+        self.kinds = int(self.classes.max()) + 1
         # a class is a range of places
         self.place = np.empty(self.size, np.int64)
         self.place[order] = np.arange(self.size)
         self.first = np.searchsorted(self.classes[order], np.arange(self.kinds + 1))
         mass = np.bincount(self.classes, n, self.kinds)
         self.inside = np.log(n / mass[self.classes])[order].astype(np.float32)
+        # a group is a range of classes
+        self.groups = _ranges(mass / mass.sum(), 1)
+        sums = np.bincount(self.groups, mass)
+        self.outer = np.searchsorted(self.groups, np.arange(len(sums) + 1))
+        self.bases = [np.log(sums / sums.sum()).astype(np.float32), np.log(mass / sums[self.groups]).astype(np.float32), self.inside]
         self.shared = np.zeros(self.size)
         self.shared[len(frequent) :] = np.log([max(1, rare.get(b, (0, 0))[1]) for b in range(buckets)])
 
+    def levels(self, target: np.ndarray):
+        """From groups to tokens: what each target is inside of, what it is there, and where the ranges of those begin."""
+        kind = self.classes[target]
+        group = self.groups[kind]
+        yield np.zeros(len(target), np.int64), group, np.array([0, len(self.outer) - 1])
+        yield group, kind, self.outer
+        yield kind, self.place[target], self.first
+
     def token(self, word: str) -> int:
         known = self.ids.get(word)
         return len(self.ids) + bucket(word, self.buckets) if known is None else known
@@ -137,16 +207,27 @@ def _order(ids: np.ndarray, most: int) -> np.ndarray:
     return np.argsort(ids.astype(np.uint16) if most < 1 << 16 else ids, kind="stable")
 
 
+def _runs(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different ones of sorted numbers, and where each begins."""
+    starts = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+    return ids[starts], starts
+
+
 class Network:
-    """Classes and their tokens from the neighbours; the token before the start and after the end is the padding."""
+    """Groups, their classes and the classes' tokens from the neighbours; the token before the start and after the end is the padding."""
 
     def __init__(self, words: Vocabulary, seed: int = 5):
         rng = np.random.default_rng(seed)
         self.words, self.pad = words, words.size
         tables = [rng.normal(0, 0.1, (words.size + 1, HIDDEN)).astype(np.float32) for _ in range(2 * SIDE)]
-        out = rng.normal(0, 0.1, (HIDDEN, words.kinds)).astype(np.float32)
-        # of the neighbours, the hidden layer, the classes, and the tokens by place
-        self.params = [*tables, np.zeros(HIDDEN, np.float32), out, np.zeros(words.kinds, np.float32), np.zeros((words.size, HIDDEN), np.float32)]
+        outer, inner = (rng.normal(0, 0.1, (n, HIDDEN)).astype(np.float32) for n in (len(words.outer) - 1, words.kinds))
+        # of the neighbours, the hidden layer, the groups, the classes, and the tokens by place
+        self.params = [*tables, np.zeros(HIDDEN, np.float32), outer, words.bases[0].copy(), inner, words.bases[1].copy(), np.zeros((words.size, HIDDEN), np.float32)]
+
+    def level(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Weights and bases of groups, classes or tokens."""
+        at = 2 * SIDE + 1 + 2 * k
+        return self.params[at], self.params[at + 1] if k < 2 else self.words.inside
 
     def windows(self, padded: np.ndarray) -> list[np.ndarray]:
         """The neighbours of every token of a sequence that has SIDE paddings at either end."""
@@ -154,43 +235,45 @@ class Network:
         return [padded[k : k + n] for k in range(2 * SIDE + 1) if k != SIDE]
 
     def hidden(self, near: list[np.ndarray]) -> np.ndarray:
-        *tables, bias, _, _, _ = self.params
+        tables, bias = self.params[: 2 * SIDE], self.params[2 * SIDE]
         hidden = tables[0].take(near[0], axis=0)
         for table, ids in zip(tables[1:], near[1:]):
             hidden += table.take(ids, axis=0)
         hidden += bias
         return np.tanh(hidden, out=hidden)
 
-    def odds(self, hidden: np.ndarray) -> tuple[np.ndarray, float]:
-        """The log odds of classes and a bound of their size."""
-        out, base = self.params[2 * SIDE + 1], self.params[2 * SIDE + 2]
-        z = hidden @ out
-        z += base
-        return z, float((np.abs(out).sum(axis=0) + np.abs(base)).max(initial=0))  # no unit is over 1
-
-    def forward(self, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The hidden layer, the log odds of classes, and the logarithms of their sums."""
+    def forward(self, near: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """The hidden layer and the logarithms of the probabilities of all classes."""
         hidden = self.hidden(near)
-        z, most = self.odds(hidden)
-        total, top = _exponentials(z.copy(), most)
-        return hidden, z, np.log(total) + top
-
-    def inside(self, hidden: np.ndarray, target: np.ndarray):
-        """Of each class among targets that are in the order of their classes: its range of places, the range of its rows, their tokens within it, log odds and a bound of their size. The log odds stay until the next class."""
-        kind, place, first, own = self.words.classes[target], self.words.place[target], self.words.first, self.params[-1]
-        most = float((np.abs(own) @ np.ones(HIDDEN, np.float32) + np.abs(self.words.inside)).max(initial=0))
-        starts = np.flatnonzero(np.diff(kind, prepend=-1))
-        ends, lows, highs = np.append(starts[1:], len(kind)), first[kind[starts]], first[kind[starts] + 1]
-        room = np.empty(((ends - starts) * (highs - lows)).max(initial=0), np.float32)
-        for start, end, lo, hi in zip(starts, ends, lows, highs):
-            z = np.matmul(hidden[start:end], own[lo:hi].T, out=room[: (end - start) * (hi - lo)].reshape(end - start, hi - lo))
-            z += self.words.inside[lo:hi]
-            yield lo, hi, slice(start, end), place[start:end] - lo, z, most
+        (own, base), (inner, bases) = self.level(0), self.level(1)
+        group, logs = hidden @ own.T + base, hidden @ inner.T + bases
+        total, top = _exponentials(group.copy(), math.inf)
+        group -= (np.log(total) + top)[:, None]
+        for k, (lo, hi) in enumerate(zip(self.words.outer, self.words.outer[1:])):
+            total, top = _exponentials(logs[:, lo:hi].copy(), math.inf)
+            logs[:, lo:hi] += (group[:, k] - np.log(total) - top)[:, None]
+        return hidden, logs
+
+    def inside(self, hidden: np.ndarray, k: int, within: np.ndarray, place: np.ndarray, first: np.ndarray):
+        """Of each range of level ``k`` among rows in its order, some rows at a time: its places, which the rows are, their place within it, log odds and a bound of their size. The log odds stay until the next rows."""
+        own, base = self.level(k)
+        most = float((np.abs(own) @ np.ones(HIDDEN, np.float32) + np.abs(base)).max(initial=0))  # no unit is over 1
+        starts = np.flatnonzero(np.diff(within, prepend=-1))
+        ends, lows, highs = np.append(starts[1:], len(within)), first[within[starts]], first[within[starts] + 1]
+        room = np.empty((np.minimum(ends - starts, ROWS) * (highs - lows)).max(initial=0), np.float32)
+        for start, end, lo, hi in zip(starts.tolist(), ends.tolist(), lows.tolist(), highs.tolist()):
+            for at in range(start, end, ROWS):
+                rows = slice(at, min(at + ROWS, end))
+                n = rows.stop - at
+                z = np.matmul(hidden[rows], own[lo:hi].T, out=room[: n * (hi - lo)].reshape(n, hi - lo))
+                z += base[lo:hi]
+                yield lo, hi, rows, place[rows] - lo, z, most
 
     def by_class(self, hidden: np.ndarray, target: np.ndarray):
         """Of each class among the targets: its range of places, its rows, their tokens within it, log odds and the logarithms of their sums."""
         order = _order(self.words.classes[target], self.words.kinds)
-        for lo, hi, rows, at, z, most in self.inside(hidden.take(order, axis=0), target[order]):
+        *_, tokens = self.words.levels(target[order])
+        for lo, hi, rows, at, z, most in self.inside(hidden.take(order, axis=0), 2, *tokens):
             odds = z.copy()
             total, top = _exponentials(z, most)
             yield lo, hi, order[rows], at, odds, np.log(total) + top
@@ -199,34 +282,42 @@ class Network:
         return [np.full(p.shape[:1] if k < 2 * SIDE or k == len(self.params) - 1 else p.shape, 1e-3, np.float32) for k, p in enumerate(self.params)]
 
     def step(self, ids: np.ndarray, target: np.ndarray, squares: list[np.ndarray], rate: float) -> None:
-        """One step of Adagrad on the cross-entropy of classes and of tokens inside them."""
+        """One step of Adagrad on the cross-entropy of groups, of classes inside them and of tokens inside those."""
         order, n = _order(self.words.classes[target], self.words.kinds), len(target)
-        ids, target = ids[:, order], target[order]
+        ids, target = ids.take(order, axis=1), target[order]
         hidden = self.hidden(list(ids))
-        err, most = self.odds(hidden)
-        total, _ = _exponentials(err, most)
-        err *= (1 / (n * total))[:, None]
-        err[np.arange(n), self.words.classes[target]] -= 1 / n
-        back, own = err @ self.params[2 * SIDE + 1].T, self.params[-1]
-        for lo, hi, rows, at, e, most in self.inside(hidden, target):
-            total, _ = _exponentials(e, most)
-            e *= (1 / (n * total))[:, None]
-            e[np.arange(len(at)), at] -= 1 / n
-            back[rows] += e @ own[lo:hi]
-            grad = e.T @ hidden[rows]
-            squares[-1][lo:hi] += np.einsum("ij,ij->i", grad, grad) / HIDDEN
-            own[lo:hi] -= grad * (rate / np.sqrt(squares[-1][lo:hi]))[:, None]
+        back = np.zeros_like(hidden)
+        for k, level in enumerate(self.words.levels(target)):
+            own, base = self.level(k)
+            deep, flat = np.zeros_like(own), np.zeros_like(base)
+            for lo, hi, rows, at, e, most in self.inside(hidden, k, *level):
+                total, _ = _exponentials(e, most)
+                e *= (1 / (n * total))[:, None]
+                e.reshape(-1)[np.arange(0, e.size, hi - lo) + at] -= 1 / n
+                back[rows] += e @ own[lo:hi]
+                deep[lo:hi] += e.T @ hidden[rows]
+                if k < 2:
+                    flat[lo:hi] += np.ones(len(at), e.dtype) @ e
+            at = 2 * SIDE + 1 + 2 * k
+            if k < 2:
+                squares[at] += deep**2
+                squares[at + 1] += flat**2
+                own -= rate * deep / np.sqrt(squares[at])
+                base -= rate * flat / np.sqrt(squares[at + 1])
+            else:
+                squares[at] += np.einsum("ij,ij->i", deep, deep) / HIDDEN
+                own -= np.multiply(deep, (rate / np.sqrt(squares[at]))[:, None], out=deep)
         back *= 1 - hidden**2
-        for k, grad in ((2 * SIDE, back.sum(axis=0)), (2 * SIDE + 1, hidden.T @ err), (2 * SIDE + 2, err.sum(axis=0))):
-            squares[k] += grad**2
-            self.params[k] -= rate * grad / np.sqrt(squares[k])
+        grad = back.sum(axis=0)
+        squares[2 * SIDE] += grad**2
+        self.params[2 * SIDE] -= rate * grad / np.sqrt(squares[2 * SIDE])
         for k in range(2 * SIDE):
             order = _order(ids[k], self.pad)
-            near = ids[k][order]
-            starts = np.flatnonzero(np.diff(near, prepend=-1))
-            rows, grad = near[starts], np.add.reduceat(back.take(order, axis=0), starts)
-            squares[k][rows] += np.einsum("ij,ij->i", grad, grad) / HIDDEN
-            self.params[k][rows] -= grad * (rate / np.sqrt(squares[k][rows]))[:, None]
+            rows, starts = _runs(ids[k][order])
+            grad = np.add.reduceat(back.take(order, axis=0).view(np.complex64), starts).view(np.float32)  # two columns at a time
+            total = squares[k][rows] + np.einsum("ij,ij->i", grad, grad) / HIDDEN
+            squares[k][rows] = total
+            self.params[k][rows] = self.params[k].take(rows, axis=0) - grad * (rate / np.sqrt(total))[:, None]
 
     def fit(self, padded: np.ndarray, epochs: int = 2, batch: int = 2048, rate: float = 0.15, seed: int = 6) -> None:
         """Steps over all tokens of one sequence, shuffled."""
@@ -235,7 +326,7 @@ class Network:
         real = np.flatnonzero(target != self.pad)
         for _ in range(epochs):
             for some in np.array_split(rng.permutation(real), max(1, len(real) // batch)):
-                self.step(near[:, some], target[some], squares, rate)
+                self.step(near.take(some, axis=1), target[some], squares, rate)
 
     def logs(self, padded: np.ndarray) -> np.ndarray:
         """Conditional log-probability of every token of a padded sequence."""
@@ -248,14 +339,12 @@ class Network:
             real = real[_order(self.words.classes[target[real]], self.words.kinds)]
             goal = target[real]
             hidden = self.hidden([w[real] for w in self.windows(part)])
-            z, most = self.odds(hidden)
-            sure = z[np.arange(len(real)), self.words.classes[goal]] - self.words.shared[goal]
-            total, top = _exponentials(z, most)
-            sure -= np.log(total) + top
-            for _, _, rows, at, z, most in self.inside(hidden, goal):
-                sure[rows] += z[np.arange(len(at)), at]
-                total, top = _exponentials(z, most)
-                sure[rows] -= np.log(total) + top
+            sure = -self.words.shared[goal]
+            for k, level in enumerate(self.words.levels(goal)):
+                for lo, hi, rows, at, z, most in self.inside(hidden, k, *level):
+                    sure[rows] += z.reshape(-1).take(np.arange(0, z.size, hi - lo) + at)
+                    total, top = _exponentials(z, most)
+                    sure[rows] -= np.log(total) + top
             got[real] = sure
             out.append(got)
         return np.concatenate(out) if out else np.zeros(0)
@@ -282,7 +371,11 @@ def encoded(documents: DataFrame, words: Vocabulary, id_column: str = "doc_id")
         memo = Memo(shared.value.token)
 
         def each(batch: pa.RecordBatch):
-            yield {"doc_id": batch.column(0), "ids": [np.array(list(map(memo.__getitem__, WORD.findall(t.lower()))), np.int32) for t in texts(batch)]}
+            for first, some in groups(batch):
+                found, at, many = words_of(some)
+                ids = np.fromiter(map(memo.__getitem__, found), np.int32, len(found))[at]
+                ends = np.concatenate([[0], np.cumsum(many)]).astype(np.int32)
+                yield {"doc_id": batch.column(0).slice(first, len(some)), "ids": pa.ListArray.from_arrays(ends, ids)}
 
         return each
 
@@ -327,10 +420,10 @@ def train_everywhere(tokens: DataFrame, start: Network, rate: float = 0.05) -> N
                 continue
             near = np.stack(own.windows(padded))
             for some in np.array_split(real, max(1, len(real) // STEP)):
-                own.step(near[:, some], target[some], squares, rate)
+                own.step(near.take(some, axis=1), target[some], squares, rate)
             for k in range(2 * SIDE):
                 used[k] += np.bincount(near[k][real], minlength=own.pad + 1)
-            for k in range(2 * SIDE, 2 * SIDE + 3):
+            for k in range(2 * SIDE, len(used) - 1):
                 used[k] += len(real)
             many = np.bincount(own.words.classes[target[real]], minlength=own.words.kinds)
             used[-1] += np.repeat(many, np.diff(own.words.first))

@@ -578,6 +578,36 @@ def test_language_model_learns_its_neighbours(spark, odd, empty):
     assert scoring.scores(empty, scoring.train(empty)).count() == 0
 
 
+def test_words_of_texts_are_those_of_the_pattern():
+    r = random.Random(12)
+    some = ["", "Ab1c_d  ÉÉ x", " ", "ΑΣ ΑΣΑ ΣΣ'Α", "İstanbul", "½ Ⅷ ² x²y ٣ ３", "漢字かな 😀a", "\n\na\nb\n", ""]
+    some += ["".join(chr(r.choice((r.randrange(128), r.randrange(0x250), r.randrange(0xD800), r.randrange(0xE000, 0x110000)))) for _ in range(r.randrange(60))) for _ in range(300)]
+    for ts in ([""], ["", ""], some[:2], some):
+        words, at, many = scoring.words_of(ts)
+        want = [scoring.WORD.findall(t.lower()) for t in ts]
+        assert len(set(words)) == len(words) and many.tolist() == [len(w) for w in want] and [words[k] for k in at] == [w for ws in want for w in ws]
+
+
+def test_language_model_meets_few_log_odds_and_sums_to_one():
+    """Groups, classes and tokens of a Zipf vocabulary: fewer log odds a token than two even levels have, and one distribution over all tokens."""
+    n = [(f"w{k}", 10**7 // (k + 1)) for k in range(20000)]
+    words = scoring.Vocabulary(n, {}, 160)
+    share = np.array([c for _, c in n] + [1] * 160) / (sum(c for _, c in n) + 160)
+    met = sum(np.diff(first)[within] for within, _, first in words.levels(np.arange(words.size)))
+    assert (share * met).sum() < 0.5 * 2 * math.sqrt(words.size)
+    words = scoring.Vocabulary(n[:300], {}, 16)
+    model, r = scoring.Network(words), np.random.default_rng(13)
+    ids = r.integers(0, words.size, 6000)
+    model.fit(scoring.joined([ids], model.pad)[0], epochs=1, batch=500)
+    assert min(map(len, (words.outer, words.first))) > 2 and words.groups.shape == (words.kinds,)
+    for near in ((1, 2, 3, 4), (9, 200, 0, model.pad)):
+        one = [scoring.joined([np.array([*near[:2], k, *near[2:]])], model.pad)[0] for k in range(words.size)]
+        logs = np.array([model.logs(x)[2] for x in one])
+        assert abs(np.exp(logs + words.shared).sum() - 1) < 1e-4
+        hidden, kinds = model.forward([np.array([k]) for k in near])
+        assert np.allclose(np.exp(kinds[0]), np.bincount(words.classes, np.exp(logs + words.shared), words.kinds), atol=1e-5)
+
+
 # HTML
 
 
