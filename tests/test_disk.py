@@ -72,3 +72,19 @@ def test_nearest_sample_makes_no_row_of_a_pair(spark, monkeypatch):
     got = predict.nearest_sample(frame)
     assert "CartesianProduct" in plan(got) and "SortMergeJoin" not in plan(got) and "BroadcastHashJoin" not in plan(got)
     assert {r["sample"]: (round(r["distance"], 9), r["nearest"]) for r in got.collect()} == want
+
+
+@pytest.mark.parametrize("name", ["kmer_hit_filter", "read_index_join", "top2_loci"])
+def test_reads_meet_the_index_in_stretches(spark, small, name):
+    assert "hashpartitioning(kmer" not in plan(reads.QUERIES[name](spark, small[0]))
+
+
+@pytest.mark.parametrize("name", ["locus_hits", "top2_loci", "extract_reads", "kmer_hit_filter", "read_index_join"])
+def test_reads_of_texts_alike(spark, alike, tmp_path, name):
+    """Loci that share k-mers, of one row each: titles are of one pair."""
+    alike[1].execute(f"COPY (SELECT * FROM documents WHERE doc_id IS NOT NULL AND lang <> 'de' QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY text) = 1) TO '{tmp_path}/documents.parquet' (FORMAT parquet)")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
+    same(reads.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df())
