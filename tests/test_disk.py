@@ -88,3 +88,24 @@ def test_reads_of_texts_alike(spark, alike, tmp_path, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet'")
     same(reads.QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["genotype_kmers", "kmer_profile", "read_novel_edges"])
+def test_reads_meet_the_sequence_of_their_locus(spark, small, name):
+    text = plan(reads.QUERIES[name](spark, small[0]))
+    assert "Join" not in text.split("FlatMapCoGroupsInArrow")[0] and "hashpartitioning(locus#" in text
+    assert not any("kmer#" in line or "edge#" in line for line in text.split("\n") if "hashpartitioning" in line)
+
+
+@pytest.mark.parametrize("name", ["genotype_kmers", "read_novel_edges", "kmer_profile", "kam_records"])
+def test_loci_of_many_reads_are_several_groups(spark, small, name, monkeypatch):
+    from repeatlake.plans import tables
+
+    monkeypatch.setattr(tables, "READS", 1)
+    same(reads.QUERIES[name](spark, small[0]).toPandas(), small[1].sql(SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["genotype_kmers", "kmer_profile", "tr_segment"])
+def test_loci_looked_at_by_joins_are_the_same(spark, small, name, monkeypatch):
+    monkeypatch.setattr(kmers, "LONG", 700)
+    same(reads.QUERIES[name](spark, small[0]).toPandas(), small[1].sql(SQL[name]).df())
