@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from repeatlake.operators import kmers, predict
-from repeatlake.plans import reads, sequences
+from repeatlake.plans import reads, sequences, tables
 from tests.test_queries import SQL, plain, test_query_with_loci_of_several_rows as several_rows
 
 
@@ -109,3 +109,12 @@ def test_loci_of_many_reads_are_several_groups(spark, small, name, monkeypatch):
 def test_loci_looked_at_by_joins_are_the_same(spark, small, name, monkeypatch):
     monkeypatch.setattr(kmers, "LONG", 700)
     same(reads.QUERIES[name](spark, small[0]).toPandas(), small[1].sql(SQL[name]).df())
+
+
+@pytest.mark.parametrize("name", ["kmer_inverted_index", "kmer_index_chunks"])
+def test_index_travels_in_stretches(spark, alike, name):
+    got = sequences.QUERIES[name](spark, alike[0])
+    assert "hashpartitioning(bucket" in plan(got) and "hashpartitioning(kmer" not in plan(got)
+    want = (kmers.inverted_index if name == "kmer_inverted_index" else lambda x: kmers.index_chunks(x, 100))(tables.index(spark, alike[0]))
+    rows = lambda df: sorted((str(r) for r in df.collect()))
+    assert rows(got) == rows(tables.named(want)) and len(rows(got)) > 0
